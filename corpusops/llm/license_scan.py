@@ -275,7 +275,7 @@ def oracle() -> str:
     p(pw, label) AS (VALUES {phrase_rows}),
     t(re, label) AS (VALUES {template_rows}),
     base AS (
-      SELECT doc_id, label, unnest(list_filter(range(len(ws)), i -> ws[i + 1 : i + len(pw)] = pw)) AS pos
+      SELECT doc_id, label, unnest(list_filter(range(len(ws)), lambda i: ws[i + 1 : i + len(pw)] = pw)) AS pos
       FROM s, p WHERE contains(line, ' ' || array_to_string(pw, ' '))),
     b AS (SELECT doc_id, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word FROM base GROUP BY doc_id),
     found AS (SELECT doc_id, label, 1 AS kind FROM base UNION SELECT doc_id, label, 2 FROM s, t WHERE regexp_matches(line, re)),
