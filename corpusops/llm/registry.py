@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from corpusops.llm import license_scan, quality_rules
+from corpusops.llm import byte_bpe, harmonic_packing, license_scan, quality_rules
 from corpusops.llm.common import table
 
 
@@ -16,5 +18,20 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge_quality(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_quality_rules)}
+def op4_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return harmonic_packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=False)
+
+
+def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    vocab = byte_bpe.vocabulary(spark, path)
+    encoded = byte_bpe.encode(table(spark, sf_dir, "documents"), path, vocab)
+    done = byte_bpe.decode(byte_bpe.id_bytes(encoded, vocab), vocab)
+    return done.select(
+        "doc_id", F.size("ids").cast("bigint").alias("n_tokens"),
+        F.sha2("id_bytes", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_quality_rules, op4_harmonic_packing, op7_byte_bpe)}
 ORACLES = {"op1_license_scan": license_scan.oracle()}
