@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusops.llm import byte_bpe, harmonic_packing, license_scan, quality_rules
+from corpusops.llm import byte_bpe, harmonic_packing, license_scan, quality_rules, sharding, simhash_dedup
 from corpusops.llm.common import table
 
 
@@ -18,6 +18,10 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge_quality(table(spark, sf_dir, "documents"))
 
 
+def op3_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign_shards(table(spark, sf_dir, "documents"))
+
+
 def op4_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return harmonic_packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=False)
 
@@ -33,5 +37,11 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_quality_rules, op4_harmonic_packing, op7_byte_bpe)}
-ORACLES = {"op1_license_scan": license_scan.oracle()}
+def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_license_scan, op2_quality_rules, op3_extendible_sharding, op4_harmonic_packing, op7_byte_bpe, op8_simhash_dedup,
+)}
+ORACLES = {"op1_license_scan": license_scan.oracle(), "op3_extendible_sharding": sharding.oracle()}
