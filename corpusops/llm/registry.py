@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusops.llm import byte_bpe, harmonic_packing, license_scan, quality_rules, sharding, simhash_dedup
+from corpusops.llm import byte_bpe, harmonic_packing, license_scan, mil_classifier, quality_rules, sharding, simhash_dedup
 from corpusops.llm.common import table
 
 
@@ -41,7 +41,12 @@ def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op10_mil_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mil_classifier.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_license_scan, op2_quality_rules, op3_extendible_sharding, op4_harmonic_packing, op7_byte_bpe, op8_simhash_dedup,
+    op10_mil_classifier,
 )}
 ORACLES = {"op1_license_scan": license_scan.oracle(), "op3_extendible_sharding": sharding.oracle()}
