@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusops.llm import bloom_lm, byte_bpe, harmonic_packing, license_scan, mil_classifier, quality_rules, sharding, simhash_dedup
+from corpusops.llm import bloom_lm, byte_bpe, harmonic_packing, license_scan, mil_classifier, order_minhash, quality_rules, sharding, simhash_dedup
 from corpusops.llm.common import table
 
 
@@ -30,6 +30,10 @@ def op5_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bloom_lm.score_texts(table(spark, sf_dir, "documents"))
 
 
+def op6_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.fingerprint(table(spark, sf_dir, "documents"))
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     vocab = byte_bpe.vocabulary(spark, path)
@@ -50,7 +54,8 @@ def op10_mil_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_license_scan, op2_quality_rules, op3_extendible_sharding, op4_harmonic_packing, op5_bloom_lm, op7_byte_bpe, op8_simhash_dedup,
+    op1_license_scan, op2_quality_rules, op3_extendible_sharding, op4_harmonic_packing, op5_bloom_lm, op6_order_minhash,
+    op7_byte_bpe, op8_simhash_dedup,
     op10_mil_classifier,
 )}
 ORACLES = {"op1_license_scan": license_scan.oracle(), "op3_extendible_sharding": sharding.oracle()}
