@@ -147,6 +147,28 @@ def fit(docs: DataFrame, labels: DataFrame) -> AttentionModel | None:
     return AttentionModel().fit(bags, np.array([r["quality"] for r in got], np.float32)) if bags else None
 
 
+def _scores(model: AttentionModel | None, texts: pd.Series) -> np.ndarray:
+    """Score of each text, some hundred at a time."""
+    out = [np.zeros(0)]
+    for k in range(0, len(texts), 256):
+        rows = [passages(x) for x in texts.iloc[k : k + 256]]
+        starts = np.cumsum([0, *map(len, rows[:-1])])
+        out.append(np.full(len(rows), 0.5) if model is None else model.score(np.concatenate(rows), starts))
+    return np.concatenate(out)
+
+
+def keep_predicted(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of docs that score_quality predicts to have label 1, as they are; no row is moved."""
+    model = fit(docs, labels)
+
+    @F.pandas_udf("double")
+    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield pd.Series(_scores(model, batch))
+
+    return docs.where(scored(F.coalesce("text", F.lit(""))) >= THRESHOLD)
+
+
 def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every document's whole text.
 
@@ -160,14 +182,7 @@ def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for k in range(0, len(batch), 256):
-                part = batch.iloc[k : k + 256]
-                if model is None:
-                    scores = np.full(len(part), 0.5)
-                else:
-                    rows = [passages(x) for x in part["text"]]
-                    scores = model.score(np.concatenate(rows), np.cumsum([0, *map(len, rows[:-1])]))
-                yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64"), "score": scores})
+            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "score": _scores(model, batch["text"])})
 
     scored = texts(docs).mapInPandas(run, "doc_id bigint, score double")
     return scored.select("doc_id", (fold() == HELD_OUT).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

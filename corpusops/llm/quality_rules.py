@@ -139,6 +139,34 @@ SCHEMA = (
 )
 
 
+class _Judge:
+    """Figures and verdict of one text, by the references."""
+
+    def __init__(self, classes: dict, words: dict):
+        self.classes = classes
+        self.words = {k: (list(c), np.array(list(c.values()), float)) for k, c in words.items()}
+
+    def __call__(self, text: str, lang: str) -> tuple:
+        raw = text.encode("utf-8", "surrogatepass")
+        tokens = raw.split()
+        n, repeats = len(tokens), repeated_words(tokens)
+        failed = n < MIN_WORDS or 100 * repeats > MAX_REPEAT_PERCENT * n
+        by_class = by_word = None
+        if len(text) >= GUARD_CHARS:
+            by_class = distance(class_counts(raw), self.classes.get(lang, self.classes[None]))
+        names, want = self.words.get(lang, self.words[None])
+        if n >= GUARD_WORDS and len(names):
+            have = Counter(raw.lower().split())
+            by_word = distance(np.array([have.get(w, 0) for w in names], float), want)
+        far = (by_class or 0.0) > MAX_CLASS_DISTANCE or (by_word or 0.0) > MAX_WORD_DISTANCE
+        chars = len(text) - sum(text.count(c) for c in " \t\n\x0b\x0c\r")
+        return n, chars, sum(text.count(c) for c in _SYMBOLS), duplicate_lines(text), repeats, failed, not failed and not far, by_class, by_word
+
+
+def _source(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("lang", F.lit("")).alias("lang"))
+
+
 def judge_quality(docs: DataFrame) -> DataFrame:
     """One row per document: the rule figures of its whole text, its distances and whether it is kept.
 
@@ -148,34 +176,27 @@ def judge_quality(docs: DataFrame) -> DataFrame:
     base_failed or a distance is over its limit. Null and empty texts have no words and fail. A null language is a
     language of its own. Repeated rows each give a row; an empty table gives an empty table.
     """
-    source = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("lang", F.lit("")).alias("lang"))
-    classes, words = language_references(source.select("text", "lang"))
-    pairs: dict = {}
-    for k, common in words.items():
-        names = list(common)
-        pairs[k] = (names, np.array([common[w] for w in names], float))
+    source = _source(docs)
+    references = language_references(source.select("text", "lang"))
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        judged = _Judge(*references)
+        names = [x.split()[0] for x in SCHEMA.split(", ")]
         for batch in batches:
-            rows = []
-            for doc_id, text, lang in zip(batch["doc_id"], batch["text"], batch["lang"], strict=True):
-                raw = text.encode("utf-8", "surrogatepass")
-                tokens = raw.split()
-                n, repeats = len(tokens), repeated_words(tokens)
-                failed = n < MIN_WORDS or 100 * repeats > MAX_REPEAT_PERCENT * n
-                by_class = by_word = None
-                if len(text) >= GUARD_CHARS:
-                    by_class = distance(class_counts(raw), classes.get(lang, classes[None]))
-                names, want = pairs.get(lang, pairs[None])
-                if n >= GUARD_WORDS and len(names):
-                    have = Counter(raw.lower().split())
-                    by_word = distance(np.array([have.get(w, 0) for w in names], float), want)
-                far = (by_class or 0.0) > MAX_CLASS_DISTANCE or (by_word or 0.0) > MAX_WORD_DISTANCE
-                rows.append((
-                    doc_id, n, len(text) - sum(text.count(c) for c in " \t\n\x0b\x0c\r"), sum(text.count(c) for c in _SYMBOLS),
-                    duplicate_lines(text), repeats, failed, not failed and not far, by_class, by_word,
-                ))
-            names = [x.split()[0] for x in SCHEMA.split(", ")]
+            rows = [(i, *judged(text, lang)) for i, text, lang in zip(batch["doc_id"], batch["text"], batch["lang"], strict=True)]
             yield pd.DataFrame(rows, columns=names).astype({"doc_id": "Int64", "class_distance": float, "word_distance": float})
 
     return source.mapInPandas(judge, SCHEMA)
+
+
+def keep_quality(docs: DataFrame) -> DataFrame:
+    """The rows of docs that judge_quality keeps, as they are; no row is moved."""
+    references = language_references(_source(docs).select("text", "lang"))
+
+    @F.pandas_udf("boolean")
+    def kept(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        judged = _Judge(*references)
+        for texts, langs in batches:
+            yield pd.Series([judged(text, lang)[6] for text, lang in zip(texts, langs, strict=True)], dtype=bool)
+
+    return docs.where(kept(F.coalesce("text", F.lit("")), F.coalesce("lang", F.lit(""))))

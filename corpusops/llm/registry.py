@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusops.llm import bloom_lm, byte_bpe, harmonic_packing, license_scan, mil_classifier, order_minhash, quality_rules, sharding, simhash_dedup
+from corpusops.llm import bloom_lm, byte_bpe, harmonic_packing, license_scan, line_dedup, mil_classifier, order_minhash, quality_rules, sharding, simhash_dedup
 from corpusops.llm.common import table
 
 
@@ -49,6 +49,10 @@ def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_report(table(spark, sf_dir, "documents"))
+
+
 def op10_mil_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mil_classifier.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -56,6 +60,6 @@ def op10_mil_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_license_scan, op2_quality_rules, op3_extendible_sharding, op4_harmonic_packing, op5_bloom_lm, op6_order_minhash,
     op7_byte_bpe, op8_simhash_dedup,
-    op10_mil_classifier,
+    op9_line_dedup, op10_mil_classifier,
 )}
 ORACLES = {"op1_license_scan": license_scan.oracle(), "op3_extendible_sharding": sharding.oracle()}
