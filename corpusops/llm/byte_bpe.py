@@ -80,10 +80,9 @@ def _rank(v: Column, a: Column, b: Column) -> Column:
 
 def fold_word(v: Column, word: Column) -> Column:
     """Ids of one word: its bytes, then as many merges of the lowest-ranked pair as there are pieces to merge."""
-    digits = F.hex(F.encode(word, "UTF-8"))
     n = F.octet_length(word)
 
-    def byte(i: Column) -> Column:
+    def byte(digits: Column, i: Column) -> Column:
         at = lambda k: F.ascii(F.substring(digits, i * 2 + k, F.lit(1))) - 48
         return F.get(v["bytes"], at(1) * 23 + at(2))
 
@@ -109,7 +108,7 @@ def fold_word(v: Column, word: Column) -> Column:
             F.concat(F.slice(ranks, F.lit(1), F.greatest(p - 2, F.lit(0))), before, after, F.slice(ranks, p + 2, size)).alias("ranks"),
         ).cast(STATE)
 
-    ids = F.transform(F.sequence(F.lit(0), n - 1), byte)
+    ids = _bind(F.hex(word), lambda digits: F.transform(F.sequence(F.lit(0), n - 1), lambda i: byte(digits, i)))
     begun = F.get(F.transform(F.array(ids), start), 0)
     return F.aggregate(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), begun, merge, lambda s: s["ids"])
 
@@ -199,7 +198,7 @@ def encode(docs: DataFrame, path: str, vocab: DataFrame | None = None) -> DataFr
 
         return _bind(F.struct("v", "known"), lambda c: F.flatten(F.transform(words_of(F.col("text")), lambda w: word_ids(c, w)))).alias("ids")
 
-    is_long = F.col("text").rlike(rf"\S{{{LONG_WORD}}}|\s{{{LONG_WORD}}}")
+    is_long = F.col("text").rlike(rf"(?<!\S)\S{{{LONG_WORD}}}|(?<!\s)\s{{{LONG_WORD}}}")
     some = docs.where(is_long).withColumn("long", F.array_distinct(F.filter(words_of(F.col("text")), lambda w: F.length(w) > LONG_WORD)))
     some = some.withColumn("long_ids", _heap_words(path)("long"))
     out = docs.where(~is_long).select("doc_id", ids(None)).unionByName(some.select("doc_id", ids(F.col("long"))))
