@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from corpusops.queries import text  # noqa: F401
+from corpusops.queries import audits, text  # noqa: F401
 from corpusops.queries.base import ORACLES, QUERIES  # noqa: F401
