@@ -80,11 +80,11 @@ def link_tiered(spark, sf_dir):
 
 
 _FOLDER, _STEM = "regexp_replace({}, '/[^/]*$', '')", _NORM.format(r"regexp_replace(regexp_extract({}, '([^/]*)$', 1), '\.[^.]*$', '')")
-_FILES = f"fl AS (SELECT path AS f, {_FOLDER.format('path')} AS d, {_STEM.format('path')} AS s FROM file_listing), q AS (SELECT note_id, pdf, {_FOLDER.format('pdf')} AS d, {_STEM.format('pdf')} AS s FROM notes)"
+_FILES = f"fi AS (SELECT path AS f, {_FOLDER.format('path')} AS d, {_STEM.format('path')} AS s FROM file_listing), q AS (SELECT note_id, pdf, {_FOLDER.format('pdf')} AS d, {_STEM.format('pdf')} AS s FROM notes)"
 
 
-_RESOLVED = f"""{_FILES}, st AS (SELECT d, s, count(*) AS n, min(f) AS f FROM fl GROUP BY 1, 2), r AS (SELECT note_id, CASE WHEN pdf IN (SELECT f FROM fl) THEN pdf WHEN n = 1 THEN st.f END AS file,
-CASE WHEN pdf IN (SELECT f FROM fl) THEN 'direct' WHEN q.d NOT IN (SELECT d FROM fl) THEN 'directory missing' WHEN n = 1 THEN 'stem' WHEN n > 1 THEN 'multiple' ELSE 'none' END AS how FROM q LEFT JOIN st ON st.d = q.d AND st.s = q.s)"""
+_RESOLVED = f"""{_FILES}, st AS (SELECT d, s, count(*) AS n, min(f) AS f FROM fi GROUP BY 1, 2), r AS (SELECT note_id, CASE WHEN pdf IN (SELECT f FROM fi) THEN pdf WHEN n = 1 THEN st.f END AS file,
+CASE WHEN pdf IN (SELECT f FROM fi) THEN 'direct' WHEN q.d NOT IN (SELECT d FROM fi) THEN 'directory missing' WHEN n = 1 THEN 'stem' WHEN n > 1 THEN 'multiple' ELSE 'none' END AS how FROM q LEFT JOIN st ON st.d = q.d AND st.s = q.s)"""
 
 
 @query(f"WITH {_RESOLVED} SELECT * FROM r")
@@ -92,7 +92,7 @@ def file_resolve(spark, sf_dir):
     return linkage.resolve_file(v.notes(spark, sf_dir), v.file_listing(spark, sf_dir))
 
 
-@query(f"""WITH {_FILES}, p AS (SELECT note_id, f, CASE WHEN f = pdf THEN 1 WHEN lower(f) = lower(replace(pdf, '_', '-')) THEN 2 WHEN fl.s = q.s THEN 3 ELSE 4 END AS tier FROM q JOIN fl ON fl.d = q.d AND (starts_with(fl.s, q.s) OR starts_with(q.s, fl.s))),
+@query(f"""WITH {_FILES}, p AS (SELECT note_id, f, CASE WHEN f = pdf THEN 1 WHEN lower(f) = lower(replace(pdf, '_', '-')) THEN 2 WHEN fi.s = q.s THEN 3 ELSE 4 END AS tier FROM q JOIN fi ON fi.d = q.d AND (starts_with(fi.s, q.s) OR starts_with(q.s, fi.s))),
 g AS (SELECT note_id, tier, count(*) AS n, min(f) AS f FROM p GROUP BY 1, 2), x AS (SELECT note_id, tier, f FROM g WHERE tier < 4 OR n = 1 QUALIFY row_number() OVER (PARTITION BY note_id ORDER BY tier) = 1)
 SELECT note_id, f AS file, CASE tier WHEN 1 THEN 'direct' WHEN 2 THEN 'hyphen' WHEN 3 THEN 'stem' WHEN 4 THEN 'prefix' ELSE 'none' END AS how FROM notes LEFT JOIN x USING (note_id)""")
 def file_resolve_prefix(spark, sf_dir):
