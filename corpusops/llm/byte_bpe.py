@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusops.llm.common import materialise, texts
+from corpusops.llm.common import materialise, texts, with_ids
 
 #: Fixed value: the split pattern of the public tokenizer, in Java's syntax with Unicode classes.
 PATTERN = r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -202,7 +202,7 @@ def encode(docs: DataFrame, path: str, vocab: DataFrame | None = None) -> DataFr
     some = docs.where(is_long).withColumn("long", F.array_distinct(F.filter(words_of(F.col("text")), lambda w: F.length(w) > LONG_WORD)))
     some = some.withColumn("long_ids", _heap_words(path)("long"))
     out = docs.where(~is_long).select("doc_id", ids(None)).unionByName(some.select("doc_id", ids(F.col("long"))))
-    return out
+    return with_ids(out)
 
 
 def _by_id(encoded: DataFrame, vocab: DataFrame, name: str) -> tuple[DataFrame, Column]:

@@ -16,9 +16,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text) alone, null text as empty: extra columns can't clash with those an operator adds."""
-    return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+#: Stands for a null id on the way through Python, where a null would turn a column of numbers into fractions.
+NO_ID = -(1 << 63)
+
+
+def texts(docs: DataFrame, *more: str) -> DataFrame:
+    """(doc_id, text) and more string columns, null strings as empty and null ids as NO_ID: other columns can't clash with those an operator adds."""
+    return docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("doc_id"), *[F.coalesce(c, F.lit("")).alias(c) for c in ("text", *more)])
+
+
+def with_ids(df: DataFrame) -> DataFrame:
+    """df with NO_ID as null again."""
+    return df.withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))
 
 
 def shared_dir(spark: SparkSession) -> str:

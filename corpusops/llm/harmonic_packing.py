@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from corpusops.llm.common import texts
+from corpusops.llm.common import texts, with_ids
 
 CAPACITY = 2048
 END = 1  # id after each document
@@ -99,12 +99,12 @@ class Packer:
 COLUMNS = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
 
 
-def pack(docs: DataFrame, path: str, pattern: str, capacity: int = CAPACITY, with_ids: bool = True) -> DataFrame:
+def pack(docs: DataFrame, path: str, pattern: str, capacity: int = CAPACITY, keep_ids: bool = True) -> DataFrame:
     """One row per part of a document: where it starts in the document and in its sequence of at most ``capacity`` ids.
 
     A document's ids are those of its whole text (special tokens' strings are ordinary text), then END; null and
     empty texts have END alone. Each id lies in exactly one part, parts of a sequence have no gaps between them.
-    with_ids adds the ids themselves. sequence_id is unique in the result. Rows that repeat a doc_id are packed
+    keep_ids adds the ids themselves. sequence_id is unique in the result. Rows that repeat a doc_id are packed
     each on their own; other columns of docs are ignored; an empty table gives an empty table. Rows of one
     partition must come in a fixed order, as those of files do, for a task that runs twice to give the same bins.
     path, pattern: ranks and split pattern of a byte-level BPE, on every machine.
@@ -118,15 +118,17 @@ def pack(docs: DataFrame, path: str, pattern: str, capacity: int = CAPACITY, wit
             out = pd.DataFrame(
                 [(p[0], p[1], len(p[2]), zlib.crc32(p[2].tobytes()), p[3], s, o) for p, s, o in rows],
                 columns=[x.split()[0] for x in COLUMNS.split(", ")],
-            ).astype({"doc_id": "Int64"})
-            return out.assign(ids=[p[2].astype("int32") for p, _, _ in rows]) if with_ids else out
+            )
+            return out.assign(ids=[p[2].astype("int32") for p, _, _ in rows]) if keep_ids else out
 
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
                 ids = np.array([*encoder.encode_ordinary(text), END], "<u4")
                 rows += packer.add(doc_id, ids)
+            if rows:
+                yield frame(rows)
+        if rows := list(packer.finish()):
             yield frame(rows)
-        yield frame(list(packer.finish()))
 
-    return texts(docs).mapInPandas(run, COLUMNS + (", ids array<int>" if with_ids else ""))
+    return with_ids(texts(docs).mapInPandas(run, COLUMNS + (", ids array<int>" if keep_ids else "")))

@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from corpusops.llm.common import texts
+from corpusops.llm.common import texts, with_ids
 
 #: The phrases whose places are the base, and their labels.
 PHRASES = {
@@ -240,9 +240,9 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, phra
                     [dict(zip(("label", "first_word", "end_word"), s, strict=True)) for s in sorted(spans, key=lambda s: (s[1], s[0]))],
                 ))
             out = pd.DataFrame(rows, columns=["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "spans"])
-            yield out.astype({"doc_id": "Int64", "first_word": "Int64", "last_word": "Int64"})
+            yield out.astype({"first_word": "Int64", "last_word": "Int64"})
 
-    return texts(docs).mapInPandas(scan, SCHEMA)
+    return with_ids(texts(docs).mapInPandas(scan, SCHEMA))
 
 
 def template_regex(markup: str) -> str:

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusops.llm.common import texts
+from corpusops.llm.common import NO_ID, texts, with_ids
 from corpusops.llm.quality_rules import class_counts
 
 PASSAGE = 100  # words
@@ -127,7 +127,7 @@ def sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, text, quality) of at most SAMPLE_DOCS labelled documents outside the held-out fold, by order of a hash."""
     known = labels.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
     known = known.where(fold() != HELD_OUT)
-    rows = texts(docs).where((F.length("text") <= SAMPLE_CHARS) & F.col("doc_id").isNotNull() & (fold() != HELD_OUT))
+    rows = texts(docs).where((F.length("text") <= SAMPLE_CHARS) & (F.col("doc_id") != NO_ID) & (fold() != HELD_OUT))
     there = rows.select("doc_id").distinct().join(known, "doc_id")
     picked = there.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS)
     return rows.join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id", "text"])
@@ -147,11 +147,11 @@ def fit(docs: DataFrame, labels: DataFrame) -> AttentionModel | None:
     return AttentionModel().fit(bags, np.array([r["quality"] for r in got], np.float32)) if bags else None
 
 
-def _scores(model: AttentionModel | None, texts: pd.Series) -> np.ndarray:
+def _scores(model: AttentionModel | None, column: pd.Series) -> np.ndarray:
     """Score of each text, some hundred at a time."""
     out = [np.zeros(0)]
-    for k in range(0, len(texts), 256):
-        rows = [passages(x) for x in texts.iloc[k : k + 256]]
+    for k in range(0, len(column), 256):
+        rows = [passages(x) for x in column.iloc[k : k + 256]]
         starts = np.cumsum([0, *map(len, rows[:-1])])
         out.append(np.full(len(rows), 0.5) if model is None else model.score(np.concatenate(rows), starts))
     return np.concatenate(out)
@@ -182,7 +182,7 @@ def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "score": _scores(model, batch["text"])})
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "score": _scores(model, batch["text"])})
 
-    scored = texts(docs).mapInPandas(run, "doc_id bigint, score double")
+    scored = with_ids(texts(docs).mapInPandas(run, "doc_id bigint, score double"))
     return scored.select("doc_id", (fold() == HELD_OUT).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusops.llm.common import materialise
+from corpusops.llm.common import NO_ID, materialise
 
 #: A token: up to eight characters of a word, so that a text without spaces has tokens too.
 TOKEN = r"\S{1,8}"
@@ -19,7 +19,6 @@ K = 3
 SKETCH_BITS = 5
 SKETCHES = 1 << SKETCH_BITS
 PICKED = 2
-NO_ID = -(1 << 63)  # stands for a null id: before all others
 
 
 def _bind(value: Column, body) -> Column:

@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusops.llm.common import texts, with_ids
+
 CLASSES = ("lower", "upper", "digit", "space", "newline", "mark", "symbol", "other_script", "control")
 
 MIN_WORDS = 10  # base rule
@@ -163,10 +165,6 @@ class _Judge:
         return n, chars, sum(text.count(c) for c in _SYMBOLS), duplicate_lines(text), repeats, failed, not failed and not far, by_class, by_word
 
 
-def _source(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("lang", F.lit("")).alias("lang"))
-
-
 def judge_quality(docs: DataFrame) -> DataFrame:
     """One row per document: the rule figures of its whole text, its distances and whether it is kept.
 
@@ -176,7 +174,7 @@ def judge_quality(docs: DataFrame) -> DataFrame:
     base_failed or a distance is over its limit. Null and empty texts have no words and fail. A null language is a
     language of its own. Repeated rows each give a row; an empty table gives an empty table.
     """
-    source = _source(docs)
+    source = texts(docs, "lang")
     references = language_references(source.select("text", "lang"))
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -184,14 +182,14 @@ def judge_quality(docs: DataFrame) -> DataFrame:
         names = [x.split()[0] for x in SCHEMA.split(", ")]
         for batch in batches:
             rows = [(i, *judged(text, lang)) for i, text, lang in zip(batch["doc_id"], batch["text"], batch["lang"], strict=True)]
-            yield pd.DataFrame(rows, columns=names).astype({"doc_id": "Int64", "class_distance": float, "word_distance": float})
+            yield pd.DataFrame(rows, columns=names).astype({"class_distance": float, "word_distance": float})
 
-    return source.mapInPandas(judge, SCHEMA)
+    return with_ids(source.mapInPandas(judge, SCHEMA))
 
 
 def keep_quality(docs: DataFrame) -> DataFrame:
     """The rows of docs that judge_quality keeps, as they are; no row is moved."""
-    references = language_references(_source(docs).select("text", "lang"))
+    references = language_references(texts(docs, "lang").select("text", "lang"))
 
     @F.pandas_udf("boolean")
     def kept(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusops.llm.common import materialise, texts
+from corpusops.llm.common import materialise, texts, with_ids
 from corpusops.llm.components import components
 
 WORDS = 3  # of a shingle
@@ -50,9 +50,9 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             fp = np.array([simhash(x) for x in batch["text"]], np.uint64).astype(np.int64)
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "fp": fp})
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "fp": fp})
 
-    return texts(docs).mapInPandas(run, "doc_id bigint, fp bigint")
+    return with_ids(texts(docs).mapInPandas(run, "doc_id bigint, fp bigint"))
 
 
 def _pair_of_bytes(fp: Column, k: int) -> Column:
