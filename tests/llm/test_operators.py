@@ -383,6 +383,32 @@ def test_line_dedup(spark, docs, none, sf_dir):
     assert left[11].split("\n")[:2] == ["x", "y"] and left[11].count("x y z") == 1
 
 
+def _joined(spark, texts):
+    """Component of each text by the operator, and the pairs that are similar by brute force."""
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r["doc_id"]: r["component"] for r in line_dedup.line_components(docs).collect()}
+    sets = [{x[i : i + 8] for i in range(len(x) - 7)} or {x} for x in texts]
+    near = []
+    for i, a in enumerate(sets):
+        for j in range(i):
+            n = len(a & sets[j])
+            if n >= 0.8 * (len(a) + len(sets[j]) - n):
+                near.append((i, j))
+    return found, near
+
+
+def test_long_lines_without_many_words(spark):
+    """Unspaced lines, URLs and lines of few long words, each with a copy that has one character edited."""
+    r = np.random.default_rng(5)
+    word = lambda n: "".join(chr(97 + x) for x in r.integers(0, 26, n))
+    given = [word(150) for _ in range(40)] + ["".join(chr(0x4E00 + x) for x in r.integers(0, 3000, 120)) for _ in range(40)]
+    given += [f"https://{word(12)}.example/{word(60)}?id={word(60)}" for _ in range(40)] + [" ".join(word(30) for _ in range(6)) for _ in range(40)]
+    copies = ["0" + x[1:] for x in given[:80]]
+    copies += [x[:k] + "0" + x[k + 1 :] for x, k in zip(given[80:], [31 * (i % 5) for i in range(80)], strict=True)]
+    found, near = _joined(spark, given + copies)
+    assert len(near) >= len(given) and all(found[i] == found[j] for i, j in near)
+
+
 # Classifier
 
 
