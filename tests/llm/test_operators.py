@@ -409,6 +409,29 @@ def test_long_lines_without_many_words(spark):
     assert len(near) >= len(given) and all(found[i] == found[j] for i, j in near)
 
 
+def test_templated_lines(spark):
+    """Lines of one boilerplate and own words share keys by the hundred, but only pairs are similar."""
+    r = np.random.default_rng(6)
+    word = lambda: "".join(chr(97 + x) for x in r.integers(0, 26, 7))
+    boilerplate, given = [word() for _ in range(40)], []
+    for _ in range(300):
+        own = [word() for _ in range(8)]
+        given += [" ".join([*boilerplate, *own]), " ".join([*boilerplate, word(), *own[1:]])]
+    found, near = _joined(spark, given)
+    assert len(near) >= 300 and all(found[i] == found[j] for i, j in near)
+
+
+def test_prefix_pairs_are_exact(spark):
+    r = np.random.default_rng(7)
+    given = sorted({" ".join(f"{w:03d}" * 3 for w in r.integers(0, 6, r.integers(1, 9))) for _ in range(150)})
+    found = spark.createDataFrame(list(enumerate(given)), "line_id long, line string")
+    for known in ([], [(0, 0), (1, 0), (2, 0)]):
+        got = {(x["a"], x["b"]) for x in line_dedup.prefix_pairs(found, spark.createDataFrame(known, "node long, component long")).collect()}
+        sets = [{x[i : i + 8] for i in range(len(x) - 7)} or {x} for x in given]
+        near = {(j, i) for i, a in enumerate(sets) for j in range(i) if 5 * len(a & sets[j]) >= 4 * len(a | sets[j]) and not (known and i < 3)}
+        assert near and near <= got
+
+
 # Classifier
 
 
