@@ -5,9 +5,10 @@ into the filter q times, once with each number from 1 to q. A worker finds a cou
 probe fails, so counts are never too low, and too high only by a false positive. Pair probabilities are discounted and
 the mass left over goes to the smoothed word probability.
 
-The filter's size has a fixed bound. Pairs seen once aren't kept; where even so the entries are more than the filter holds at
-its error rate, the least count that is kept rises, by the counts of the whole corpus. The exact word counts of the base
-score come from a table of the most frequent words, of bounded size, and from a join for all other words.
+The filter holds all words and pairs and grows with them, in segments of bounded size. Up to BROADCAST_BITS it is sent to all
+workers; beyond, its segments stay in the shared folder and the n-grams of the texts, once a chunk of texts, are shuffled to
+them and their levels back, so the scores are the same. The exact word counts of the base score come from a table of the
+most frequent words, of bounded size, and from a join for all other words.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,8 +29,10 @@ FOLDS, HELD_OUT = 5, 1
 BASE = 1.5  # of the quantisation
 HASHES = 7
 BITS_PER_ENTRY = 10.1  # at which a filter of 7 hashes errs in fewer than 1 of 100 probes
-MAX_BITS = 1 << 28  # of the filter: 32 MiB
-SEGMENTS = 64  # of the filter, built apart
+BROADCAST_BITS = 1 << 30  # of a filter that is sent to all workers: 128 MiB
+SEGMENT_BITS = 6  # 64 segments of the filter, built apart; more where they would pass MAX_SEGMENT
+MAX_SEGMENT = 1 << 24  # bits: 2 MiB
+CHUNK_CHARS = 4_000_000  # of the texts whose n-grams are shuffled together
 KNOWN_WORDS = 4_000_000  # words in the table of exact counts, 12 bytes each
 DISCOUNT = 0.7
 CHUNK = 1_000_000  # tokens handled at a time
@@ -103,7 +107,7 @@ def held_out():
 
 
 def count_ngrams(train: DataFrame) -> DataFrame:
-    """(key, n) of all words and of pairs seen twice or more. One 8-byte number a partial count is shuffled: key and count up to 255."""
+    """(key, n) of all words and pairs. One 8-byte number a partial count is shuffled: key and count up to 255."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes, held = _Hashes(), []
@@ -128,7 +132,7 @@ def count_ngrams(train: DataFrame) -> DataFrame:
 
     packed = train.mapInPandas(run, "packed bigint").repartition(F.expr("shiftrightunsigned(packed, 8)"))
     counts = packed.groupBy(F.expr("shiftrightunsigned(packed, 8)").alias("key")).agg(F.sum(F.expr("packed & 255")).alias("n"))
-    return materialise(counts.where("key % 2 = 0 or n > 1"))
+    return materialise(counts)
 
 
 def _positions(keys: np.ndarray, number: int, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -138,21 +142,23 @@ def _positions(keys: np.ndarray, number: int, size: int) -> tuple[np.ndarray, np
     return z, (z >> np.uint64(32)) | np.uint64(1)
 
 
-def _segment(keys: np.ndarray) -> np.ndarray:
-    return _mix(keys) >> np.uint64(58)
+def _segment(keys: np.ndarray, bits: int) -> np.ndarray:
+    return _mix(keys) >> np.uint64(64 - bits)
 
 
 @dataclass
 class LogFrequencyFilter:
-    """Bits of all segments, one after another."""
+    """Bits of all segments, one after another, or of one segment where segment_bits is 0."""
 
     bits: np.ndarray
     size: int  # bits of a segment
+    segment_bits: int
 
     def levels(self, keys: np.ndarray) -> np.ndarray:
         """Level of each n-gram: the last number before a probe fails; 0 for one that isn't there."""
         out = np.zeros(len(keys), np.int64)
-        alive, base, number = np.arange(len(keys)), _segment(keys) * np.uint64(self.size), 1
+        segment = _segment(keys, self.segment_bits) if self.segment_bits else np.zeros(len(keys), np.uint64)
+        alive, base, number = np.arange(len(keys)), segment * np.uint64(self.size), 1
         mask = np.uint64(self.size - 1)
         while len(alive):
             a, step = _positions(keys[alive], number, self.size)
@@ -167,19 +173,25 @@ class LogFrequencyFilter:
         return out
 
 
-def build_filter(counts: DataFrame) -> tuple[LogFrequencyFilter, int, int]:
-    """The filter, and the least word and pair count that it keeps."""
-    sizes = counts.groupBy((F.col("key") % 2).alias("kind"), F.least("n", F.lit(1 << 16)).alias("n")).agg(F.count("*").alias("keys")).collect()
-    rows = [(int(r["kind"]), int(r["n"]), int(r["keys"]) * int(level(np.array([r["n"]]))[0])) for r in sizes]
-    word, pair, most = 1, 2, MAX_BITS / BITS_PER_ENTRY
-    entries = lambda: sum(e for kind, n, e in rows if n >= (pair if kind else word))
-    while entries() > most and pair < 1 << 16:
-        pair += 1
-    while entries() > most:
-        word += 1
-    size = 1 << 12
-    while size * SEGMENTS < min(MAX_BITS, entries() * BITS_PER_ENTRY):
-        size *= 2
+@dataclass
+class Segments:
+    """The filter's table (segment, bits), bits of a segment and bits that number the segments."""
+
+    table: DataFrame
+    size: int
+    segment_bits: int
+
+
+def build_segments(counts: DataFrame) -> Segments:
+    """The filter of all counted n-grams."""
+    sizes = counts.groupBy(F.least("n", F.lit(1 << 16)).alias("n")).agg(F.count("*").alias("keys")).collect()
+    wanted = sum(int(r["keys"]) * int(level(np.array([r["n"]]))[0]) for r in sizes) * BITS_PER_ENTRY
+    size, segment_bits = 1 << 12, SEGMENT_BITS
+    while size << segment_bits < wanted:
+        if size < MAX_SEGMENT:
+            size *= 2
+        else:
+            segment_bits += 1
 
     def build(group: pd.DataFrame) -> pd.DataFrame:
         bits = np.zeros(size, bool)
@@ -192,14 +204,22 @@ def build_filter(counts: DataFrame) -> tuple[LogFrequencyFilter, int, int]:
                     a = a + step
         return pd.DataFrame({"segment": [int(group["segment"].iloc[0])], "bits": [np.packbits(bits, bitorder="little").tobytes()]})
 
-    kept = counts.where(F.when(F.col("key") % 2 == 0, F.col("n") >= word).otherwise(F.col("n") >= pair))
-    split = kept.mapInPandas(
-        lambda batches: (b.assign(segment=_segment(b["key"].to_numpy().view(np.uint64)).astype("int32")) for b in batches), "key bigint, n bigint, segment int"
+    split = counts.mapInPandas(
+        lambda batches: (b.assign(segment=_segment(b["key"].to_numpy().view(np.uint64), segment_bits).astype("int32")) for b in batches), "key bigint, n bigint, segment int"
     )
-    bits = np.zeros(size * SEGMENTS // 8, np.uint8)
-    for r in split.groupBy("segment").applyInPandas(build, "segment int, bits binary").toLocalIterator():
+    return Segments(materialise(split.groupBy("segment").applyInPandas(build, "segment int, bits binary")), size, segment_bits)
+
+
+def build_filter(counts: DataFrame) -> tuple[LogFrequencyFilter | None, Segments, int]:
+    """The filter, None where it is too large to be sent to all workers; its segments; its bits."""
+    parts = build_segments(counts)
+    n, size = parts.size << parts.segment_bits, parts.size
+    if n > BROADCAST_BITS:
+        return None, parts, n
+    bits = np.zeros(n // 8, np.uint8)
+    for r in parts.table.toLocalIterator():
         bits[r["segment"] * size // 8 : (r["segment"] + 1) * size // 8] = np.frombuffer(r["bits"], np.uint8)
-    return LogFrequencyFilter(bits, size), word, pair
+    return LogFrequencyFilter(bits, size, parts.segment_bits), parts, n
 
 
 def known_counts(counts: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
@@ -226,28 +246,121 @@ def _find(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> tuple[np.
     return there, np.where(there, values[at], 0).astype(np.float64)
 
 
-def kept_mass(train: DataFrame, shared) -> np.ndarray:
-    """By level of the word before: the share of tokens' probability that discounted kept pairs take, over all training documents."""
+@dataclass
+class FoundLevels:
+    """Levels of some n-grams by sorted keys, in place of the filter."""
+
+    keys: np.ndarray
+    found: np.ndarray
+
+    def levels(self, keys: np.ndarray) -> np.ndarray:
+        return _find(self.keys, self.found, keys)[1].astype(np.int64)
+
+
+def text_chunks(source: DataFrame) -> DataFrame:
+    """(chunk, ids, texts, held) of the rows, by some CHUNK_CHARS characters."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bloom, hashes = shared.value["filter"], _Hashes()
-        n, mass = np.zeros(len(_MEAN)), np.zeros(len(_MEAN))
+        chunk, rows, n = TaskContext.get().partitionId() << 32, [], 0
         for batch in batches:
-            for _, tokens, _ in chunks(batch["doc_id"], batch["text"], hashes):
-                u, inverse = np.unique(tokens, return_inverse=True)
-                context = _contexts(bloom, bloom.levels(word_key(u))[inverse])
-                count = _MEAN[bloom.levels(pair_key(_before(tokens), tokens))]
-                share = np.where(count > 1, 1 - DISCOUNT / np.maximum(count, 1), 0.0)
-                n += np.bincount(context, minlength=len(_MEAN))[: len(_MEAN)]
-                mass += np.bincount(context, weights=share, minlength=len(_MEAN))[: len(_MEAN)]
-        yield pd.DataFrame({"level": np.arange(len(_MEAN)), "n": n, "mass": mass})
+            for row in zip(batch["doc_id"], batch["text"], batch["held"], strict=True):
+                rows.append(row)
+                n += len(row[1]) + 1
+                if n >= CHUNK_CHARS:
+                    yield pd.DataFrame([(chunk, *map(list, zip(*rows, strict=True)))], columns=["chunk", "ids", "texts", "held"])
+                    chunk, rows, n = chunk + 1, [], 0
+        if rows:
+            yield pd.DataFrame([(chunk, *map(list, zip(*rows, strict=True)))], columns=["chunk", "ids", "texts", "held"])
+
+    each = source.select("doc_id", "text", held_out().alias("held"))
+    return materialise(each.mapInPandas(run, "chunk bigint, ids array<bigint>, texts array<string>, held array<boolean>"))
+
+
+def find_levels(chunked: DataFrame, parts: Segments) -> DataFrame:
+    """(chunk, key, level) of the distinct n-grams of each chunk, looked up where their segments are."""
+    size, segment_bits = parts.size, parts.segment_bits
+
+    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hashes = _Hashes()
+        for batch in batches:
+            for chunk, ids, docs in zip(batch["chunk"], batch["ids"], batch["texts"], strict=True):
+                keys = [word_key(np.array([END], np.uint64))]
+                for _, tokens, _ in chunks(ids, docs, hashes):
+                    keys += [np.unique(word_key(tokens)), np.unique(pair_key(_before(tokens), tokens))]
+                k = np.unique(np.concatenate(keys))
+                yield pd.DataFrame({"chunk": np.full(len(k), chunk), "segment": _segment(k, segment_bits).astype("int32"), "key": k.view(np.int64)})
+
+    def look(asked: pd.DataFrame, bits: pd.DataFrame) -> pd.DataFrame:
+        found = np.zeros(len(asked), np.int64)
+        if len(asked) and len(bits):
+            found = LogFrequencyFilter(np.frombuffer(bits["bits"].iloc[0], np.uint8), size, 0).levels(asked["key"].to_numpy().view(np.uint64))
+        return pd.DataFrame({"chunk": asked["chunk"], "key": asked["key"], "level": found})
+
+    asked = chunked.mapInPandas(ask, "chunk bigint, segment int, key bigint")
+    return materialise(asked.groupBy("segment").cogroup(parts.table.groupBy("segment")).applyInPandas(look, "chunk bigint, key bigint, level int"))
 
+
+def _with_levels(chunked: DataFrame, found: DataFrame, body, schema: str) -> DataFrame:
+    """Rows of body(filter, ids, texts, held) of each chunk."""
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        right = right.sort_values("key")
+        bloom, row = FoundLevels(right["key"].to_numpy().view(np.uint64), right["level"].to_numpy()), left.iloc[0]
+        return pd.concat(body(bloom, row["ids"], row["texts"], row["held"]), ignore_index=True)
+
+    return chunked.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInPandas(run, schema)
+
+
+_MASS = "level int, n double, mass double"
+
+
+def _mass_rows(bloom, ids, docs, hashes: _Hashes) -> pd.DataFrame:
+    n, mass = np.zeros(len(_MEAN)), np.zeros(len(_MEAN))
+    for _, tokens, _ in chunks(ids, docs, hashes):
+        u, inverse = np.unique(tokens, return_inverse=True)
+        context = _contexts(bloom, bloom.levels(word_key(u))[inverse])
+        count = _MEAN[bloom.levels(pair_key(_before(tokens), tokens))]
+        share = np.where(count > 0, 1 - DISCOUNT / np.maximum(count, 1), 0.0)
+        n += np.bincount(context, minlength=len(_MEAN))[: len(_MEAN)]
+        mass += np.bincount(context, weights=share, minlength=len(_MEAN))[: len(_MEAN)]
+    return pd.DataFrame({"level": np.arange(len(_MEAN)), "n": n, "mass": mass})
+
+
+def kept_mass(rows: DataFrame) -> np.ndarray:
+    """By level of the word before: the share of tokens' probability that discounted pairs take, over all training documents."""
     out = np.zeros(len(_MEAN))
-    for r in train.mapInPandas(run, "level int, n double, mass double").groupBy("level").agg(F.sum("n").alias("n"), F.sum("mass").alias("mass")).collect():
+    for r in rows.groupBy("level").agg(F.sum("n").alias("n"), F.sum("mass").alias("mass")).collect():
         out[r["level"]] = r["mass"] / r["n"] if r["n"] else 0.0
     return np.minimum(out, 0.95)
 
 
+_SCORED = "doc_id bigint, n_tokens bigint, n_known bigint, base double, score double, rest array<bigint>"
+
+
+def _score_rows(model: dict, bloom, ids, docs, hashes: _Hashes) -> Iterator[pd.DataFrame]:
+    room = model["room"]
+    for ids, tokens, starts in chunks(ids, docs, hashes):  # noqa: B020
+        u, inverse = np.unique(tokens, return_inverse=True)
+        wk = word_key(u)
+        there, exact = _find(model["keys"], model["counts"], wk)
+        levels = bloom.levels(wk)
+        p_word = ((_MEAN[levels] + 0.5) / room)[inverse]
+        context = _contexts(bloom, levels[inverse])
+        pc = _MEAN[bloom.levels(pair_key(_before(tokens), tokens))]
+        seen = np.maximum(_MEAN[context], 1.0)
+        p = np.where(pc > 0, (np.minimum(pc, seen) - DISCOUNT) / seen, 0.0) + (1 - model["mass"][context]) * p_word
+        base = np.where(there, np.log10((exact + 0.5) / room), 0.0)[inverse]
+        known = there[inverse]
+        rest = wk[inverse].view(np.int64)
+        ends = np.append(starts[1:], len(tokens))
+        yield pd.DataFrame({
+            "doc_id": ids, "n_tokens": ends - starts,
+            "n_known": np.add.reduceat(known.astype(np.int64), starts), "base": np.add.reduceat(base, starts),
+            "score": np.add.reduceat(np.log10(p), starts),
+            "rest": [rest[a:b][~known[a:b]] for a, b in zip(starts, ends, strict=True)],
+        })
+
+
 def score_texts(docs: DataFrame) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every document's whole text.
 
@@ -262,38 +375,39 @@ def score_texts(docs: DataFrame) -> DataFrame:
     counts = count_ngrams(train)
     totals = counts.where("key % 2 = 0").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     total, distinct = totals["n"], totals["v"]
-    bloom, _, _ = build_filter(counts)
-    mass = kept_mass(train, spark.sparkContext.broadcast({"filter": bloom}))
     keys, values, least = known_counts(counts)
-    shared = spark.sparkContext.broadcast({"filter": bloom, "keys": keys, "counts": values, "mass": mass})
     room = total + 0.5 * (distinct + 1)
+    model = {"keys": keys, "counts": values, "room": room}
+    bloom, parts, _ = build_filter(counts)
+    if bloom is None:
+        chunked = text_chunks(source)
+        found = find_levels(chunked, parts)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model, hashes = shared.value, _Hashes()
-        bloom = model["filter"]
-        for batch in batches:
-            for ids, tokens, starts in chunks(batch["doc_id"], batch["text"], hashes):
-                u, inverse = np.unique(tokens, return_inverse=True)
-                wk = word_key(u)
-                there, exact = _find(model["keys"], model["counts"], wk)
-                levels = bloom.levels(wk)
-                p_word = ((_MEAN[levels] + 0.5) / room)[inverse]
-                context = _contexts(bloom, levels[inverse])
-                pc = _MEAN[bloom.levels(pair_key(_before(tokens), tokens))]
-                seen = np.maximum(_MEAN[context], 1.0)
-                p = np.where(pc > 1, (np.minimum(pc, seen) - DISCOUNT) / seen, 0.0) + (1 - model["mass"][context]) * p_word
-                base = np.where(there, np.log10((exact + 0.5) / room), 0.0)[inverse]
-                known = there[inverse]
-                rest = wk[inverse].view(np.int64)
-                ends = np.append(starts[1:], len(tokens))
-                yield pd.DataFrame({
-                    "doc_id": ids, "n_tokens": ends - starts,
-                    "n_known": np.add.reduceat(known.astype(np.int64), starts), "base": np.add.reduceat(base, starts),
-                    "score": np.add.reduceat(np.log10(p), starts),
-                    "rest": [rest[a:b][~known[a:b]] for a, b in zip(starts, ends, strict=True)],
-                })
-
-    scored = source.mapInPandas(run, "doc_id bigint, n_tokens bigint, n_known bigint, base double, score double, rest array<bigint>")
+        def mass_of(bloom, ids, docs, held) -> list:
+            return [_mass_rows(bloom, ids[~held], docs[~held], _Hashes())]
+
+        shared = spark.sparkContext.broadcast(model | {"mass": kept_mass(_with_levels(chunked, found, mass_of, _MASS))})
+
+        def scores_of(bloom, ids, docs, held) -> list:
+            return list(_score_rows(shared.value, bloom, ids, docs, _Hashes()))
+
+        scored = _with_levels(chunked, found, scores_of, _SCORED)
+    else:
+        sent = spark.sparkContext.broadcast({"filter": bloom})
+
+        def masses(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            hashes = _Hashes()
+            for batch in batches:
+                yield _mass_rows(sent.value["filter"], batch["doc_id"], batch["text"], hashes)
+
+        shared = spark.sparkContext.broadcast(model | {"filter": bloom, "mass": kept_mass(train.mapInPandas(masses, _MASS))})
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            hashes = _Hashes()
+            for batch in batches:
+                yield from _score_rows(shared.value, shared.value["filter"], batch["doc_id"], batch["text"], hashes)
+
+        scored = source.mapInPandas(run, _SCORED)
     scored = materialise(scored.withColumn("row", F.monotonically_increasing_id()))
     others = scored.select("row", F.explode("rest").alias("key"))
     rare = counts.where(F.col("key") % 2 == 0).where(F.col("n") < least)

@@ -8,6 +8,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pandas as pd
 import public_tokenizers as tok
 import pytest
 import tiktoken
@@ -193,6 +194,29 @@ def test_model_beats_words_alone(spark, sf_dir):
     assert got[0] > got[1]
 
 
+def test_filter_keeps_every_ngram(spark, monkeypatch):
+    """Pairs seen once are counted, and the filter grows with its entries."""
+    counted = bloom_lm.count_ngrams(spark.createDataFrame([(1, "a b c d e f")], "doc_id long, text string")).collect()
+    assert len(counted) == 7 + 7 and all(r["n"] == 1 for r in counted)
+    monkeypatch.setattr(bloom_lm, "MAX_SEGMENT", 1 << 13)
+    r = np.random.default_rng(2)
+    keys = np.unique(r.integers(1, 1 << 56, 120_000, dtype=np.uint64))
+    bloom, parts, n = bloom_lm.build_filter(spark.createDataFrame(pd.DataFrame({"key": keys.view(np.int64), "n": np.ones(len(keys), np.int64)})))
+    assert parts.size == 1 << 13 and parts.segment_bits > 6 and n >= 10 * len(keys)
+    assert (bloom.levels(keys) >= 1).all() and (bloom.levels(keys + np.uint64(1 << 57)) > 0).mean() < 0.02
+
+
+def test_filter_in_segments_scores_the_same(spark, docs, none, sf_dir, monkeypatch):
+    for source in (docs, small(spark, sf_dir)):
+        figures = lambda: sorted(((r["doc_id"] or 0, r["n_tokens"], r["n_known"], round(r["base_score"], 6), round(r["score"], 6)) for r in rows(bloom_lm.score_texts(source))))  # noqa: B023, E731
+        monkeypatch.undo()
+        want = figures()
+        monkeypatch.setattr(bloom_lm, "BROADCAST_BITS", 0)
+        monkeypatch.setattr(bloom_lm, "CHUNK_CHARS", 20_000)
+        assert figures() == want
+    assert bloom_lm.score_texts(none).count() == 0
+
+
 # Order MinHash
 
 
