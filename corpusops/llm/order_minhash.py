@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 
 from corpusops.llm.common import NO_ID, materialise
 
-#: A token: up to eight characters of a word, so that a text without spaces has tokens too.
+#: A token: up to eight characters of a word. A run of more than LONG_RUN characters is no word: each of its characters starts a
+#: token of WINDOW characters, so that tokens meet again right after an inserted or deleted character.
 TOKEN = r"\S{1,8}"
+LONG_RUN, WINDOW = 24, 4
 K = 3
 SKETCH_BITS = 5
 SKETCHES = 1 << SKETCH_BITS
@@ -30,6 +32,14 @@ def _class(x: Column) -> Column:
     return F.shiftrightunsigned(x, 64 - SKETCH_BITS)
 
 
+def _tokens(text: Column) -> Column:
+    long = rf"\S{{{LONG_RUN + 1},}}"
+    window = F.lit(rf"(?=(.{{{WINDOW}}}))")
+    parts = F.regexp_extract_all(text, F.lit(f"{long}|{TOKEN}"), F.lit(0))
+    cut = F.flatten(F.transform(parts, lambda x: F.when(F.length(x) > LONG_RUN, F.regexp_extract_all(x, window, F.lit(1))).otherwise(F.array(x))))
+    return F.when(text.rlike(long), cut).otherwise(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)))
+
+
 def _kmers(tokens: Column) -> Column:
     """Hash of the k-mer at each token; a shorter text is one k-mer, an empty one has none."""
     many = F.transform(F.sequence(F.lit(0), F.size(tokens) - K), lambda i: F.xxhash64(*[F.get(tokens, i + k) for k in range(K)]))
@@ -84,7 +94,7 @@ def signature(text: Column) -> Column:
             ))),
         ))
 
-    return _bind(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), lambda tokens: _bind(_kmers(tokens), of_kmers))
+    return _bind(_tokens(text), lambda tokens: _bind(_kmers(tokens), of_kmers))
 
 
 def as_text(sig: Column) -> Column:

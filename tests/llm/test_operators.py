@@ -277,6 +277,17 @@ def test_likeness_falls_with_moves(spark):
     assert same == 1 and edit > 0.85 and move < edit
 
 
+def test_likeness_follows_edits_in_unspaced_text(spark):
+    """One character inserted near the start of texts without spaces, one of them of lines of some 40 characters."""
+    r = np.random.default_rng(8)
+    texts = ["".join(chr(0x4E00 + x) for x in r.integers(0, 3000, 400)), "".join(chr(97 + x) for x in r.integers(0, 26, 2000))]
+    texts.append("\n".join("".join(chr(0x3041 + x) for x in r.integers(0, 80, 40)) for _ in range(20)))
+    pairs = [(t, t[:5] + "x" + t[5:]) for t in texts] + [(t, t[:7] + t[8:]) for t in texts] + [(texts[0], texts[1])]
+    near = order_minhash.likeness(order_minhash.signature(F.col("a")), order_minhash.signature(F.col("b")))
+    got = [x["near"] for x in spark.createDataFrame(pairs, "a string, b string").select(near.alias("near")).collect()]
+    assert all(x > 0.8 for x in got[:-1]) and got[-1] < 0.1
+
+
 # BPE
 
 
