@@ -1,9 +1,9 @@
 """Record linkage between ledger rows and notes: exact, tiered, contained and fuzzy best matches.
 
 Left: (row_id, title); right: (note_id, title, path). The order of notes is the lower-case path, then the path; where a rule
-takes the first or last note, it is by this order. Equal keys meet in hash joins; containment and scores are
-computed for pairs that share a rare word of the title, so no side is paired with all of the other. ``exact=True`` compares every
-pair and is for small sides.
+takes the first or last note, it is by this order. Equal keys meet in hash joins; containment on word borders is
+computed for pairs that share a rare word of the title, which loses none. Scores are computed for all pairs that the titles'
+lengths or containment let reach the threshold: titles that score high may share no whole word, so no such key finds them.
 """
 
 from __future__ import annotations
@@ -51,15 +51,29 @@ def word_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
     return asked.join(listed, "w").select("row_id", "a", "note_id", "b", "path").distinct()
 
 
-def _pairs(ledger: DataFrame, notes: DataFrame, exact: bool) -> DataFrame:
+def _normalised(ledger: DataFrame, notes: DataFrame) -> tuple[DataFrame, DataFrame]:
     left = ledger.select("row_id", textnorm.norm_title(F.col("title")).alias("a"))
-    right = notes.select("note_id", textnorm.norm_title(F.col("title")).alias("b"), "path")
-    return left.crossJoin(right) if exact else word_pairs(left, right)
+    return left, notes.select("note_id", textnorm.norm_title(F.col("title")).alias("b"), "path")
+
+
+def _scorable(ledger: DataFrame, notes: DataFrame, threshold: float) -> DataFrame:
+    """All pairs that can score the threshold: one title holds the other, or the shorter is long enough.
+
+    A ratio of at most 2 m / (la + lb), with m characters in common, needs m, thus the shorter length, to be threshold / (2 - threshold)
+    of the longer; the edit distance needs more than that.
+    """
+    left, right = _normalised(ledger, notes)
+    a, b = F.col("a"), F.col("b")
+    long_enough = F.least(F.length(a), F.length(b)) >= F.greatest(F.length(a), F.length(b)) * (threshold / (2 - threshold)) - 1e-6
+    return left.join(right, long_enough | a.contains(b) | b.contains(a))
 
 
 def link_best(ledger: DataFrame, notes: DataFrame, threshold: float, ratio=textnorm.ratio_levenshtein, exact: bool = False) -> DataFrame:
-    """(row_id, note_id, score) of every ledger row: the note of the highest title score, the first of equals; null below the threshold."""
-    scored = _pairs(ledger, notes, exact).withColumn("score", textnorm.title_score(F.col("a"), F.col("b"), ratio)).where(F.col("score") >= threshold)
+    """(row_id, note_id, score) of every ledger row: the note of the highest title score, the first of equals; null below the threshold.
+
+    exact scores the pairs that can't reach the threshold, too; the rows are the same.
+    """
+    scored = _scorable(ledger, notes, 0.0 if exact else threshold).withColumn("score", textnorm.title_score(F.col("a"), F.col("b"), ratio)).where(F.col("score") >= threshold)
     best = scored.groupBy("row_id").agg(F.min_by(F.struct("note_id", "score"), F.struct(-F.col("score"), order_key(F.col("path")))).alias("x"))
     return ledger.select("row_id").join(best, "row_id", "left").select("row_id", "x.note_id", F.round("x.score", 9).alias("score"))
 
@@ -76,7 +90,7 @@ def link_contains(ledger: DataFrame, notes: DataFrame) -> DataFrame:
     """(row_id, note_id) of pairs of which one normalised title holds the other, on word borders."""
     pad = lambda c: F.concat(F.lit(" "), c, F.lit(" "))
     a, b = pad(F.col("a")), pad(F.col("b"))
-    forward = _pairs(ledger, notes, False)
+    forward = word_pairs(*_normalised(ledger, notes))
     back = word_pairs(
         notes.select(F.col("note_id").alias("row_id"), textnorm.norm_title(F.col("title")).alias("a")),
         ledger.select(F.col("row_id").alias("note_id"), textnorm.norm_title(F.col("title")).alias("b"), F.lit("").alias("path")),

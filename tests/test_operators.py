@@ -192,3 +192,16 @@ def test_scan_reads_only_what_it_needs(spark, sf_dir):
 
     plan = views.ledger(spark, sf_dir).select("row_id", "state").where("row_id > 10")._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<doc_id:bigint>" in plan and "PushedFilters: [IsNotNull(doc_id), GreaterThan(doc_id,10)" in plan
+
+
+def test_best_links_without_a_shared_word(spark):
+    """Misspelled one-word titles, titles inside words, and a title whose four rarest words are other notes'."""
+    known = ["alpha beta gamma delta", "zeta eta theta iota", "one two three four five six seven eight nine ten"]
+    right = spark.createDataFrame([(i, t, f"p{i}") for i, t in enumerate([*known, "transformer", "smart", *["one two three four five six"] * 5])], "note_id long, title string, path string")
+    asked = ["tranformer", "art", "one two three four five six seven eight nine zeta", "eleven"]
+    left = spark.createDataFrame(list(enumerate(asked)), "row_id long, title string")
+    for ratio in (textnorm.ratio_levenshtein, textnorm.ratio_ratcliff):
+        got = {r["row_id"]: r["note_id"] for r in linkage.link_best(left, right, 0.78, ratio).collect()}
+        assert got[0] == 3 and got[1] == 4 and got[2] is not None and got[3] is None
+        assert got == {r["row_id"]: r["note_id"] for r in linkage.link_best(left, right, 0.78, ratio, exact=True).collect()}
+    assert {r["row_id"]: r["note_id"] for r in linkage.reverse_best(left, right, 0.78).collect()}[0] == 3
