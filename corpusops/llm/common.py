@@ -1,7 +1,8 @@
-"""What the operators of this subpackage share: reading tables, cutting lineage, bounded broadcasts."""
+"""What the operators of this subpackage share: reading tables, intermediate tables in the shared folder, joins with hot keys."""
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -30,10 +31,20 @@ def with_ids(df: DataFrame) -> DataFrame:
     return df.withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))
 
 
+#: Folders of the tables that materialise() made and nothing has deleted yet.
+_MADE: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors and the driver share; a temporary one only where none is set."""
+    """The folder that all executors and the driver share.
+
+    Without the setting, a temporary folder serves where driver and tasks are one process; on a cluster it would be another
+    disk on each machine, so there it is an error.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         path = f"file://{tempfile.mkdtemp(prefix='spark-')}"
         spark.conf.set("spark.checkpoint.dir", path)
     return path
@@ -43,12 +54,42 @@ def materialise(df: DataFrame) -> DataFrame:
     """Write df to a table in the shared folder and read it back: computed once, whatever reads it, and lost executors take nothing with them."""
     path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _MADE.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def forget(df: DataFrame) -> None:
-    """Delete the files of a materialised table that nothing reads any more."""
-    jvm, spark = df.sparkSession._jvm, df.sparkSession
-    for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(name)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def _delete(spark: SparkSession, name: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete the files of materialised tables that nothing reads any more."""
+    for df in tables:
+        for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            _delete(df.sparkSession, name)
+            _MADE[:] = [p for p in _MADE if not p.endswith(name.rsplit("/", 1)[1])]
+
+
+def release(spark: SparkSession) -> None:
+    """Delete all intermediate tables of this process. For when the results that read them are written."""
+    while _MADE:
+        _delete(spark, _MADE.pop())
+
+
+HOT_PARTS = 1000  # a key with more than one of so many rows is hot; there are fewer such keys than that
+
+
+def join_hot(rows: DataFrame, keyed: DataFrame, key: str) -> DataFrame:
+    """rows left-joined with keyed, which has a row a key at most; key isn't null.
+
+    The rows of hot keys stay where they are: keyed's rows of these, fewer than HOT_PARTS, are sent to them. All others are
+    shuffled by the key. So no key's rows meet in one task, however many there are.
+    """
+    sizes = rows.groupBy(key).agg(F.count("*").alias("n"))
+    total = rows.count()
+    hot = [r[0] for r in sizes.where(F.col("n") * HOT_PARTS > total).select(key).collect()] if total > HOT_PARTS else []
+    if not hot:
+        return rows.join(keyed, key, "left")
+    is_hot = F.col(key).isin(hot)
+    return rows.where(~is_hot).join(keyed, key, "left").unionByName(rows.where(is_hot).join(F.broadcast(keyed.where(is_hot)), key, "left"))

@@ -1,6 +1,7 @@
 """The operators against plain versions, on odd rows and on the small tables."""
 
 import hashlib
+import itertools
 import math
 import re
 import zlib
@@ -21,6 +22,7 @@ from corpusops.llm import (
 from corpusops.llm import registry
 
 RANKS = tok.path("byte_bpe_50k.tiktoken")
+_LINE = "The quick brown fox jumps over the lazy dog while twelve tired clerks file forms about rain and ships at sea"
 
 
 @pytest.fixture(scope="session")
@@ -348,8 +350,23 @@ def test_near_duplicates(docs, none):
             first[k] = min(first.get(k, 1 << 62), r["doc_id"])
     assert all(r["component_id"] == first.get(root[int(r["fingerprint"], 16)]) for r in got)
     assert simhash_dedup.near_duplicates(none).count() == 0 and simhash_dedup.keep_one(none).count() == 0
-    kept = [r["doc_id"] for r in simhash_dedup.keep_one(docs).collect() if r["doc_id"] is not None]
-    assert set(kept) == {r["doc_id"] for r in got if r["doc_id"] is not None and r["doc_id"] == r["component_id"]}
+    kept = simhash_dedup.keep_one(docs)
+    groups = {root[_plain_simhash(r["text"] or "")] for r in source}
+    assert kept.columns == docs.columns and sorted(root[_plain_simhash(r["text"] or "")] for r in kept.collect()) == sorted(groups)
+    for r in kept.collect():  # the smallest id of its group; none only where the group has none
+        assert r["doc_id"] == first.get(root[_plain_simhash(r["text"] or "")])
+
+
+def test_repeated_ids_lose_no_text(spark):
+    """Rows that repeat a doc_id, or have none, are told apart by their texts; of rows that repeat both, one stays."""
+    own = "quite another unique sentence about twelve clerks who file forms in the rain"
+    docs = spark.createDataFrame([(1, _LINE, 1), (2, _LINE, 2), (2, own, 3), (None, own[6:] + " at sea", 4), (2, own, 5)], "doc_id long, text string, gone int")
+    kept = simhash_dedup.keep_one(docs)
+    assert kept.columns == docs.columns and sorted(r["text"] for r in kept.collect()) == sorted([_LINE, own, own[6:] + " at sea"])
+    left = {r["gone"]: r["text"] for r in line_dedup.dedup_lines(docs).collect()}
+    assert left[1] == _LINE and left[2] == "" and left[3] == left[5] == own and len(left) == 5
+    report = sorted(((r["doc_id"], r["n_lines"], r["n_kept"], r["removed"]) for r in line_dedup.line_report(docs.where("doc_id is not null")).collect()))
+    assert report == [(1, 1, 1, ""), (2, 1, 0, "0"), (2, 1, 1, ""), (2, 1, 1, "")]
 
 
 @pytest.mark.parametrize("long_list", [32, 3])
@@ -366,12 +383,21 @@ def test_links_reach_all_components(spark, monkeypatch, long_list):
             fps.add(f)
     fps = sorted(fps)
     signed = lambda f: f - (1 << 64) if f >> 63 else f
-    classes = spark.createDataFrame([(signed(f), i) for i, f in enumerate(fps)], "fp long, rep long")
+    classes = spark.createDataFrame([(signed(f),) for f in fps], "fp long")
     found = {x["node"]: x["component"] for x in components.components(simhash_dedup.links(classes)).collect()}
-    root, least = _components(fps), {}
-    for i, f in enumerate(fps):
-        least.setdefault(root[f], i)
-    assert all(found.get(i, i) == least[root[f]] for i, f in enumerate(fps))
+    root, name = _components(fps), {}
+    for f in fps:
+        assert name.setdefault(root[f], found.get(signed(f), signed(f))) == found.get(signed(f), signed(f))
+    assert len(set(name.values())) == len(name)
+
+
+def test_tally_counts_shared_bytes():
+    """Pairs of 8 bytes that share 6 meet in MIN_TALLY postings at least, pairs that share fewer in fewer."""
+    for k in range(9):
+        for same in itertools.combinations(range(8), k):
+            shared = sum(set(p) <= set(same) for p in simhash_dedup.POSTINGS)
+            assert (shared >= simhash_dedup.MIN_TALLY) == (k >= 6)
+    assert len(simhash_dedup.POSTINGS) == 14 and simhash_dedup.MIN_TALLY == 3
 
 
 def test_components(spark):
@@ -456,15 +482,47 @@ def test_templated_lines(spark):
     assert len(near) >= 300 and all(found[i] == found[j] for i, j in near)
 
 
-def test_prefix_pairs_are_exact(spark):
+def test_crowded_pairs_join_what_is_similar(spark):
+    """Lines that the first round leaves in long lists: pairs found and groups known join all similar lines, whatever is common."""
     r = np.random.default_rng(7)
     given = sorted({" ".join(f"{w:03d}" * 3 for w in r.integers(0, 6, r.integers(1, 9))) for _ in range(150)})
-    found = spark.createDataFrame(list(enumerate(given)), "line_id long, line string")
-    for known in ([], [(0, 0), (1, 0), (2, 0)]):
-        got = {(x["a"], x["b"]) for x in line_dedup.prefix_pairs(found, spark.createDataFrame(known, "node long, component long")).collect()}
-        sets = [{x[i : i + 8] for i in range(len(x) - 7)} or {x} for x in given]
-        near = {(j, i) for i, a in enumerate(sets) for j in range(i) if 5 * len(a & sets[j]) >= 4 * len(a | sets[j]) and not (known and i < 3)}
-        assert near and near <= got
+    sets = [{x[i : i + 8] for i in range(len(x) - 7)} or {x} for x in given]
+    near = {(j, i) for i, a in enumerate(sets) for j in range(i) if 5 * len(a & sets[j]) >= 4 * len(a | sets[j])}
+    for limit in (32, 2):
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(line_dedup, "LONG_LIST", limit)
+            found = spark.createDataFrame([(i, x, i) for i, x in enumerate(given)], "line_id long, line string, component long")
+            got = {(x["a"], x["b"]) for x in line_dedup.crowded_pairs(found).collect()}
+            root = _union([*(got & near)], len(given))
+            assert near and sum(root[i] == root[j] for i, j in near) >= 0.97 * len(near)
+
+
+def _union(pairs, n):
+    at = list(range(n))
+
+    def find(i):
+        while at[i] != i:
+            i = at[i]
+        return i
+
+    for i, j in pairs:
+        at[find(i)] = find(j)
+    return [find(i) for i in range(n)]
+
+
+def test_recall_of_links(spark):
+    """Lines of 8 to 90 words with up to a ninth of them replaced: nearly all similar pairs are joined, those near the threshold, too."""
+    r = np.random.default_rng(9)
+    vocabulary = ["".join(chr(97 + x) for x in r.integers(0, 26, int(r.integers(2, 10)))) for _ in range(3000)]
+    given = []
+    for _ in range(500):
+        w = [vocabulary[k] for k in r.integers(0, 3000, int(r.integers(8, 90)))]
+        v = list(w)
+        for _ in range(int(r.integers(1, 1 + max(1, len(w) // 9)))):
+            v[int(r.integers(0, len(v)))] = vocabulary[int(r.integers(0, 3000))]
+        given += [" ".join(w), " ".join(v)]
+    found, near = _joined(spark, given)
+    assert len(near) > 150 and sum(found[i] == found[j] for i, j in near) >= 0.97 * len(near)
 
 
 # Classifier
