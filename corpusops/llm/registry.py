@@ -23,7 +23,8 @@ def op3_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return harmonic_packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, keep_ids=False)
+    added = harmonic_packing.added_tokens(public_tokenizers.path("byte_bpe_50k.json"))
+    return harmonic_packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, added, keep_ids=False)
 
 
 def op5_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -150,13 +150,21 @@ def test_cut(n):
         assert (2048 // p) * p > 2048 - 2048 // p
 
 
-def test_packing_ids_are_the_tokenizers(spark, sf_dir, encoder):
+def test_packing_ids_are_the_tokenizers(spark, sf_dir):
+    """Ids equal those of the untouched tokenizer, the added token's string included."""
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(tok.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    texts = [r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()] + ["<|endoftext|>  　x"]
-    assert [e.ids for e in t.encode_batch(texts, add_special_tokens=False)] == [encoder.encode_ordinary(x) for x in texts]
+    t, end = Tokenizer.from_file(tok.path("byte_bpe_50k.json")), "<|endoftext|>"
+    odd = [f"hello {end} world", end, end * 2, f" {end}", f"a{end}b  {end}\n", f"{end}  \u3000x", "<|endoftext", "|endoftext|>"]
+    texts = [r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()] + odd
+    added = harmonic_packing.added_tokens(tok.path("byte_bpe_50k.json"))
+    assert added == {end: 50256}
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found: dict = {}
+    for r in sorted(rows(harmonic_packing.pack(frame, RANKS, tok.PATTERN, added)), key=lambda r: r["start"]):
+        found.setdefault(r["doc_id"], []).extend(r["ids"])
+    assert [found[i] for i in range(len(texts))] == [[*e.ids, harmonic_packing.END] for e in t.encode_batch(texts, add_special_tokens=False)]
+    assert found[len(texts) - len(odd)] == [31373, 220, 50256, 995, 1]
 
 
 # Language model
@@ -598,3 +606,19 @@ def test_pipeline(spark, sf_dir):
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1")
     clean = docs.join(labels, "doc_id", "left_semi")
     assert classified.join(labels, "doc_id", "left_semi").count() >= 0.9 * clean.count()
+
+
+@pytest.mark.parametrize("empty", [False, True])
+def test_pipeline_on_odd_rows(spark, docs, labels, none, tmp_path, empty):
+    """Null, empty, repeated and very long texts, null ids and clashing names go through every stage; an empty table, too."""
+    import corpus_pipeline
+
+    (none if empty else docs).write.parquet(f"{tmp_path}/documents.parquet")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    kept = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        stage(spark, kept, str(tmp_path)).write.parquet(f"{tmp_path}/{name}")
+        kept = spark.read.parquet(f"{tmp_path}/{name}")
+        assert kept.columns == docs.columns
+    packed = corpus_pipeline.run(spark, str(tmp_path))
+    assert packed.agg(F.countDistinct("sequence_id", "offset")).first()[0] == packed.count() and (packed.count() == 0) == empty
