@@ -13,28 +13,49 @@ from corpusops.llm.common import materialise, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep, against references from these documents."""
+    """Documents that the quality rules keep, against references from these documents.
+
+    Null and empty texts have too few words and go; a null language is a language of its own. Rows are judged one by one, so
+    repeated rows stay or go together. Columns are as before, whatever their names; an empty table gives an empty table.
+    """
     return quality_rules.keep_quality(docs)
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier predicts to be good, fitted on those of them that have labels."""
+    """Documents that the classifier predicts to be good, fitted on those of them that have labels.
+
+    Without a labelled document every score is 0.5 and all stay. Null and empty texts get the score of an empty passage. Repeated
+    rows stay or go together. Columns are as before, whatever their names; an empty table gives an empty table.
+    """
     return mil_classifier.keep_predicted(docs, table(spark, sf_dir, "labels"))
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the lines that another place keeps."""
+    """All documents, without the lines that another place keeps.
+
+    Every row stays; a text that loses all lines is empty, a null text stays null. Rows that repeat a doc_id are told apart by
+    their texts and lose their own lines alone. Columns are as before, whatever their names; an empty table gives an empty table.
+    """
     return line_dedup.dedup_lines(docs)
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
+    """One document of each group of near duplicates: the one with the smallest doc_id.
+
+    Rows without an id come last; rows that repeat a doc_id are told apart by their texts. Null and empty texts are near
+    duplicates of each other. Columns are as before, whatever their names; an empty table gives an empty table.
+    """
     return simhash_dedup.keep_one(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Parts of sequences with their token ids."""
-    return harmonic_packing.pack(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    """Parts of sequences with their token ids.
+
+    Null and empty texts are an end token alone; repeated rows are packed each on their own; other columns are ignored; an
+    empty table gives an empty table.
+    """
+    added = harmonic_packing.added_tokens(public_tokenizers.path("byte_bpe_50k.json"))
+    return harmonic_packing.pack(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, added)
 
 
 STAGES = [
