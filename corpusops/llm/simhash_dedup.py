@@ -81,8 +81,9 @@ def links(classes: DataFrame) -> DataFrame:
     short = tallied.where(_near(F.col("a"), F.col("b"))).select("a", "b")
 
     # At most 33 different fingerprints of a posting are within one bit of a value, so these lists are short.
-    other = F.element_at(F.array(*[_bytes(F.col("fp"), p) for p in OTHERS]), (F.shiftright("key", 32) + 1).cast("int"))
-    close = F.array(other, *[other.bitwiseXOR(F.lit(1 << i)) for i in range(32)])
+    rest = F.get(F.array(*[_bytes(F.col("fp"), p) for p in OTHERS]), F.shiftright("key", 32).cast("int"))
+    changes = F.array(*[F.lit(x).cast("bigint") for x in (0, *(1 << i for i in range(32)))])
+    close = F.flatten(F.transform(F.array(rest), lambda x: F.transform(changes, lambda m: x.bitwiseXOR(m))))
     spread = listed.where(F.col("n") > LONG_LIST).select("key", "fp", F.explode(close).alias("value"))
     near = spread.groupBy("key", "value").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1)
     near = near.select(F.array_min("fps").alias("a"), F.explode("fps").alias("b")).where("a < b").distinct()
