@@ -1,31 +1,37 @@
 """Byte-level BPE encoding and decoding with Spark's higher-order functions.
 
-Words come from the split pattern; a fold over each word's bytes merges the adjacent pair of lowest rank until no pair
-has a rank, which is the byte-pair rule itself. Ranks are a literal map inside the expression, dealt into small buckets
-because a map lookup is a scan. The words that the table uses most are folded once each and make a second literal map,
-whose size is bounded; every other word is folded where it stands. Decoding looks up the bytes of each id and joins them.
+Texts are split into words and the distinct words counted. Each distinct word is folded once: a higher-order function over the word's bytes
+merges the adjacent pair of lowest rank until no pair has a rank, which is the byte-pair rule itself. Ranks are a literal map
+inside the expression, dealt into small buckets because a map lookup is a scan. The ids of the most used words, a table of
+bounded size, are sent to all workers, which put texts together from them; the ids of all other words are joined to the texts that
+have them. Decoding looks up the bytes of each id and joins them.
 """
 
 from __future__ import annotations
 
 import base64
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from corpusops.llm.common import materialise, texts, with_ids
 
-#: Fixed value: the split pattern of the public tokenizer, in Java's syntax with Unicode classes.
-PATTERN = r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Fixed value: the split pattern of the public tokenizer.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 PAIR_BUCKETS = 65_536
-WORD_BUCKETS = 131_072
-MAX_KNOWN_WORDS = 400_000  # words in the literal map
-KNOWN_BYTES = 64  # of a word in it
+MAX_KNOWN_WORDS = 300_000  # words that all workers know
+KNOWN_BYTES = 64  # of such a word
+FLUSH_WORDS = 300_000  # counted words that a task holds
+BATCH_IDS = 400_000  # ids that go back to Spark at a time
 LONG_WORD = 256  # characters; a fold's cost grows with the square of a word's length, so longer words take a heap
 NO_RANK = 2_147_483_647
 STATE = "struct<ids: array<int>, ranks: array<int>>"
@@ -50,7 +56,7 @@ def spark_range(spark: SparkSession, n: int) -> DataFrame:
 
 
 def vocabulary(spark: SparkSession, path: str) -> DataFrame:
-    """One row: ids of the single bytes by their two hex digits, buckets of pair -> merged id, hex of each id and of its bytes."""
+    """One row: ids of the single bytes by their two hex digits, and buckets of pair -> merged id."""
     ranks = read_ranks(path)
     pairs = [(ranks[t[:k]], ranks[t[k:]], n) for t, n in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks]
     frame = pd.DataFrame(pairs, columns=["a", "b", "value"]).astype({"a": "int64", "b": "int64", "value": "int32"})
@@ -61,15 +67,7 @@ def vocabulary(spark: SparkSession, path: str) -> DataFrame:
     for x in range(256):
         i, j = f"{x:02X}".encode()
         by_hex[(i - 48) * 23 + j - 48] = ranks[bytes([x])]
-    by_id = {n: t for t, n in ranks.items()}
-    size = max(by_id) + 1
-    literal = lambda xs, kind: F.split(F.lit(",".join(map(str, xs))), ",").cast(f"array<{kind}>")
-    return materialise(maps.select(
-        literal(by_hex, "int").alias("bytes"),
-        F.col("maps").alias("pairs"),
-        literal((n.to_bytes(4, "little").hex() for n in range(size)), "string").alias("id_hex"),
-        literal((by_id.get(n, b"").hex() for n in range(size)), "string").alias("piece_hex"),
-    ))
+    return materialise(maps.select(F.split(F.lit(",".join(map(str, by_hex))), ",").cast("array<int>").alias("bytes"), F.col("maps").alias("pairs")))
 
 
 def _rank(v: Column, a: Column, b: Column) -> Column:
@@ -121,11 +119,11 @@ def _bind(value: Column, body) -> Column:
 def _heap_words(path: str):
     """Ids of the few words too long for the fold, by a heap over adjacent pairs."""
 
-    @F.pandas_udf("array<array<int>>")
+    @F.pandas_udf("array<int>")
     def encode(words: Iterator[pd.Series]) -> Iterator[pd.Series]:
         ranks = read_ranks(path)
         for batch in words:
-            yield batch.map(lambda xs: [merge_bytes(x.encode(), ranks) for x in xs])
+            yield batch.map(lambda x: merge_bytes(x.encode(), ranks))
 
     return encode
 
@@ -151,29 +149,52 @@ def merge_bytes(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[p] for p in piece if p]
 
 
-def words_of(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))
+@lru_cache(1)
+def _splitter():
+    import regex
 
+    return regex.compile(PATTERN).findall
 
-def known_words(docs: DataFrame, vocab: DataFrame) -> DataFrame:
-    """One row: buckets of word -> ids, of the words used most; words as frequent as the last one go in together or not at all."""
-    counts = docs.select(F.explode(words_of(F.col("text"))).alias("word")).groupBy("word").count()
-    counts = materialise(counts.where((F.col("count") > 1) & (F.octet_length("word") <= KNOWN_BYTES)))
+
+def count_words(docs: DataFrame) -> DataFrame:
+    """(word, n) of the distinct words of all texts."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        split, held = _splitter(), Counter()
+        for batch in batches:
+            for text in batch["text"]:
+                held.update(split(text))
+                if len(held) > FLUSH_WORDS:
+                    yield pd.DataFrame(held.items(), columns=["word", "n"])
+                    held = Counter()
+        if held:
+            yield pd.DataFrame(held.items(), columns=["word", "n"])
+
+    return docs.select("text").mapInPandas(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def fold_words(words: DataFrame, path: str, vocab: DataFrame) -> DataFrame:
+    """(word, n, ids) of words (word, n): each folded once."""
+    words = materialise(words)
+    short = words.where(F.length("word") <= LONG_WORD).withColumn("v", vocab.select(F.struct("*")).scalar())
+    folded = short.select("word", "n", _bind(F.col("v"), lambda v: fold_word(v, F.col("word"))).alias("ids"))
+    long = words.where(F.length("word") > LONG_WORD)
+    return materialise(folded.unionByName(long.select("word", "n", _heap_words(path)("word").alias("ids"))))
+
+
+def known_words(folded: DataFrame) -> tuple[dict[str, np.ndarray], int]:
+    """{word: ids} of the words used most, and the least count from which a short word is in it; equal counts go in together or not at all."""
+    short = folded.where(F.octet_length("word") <= KNOWN_BYTES)
     # How many words have each count, counts over a million taken together: a small table, whatever the input's size.
-    sizes = counts.groupBy(F.least("count", F.lit(1_000_000)).alias("count")).agg(F.count("*").alias("words")).collect()
-    total, least = 0, None
-    for r in sorted(sizes, key=lambda r: -r["count"]):
+    sizes = short.groupBy(F.least("n", F.lit(1_000_000)).alias("n")).agg(F.count("*").alias("words")).collect()
+    total, least = 0, 1 << 62
+    for r in sorted(sizes, key=lambda r: -r["n"]):
         total += r["words"]
         if total > MAX_KNOWN_WORDS:
             break
-        least = r["count"]
-    known = counts.where(F.col("count") >= least if least else F.lit(False)).select("word").repartition(48, "word")
-    known = known.withColumn("v", vocab.select(F.struct("*")).scalar())
-    known = known.select(
-        F.pmod(F.xxhash64("word"), F.lit(WORD_BUCKETS)).cast("int").alias("bucket"), F.col("word").alias("key"),
-        _bind(F.col("v"), lambda v: fold_word(v, F.col("word"))).alias("value"),
-    )
-    return materialise(_in_buckets(known, WORD_BUCKETS))
+        least = r["n"]
+    got = short.where(F.col("n") >= least).select("word", "ids").toArrow()
+    return dict(zip(got["word"].to_pylist(), got["ids"].to_pylist(), strict=True)), least
 
 
 def encode(docs: DataFrame, path: str, vocab: DataFrame | None = None) -> DataFrame:
@@ -184,43 +205,73 @@ def encode(docs: DataFrame, path: str, vocab: DataFrame | None = None) -> DataFr
     """
     docs = texts(docs)
     vocab = vocabulary(docs.sparkSession, path) if vocab is None else vocab
-    known = known_words(docs, vocab)
-    docs = docs.withColumn("v", vocab.select(F.struct("*")).scalar()).withColumn("known", known.scalar())
-
-    def ids(long: Column | None) -> Column:
-        def word_ids(c: Column, word: Column) -> Column:
-            bucket = F.get(c["known"], F.pmod(F.xxhash64(word), F.lit(WORD_BUCKETS)).cast("int"))
-            found = F.try_element_at(bucket, word)
-            folded = fold_word(c["v"], word)
-            if long is not None:
-                folded = F.when(F.length(word) > LONG_WORD, F.get(F.col("long_ids"), F.array_position("long", word).cast("int") - 1)).otherwise(folded)
-            return F.coalesce(found, folded)
-
-        return _bind(F.struct("v", "known"), lambda c: F.flatten(F.transform(words_of(F.col("text")), lambda w: word_ids(c, w)))).alias("ids")
-
-    is_long = F.col("text").rlike(rf"(?<!\S)\S{{{LONG_WORD}}}|(?<!\s)\s{{{LONG_WORD}}}")
-    some = docs.where(is_long).withColumn("long", F.array_distinct(F.filter(words_of(F.col("text")), lambda w: F.length(w) > LONG_WORD)))
-    some = some.withColumn("long_ids", _heap_words(path)("long"))
-    out = docs.where(~is_long).select("doc_id", ids(None)).unionByName(some.select("doc_id", ids(F.col("long"))))
-    return with_ids(out)
-
-
-def _by_id(encoded: DataFrame, vocab: DataFrame, name: str) -> tuple[DataFrame, Column]:
-    """encoded with the hexadecimal pieces of its ids, joined and turned into bytes."""
-    return encoded.withColumn(name, vocab.select(name).scalar()), _bind(
-        F.col(name), lambda x: F.unhex(F.array_join(F.transform("ids", lambda i: F.get(x, i)), ""))
-    )
-
-
-def decode(encoded: DataFrame, vocab: DataFrame) -> DataFrame:
-    """encoded with decoded, the bytes of its ids. Ids outside the vocabulary have no bytes."""
-    columns = encoded.columns
-    frame, value = _by_id(encoded, vocab, "piece_hex")
-    return frame.select(*columns, value.alias("decoded"))
-
-
-def id_bytes(encoded: DataFrame, vocab: DataFrame) -> DataFrame:
-    """encoded with id_bytes, its ids as little-endian unsigned 32-bit numbers."""
-    columns = encoded.columns
-    frame, value = _by_id(encoded, vocab, "id_hex")
-    return frame.select(*columns, value.alias("id_bytes"))
+    folded = fold_words(count_words(docs), path, vocab)
+    known, least = known_words(folded)
+    shared = docs.sparkSession.sparkContext.broadcast(known)
+    kind = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("others", pa.list_(pa.string()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A word that isn't known is the id -1; others: these words, in order."""
+        split, ids_of = _splitter(), shared.value.get
+        for batch in batches:
+            rows, held = ([], [], []), 0
+            for k in range(0, batch.num_rows, 64):
+                some = batch.slice(k, 64)
+                for doc_id, text in zip(some["doc_id"].to_pylist(), some["text"].to_pylist(), strict=True):
+                    words = split(text)
+                    found = list(map(ids_of, words))
+                    others = []
+                    if None in found:
+                        others = [w for w, x in zip(words, found, strict=True) if x is None]
+                        found = [(-1,) if x is None else x for x in found]
+                    ids = np.fromiter(chain.from_iterable(found), np.int32)
+                    for column, value in zip(rows, (doc_id, ids, others), strict=True):
+                        column.append(value)
+                    held += len(ids)
+                    if held >= BATCH_IDS:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(rows, kind, strict=True)], schema=kind)
+                        rows, held = ([], [], []), 0
+            if rows[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(rows, kind, strict=True)], schema=kind)
+
+    parts = docs.mapInArrow(run, "doc_id bigint, ids array<int>, others array<string>")
+    parts = materialise(parts.withColumn("row", F.monotonically_increasing_id()))
+    rare = folded.where((F.col("n") < least) | (F.octet_length("word") > KNOWN_BYTES)).select("word", F.col("ids").alias("word_ids"))
+    wanted = parts.where(F.size("others") > 0).select("row", F.posexplode("others").alias("at", "word")).join(rare, "word")
+    fills = wanted.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("at", "word_ids"))).alias("fills"))
+    fills = fills.select("row", F.transform("fills", lambda x: x["word_ids"]).alias("fills"))
+
+    @F.pandas_udf("array<int>")
+    def filled(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for ids, fills in batches:
+            out = []
+            for x, more in zip(ids, fills, strict=True):
+                pieces = np.split(x, np.flatnonzero(x == -1))
+                out.append(np.concatenate([pieces[0], *[y for f, p in zip(more, pieces[1:], strict=True) for y in (f, p[1:])]]))
+            yield pd.Series(out)
+
+    whole = parts.where(F.size("others") == 0).select("doc_id", "ids")
+    joined = parts.where(F.size("others") > 0).join(fills, "row").select("doc_id", filled("ids", "fills").alias("ids"))
+    return with_ids(whole.unionByName(joined))
+
+
+def _bytes_of(pieces: dict[int, bytes]):
+    @F.pandas_udf("binary")
+    def join(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for ids in batches:
+            yield pd.Series([b"".join([pieces.get(i, b"") for i in x.tolist()]) for x in ids], dtype=object)
+
+    return join
+
+
+def decode(encoded: DataFrame, path: str) -> DataFrame:
+    """encoded with decoded, the bytes of its ids, joined. Ids outside the vocabulary have no bytes; null ids give null."""
+    pieces = {n: t for t, n in read_ranks(path).items()}
+    return encoded.withColumn("decoded", F.when(F.col("ids").isNotNull(), _bytes_of(pieces)(F.coalesce("ids", F.array().cast("array<int>")))))
+
+
+@F.pandas_udf(BinaryType())
+def id_bytes(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """Ids as little-endian unsigned 32-bit numbers."""
+    for ids in batches:
+        yield pd.Series([np.asarray(x, "<u4").tobytes() for x in ids], dtype=object)

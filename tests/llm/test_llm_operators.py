@@ -301,15 +301,24 @@ def test_likeness_follows_edits_in_unspaced_text(spark):
 # BPE
 
 
-def test_bpe(spark, docs, none, encoder):
-    vocab = byte_bpe.vocabulary(spark, RANKS)
-    encoded = byte_bpe.encode(docs, RANKS, vocab)
-    got = rows(byte_bpe.decode(byte_bpe.id_bytes(encoded, vocab), vocab))
-    want = sorted((encoder.encode_ordinary(r["text"] or "") for r in docs.collect()), key=repr)
-    assert sorted((r["ids"] for r in got), key=repr) == want
+@pytest.mark.parametrize("known", [300_000, 5])
+def test_bpe(docs, none, encoder, monkeypatch, known):
+    """known: with few known words nearly all ids come from the join."""
+    monkeypatch.setattr(byte_bpe, "MAX_KNOWN_WORDS", known)
+    got = byte_bpe.decode(byte_bpe.encode(docs, RANKS), RANKS).withColumn("id_bytes", byte_bpe.id_bytes("ids")).collect()
+    want = sorted(((r["doc_id"] or 0, encoder.encode_ordinary(r["text"] or "")) for r in docs.collect()), key=repr)
+    assert sorted(((r["doc_id"] or 0, r["ids"]) for r in got), key=repr) == want
     for r in got:
         assert bytes(r["id_bytes"]) == np.array(r["ids"], "<u4").tobytes() and bytes(r["decoded"]) == encoder.decode_bytes(r["ids"])
-    assert byte_bpe.encode(none, RANKS, vocab).count() == 0
+    assert byte_bpe.encode(none, RANKS).count() == 0
+
+
+def test_bpe_splits_as_the_library(spark, encoder):
+    """Every kind of character beside letters, digits and spaces, newer scripts included."""
+    chars = [chr(c) for c in [*range(0x3100), *range(0xA000, 0xAC10), *range(0xFB00, 0x10000), *range(0x10000, 0x32000, 7)] if not 0xD800 <= c < 0xE000]
+    texts = ["".join(f"a{c} {c}1{c}{c}\n" for c in chars[k : k + 200]) for k in range(0, len(chars), 200)]
+    got = {r["doc_id"]: r["ids"] for r in byte_bpe.encode(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), RANKS).collect()}
+    assert [i for i, t in enumerate(texts) if got[i] != encoder.encode_ordinary(t)] == []
 
 
 def test_heap_merges(encoder):
