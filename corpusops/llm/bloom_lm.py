@@ -2,8 +2,9 @@
 
 Word and word-pair counts over all training documents are quantised to powers of a base, and an n-gram of level q goes
 into the filter q times, once with each number from 1 to q. A worker finds a count by probing with 1, 2, ... until a
-probe fails, so counts are never too low, and too high only by a false positive. Pair probabilities are discounted and
-the mass left over goes to the smoothed word probability.
+probe fails, so counts are never too low, and too high only by a false positive. A pair's probability is smoothed by the word's:
+(pair's count + PRIOR * word's probability) / (first word's count + PRIOR), which sums to 1 over the words and needs
+no figure of the corpus but these counts.
 
 The filter holds all words and pairs and grows with them, in segments of bounded size. Up to BROADCAST_BITS it is sent to all
 workers; beyond, its segments stay in the shared folder and the n-grams of the texts, once a chunk of texts, are shuffled to
@@ -34,7 +35,8 @@ SEGMENT_BITS = 6  # 64 segments of the filter, built apart; more where they woul
 MAX_SEGMENT = 1 << 24  # bits: 2 MiB
 CHUNK_CHARS = 4_000_000  # of the texts whose n-grams are shuffled together
 KNOWN_WORDS = 4_000_000  # words in the table of exact counts, 12 bytes each
-DISCOUNT = 0.7
+PRIOR = 50.0  # tokens that the words' own probabilities count for, in each context
+CACHE_BITS = 20  # of the numbers of places where a worker keeps levels that it has looked up
 CHUNK = 1_000_000  # tokens handled at a time
 END = 0x9E3779B97F4A7C15  # hash of the end token
 
@@ -173,6 +175,28 @@ class LogFrequencyFilter:
         return out
 
 
+class KeptLevels:
+    """A filter with the levels that were looked up last, each in the place its key gives: frequent n-grams are probed once."""
+
+    def __init__(self, bloom):
+        self.bloom = bloom
+        self.keys = np.full(1 << CACHE_BITS, np.iinfo(np.uint64).max, np.uint64)  # no n-gram has this key
+        self.found = np.zeros(1 << CACHE_BITS, np.uint8)
+
+    def levels(self, keys: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            at = (keys * _C) >> np.uint64(64 - CACHE_BITS)
+        out = self.found[at]
+        missed = np.flatnonzero(self.keys[at] != keys)
+        u, inverse = np.unique(keys[missed], return_inverse=True)
+        levels = self.bloom.levels(u).astype(np.uint8)
+        out[missed] = levels[inverse]
+        with np.errstate(over="ignore"):
+            at = (u * _C) >> np.uint64(64 - CACHE_BITS)
+        self.keys[at], self.found[at] = u, levels
+        return out
+
+
 @dataclass
 class Segments:
     """The filter's table (segment, bits), bits of a segment and bits that number the segments."""
@@ -311,29 +335,6 @@ def _with_levels(chunked: DataFrame, found: DataFrame, body, schema: str) -> Dat
     return chunked.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInPandas(run, schema)
 
 
-_MASS = "level int, n double, mass double"
-
-
-def _mass_rows(bloom, ids, docs, hashes: _Hashes) -> pd.DataFrame:
-    n, mass = np.zeros(len(_MEAN)), np.zeros(len(_MEAN))
-    for _, tokens, _ in chunks(ids, docs, hashes):
-        u, inverse = np.unique(tokens, return_inverse=True)
-        context = _contexts(bloom, bloom.levels(word_key(u))[inverse])
-        count = _MEAN[bloom.levels(pair_key(_before(tokens), tokens))]
-        share = np.where(count > 0, 1 - DISCOUNT / np.maximum(count, 1), 0.0)
-        n += np.bincount(context, minlength=len(_MEAN))[: len(_MEAN)]
-        mass += np.bincount(context, weights=share, minlength=len(_MEAN))[: len(_MEAN)]
-    return pd.DataFrame({"level": np.arange(len(_MEAN)), "n": n, "mass": mass})
-
-
-def kept_mass(rows: DataFrame) -> np.ndarray:
-    """By level of the word before: the share of tokens' probability that discounted pairs take, over all training documents."""
-    out = np.zeros(len(_MEAN))
-    for r in rows.groupBy("level").agg(F.sum("n").alias("n"), F.sum("mass").alias("mass")).collect():
-        out[r["level"]] = r["mass"] / r["n"] if r["n"] else 0.0
-    return np.minimum(out, 0.95)
-
-
 _SCORED = "doc_id bigint, n_tokens bigint, n_known bigint, base double, score double, rest array<bigint>"
 
 
@@ -347,8 +348,8 @@ def _score_rows(model: dict, bloom, ids, docs, hashes: _Hashes) -> Iterator[pd.D
         p_word = ((_MEAN[levels] + 0.5) / room)[inverse]
         context = _contexts(bloom, levels[inverse])
         pc = _MEAN[bloom.levels(pair_key(_before(tokens), tokens))]
-        seen = np.maximum(_MEAN[context], 1.0)
-        p = np.where(pc > 0, (np.minimum(pc, seen) - DISCOUNT) / seen, 0.0) + (1 - model["mass"][context]) * p_word
+        seen = _MEAN[context]
+        p = (np.minimum(pc, seen) + PRIOR * p_word) / (seen + PRIOR)
         base = np.where(there, np.log10((exact + 0.5) / room), 0.0)[inverse]
         known = there[inverse]
         rest = wk[inverse].view(np.int64)
@@ -383,29 +384,19 @@ def score_texts(docs: DataFrame) -> DataFrame:
         chunked = text_chunks(source)
         found = find_levels(chunked, parts)
 
-        def mass_of(bloom, ids, docs, held) -> list:
-            return [_mass_rows(bloom, ids[~held], docs[~held], _Hashes())]
-
-        shared = spark.sparkContext.broadcast(model | {"mass": kept_mass(_with_levels(chunked, found, mass_of, _MASS))})
+        shared = spark.sparkContext.broadcast(model)
 
         def scores_of(bloom, ids, docs, held) -> list:
             return list(_score_rows(shared.value, bloom, ids, docs, _Hashes()))
 
         scored = _with_levels(chunked, found, scores_of, _SCORED)
     else:
-        sent = spark.sparkContext.broadcast({"filter": bloom})
-
-        def masses(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            hashes = _Hashes()
-            for batch in batches:
-                yield _mass_rows(sent.value["filter"], batch["doc_id"], batch["text"], hashes)
-
-        shared = spark.sparkContext.broadcast(model | {"filter": bloom, "mass": kept_mass(train.mapInPandas(masses, _MASS))})
+        shared = spark.sparkContext.broadcast(model | {"filter": bloom})
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            hashes = _Hashes()
+            hashes, kept = _Hashes(), KeptLevels(shared.value["filter"])
             for batch in batches:
-                yield from _score_rows(shared.value, shared.value["filter"], batch["doc_id"], batch["text"], hashes)
+                yield from _score_rows(shared.value, kept, batch["doc_id"], batch["text"], hashes)
 
         scored = source.mapInPandas(run, _SCORED)
     scored = materialise(scored.withColumn("row", F.monotonically_increasing_id()))

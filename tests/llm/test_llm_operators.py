@@ -199,6 +199,28 @@ def test_language_model(spark, docs, none, sf_dir, monkeypatch, known):
     assert bloom_lm.score_texts(none).count() == 0
 
 
+def test_scores_follow_the_counts(spark, docs, sf_dir):
+    """Scores against exact counts, quantised: equal but for the filter's few false positives."""
+    mean = lambda n: bloom_lm._MEAN[bloom_lm.level(np.array([n]))[0]] if n else 0.0
+    for source in (docs, small(spark, sf_dir)):
+        given = [(r["doc_id"], [*re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), r["text"] or "")), None]) for r in source.collect()]
+        train = [ws for i, ws in given if zlib.crc32(b"" if i is None else str(i).encode()) % 5 != 1]
+        word, pair = Counter(w for ws in train for w in ws), Counter(p for ws in train for p in zip([None, *ws], ws))  # noqa: B905
+        room = sum(word.values()) + 0.5 * (len(word) + 1)
+
+        def score(ws):
+            total = 0.0
+            for a, b in zip([None, *ws], ws):  # noqa: B023, B905
+                seen = mean(word[a])  # noqa: B023
+                total += math.log10((min(mean(pair[a, b]), seen) + bloom_lm.PRIOR * (mean(word[b]) + 0.5) / room) / (seen + bloom_lm.PRIOR))  # noqa: B023
+            return total
+
+        want = sorted(score(ws) for _, ws in given)
+        got = sorted(r["score"] for r in rows(bloom_lm.score_texts(source)))
+        off = [abs(x - y) / (1 + abs(y)) for x, y in zip(got, want, strict=True)]
+        assert np.median(off) < 0.01 and max(off) < 0.1
+
+
 def test_model_beats_words_alone(spark, sf_dir):
     got = bloom_lm.score_texts(spark.read.parquet(f"{sf_dir}/documents.parquet")).where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
     assert got[0] > got[1]
