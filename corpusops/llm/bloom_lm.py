@@ -30,14 +30,15 @@ FOLDS, HELD_OUT = 5, 1
 BASE = 1.5  # of the quantisation
 HASHES = 7
 BITS_PER_ENTRY = 10.1  # at which a filter of 7 hashes errs in fewer than 1 of 100 probes
-BROADCAST_BITS = 1 << 30  # of a filter that is sent to all workers: 128 MiB
+BROADCAST_BITS = 3 << 28  # of a filter that is sent to all workers: 96 MiB
 SEGMENT_BITS = 6  # 64 segments of the filter, built apart; more where they would pass MAX_SEGMENT
 MAX_SEGMENT = 1 << 24  # bits: 2 MiB
 CHUNK_CHARS = 4_000_000  # of the texts whose n-grams are shuffled together
 KNOWN_WORDS = 4_000_000  # words in the table of exact counts, 12 bytes each
 PRIOR = 50.0  # tokens that the words' own probabilities count for, in each context
 CACHE_BITS = 20  # of the numbers of places where a worker keeps levels that it has looked up
-CHUNK = 1_000_000  # tokens handled at a time
+CHUNK = 250_000  # tokens scored at a time
+COUNTED = 2_000_000  # tokens counted at a time
 END = 0x9E3779B97F4A7C15  # hash of the end token
 
 _A, _B, _C = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
@@ -70,7 +71,7 @@ def pair_key(first: np.ndarray, second: np.ndarray) -> np.ndarray:
 
 class _Hashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > 200_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
@@ -127,7 +128,7 @@ def count_ngrams(train: DataFrame) -> DataFrame:
         for batch in batches:
             for _, tokens, _ in chunks(batch["doc_id"], batch["text"], hashes):
                 held.append((tokens, _before(tokens)))
-                if sum(len(x[0]) for x in held) >= 3 * CHUNK:
+                if sum(len(x[0]) for x in held) >= COUNTED:
                     yield rows()
         if held:
             yield rows()
@@ -144,6 +145,11 @@ def _positions(keys: np.ndarray, number: int, size: int) -> tuple[np.ndarray, np
     return z, (z >> np.uint64(32)) | np.uint64(1)
 
 
+def _place(a: np.ndarray, size: int) -> np.ndarray:
+    """The lower half of each hash, scaled to a place below size."""
+    return (a & np.uint64(0xFFFFFFFF)) * np.uint64(size) >> np.uint64(32)
+
+
 def _segment(keys: np.ndarray, bits: int) -> np.ndarray:
     return _mix(keys) >> np.uint64(64 - bits)
 
@@ -161,11 +167,10 @@ class LogFrequencyFilter:
         out = np.zeros(len(keys), np.int64)
         segment = _segment(keys, self.segment_bits) if self.segment_bits else np.zeros(len(keys), np.uint64)
         alive, base, number = np.arange(len(keys)), segment * np.uint64(self.size), 1
-        mask = np.uint64(self.size - 1)
         while len(alive):
             a, step = _positions(keys[alive], number, self.size)
             for _ in range(HASHES):
-                at = base[alive] + (a & mask)
+                at = base[alive] + _place(a, self.size)
                 hit = (self.bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
                 alive, a, step = alive[hit], a[hit], step[hit]
                 with np.errstate(over="ignore"):
@@ -210,12 +215,10 @@ def build_segments(counts: DataFrame) -> Segments:
     """The filter of all counted n-grams."""
     sizes = counts.groupBy(F.least("n", F.lit(1 << 16)).alias("n")).agg(F.count("*").alias("keys")).collect()
     wanted = sum(int(r["keys"]) * int(level(np.array([r["n"]]))[0]) for r in sizes) * BITS_PER_ENTRY
-    size, segment_bits = 1 << 12, SEGMENT_BITS
-    while size << segment_bits < wanted:
-        if size < MAX_SEGMENT:
-            size *= 2
-        else:
-            segment_bits += 1
+    segment_bits = SEGMENT_BITS
+    while MAX_SEGMENT << segment_bits < wanted:
+        segment_bits += 1
+    size = max(1 << 12, -(-int(wanted) >> segment_bits + 12 << 12))
 
     def build(group: pd.DataFrame) -> pd.DataFrame:
         bits = np.zeros(size, bool)
@@ -223,7 +226,7 @@ def build_segments(counts: DataFrame) -> Segments:
         for number in range(1, levels.max() + 1):
             a, step = _positions(keys[levels >= number], number, size)
             for _ in range(HASHES):
-                bits[a & np.uint64(size - 1)] = True
+                bits[_place(a, size)] = True
                 with np.errstate(over="ignore"):
                     a = a + step
         return pd.DataFrame({"segment": [int(group["segment"].iloc[0])], "bits": [np.packbits(bits, bitorder="little").tobytes()]})
@@ -240,10 +243,10 @@ def build_filter(counts: DataFrame) -> tuple[LogFrequencyFilter | None, Segments
     n, size = parts.size << parts.segment_bits, parts.size
     if n > BROADCAST_BITS:
         return None, parts, n
-    bits = np.zeros(n // 8, np.uint8)
+    bits = bytearray(n // 8)
     for r in parts.table.toLocalIterator():
-        bits[r["segment"] * size // 8 : (r["segment"] + 1) * size // 8] = np.frombuffer(r["bits"], np.uint8)
-    return LogFrequencyFilter(bits, size, parts.segment_bits), parts, n
+        bits[r["segment"] * size // 8 : (r["segment"] + 1) * size // 8] = r["bits"]
+    return LogFrequencyFilter(np.frombuffer(bytes(bits), np.uint8), size, parts.segment_bits), parts, n
 
 
 def known_counts(counts: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
@@ -391,10 +394,12 @@ def score_texts(docs: DataFrame) -> DataFrame:
 
         scored = _with_levels(chunked, found, scores_of, _SCORED)
     else:
-        shared = spark.sparkContext.broadcast(model | {"filter": bloom})
+        # Sent as bytes, which workers read in place.
+        shared, size, segment_bits = spark.sparkContext.broadcast(model | {"bits": bloom.bits.tobytes()}), bloom.size, bloom.segment_bits
+        del bloom
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            hashes, kept = _Hashes(), KeptLevels(shared.value["filter"])
+            hashes, kept = _Hashes(), KeptLevels(LogFrequencyFilter(np.frombuffer(shared.value["bits"], np.uint8), size, segment_bits))
             for batch in batches:
                 yield from _score_rows(shared.value, kept, batch["doc_id"], batch["text"], hashes)
 

@@ -13,14 +13,13 @@ import base64
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from corpusops.llm.common import materialise, texts, with_ids
 
@@ -28,10 +27,10 @@ from corpusops.llm.common import materialise, texts, with_ids
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 PAIR_BUCKETS = 65_536
-MAX_KNOWN_WORDS = 300_000  # words that all workers know
+MAX_KNOWN_WORDS = 200_000  # words that all workers know
 KNOWN_BYTES = 64  # of such a word
-FLUSH_WORDS = 300_000  # counted words that a task holds
-BATCH_IDS = 400_000  # ids that go back to Spark at a time
+FLUSH_WORDS = 200_000  # counted words that a task holds
+ROWS = 128  # texts handled at a time
 LONG_WORD = 256  # characters; a fold's cost grows with the square of a word's length, so longer words take a heap
 NO_RANK = 2_147_483_647
 STATE = "struct<ids: array<int>, ranks: array<int>>"
@@ -56,18 +55,15 @@ def spark_range(spark: SparkSession, n: int) -> DataFrame:
 
 
 def vocabulary(spark: SparkSession, path: str) -> DataFrame:
-    """One row: ids of the single bytes by their two hex digits, and buckets of pair -> merged id."""
+    """One row: ids of the 256 single bytes, and buckets of pair -> merged id."""
     ranks = read_ranks(path)
     pairs = [(ranks[t[:k]], ranks[t[k:]], n) for t, n in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks]
     frame = pd.DataFrame(pairs, columns=["a", "b", "value"]).astype({"a": "int64", "b": "int64", "value": "int32"})
     frame["bucket"] = ((frame.a * 31_337 + frame.b) % PAIR_BUCKETS).astype("int32")
     frame["key"] = frame.a * 65_536 + frame.b
     maps = _in_buckets(spark.createDataFrame(pa.Table.from_pandas(frame[["bucket", "key", "value"]], preserve_index=False)), PAIR_BUCKETS)
-    by_hex = [0] * 529
-    for x in range(256):
-        i, j = f"{x:02X}".encode()
-        by_hex[(i - 48) * 23 + j - 48] = ranks[bytes([x])]
-    return materialise(maps.select(F.split(F.lit(",".join(map(str, by_hex))), ",").cast("array<int>").alias("bytes"), F.col("maps").alias("pairs")))
+    single = ",".join(str(ranks[bytes([x])]) for x in range(256))
+    return materialise(maps.select(F.split(F.lit(single), ",").cast("array<int>").alias("bytes"), F.col("maps").alias("pairs")))
 
 
 def _rank(v: Column, a: Column, b: Column) -> Column:
@@ -80,10 +76,6 @@ def fold_word(v: Column, word: Column) -> Column:
     """Ids of one word: its bytes, then as many merges of the lowest-ranked pair as there are pieces to merge."""
     n = F.octet_length(word)
 
-    def byte(digits: Column, i: Column) -> Column:
-        at = lambda k: F.ascii(F.substring(digits, i * 2 + k, F.lit(1))) - 48
-        return F.get(v["bytes"], at(1) * 23 + at(2))
-
     def start(ids: Column) -> Column:
         ranks = F.when(n > 1, F.transform(F.sequence(F.lit(0), F.greatest(n - 2, F.lit(0))), lambda i: _rank(v, F.get(ids, i), F.get(ids, i + 1))))
         return F.struct(ids.alias("ids"), F.coalesce(ranks, F.array().cast("array<int>")).alias("ranks")).cast(STATE)
@@ -106,7 +98,8 @@ def fold_word(v: Column, word: Column) -> Column:
             F.concat(F.slice(ranks, F.lit(1), F.greatest(p - 2, F.lit(0))), before, after, F.slice(ranks, p + 2, size)).alias("ranks"),
         ).cast(STATE)
 
-    ids = _bind(F.hex(word), lambda digits: F.transform(F.sequence(F.lit(0), n - 1), lambda i: byte(digits, i)))
+    # A byte is a character of the word read as Latin-1.
+    ids = F.transform(F.split(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), ""), lambda c: F.get(v["bytes"], F.ascii(c)))
     begun = F.get(F.transform(F.array(ids), start), 0)
     return F.aggregate(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), begun, merge, lambda s: s["ids"])
 
@@ -182,8 +175,26 @@ def fold_words(words: DataFrame, path: str, vocab: DataFrame) -> DataFrame:
     return materialise(folded.unionByName(long.select("word", "n", _heap_words(path)("word").alias("ids"))))
 
 
-def known_words(folded: DataFrame) -> tuple[dict[str, np.ndarray], int]:
-    """{word: ids} of the words used most, and the least count from which a short word is in it; equal counts go in together or not at all."""
+class _Known(dict):
+    """Ids of words as bytes; a word that isn't there is MARK and goes to others."""
+
+    MARK = np.array([-1], "<i4").tobytes()
+
+    def __init__(self, found: dict[str, bytes]):
+        super().__init__(found)
+        self.others: list[str] = []
+
+    def __missing__(self, word: str) -> bytes:
+        self.others.append(word)
+        return self.MARK
+
+    def put_together(self, words: list[str]) -> tuple[np.ndarray, list[str]]:
+        self.others = []
+        return np.frombuffer(b"".join(map(self.__getitem__, words)), np.int32), self.others
+
+
+def known_words(folded: DataFrame) -> tuple[dict[str, bytes], int]:
+    """{word: its ids' bytes} of the words used most, and the least count from which a short word is in it; equal counts go in together or not at all."""
     short = folded.where(F.octet_length("word") <= KNOWN_BYTES)
     # How many words have each count, counts over a million taken together: a small table, whatever the input's size.
     sizes = short.groupBy(F.least("n", F.lit(1_000_000)).alias("n")).agg(F.count("*").alias("words")).collect()
@@ -194,7 +205,18 @@ def known_words(folded: DataFrame) -> tuple[dict[str, np.ndarray], int]:
             break
         least = r["n"]
     got = short.where(F.col("n") >= least).select("word", "ids").toArrow()
-    return dict(zip(got["word"].to_pylist(), got["ids"].to_pylist(), strict=True)), least
+    return {w: np.array(x, "<i4").tobytes() for w, x in zip(got["word"].to_pylist(), got["ids"].to_pylist(), strict=True)}, least
+
+
+def _in_parts(body):
+    """A function over batches of rows from one over ROWS rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, ROWS):
+                yield body(batch.slice(k, ROWS))
+
+    return run
 
 
 def encode(docs: DataFrame, path: str, vocab: DataFrame | None = None) -> DataFrame:
@@ -212,27 +234,13 @@ def encode(docs: DataFrame, path: str, vocab: DataFrame | None = None) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A word that isn't known is the id -1; others: these words, in order."""
-        split, ids_of = _splitter(), shared.value.get
-        for batch in batches:
-            rows, held = ([], [], []), 0
-            for k in range(0, batch.num_rows, 64):
-                some = batch.slice(k, 64)
-                for doc_id, text in zip(some["doc_id"].to_pylist(), some["text"].to_pylist(), strict=True):
-                    words = split(text)
-                    found = list(map(ids_of, words))
-                    others = []
-                    if None in found:
-                        others = [w for w, x in zip(words, found, strict=True) if x is None]
-                        found = [(-1,) if x is None else x for x in found]
-                    ids = np.fromiter(chain.from_iterable(found), np.int32)
-                    for column, value in zip(rows, (doc_id, ids, others), strict=True):
-                        column.append(value)
-                    held += len(ids)
-                    if held >= BATCH_IDS:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(rows, kind, strict=True)], schema=kind)
-                        rows, held = ([], [], []), 0
-            if rows[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(rows, kind, strict=True)], schema=kind)
+        split, words = _splitter(), _Known(shared.value)
+
+        def some(batch: pa.RecordBatch) -> pa.RecordBatch:
+            found = [words.put_together(split(x)) for x in batch["text"].to_pylist()]
+            return pa.RecordBatch.from_arrays([batch["doc_id"], pa.array([x for x, _ in found], kind.types[1]), pa.array([x for _, x in found], kind.types[2])], schema=kind)
+
+        return _in_parts(some)(batches)
 
     parts = docs.mapInArrow(run, "doc_id bigint, ids array<int>, others array<string>")
     parts = materialise(parts.withColumn("row", F.monotonically_increasing_id()))
@@ -241,37 +249,44 @@ def encode(docs: DataFrame, path: str, vocab: DataFrame | None = None) -> DataFr
     fills = wanted.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("at", "word_ids"))).alias("fills"))
     fills = fills.select("row", F.transform("fills", lambda x: x["word_ids"]).alias("fills"))
 
-    @F.pandas_udf("array<int>")
-    def filled(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for ids, fills in batches:
-            out = []
-            for x, more in zip(ids, fills, strict=True):
-                pieces = np.split(x, np.flatnonzero(x == -1))
-                out.append(np.concatenate([pieces[0], *[y for f, p in zip(more, pieces[1:], strict=True) for y in (f, p[1:])]]))
-            yield pd.Series(out)
+    def fill(batch: pa.RecordBatch) -> pa.RecordBatch:
+        out = []
+        for x, more in zip(batch["ids"], batch["fills"].to_pylist(), strict=True):
+            ids = x.values.to_numpy()
+            pieces = np.split(ids, np.flatnonzero(ids == -1))
+            out.append(np.concatenate([pieces[0], *[y for f, p in zip(more, pieces[1:], strict=True) for y in (np.array(f, np.int32), p[1:])]]))
+        return pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(out, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
     whole = parts.where(F.size("others") == 0).select("doc_id", "ids")
-    joined = parts.where(F.size("others") > 0).join(fills, "row").select("doc_id", filled("ids", "fills").alias("ids"))
-    return with_ids(whole.unionByName(joined))
+    joined = parts.where(F.size("others") > 0).join(fills, "row").select("doc_id", "ids", "fills")
+    return with_ids(whole.unionByName(joined.mapInArrow(_in_parts(fill), "doc_id bigint, ids array<int>")))
+
 
+def _with_bytes(encoded: DataFrame, name: str, join) -> DataFrame:
+    """encoded with a column of bytes made from each row's ids; null ids give null."""
+    at = encoded.columns.index("ids")
 
-def _bytes_of(pieces: dict[int, bytes]):
-    @F.pandas_udf("binary")
-    def join(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for ids in batches:
-            yield pd.Series([b"".join([pieces.get(i, b"") for i in x.tolist()]) for x in ids], dtype=object)
+    def add(batch: pa.RecordBatch) -> pa.RecordBatch:
+        made = [None if not x.is_valid else join(x.values.to_numpy()) for x in batch.column(at)]
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.binary())], [*batch.schema.names, name])
 
-    return join
+    return encoded.mapInArrow(_in_parts(add), StructType([*encoded.schema.fields, StructField(name, BinaryType())]))
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """encoded with decoded, the bytes of its ids, joined. Ids outside the vocabulary have no bytes; null ids give null."""
-    pieces = {n: t for t, n in read_ranks(path).items()}
-    return encoded.withColumn("decoded", F.when(F.col("ids").isNotNull(), _bytes_of(pieces)(F.coalesce("ids", F.array().cast("array<int>")))))
+    ranks = read_ranks(path)
+    pieces = [b""] * (max(ranks.values()) + 1)
+    for t, n in ranks.items():
+        pieces[n] = t
+    size = len(pieces)
+
+    def join(ids: np.ndarray) -> bytes:
+        return b"".join(map(pieces.__getitem__, ids[(ids >= 0) & (ids < size)].tolist()))
+
+    return _with_bytes(encoded, "decoded", join)
 
 
-@F.pandas_udf(BinaryType())
-def id_bytes(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """Ids as little-endian unsigned 32-bit numbers."""
-    for ids in batches:
-        yield pd.Series([np.asarray(x, "<u4").tobytes() for x in ids], dtype=object)
+def id_bytes(encoded: DataFrame) -> DataFrame:
+    """encoded with id_bytes, its ids as little-endian unsigned 32-bit numbers; null ids give null."""
+    return _with_bytes(encoded, "id_bytes", lambda ids: ids.astype("<u4").tobytes())

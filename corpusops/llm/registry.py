@@ -37,10 +37,10 @@ def op6_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    done = byte_bpe.decode(byte_bpe.encode(table(spark, sf_dir, "documents"), path), path)
+    done = byte_bpe.decode(byte_bpe.id_bytes(byte_bpe.encode(table(spark, sf_dir, "documents"), path)), path)
     return done.select(
         "doc_id", F.size("ids").cast("bigint").alias("n_tokens"),
-        F.sha2(byte_bpe.id_bytes("ids"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
+        F.sha2("id_bytes", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
     )
 
 

