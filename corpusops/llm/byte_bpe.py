@@ -10,6 +10,7 @@ have them. Decoding looks up the bytes of each id and joins them.
 from __future__ import annotations
 
 import base64
+import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -27,9 +28,9 @@ from corpusops.llm.common import materialise, texts, with_ids
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 PAIR_BUCKETS = 65_536
-MAX_KNOWN_WORDS = 200_000  # words that all workers know
+MAX_KNOWN_WORDS = 100_000  # words that all workers know
 KNOWN_BYTES = 64  # of such a word
-FLUSH_WORDS = 200_000  # counted words that a task holds
+FLUSH_WORDS = 100_000  # counted words that a task holds
 ROWS = 128  # texts handled at a time
 LONG_WORD = 256  # characters; a fold's cost grows with the square of a word's length, so longer words take a heap
 NO_RANK = 2_147_483_647
@@ -142,28 +143,43 @@ def merge_bytes(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[p] for p in piece if p]
 
 
+#: The letters, numbers and white space below U+0250.
+LETTERS, NUMBERS, SPACE = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼-¾", " \t-\r\u0085\u00a0"
+
+
 @lru_cache(1)
 def _splitter():
+    """The words of a text by PATTERN. Texts of Latin letters alone take the same pattern with its classes spelled out, in half the time."""
     import regex
 
-    return regex.compile(PATTERN).findall
+    every, other = regex.compile(PATTERN).findall, re.compile("[^\0-\u024f]").search
+    latin = re.compile(
+        rf"'(?:[stmd]|re|ve|ll)| ?[{LETTERS}]+| ?[{NUMBERS}]+| ?[^{SPACE}{LETTERS}{NUMBERS}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
+    ).findall
+    return lambda text: every(text) if other(text) else latin(text)
 
 
 def count_words(docs: DataFrame) -> DataFrame:
     """(word, n) of the distinct words of all texts."""
+    names = ["word", "n"]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split, held = _splitter(), Counter()
+
+        def counted() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.string()), pa.array(held.values(), pa.int64())], names)
+
         for batch in batches:
-            for text in batch["text"]:
-                held.update(split(text))
+            for k in range(0, batch.num_rows, ROWS):
+                for text in batch["text"].slice(k, ROWS).to_pylist():
+                    held.update(split(text))
                 if len(held) > FLUSH_WORDS:
-                    yield pd.DataFrame(held.items(), columns=["word", "n"])
-                    held = Counter()
+                    yield counted()
+                    held.clear()
         if held:
-            yield pd.DataFrame(held.items(), columns=["word", "n"])
+            yield counted()
 
-    return docs.select("text").mapInPandas(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def fold_words(words: DataFrame, path: str, vocab: DataFrame) -> DataFrame:
