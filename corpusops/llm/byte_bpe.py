@@ -28,7 +28,7 @@ from corpusops.llm.common import materialise, texts, with_ids
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 PAIR_BUCKETS = 65_536
-MAX_KNOWN_WORDS = 100_000  # words that all workers know
+MAX_KNOWN_WORDS = 200_000  # words that all workers know
 KNOWN_BYTES = 64  # of such a word
 FLUSH_WORDS = 100_000  # counted words that a task holds
 ROWS = 128  # texts handled at a time
@@ -192,24 +192,22 @@ def fold_words(words: DataFrame, path: str, vocab: DataFrame) -> DataFrame:
 
 
 class _Known(dict):
-    """Ids of words as bytes; a word that isn't there is MARK and goes to others."""
+    """Ids of words as bytes; a word that isn't there is one id of all bits and goes to others."""
 
-    MARK = np.array([-1], "<i4").tobytes()
-
-    def __init__(self, found: dict[str, bytes]):
+    def __init__(self, found: dict[str, bytes], kind: np.dtype):
         super().__init__(found)
-        self.others: list[str] = []
+        self.kind, self.mark, self.others = kind, b"\xff" * kind.itemsize, []
 
     def __missing__(self, word: str) -> bytes:
         self.others.append(word)
-        return self.MARK
+        return self.mark
 
     def put_together(self, words: list[str]) -> tuple[np.ndarray, list[str]]:
         self.others = []
-        return np.frombuffer(b"".join(map(self.__getitem__, words)), np.int32), self.others
+        return np.frombuffer(b"".join(map(self.__getitem__, words)), self.kind), self.others
 
 
-def known_words(folded: DataFrame) -> tuple[dict[str, bytes], int]:
+def known_words(folded: DataFrame, kind: np.dtype) -> tuple[dict[str, bytes], int]:
     """{word: its ids' bytes} of the words used most, and the least count from which a short word is in it; equal counts go in together or not at all."""
     short = folded.where(F.octet_length("word") <= KNOWN_BYTES)
     # How many words have each count, counts over a million taken together: a small table, whatever the input's size.
@@ -221,7 +219,7 @@ def known_words(folded: DataFrame) -> tuple[dict[str, bytes], int]:
             break
         least = r["n"]
     got = short.where(F.col("n") >= least).select("word", "ids").toArrow()
-    return {w: np.array(x, "<i4").tobytes() for w, x in zip(got["word"].to_pylist(), got["ids"].to_pylist(), strict=True)}, least
+    return {w: np.array(x, kind).tobytes() for w, x in zip(got["word"].to_pylist(), got["ids"].to_pylist(), strict=True)}, least
 
 
 def _in_parts(body):
@@ -244,21 +242,23 @@ def encode(docs: DataFrame, path: str, vocab: DataFrame | None = None) -> DataFr
     docs = texts(docs)
     vocab = vocabulary(docs.sparkSession, path) if vocab is None else vocab
     folded = fold_words(count_words(docs), path, vocab)
-    known, least = known_words(folded)
+    # Ids on the way: two bytes each where the vocabulary lets them.
+    kind = np.dtype(np.int16 if max(read_ranks(path).values()) < 0xFFFF else np.int32)
+    mask, sql = (0xFFFF, "smallint") if kind.itemsize == 2 else (0xFFFFFFFF, "int")
+    known, least = known_words(folded, np.dtype(f"u{kind.name}"))
     shared = docs.sparkSession.sparkContext.broadcast(known)
-    kind = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("others", pa.list_(pa.string()))])
+    types = [pa.int64(), pa.list_(pa.from_numpy_dtype(kind)), pa.list_(pa.string())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A word that isn't known is the id -1; others: these words, in order."""
-        split, words = _splitter(), _Known(shared.value)
+        split, words = _splitter(), _Known(shared.value, kind)
 
         def some(batch: pa.RecordBatch) -> pa.RecordBatch:
             found = [words.put_together(split(x)) for x in batch["text"].to_pylist()]
-            return pa.RecordBatch.from_arrays([batch["doc_id"], pa.array([x for x, _ in found], kind.types[1]), pa.array([x for _, x in found], kind.types[2])], schema=kind)
+            return pa.RecordBatch.from_arrays([batch["doc_id"], pa.array([x for x, _ in found], types[1]), pa.array([x for _, x in found], types[2])], ["doc_id", "ids", "others"])
 
         return _in_parts(some)(batches)
 
-    parts = docs.mapInArrow(run, "doc_id bigint, ids array<int>, others array<string>")
+    parts = docs.mapInArrow(run, f"doc_id bigint, ids array<{sql}>, others array<string>")
     parts = materialise(parts.withColumn("row", F.monotonically_increasing_id()))
     rare = folded.where((F.col("n") < least) | (F.octet_length("word") > KNOWN_BYTES)).select("word", F.col("ids").alias("word_ids"))
     wanted = parts.where(F.size("others") > 0).select("row", F.posexplode("others").alias("at", "word")).join(rare, "word")
@@ -268,14 +268,14 @@ def encode(docs: DataFrame, path: str, vocab: DataFrame | None = None) -> DataFr
     def fill(batch: pa.RecordBatch) -> pa.RecordBatch:
         out = []
         for x, more in zip(batch["ids"], batch["fills"].to_pylist(), strict=True):
-            ids = x.values.to_numpy()
-            pieces = np.split(ids, np.flatnonzero(ids == -1))
-            out.append(np.concatenate([pieces[0], *[y for f, p in zip(more, pieces[1:], strict=True) for y in (np.array(f, np.int32), p[1:])]]))
+            ids = x.values.to_numpy().astype(np.int64) & mask
+            pieces = np.split(ids, np.flatnonzero(ids == mask))
+            out.append(np.concatenate([pieces[0], *[y for f, p in zip(more, pieces[1:], strict=True) for y in (f, p[1:])]]).astype(np.int32))
         return pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(out, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
-    whole = parts.where(F.size("others") == 0).select("doc_id", "ids")
-    joined = parts.where(F.size("others") > 0).join(fills, "row").select("doc_id", "ids", "fills")
-    return with_ids(whole.unionByName(joined.mapInArrow(_in_parts(fill), "doc_id bigint, ids array<int>")))
+    whole = parts.where(F.size("others") == 0).select("doc_id", "ids", F.array().cast("array<array<int>>").alias("fills"))
+    joined = parts.where(F.size("others") > 0).select("row", "doc_id", "ids").join(fills, "row").select("doc_id", "ids", "fills")
+    return with_ids(whole.unionByName(joined).mapInArrow(_in_parts(fill), "doc_id bigint, ids array<int>"))
 
 
 def _with_bytes(encoded: DataFrame, name: str, join) -> DataFrame:
