@@ -21,8 +21,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 NO_ID = -(1 << 63)
 
 
+#: Rows of whole texts that go to Python at a time, where the session leaves Spark's 10,000: some texts are very long.
+TEXT_ROWS = "1000"
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def texts(docs: DataFrame, *more: str) -> DataFrame:
-    """(doc_id, text) and more string columns, null strings as empty and null ids as NO_ID: other columns can't clash with those an operator adds."""
+    """(doc_id, text) and more string columns, null strings as empty and null ids as NO_ID: other columns can't clash with those an operator adds.
+
+    Sets the session's rows a batch to TEXT_ROWS.
+    """
+    if docs.sparkSession.conf.get(_BATCH) == "10000":
+        docs.sparkSession.conf.set(_BATCH, TEXT_ROWS)
     return docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("doc_id"), *[F.coalesce(c, F.lit("")).alias(c) for c in ("text", *more)])
 
 
