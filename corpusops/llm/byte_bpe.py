@@ -1,10 +1,11 @@
 """Byte-level BPE encoding and decoding with Spark's higher-order functions.
 
-Texts are split into words and the distinct words counted. Each distinct word is folded once: a higher-order function over the word's bytes
+Texts are split into words and the distinct words counted. A higher-order function over a word's bytes
 merges the adjacent pair of lowest rank until no pair has a rank, which is the byte-pair rule itself. Ranks are a literal map
-inside the expression, dealt into small buckets because a map lookup is a scan. The ids of the most used words, a table of
-bounded size, are sent to all workers, which put texts together from them; the ids of all other words are joined to the texts that
-have them. Decoding looks up the bytes of each id and joins them.
+inside the expression, dealt into small buckets because a map lookup is a scan. The most used words, a table of
+bounded size, are folded once each and their ids sent to all workers, which put texts together from them; all other words, nearly all
+of which the whole table has once or twice, are folded once in each text that has them, so no text is shuffled.
+Decoding looks up the bytes of each id and joins them.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from corpusops.llm.common import materialise, texts, with_ids
+from corpusops.llm.common import forget, materialise, texts, with_ids
 
 #: Fixed value: the split pattern of the public tokenizer.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -110,18 +111,6 @@ def _bind(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), 0)
 
 
-def _heap_words(path: str):
-    """Ids of the few words too long for the fold, by a heap over adjacent pairs."""
-
-    @F.pandas_udf("array<int>")
-    def encode(words: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        ranks = read_ranks(path)
-        for batch in words:
-            yield batch.map(lambda x: merge_bytes(x.encode(), ranks))
-
-    return encode
-
-
 def merge_bytes(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     """The same rule over a heap of (rank, place): time grows as n log n."""
     import heapq
@@ -182,34 +171,31 @@ def count_words(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def fold_words(words: DataFrame, path: str, vocab: DataFrame) -> DataFrame:
-    """(word, n, ids) of words (word, n): each folded once."""
-    words = materialise(words)
-    short = words.where(F.length("word") <= LONG_WORD).withColumn("v", vocab.select(F.struct("*")).scalar())
-    folded = short.select("word", "n", _bind(F.col("v"), lambda v: fold_word(v, F.col("word"))).alias("ids"))
-    long = words.where(F.length("word") > LONG_WORD)
-    return materialise(folded.unionByName(long.select("word", "n", _heap_words(path)("word").alias("ids"))))
-
-
 class _Known(dict):
-    """Ids of words as bytes; a word that isn't there is one id of all bits and goes to others."""
+    """Ids of words as bytes; a word that isn't there is one id of all bits and goes to others, unless it is too long for the fold."""
 
-    def __init__(self, found: dict[str, bytes], kind: np.dtype):
+    def __init__(self, found: dict[str, bytes], kind: np.dtype, ranks: dict[bytes, int]):
         super().__init__(found)
-        self.kind, self.mark, self.others = kind, b"\xff" * kind.itemsize, []
+        self.kind, self.mark, self.ranks = kind, b"\xff" * kind.itemsize, ranks
+        self.others: dict[str, int] = {}
+        self.at: list[int] = []
 
     def __missing__(self, word: str) -> bytes:
-        self.others.append(word)
+        if len(word) > LONG_WORD:
+            return np.array(merge_bytes(word.encode(), self.ranks), self.kind).tobytes()
+        self.at.append(self.others.setdefault(word, len(self.others)))
         return self.mark
 
-    def put_together(self, words: list[str]) -> tuple[np.ndarray, list[str]]:
-        self.others = []
-        return np.frombuffer(b"".join(map(self.__getitem__, words)), self.kind), self.others
+    def put_together(self, words: list[str]) -> tuple[np.ndarray, list[str], list[int]]:
+        """Ids, the other words once each, and which of these stands at each mark."""
+        self.others, self.at = {}, []
+        ids = np.frombuffer(b"".join(map(self.__getitem__, words)), self.kind)
+        return ids, list(self.others), self.at
 
 
-def known_words(folded: DataFrame, kind: np.dtype) -> tuple[dict[str, bytes], int]:
-    """{word: its ids' bytes} of the words used most, and the least count from which a short word is in it; equal counts go in together or not at all."""
-    short = folded.where(F.octet_length("word") <= KNOWN_BYTES)
+def known_words(counts: DataFrame, vocab: DataFrame, kind: np.dtype) -> dict[str, bytes]:
+    """{word: its ids' bytes} of the words used most; words of equal counts go in together or not at all."""
+    short = materialise(counts.where((F.octet_length("word") <= KNOWN_BYTES) & (F.col("n") > 1)))
     # How many words have each count, counts over a million taken together: a small table, whatever the input's size.
     sizes = short.groupBy(F.least("n", F.lit(1_000_000)).alias("n")).agg(F.count("*").alias("words")).collect()
     total, least = 0, 1 << 62
@@ -218,8 +204,10 @@ def known_words(folded: DataFrame, kind: np.dtype) -> tuple[dict[str, bytes], in
         if total > MAX_KNOWN_WORDS:
             break
         least = r["n"]
-    got = short.where(F.col("n") >= least).select("word", "ids").toArrow()
-    return {w: np.array(x, kind).tobytes() for w, x in zip(got["word"].to_pylist(), got["ids"].to_pylist(), strict=True)}, least
+    known = short.where(F.col("n") >= least).select("word").repartition(48, "word").withColumn("v", vocab.select(F.struct("*")).scalar())
+    got = known.select("word", _bind(F.col("v"), lambda v: fold_word(v, F.col("word"))).alias("ids")).toArrow()
+    forget(short)
+    return {w: np.array(x, kind).tobytes() for w, x in zip(got["word"].to_pylist(), got["ids"].to_pylist(), strict=True)}
 
 
 def _in_parts(body):
@@ -241,41 +229,34 @@ def encode(docs: DataFrame, path: str, vocab: DataFrame | None = None) -> DataFr
     """
     docs = texts(docs)
     vocab = vocabulary(docs.sparkSession, path) if vocab is None else vocab
-    folded = fold_words(count_words(docs), path, vocab)
     # Ids on the way: two bytes each where the vocabulary lets them.
     kind = np.dtype(np.int16 if max(read_ranks(path).values()) < 0xFFFF else np.int32)
     mask, sql = (0xFFFF, "smallint") if kind.itemsize == 2 else (0xFFFFFFFF, "int")
-    known, least = known_words(folded, np.dtype(f"u{kind.name}"))
+    known = known_words(count_words(docs), vocab, np.dtype(f"u{kind.name}"))
     shared = docs.sparkSession.sparkContext.broadcast(known)
-    types = [pa.int64(), pa.list_(pa.from_numpy_dtype(kind)), pa.list_(pa.string())]
+    types = [pa.list_(pa.from_numpy_dtype(kind)), pa.list_(pa.string()), pa.list_(pa.int32())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, words = _splitter(), _Known(shared.value, kind)
+        split, words = _splitter(), _Known(shared.value, np.dtype(f"u{kind.name}"), read_ranks(path))
 
         def some(batch: pa.RecordBatch) -> pa.RecordBatch:
             found = [words.put_together(split(x)) for x in batch["text"].to_pylist()]
-            return pa.RecordBatch.from_arrays([batch["doc_id"], pa.array([x for x, _ in found], types[1]), pa.array([x for _, x in found], types[2])], ["doc_id", "ids", "others"])
+            columns = [[x.view(kind) for x, _, _ in found], [x for _, x, _ in found], [x for _, _, x in found]]
+            return pa.RecordBatch.from_arrays([batch["doc_id"], *[pa.array(c, t) for c, t in zip(columns, types, strict=True)]], ["doc_id", "ids", "others", "at"])
 
         return _in_parts(some)(batches)
 
-    parts = docs.mapInArrow(run, f"doc_id bigint, ids array<{sql}>, others array<string>")
-    parts = materialise(parts.withColumn("row", F.monotonically_increasing_id()))
-    rare = folded.where((F.col("n") < least) | (F.octet_length("word") > KNOWN_BYTES)).select("word", F.col("ids").alias("word_ids"))
-    wanted = parts.where(F.size("others") > 0).select("row", F.posexplode("others").alias("at", "word")).join(rare, "word")
-    fills = wanted.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("at", "word_ids"))).alias("fills"))
-    fills = fills.select("row", F.transform("fills", lambda x: x["word_ids"]).alias("fills"))
-
     def fill(batch: pa.RecordBatch) -> pa.RecordBatch:
         out = []
-        for x, more in zip(batch["ids"], batch["fills"].to_pylist(), strict=True):
+        for x, more, at in zip(batch["ids"], batch["fills"].to_pylist(), batch["at"].to_pylist(), strict=True):
             ids = x.values.to_numpy().astype(np.int64) & mask
             pieces = np.split(ids, np.flatnonzero(ids == mask))
-            out.append(np.concatenate([pieces[0], *[y for f, p in zip(more, pieces[1:], strict=True) for y in (f, p[1:])]]).astype(np.int32))
+            out.append(np.concatenate([pieces[0], *[y for k, p in zip(at, pieces[1:], strict=True) for y in (more[k], p[1:])]]).astype(np.int32))
         return pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(out, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
-    whole = parts.where(F.size("others") == 0).select("doc_id", "ids", F.array().cast("array<array<int>>").alias("fills"))
-    joined = parts.where(F.size("others") > 0).select("row", "doc_id", "ids").join(fills, "row").select("doc_id", "ids", "fills")
-    return with_ids(whole.unionByName(joined).mapInArrow(_in_parts(fill), "doc_id bigint, ids array<int>"))
+    parts = docs.mapInArrow(run, f"doc_id bigint, ids array<{sql}>, others array<string>, at array<int>").withColumn("v", vocab.select(F.struct("*")).scalar())
+    fills = _bind(F.col("v"), lambda v: F.transform("others", lambda w: fold_word(v, w)))
+    return with_ids(parts.select("doc_id", "ids", "at", fills.alias("fills")).mapInArrow(_in_parts(fill), "doc_id bigint, ids array<int>"))
 
 
 def _with_bytes(encoded: DataFrame, name: str, join) -> DataFrame:
