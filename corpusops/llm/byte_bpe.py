@@ -29,9 +29,9 @@ from corpusops.llm.common import forget, materialise, texts, with_ids
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 PAIR_BUCKETS = 65_536
-MAX_KNOWN_WORDS = 200_000  # words that all workers know
+MAX_KNOWN_WORDS = 100_000  # words that all workers know
 KNOWN_BYTES = 64  # of such a word
-FLUSH_WORDS = 100_000  # counted words that a task holds
+FLUSH_WORDS = 60_000  # counted words that a task holds
 ROWS = 128  # texts handled at a time
 LONG_WORD = 256  # characters; a fold's cost grows with the square of a word's length, so longer words take a heap
 NO_RANK = 2_147_483_647
