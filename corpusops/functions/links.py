@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 
 def page_links(html: Column, suffix: str = "") -> Column:
-    """href values with the suffix, then plain web addresses with it, each once, in order."""
+    """href values with the suffix, then plain web addresses with it, each once, in order; case doesn't count."""
     end = suffix.replace(".", r"\.")
-    href = F.regexp_extract_all(html, F.lit(rf"""href=["']([^"']*{end})["']"""), F.lit(1))
-    raw = F.regexp_extract_all(html, F.lit(rf"""(https?://[^\s"'<>]+{end})"""), F.lit(1))
+    href = F.regexp_extract_all(html, F.lit(rf"""(?i)href=["']([^"']*{end})["']"""), F.lit(1))
+    raw = F.regexp_extract_all(html, F.lit(rf"""(?i)(https?://[^\s"'<>]+{end})"""), F.lit(1))
     return F.array_distinct(F.concat(href, raw))
 
 

@@ -58,11 +58,12 @@ def callout_block(text: Column) -> Column:
 
 
 def extract_abstract(text: Column, keyword: str = "abstract", size: int = 2000, lines: int = 6) -> Column:
-    """Up to ``lines`` lines that aren't blank, of ``size`` characters from the first keyword on, without the keyword's own line if it is a heading of it."""
+    """Up to ``lines`` lines that aren't blank, of ``size`` characters from the first keyword on, without the first if it begins with the keyword."""
     at = F.locate(keyword, F.lower(text))
     part = F.substring(text, at, F.lit(size))
-    kept = F.filter(F.transform(F.split(part, "\n"), lambda x: F.trim(x)), lambda x: (x != "") & (F.lower(x) != keyword))
-    return F.when(at > 0, F.array_join(F.slice(kept, 1, lines), " ")).otherwise(F.lit(""))
+    kept = F.filter(F.transform(F.split(part, "\n"), lambda x: F.trim(x)), lambda x: x != "")
+    own = F.coalesce(F.lower(F.get(kept, 0)).startswith(keyword.strip()), F.lit(False)).cast("int")
+    return F.when(at > 0, F.array_join(F.slice(kept, own + 1, F.lit(lines)), " ")).otherwise(F.lit(""))
 
 
 def extract_numbers(text: Column, limit: int = 3) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusops.plans.cut import cut
+
 
 def batches(ledger: DataFrame, state: str, size: int) -> DataFrame:
     """(row_id, batch) of the rows in a state, in ledger order, ``size`` a batch from 1.
@@ -41,12 +43,12 @@ def corpus_counts(notes: DataFrame, tags: DataFrame, approximate: bool = False)
     )
 
 
-def facet(rows: DataFrame, dim: str, member: str, show: int = 5) -> DataFrame:
-    """(dim, n, members): number of members and the first ``show`` of them, comma-joined."""
-    rank = F.row_number().over(Window.partitionBy(dim).orderBy(member))
-    first = rows.withColumn("rank", rank).where(F.col("rank") <= show)
-    names = first.groupBy(dim).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", F.col(member).cast("string").alias("m")))), lambda x: x["m"]), ",").alias("members"))
-    return rows.groupBy(dim).agg(F.count("*").alias("n")).join(names, dim)
+def facet(rows: DataFrame, dim: str, member: str) -> DataFrame:
+    """(dim, n, member): a row for each member of each page, with the page's number of members.
+
+    A page of any size is as many rows; sort by dim and member to print it.
+    """
+    return rows.select(dim, F.col(member).alias("member")).join(rows.groupBy(dim).agg(F.count("*").alias("n")), dim).select(dim, "n", "member")
 
 
 def facet_prefix(tags: DataFrame, tag: str = "item") -> DataFrame:
@@ -73,7 +75,8 @@ def content_duplicates(docs: DataFrame) -> DataFrame:
 
 def global_rank(rows: DataFrame, key: Column, alias: str = "rank") -> DataFrame:
     """rows with their rank, from 1, by key: each range is ranked alone and shifted by the sizes of the ranges before."""
-    ordered = rows.withColumn("_key", key).repartitionByRange("_key").withColumn("_part", F.spark_partition_id())
+    # Computed once: sizes and ranks must see the same ranges.
+    ordered = cut(rows.withColumn("_key", key).repartitionByRange("_key").withColumn("_part", F.spark_partition_id()))
     sizes = ordered.groupBy("_part").agg(F.count("*").alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     ranked = ordered.withColumn("_inside", F.row_number().over(Window.partitionBy("_part").orderBy("_key")))

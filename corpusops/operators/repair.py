@@ -15,7 +15,7 @@ def transition(ledger: DataFrame, verdicts: DataFrame, rules: DataFrame) -> Data
     moves; all others stay, with a null reason. A row without a verdict has the verdict ``none``.
     """
     judged = ledger.join(verdicts, "row_id", "left").withColumn("verdict", F.coalesce("verdict", F.lit("none")))
-    moved = judged.join(F.broadcast(rules.withColumnRenamed("from_state", "state").limit(10_000)), ["state", "verdict"], "left")
+    moved = judged.join(rules.withColumnRenamed("from_state", "state"), ["state", "verdict"], "left")
     changed = F.col("to_state").isNotNull()
     return moved.select(*ledger.columns, F.coalesce("to_state", "state").alias("new_state"), F.when(changed, F.coalesce("reason", "verdict")).alias("reason"))
 

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df computed once and read back from the cluster's checkpoint folder; a temporary folder only where none is set."""
+    """df computed once and read back from the cluster's checkpoint folder; a temporary folder only where none is set and driver and tasks are one process."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         path = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not path and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         context.setCheckpointDir(path or f"file://{tempfile.mkdtemp(prefix='spark-')}")
     return df.checkpoint()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpusops import views as v
-from corpusops.functions import links, textnorm
+from corpusops.functions import links, markdown, textnorm
 from corpusops.operators import linkage, structure
 from corpusops.queries.base import query
 
@@ -106,11 +106,11 @@ def file_exists(spark, sf_dir):
 
 @query(f"""{_BEST}, e AS (SELECT note_id, min(row_id) AS row_id FROM m GROUP BY note_id)
 SELECT n.note_id, CASE WHEN e.row_id IS NULL THEN 'no_match' WHEN regexp_matches(trim(l.project_link), '^(?:-|\\d*)$') THEN 'no_link' ELSE 'updated' END AS outcome,
-CASE WHEN NOT regexp_matches(trim(l.project_link), '^(?:-|\\d*)$') THEN l.project_link END AS link FROM notes n LEFT JOIN e USING (note_id) LEFT JOIN ledger l ON l.row_id = e.row_id WHERE NOT contains(text, 'github.com')""")
+CASE WHEN NOT regexp_matches(trim(l.project_link), '^(?:-|\\d*)$') THEN l.project_link END AS link FROM notes n LEFT JOIN e USING (note_id) LEFT JOIN ledger l ON l.row_id = e.row_id WHERE NOT regexp_matches(lower(regexp_extract(text, '(?m)^> \\[!abstract\\][^\\n]*(?:\\n>[^\\n]*)*')), 'github|project')""")
 def enrich_link(spark, sf_dir):
     left, right = _sides(spark, sf_dir)
     best = linkage.link_best(left, right, threshold=0.78).where("note_id is not null").groupBy("note_id").agg(F.min("row_id").alias("row_id"))
-    bare = v.notes(spark, sf_dir).where(~F.col("text").contains("github.com")).select("note_id")
+    bare = v.notes(spark, sf_dir).where(~F.lower(markdown.callout_block(F.col("text"))).rlike("github|project")).select("note_id")
     joined = bare.join(best, "note_id", "left").join(v.ledger(spark, sf_dir).select("row_id", "project_link"), "row_id", "left")
     good = links.valid_link(F.col("project_link"))
     outcome = F.when(F.col("row_id").isNull(), "no_match").when(good, "updated").otherwise("no_link")

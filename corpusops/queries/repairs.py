@@ -10,6 +10,7 @@ from corpusops.operators import aggregate, audit, linkage, repair, structure, ta
 from corpusops.queries.audits import _FIELDS, _FLAGS
 from corpusops.queries.base import query
 from corpusops.queries.linking import _BEST, _RESOLVED
+from corpusops.queries.text import _ABSTRACT, _LINES_FROM, _NUMBERS
 
 _OK = f"f AS (SELECT note_id, {_FLAGS} FROM notes), ok AS (SELECT note_id, callout AND part_1 AND part_2 AND part_3 AND reading AND metrics AND pdf_ref AS ok FROM f)"
 
@@ -48,7 +49,7 @@ def corpus_counts(spark, sf_dir):
     return aggregate.corpus_counts(v.notes(spark, sf_dir), _tags(spark, sf_dir))
 
 
-_FACET = "WITH {pre}r AS (SELECT {d} AS d, {m} AS m FROM {t}), k AS (SELECT d, m, row_number() OVER (PARTITION BY d ORDER BY m) AS r FROM r) SELECT d AS {n}, (SELECT count(*) FROM r WHERE r.d = k.d) AS n, string_agg(m::VARCHAR, ',' ORDER BY r) AS members FROM k WHERE r <= 5 GROUP BY d"
+_FACET = "WITH {pre}r AS (SELECT {d} AS d, {m} AS m FROM {t}) SELECT d AS {n}, count(*) OVER (PARTITION BY d) AS n, m AS member FROM r"
 
 
 @query(_FACET.format(pre="", d="category", m="note_id", t="notes", n="category"))
@@ -303,13 +304,12 @@ def rename_plan(spark, sf_dir):
     return repair.rename_plan(named.select("row_id", F.col("pdf_path").alias("source"), target.alias("target"), "need_review", "score"), v.file_listing(spark, sf_dir))
 
 
-@query(r"""WITH d AS (SELECT row_id, paper_title, right(venue, 4) AS y, trim(venue[:-5]) AS ve, array_to_string(list_filter(list_transform(string_split(substr(text, 1, 300), chr(10)), lambda x: trim(x)), lambda x: x <> '')[1:2], ' ') AS ab FROM ledger JOIN documents ON doc_id = row_id)
-SELECT row_id, concat('---', chr(10), 'title: ', paper_title, chr(10), 'venue: ', ve, chr(10), 'year: ', y, chr(10), '---', chr(10), '# ', paper_title, chr(10), '> [!abstract] Summary', chr(10), '> - **Summary**: ', coalesce(nullif(ab, ''), '[TODO]'), chr(10), '## Part I', chr(10), '[TODO]', chr(10), '## Part II', chr(10), 'Numbers: [TODO]', chr(10), '## Part III', chr(10), '[TODO]', chr(10), '## Local Reading') AS text FROM d""")
+@query(f"""WITH s AS (SELECT row_id, paper_title, right(venue, 4) AS y, trim(venue[:-5]) AS ve, {_NUMBERS} AS nu, {_LINES_FROM} FROM ledger JOIN documents ON doc_id = row_id), d AS (SELECT *, {_ABSTRACT} AS ab FROM s)
+SELECT row_id, concat('---', chr(10), 'title: ', paper_title, chr(10), 'venue: ', ve, chr(10), 'year: ', y, chr(10), '---', chr(10), '# ', paper_title, chr(10), '> [!abstract] Summary', chr(10), '> - **Summary**: ', coalesce(nullif(ab, ''), '[TODO]'), chr(10), '## Part I', chr(10), '[TODO]', chr(10), '## Part II', chr(10), 'Numbers: ', coalesce(nullif(array_to_string(nu, ', '), ''), '[TODO]'), chr(10), '## Part III', chr(10), '[TODO]', chr(10), '## Local Reading') AS text FROM d""")
 def render_note(spark, sf_dir):
-    docs = v.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("row_id"), F.substring("text", 1, 300).alias("source"))
-    lines = F.slice(F.filter(F.transform(F.split("source", "\n"), lambda x: F.trim(x)), lambda x: x != ""), 1, 2)
-    c = F.col("venue")
-    text = repair.render_note(F.col("paper_title"), textnorm.venue_of(c), textnorm.year_of(c), F.array_join(lines, " "), F.array().cast("array<string>"))
+    docs = v.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("row_id"), F.col("text").alias("source"))
+    c, numbers = F.col("venue"), markdown.extract_numbers(F.regexp_replace("source", r"[^\x00-\x7F]+", " "))
+    text = repair.render_note(F.col("paper_title"), textnorm.venue_of(c), textnorm.year_of(c), markdown.extract_abstract(F.col("source"), "the "), numbers)
     return v.ledger(spark, sf_dir).join(docs, "row_id").select("row_id", text.alias("text"))
 
 

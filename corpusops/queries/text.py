@@ -144,8 +144,12 @@ def callout_block(spark, sf_dir):
     return v.notes(spark, sf_dir).select("note_id", markdown.callout_block(F.col("text")).alias("callout"), F.locate("> [!abstract]", F.col("text")).cast("bigint").alias("place"))
 
 
-@query(r"""WITH p AS (SELECT doc_id, substr(text, strpos(lower(text), 'the '), 2000) AS part, strpos(lower(text), 'the ') AS pos FROM documents)
-SELECT doc_id, CASE WHEN pos > 0 THEN array_to_string(list_filter(list_transform(string_split(part, chr(10)), lambda x: trim(x)), lambda x: x <> '' AND lower(x) <> 'the ')[1:6], ' ') ELSE '' END AS abstract FROM p""", views=False)
+#: Of a table with text: columns pos and l, the lines that aren't blank from the first "the " on.
+_LINES_FROM = "strpos(lower(text), 'the ') AS pos, list_filter(list_transform(string_split(substr(text, strpos(lower(text), 'the '), 2000), chr(10)), lambda x: trim(x)), lambda x: x <> '') AS l"
+_ABSTRACT = "CASE WHEN pos > 0 THEN array_to_string(CASE WHEN starts_with(lower(l[1]), 'the') THEN l[2:7] ELSE l[1:6] END, ' ') ELSE '' END"
+
+
+@query(f"WITH p AS (SELECT doc_id, {_LINES_FROM} FROM documents) SELECT doc_id, {_ABSTRACT} AS abstract FROM p", views=False)
 def abstract_extract(spark, sf_dir):
     return v.table(spark, sf_dir, "documents").select("doc_id", markdown.extract_abstract(F.col("text"), "the ").alias("abstract"))
 
@@ -153,7 +157,10 @@ def abstract_extract(spark, sf_dir):
 _ASCII = r"regexp_replace(text, '[^\x00-\x7F]+', ' '{})"
 
 
-@query(rf"""SELECT doc_id, array_to_string(regexp_extract_all({_ASCII.format(", 'g'")}, '\b\d+(?:\.\d+)?\b')[1:3], ',') AS numbers FROM documents""", views=False)
+_NUMBERS = rf"regexp_extract_all({_ASCII.format(", 'g'")}, '\b\d+(?:\.\d+)?\b')[1:3]"
+
+
+@query(f"SELECT doc_id, array_to_string({_NUMBERS}, ',') AS numbers FROM documents", views=False)
 def number_signals(spark, sf_dir):
     plain = F.regexp_replace("text", r"[^\x00-\x7F]+", " ")
     return v.table(spark, sf_dir, "documents").select("doc_id", F.array_join(markdown.extract_numbers(plain), ",").alias("numbers"))
@@ -174,7 +181,7 @@ def share_text(spark, sf_dir):
     return v.notes(spark, sf_dir).select("note_id", markdown.strip_internal_links(F.col("text")).alias("shared"))
 
 
-_HREF, _RAW = r"""href=["'']([^"'']*)["'']""", r"""(https?://[^\s"''<>]+)"""
+_HREF, _RAW = r"""(?i)href=["'']([^"'']*)["'']""", r"""((?i:https?://)[^\s"''<>]+)"""
 
 
 @query(rf"""WITH a AS (SELECT page_id, regexp_extract_all(html, '{_HREF}', 1) || regexp_extract_all(html, '{_RAW}', 1) AS l FROM pages),

@@ -69,11 +69,17 @@ def list_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     return files.select(rel.alias("path"), F.regexp_extract(rel, r"\.([^./]+)$", 1).alias("ext"), "length", F.col("modificationTime").alias("modified"))
 
 
-def write_ledger(ledger: DataFrame, path: str, changed: bool = True) -> str | None:
-    """Write a new version beside the earlier ones, in row order; nothing where nothing changed. Returns its folder."""
-    if not changed:
-        return None
+def write_ledger(ledger: DataFrame, path: str, changed: bool | None = None) -> str | None:
+    """Write a new version beside the earlier ones, in row order; nothing where nothing changed. Returns its folder.
+
+    changed: known beforehand; otherwise the rows are compared with those of the newest version.
+    """
     spark = ledger.sparkSession
+    if changed is None and read_version(spark, path):
+        now, before = ledger.select("row_id", *LEDGER), read_ledger(spark, path)
+        changed = not (now.exceptAll(before).isEmpty() and before.exceptAll(now).isEmpty())
+    if changed is False:
+        return None
     version = f"{path}/version={read_version(spark, path) + 1:08d}-{uuid.uuid4().hex[:8]}"
     ledger.orderBy("row_id").select("row_id", *LEDGER).write.parquet(version)
     return version

@@ -132,6 +132,17 @@ def test_inject_link(spark):
     assert one(spark, lambda: repair.inject_link(F.col("c"), url), c=same) == same
 
 
+def test_abstract_and_links(spark):
+    text = "Intro\nAbstract of it\n\n first line \nsecond\nABSTRACT\nthird"
+    assert one(spark, lambda: markdown.extract_abstract(F.col("c")), c=text) == "first line second ABSTRACT third"
+    assert one(spark, lambda: markdown.extract_abstract(F.col("c")), c="nothing") == ""
+    html = """<a HREF="x/P.PDF">p</a> HTTPS://a.org/q.pdf <a href='r.html'>"""
+    assert one(spark, lambda: links.page_links(F.col("c"), ".pdf"), c=html) == ["x/P.PDF", "HTTPS://a.org/q.pdf"]
+    assert one(spark, lambda: links.first_candidate(F.col("c"), ".pdf"), c='<meta name="citation_pdf_url" content="u">') == "u"
+    assert one(spark, lambda: links.first_candidate(F.col("c"), ".pdf"), c='<meta name="citation_doi" content="10.1/x">') == "https://doi.org/10.1/x"
+    assert one(spark, lambda: links.first_candidate(F.col("c"), ".pdf"), c="see 10.1234/ab.c.") == "https://doi.org/10.1234/ab.c"
+
+
 def test_rank_over_ranges(spark):
     rows = spark.range(0, 1000, 1, 7).select(F.col("id"), ((F.col("id") * 7919) % 1000).alias("v"))
     got = aggregate.global_rank(rows, F.col("v")).collect()
@@ -163,6 +174,7 @@ def test_ledger_files(spark, tmp_path):
     out = str(tmp_path / "out")
     assert files.write_ledger(ledger, out, changed=False) is None
     first, second = files.write_ledger(ledger, out), files.write_ledger(ledger.where("state = 'Wait'"), out)
+    assert files.write_ledger(ledger.where("state = 'Wait'"), out) is None
     assert first != second and files.read_version(spark, out) == 2 and files.read_ledger(spark, out).count() == 2
 
 
