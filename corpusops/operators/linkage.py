@@ -1,9 +1,9 @@
 """Record linkage between ledger rows and notes: exact, tiered, contained and fuzzy best matches.
 
 Left: (row_id, title); right: (note_id, title, path). The order of notes is the lower-case path, then the path; where a rule
-takes the first or last note, it is by this order. Equal keys meet in hash joins; containment on word borders is
-computed for pairs that share a rare word of the title, which loses none. Scores are computed for all pairs that the titles'
-lengths or containment let reach the threshold: titles that score high may share no whole word, so no such key finds them.
+takes the first or last note, it is by this order. Equal keys meet in hash joins. A title that another holds is found by its
+rarest gram; titles within an edit distance share one of any ``edits + 1`` pieces of the longer, so its rarest ones find them.
+Both lose no pair. Distinct titles are compared, so repeated ones cost nothing.
 """
 
 from __future__ import annotations
@@ -12,8 +12,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusops.functions import textnorm
+from corpusops.plans.cut import cut
 
-RARE = 4  # words of a title by which it finds candidates, the rarest ones
+GRAM = 6  # characters of the gram by which a title finds the titles that hold it; shorter ones are looked up whole
 
 
 def order_key(path: Column) -> Column:
@@ -37,18 +38,52 @@ def unlinked(ledger: DataFrame, notes: DataFrame) -> DataFrame:
     return ledger.join(notes.select("title").distinct(), "title", "left_anti").select("row_id", "title")
 
 
-def word_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
-    """(row_id, a, note_id, b, path): pairs of normalised titles that share one of the RARE rarest words of the left title.
+def _pieces(c: Column, size: Column, step: Column) -> Column:
+    """Substrings of c of one size, that begin every step characters; none where c is shorter."""
+    starts = F.when(F.length(c) >= size, F.sequence(F.lit(1), F.length(c) - size + 1, step))
+    return F.transform(F.coalesce(starts, F.array().cast("array<int>")), lambda i: F.substring(c, i, size))
 
-    Words that no right title has find nothing, so rarity is counted on the right.
+
+def holding(hay: DataFrame, needles: DataFrame) -> DataFrame:
+    """(hay, needle): distinct texts of hay and of needle of which the first holds the second, anywhere; empty ones find nothing.
+
+    Takes one column of each table. A needle of GRAM characters or more is looked for by the gram that fewest texts hold.
+    """
+    hay = hay.toDF("hay").where("hay <> ''").distinct()
+    needles = needles.toDF("needle").where("needle <> ''").distinct()
+    size, one = F.lit(GRAM), F.lit(1)
+    grams = hay.select("hay", F.explode(F.array_distinct(_pieces(F.col("hay"), size, one))).alias("gram"))
+    asked = needles.select("needle", F.explode(F.array_distinct(_pieces(F.col("needle"), size, one))).alias("gram"))
+    asked = asked.join(grams.groupBy("gram").agg(F.count("*").alias("n")), "gram", "left")
+    rarest = asked.groupBy("needle").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"))
+    found = grams.join(rarest, "gram").where(F.col("hay").contains(F.col("needle"))).select("hay", "needle")
+    parts = F.flatten(F.transform(F.sequence(one, F.lit(GRAM - 1)), lambda n: _pieces(F.col("hay"), n, one)))
+    short = hay.select("hay", F.explode(F.array_distinct(parts)).alias("needle")).join(needles.where(F.length("needle") < GRAM), "needle")
+    return found.unionByName(short.select("hay", "needle"))
+
+
+def _near(longer: DataFrame, shorter: DataFrame, threshold: float) -> DataFrame:
+    """(longer, shorter): distinct texts, the first at least as long, that an edit distance of (1 - threshold) of its length can part.
+
+    An edit touches one of the pieces that the longer is cut into, so of any edits + 1 of them one stands in the shorter, moved by
+    at most as many characters as there are edits. The rarest pieces are looked up.
     """
-    words = lambda c: F.array_distinct(F.filter(F.split(c, " "), lambda w: w != ""))
-    listed = right.select("note_id", "b", "path", F.explode(words(F.col("b"))).alias("w"))
-    use = listed.groupBy("w").agg(F.count("*").alias("n"))
-    asked = left.select("row_id", "a", F.explode(words(F.col("a"))).alias("w")).join(use, "w")
-    rank = F.row_number().over(Window.partitionBy("row_id").orderBy("n", "w"))
-    asked = asked.withColumn("rank", rank).where(F.col("rank") <= RARE).select("row_id", "a", "w")
-    return asked.join(listed, "w").select("row_id", "a", "note_id", "b", "path").distinct()
+    edits = lambda c: F.floor(F.length(c) * (1 - threshold) + 1e-9).cast("int")
+    size = lambda c: F.greatest(F.lit(1), F.floor(F.length(c) / (edits(c) + 2)).cast("int"))
+    longer = longer.toDF("longer").where("longer <> ''").distinct()
+    shorter = shorter.toDF("shorter").where("shorter <> ''").distinct()
+    pieces = longer.withColumn("size", size(F.col("longer")))
+    pieces = pieces.select("longer", "size", F.posexplode(_pieces(F.col("longer"), F.col("size"), F.col("size"))).alias("at", "piece"))
+    pieces = pieces.withColumn("at", F.col("at") * F.col("size"))
+    sizes = pieces.select("size").distinct().agg(F.collect_set("size").alias("sizes"))  # a few numbers: sizes hardly grow with the length
+    probes = F.flatten(F.transform("sizes", lambda n: F.transform(_pieces(F.col("shorter"), n, F.lit(1)), lambda p, i: F.struct(p.alias("piece"), i.alias("place")))))
+    probes = shorter.crossJoin(F.broadcast(sizes)).select("shorter", F.explode(probes).alias("x")).select("shorter", "x.*")
+    use = probes.groupBy("piece").agg(F.count("*").alias("n"))
+    rank = F.row_number().over(Window.partitionBy("longer").orderBy(F.coalesce("n", F.lit(0)), "at"))
+    few = pieces.join(use, "piece", "left").withColumn("rank", rank).where(F.col("rank") <= edits(F.col("longer")) + 1)
+    met = few.select("longer", "at", "piece").join(probes, "piece")
+    fits = (F.length("shorter") <= F.length("longer")) & (F.length("longer") - F.length("shorter") <= edits(F.col("longer"))) & (F.abs(F.col("at") - F.col("place")) <= edits(F.col("longer")))
+    return met.where(fits).select("longer", "shorter").distinct()
 
 
 def _normalised(ledger: DataFrame, notes: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -56,24 +91,29 @@ def _normalised(ledger: DataFrame, notes: DataFrame) -> tuple[DataFrame, DataFra
     return left, notes.select("note_id", textnorm.norm_title(F.col("title")).alias("b"), "path")
 
 
-def _scorable(ledger: DataFrame, notes: DataFrame, threshold: float) -> DataFrame:
-    """All pairs that can score the threshold: one title holds the other, or the shorter is long enough.
+def _scorable(ledger: DataFrame, notes: DataFrame, threshold: float, edits: bool) -> DataFrame:
+    """(row_id, a, note_id, b, path) of all pairs that can score the threshold: one title holds the other, or they are near.
 
-    A ratio of at most 2 m / (la + lb), with m characters in common, needs m, thus the shorter length, to be threshold / (2 - threshold)
-    of the longer; the edit distance needs more than that.
+    edits: the ratio is 1 less the edits by the longer length. Other ratios, of 2 m / (la + lb) with m characters in common, bound
+    the edits by (1 - threshold) (la + lb), which no pieces can find, so there all pairs of distinct titles whose lengths fit are tried.
     """
     left, right = _normalised(ledger, notes)
+    a, b = left.select("a"), right.select("b")
+    pairs = holding(a, b).toDF("a", "b").unionByName(holding(b, a).toDF("b", "a"))
+    if edits:
+        pairs = pairs.unionByName(_near(a, b, threshold).toDF("a", "b")).unionByName(_near(b, a, threshold).toDF("b", "a"))
+    else:
+        la, lb = F.length("a"), F.length("b")
+        long_enough = F.least(la, lb) >= F.greatest(la, lb) * (threshold / (2 - threshold)) - 1e-6
+        near = F.levenshtein(F.col("a"), F.col("b")) <= (1 - threshold) * (la + lb) + 1e-6
+        pairs = pairs.unionByName(a.where("a <> ''").distinct().join(b.where("b <> ''").distinct(), long_enough).where(near))
+    return pairs.distinct().join(left, "a").join(right, "b")
+
+
+def link_best(ledger: DataFrame, notes: DataFrame, threshold: float, ratio=textnorm.ratio_levenshtein) -> DataFrame:
+    """(row_id, note_id, score) of every ledger row: the note of the highest title score, the first of equals; null below the threshold, which is above 0."""
     a, b = F.col("a"), F.col("b")
-    long_enough = F.least(F.length(a), F.length(b)) >= F.greatest(F.length(a), F.length(b)) * (threshold / (2 - threshold)) - 1e-6
-    return left.join(right, long_enough | a.contains(b) | b.contains(a))
-
-
-def link_best(ledger: DataFrame, notes: DataFrame, threshold: float, ratio=textnorm.ratio_levenshtein, exact: bool = False) -> DataFrame:
-    """(row_id, note_id, score) of every ledger row: the note of the highest title score, the first of equals; null below the threshold.
-
-    exact scores the pairs that can't reach the threshold, too; the rows are the same.
-    """
-    scored = _scorable(ledger, notes, 0.0 if exact else threshold).withColumn("score", textnorm.title_score(F.col("a"), F.col("b"), ratio)).where(F.col("score") >= threshold)
+    scored = _scorable(ledger, notes, threshold, ratio is textnorm.ratio_levenshtein).withColumn("score", textnorm.title_score(a, b, ratio)).where(F.col("score") >= threshold)
     best = scored.groupBy("row_id").agg(F.min_by(F.struct("note_id", "score"), F.struct(-F.col("score"), order_key(F.col("path")))).alias("x"))
     return ledger.select("row_id").join(best, "row_id", "left").select("row_id", "x.note_id", F.round("x.score", 9).alias("score"))
 
@@ -87,17 +127,11 @@ def reverse_best(ledger: DataFrame, notes: DataFrame, threshold: float, ratio=te
 
 
 def link_contains(ledger: DataFrame, notes: DataFrame) -> DataFrame:
-    """(row_id, note_id) of pairs of which one normalised title holds the other, on word borders."""
-    pad = lambda c: F.concat(F.lit(" "), c, F.lit(" "))
-    a, b = pad(F.col("a")), pad(F.col("b"))
-    forward = word_pairs(*_normalised(ledger, notes))
-    back = word_pairs(
-        notes.select(F.col("note_id").alias("row_id"), textnorm.norm_title(F.col("title")).alias("a")),
-        ledger.select(F.col("row_id").alias("note_id"), textnorm.norm_title(F.col("title")).alias("b"), F.lit("").alias("path")),
-    )
-    back = back.select(F.col("note_id").alias("row_id"), F.col("b").alias("a"), F.col("row_id").alias("note_id"), F.col("a").alias("b"))
-    both = forward.select("row_id", "a", "note_id", "b").unionByName(back)
-    return both.where((F.col("a") != "") & (F.col("b") != "") & (a.contains(b) | b.contains(a))).select("row_id", "note_id").distinct()
+    """(row_id, note_id) of pairs of which one normalised title holds the other, anywhere."""
+    left, right = _normalised(ledger, notes)
+    a, b = left.select("a"), right.select("b")
+    pairs = holding(a, b).toDF("a", "b").unionByName(holding(b, a).toDF("b", "a")).distinct()
+    return pairs.join(left, "a").join(right, "b").select("row_id", "note_id")
 
 
 def link_unique(ledger: DataFrame, notes: DataFrame) -> DataFrame:
@@ -112,22 +146,27 @@ def link_unique(ledger: DataFrame, notes: DataFrame) -> DataFrame:
 def link_tiered(ledger: DataFrame, notes: DataFrame) -> DataFrame:
     """(row_id, tier, note_id): the first tier that has a note, and its first note.
 
-    1 equal titles, 2 equal but for case, 3 equal normalised tails after the colon, 4 one title holds the other.
+    1 equal titles, 2 equal but for case, 3 of the lower-case tails after the colon one holds the other, 4 one lower-case title
+    holds the other. Notes are one row for each key of a tier; only rows that no earlier tier links go on to the next.
     """
-    n = notes.select("note_id", F.col("title").alias("t"), "path")
-    tail = lambda c: textnorm.norm_title(textnorm.tail_of(c))
-    left = ledger.select("row_id", "title")
-    tiers = [
-        left.join(n, F.col("title") == F.col("t")).select("row_id", F.lit(1).alias("tier"), "note_id", "path"),
-        left.join(n, F.lower("title") == F.lower("t")).select("row_id", F.lit(2).alias("tier"), "note_id", "path"),
-        left.withColumn("x", tail(F.col("title"))).where("x <> ''").join(n.withColumn("y", tail(F.col("t"))), F.col("x") == F.col("y")).select("row_id", F.lit(3).alias("tier"), "note_id", "path"),
-    ]
-    sure = tiers[0].unionByName(tiers[1]).unionByName(tiers[2])
-    open_rows = left.join(sure.select("row_id").distinct(), "row_id", "left_anti")
-    last = link_contains(open_rows, notes).join(n.select("note_id", "path"), "note_id").select("row_id", F.lit(4).alias("tier"), "note_id", "path")
-    every = sure.unionByName(last)
-    best = every.groupBy("row_id").agg(F.min_by(F.struct("tier", "note_id"), F.struct("tier", order_key(F.col("path")))).alias("x"))
-    return ledger.select("row_id").join(best, "row_id", "left").select("row_id", "x.tier", "x.note_id")
+    rows = ledger.select("row_id", F.col("title").alias("k1"), F.lower("title").alias("k2"), F.lower(textnorm.tail_of(F.col("title"))).alias("k3"))
+    right = notes.select("note_id", "path", F.col("title").alias("k1"), F.lower("title").alias("k2"), F.lower(textnorm.tail_of(F.col("title"))).alias("k3"))
+    out = None
+    for tier, key in ((1, "k1"), (2, "k2"), (3, "k3"), (4, "k2")):
+        first = right.where(F.col(key) != "").groupBy(F.col(key).alias("theirs")).agg(F.min_by(F.struct("note_id", "path"), order_key(F.col("path"))).alias("x"))
+        if tier < 3:
+            pairs = first.select(F.col("theirs").alias("ours"), "x")
+        else:
+            ours, theirs = rows.select(key), first.select("theirs")
+            both = holding(ours, theirs).toDF("ours", "theirs").unionByName(holding(theirs, ours).toDF("theirs", "ours"))
+            pairs = both.join(first, "theirs").groupBy("ours").agg(F.min_by("x", order_key(F.col("x.path"))).alias("x"))
+        hit = rows.join(pairs, F.col(key) == F.col("ours"), "left").drop("ours")
+        found = hit.where("x is not null").select("row_id", F.lit(tier).alias("tier"), "x.note_id")
+        out = found if out is None else out.unionByName(found)
+        rows = hit.where("x is null").drop("x")
+        if tier in (2, 3):
+            rows = cut(rows)
+    return out.unionByName(rows.select("row_id", F.lit(None).cast("int").alias("tier"), F.lit(None).cast("bigint").alias("note_id")))
 
 
 def resolve_file(notes: DataFrame, listing: DataFrame) -> DataFrame:
@@ -146,16 +185,26 @@ def resolve_file(notes: DataFrame, listing: DataFrame) -> DataFrame:
 
 
 def resolve_file_prefix(notes: DataFrame, listing: DataFrame) -> DataFrame:
-    """(note_id, file, how): own path, its hyphen spelling, the first file of an equal normalised stem, or the one file of the folder of which one stem begins the other."""
-    files = listing.select("path", textnorm.folder_of(F.col("path")).alias("folder"), textnorm.norm_title(textnorm.stem_of(F.col("path"))).alias("f"))
-    asked = notes.select("note_id", "pdf", textnorm.folder_of(F.col("pdf")).alias("folder"), textnorm.norm_title(textnorm.stem_of(F.col("pdf"))).alias("s"))
-    pairs = asked.join(files, "folder").where(F.col("f").startswith(F.col("s")) | F.col("s").startswith(F.col("f")))
-    spaced = F.replace(F.col("pdf"), F.lit("_"), F.lit("-"))
-    tier = F.when(F.col("path") == F.col("pdf"), 1).when(F.lower("path") == F.lower(spaced), 2).when(F.col("f") == F.col("s"), 3).otherwise(4)
-    best = pairs.withColumn("tier", tier).groupBy("note_id", "tier").agg(F.count("*").alias("n"), F.min("path").alias("file")).where("tier < 4 or n = 1")
-    best = best.groupBy("note_id").agg(F.min_by(F.struct("tier", "file"), "tier").alias("x"))
-    names = F.element_at(F.array(*map(F.lit, ("direct", "hyphen", "stem", "prefix"))), F.col("x.tier"))
-    return notes.select("note_id").join(best, "note_id", "left").select("note_id", "x.file", F.when(F.col("x.tier").isNull(), "none").otherwise(names).alias("how"))
+    """(note_id, file, how): own path, its name with spaces for hyphens, the first file of the folder with an equal normalised stem,
+    or the one file of the folder of which one stem begins the other."""
+    name = lambda c: F.regexp_extract(c, "([^/]*)$", 1)
+    stem = lambda c: F.replace(F.lower(textnorm.sanitize_title(textnorm.stem_of(c))), F.lit("modelling"), F.lit("modeling"))
+    path, pdf = F.col("path"), F.col("pdf")
+    files = listing.select("path", textnorm.folder_of(path).alias("folder"), stem(path).alias("f")).distinct()
+    folder = textnorm.folder_of(pdf)
+    asked = notes.select("note_id", "pdf", F.concat(folder, F.lit("/"), F.replace(name(pdf), F.lit("-"), F.lit(" "))).alias("spaced"), folder.alias("folder"), stem(pdf).alias("s"))
+    there = files.select("path")
+    hit = asked.join(there.select(F.col("path").alias("direct")), pdf == F.col("direct"), "left").join(there.select(F.col("path").alias("alternate")), F.col("spaced") == F.col("alternate"), "left")
+    same = files.groupBy("folder", F.col("f").alias("s")).agg(F.min("path").alias("equal"))
+    hit = hit.join(same, ["folder", "s"], "left")
+    left = hit.where("direct is null and alternate is null and equal is null").select("note_id", "folder", "s")
+    starts = lambda c: F.explode(F.transform(F.sequence(F.lit(1), F.length(c)), lambda n: F.substring(c, F.lit(1), n)))
+    begun = left.where("s <> ''").select("note_id", "folder", starts(F.col("s")).alias("f")).join(files, ["folder", "f"]).select("note_id", "path")
+    begin = files.where("f <> ''").select("path", "folder", starts(F.col("f")).alias("s")).join(left, ["folder", "s"]).select("note_id", "path")
+    one = begun.unionByName(begin).groupBy("note_id").agg(F.count("*").alias("n"), F.min("path").alias("prefix")).where("n = 1").drop("n")
+    hit = hit.join(one, "note_id", "left")
+    how = F.when(F.col("direct").isNotNull(), "direct").when(F.col("alternate").isNotNull(), "hyphen").when(F.col("equal").isNotNull(), "stem")
+    return hit.select("note_id", F.coalesce("direct", "alternate", "equal", "prefix").alias("file"), how.when(F.col("prefix").isNotNull(), "prefix").otherwise("none").alias("how"))
 
 
 def file_exists(paths: DataFrame, listing: DataFrame, column: str) -> DataFrame:
@@ -172,8 +221,15 @@ def new_items(source: DataFrame, *known: DataFrame, key: str = "title") -> DataF
 
 
 def ref_abbr(ledger: DataFrame, refs: DataFrame) -> DataFrame:
-    """(row_id, title): the title with its reference's ``[abbr]`` before it, found by normalised title; unchanged without one, or where it has brackets already or the abbreviation is the title."""
-    keyed = ledger.select("row_id", "title", textnorm.norm_title(F.col("title")).alias("norm"))
-    joined = keyed.join(refs.select("norm", "abbr", "full"), "norm", "left")
-    keep = F.col("abbr").isNull() | F.col("title").startswith("[") | (F.lower("abbr") == F.lower("title"))
-    return joined.select("row_id", F.when(keep, F.col("title")).otherwise(F.concat(F.lit("["), "abbr", F.lit("] "), "title")).alias("title"))
+    """(row_id, title): ``[abbr] full`` of the title's reference; unchanged without one, where the title has the abbreviation anywhere, in any case,
+    or where that is the full title.
+
+    refs: (norm, abbr, full, ord). A reference's normalised title is the title's own, else one of the two holds the other: the first by ord.
+    """
+    keyed = ledger.select("row_id", "title", textnorm.norm_title(F.col("title")).alias("ours"))
+    held = holding(keyed.select("ours"), refs.select("norm")).toDF("ours", "norm").unionByName(holding(refs.select("norm"), keyed.select("ours")).toDF("norm", "ours"))
+    order = F.struct(F.col("ours") != F.col("norm"), "ord")
+    found = held.join(refs, "norm").groupBy("ours").agg(F.min_by(F.struct("abbr", "full"), order).alias("x")).select("ours", "x.*")
+    joined = keyed.join(found, "ours", "left")
+    keep = F.col("abbr").isNull() | F.lower("title").contains(F.lower("abbr")) | (F.lower(F.trim("abbr")) == F.lower(F.trim("full")))
+    return joined.select("row_id", F.when(keep, F.col("title")).otherwise(F.concat(F.lit("["), "abbr", F.lit("] "), "full")).alias("title"))

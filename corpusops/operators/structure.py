@@ -54,15 +54,17 @@ def later_blocks(notes: DataFrame, id_col: str = "note_id") -> DataFrame:
     return each.where(~F.array_contains("have", F.col("key"))).groupBy(id_col, "key").agg(F.min_by("value", "at").alias("value"))
 
 
-def reference_list(texts: DataFrame) -> DataFrame:
-    """(norm, abbr, full) of ``[abbr](link): Full title,`` entries in text, the first of equal normalised titles by id."""
+def reference_list(texts: DataFrame, order: bool = False) -> DataFrame:
+    """(norm, abbr, full), with order also ord, the place of the entry, of ``[abbr](link): Full title,`` entries in text, the first of equal normalised titles by id."""
     from corpusops.functions.textnorm import norm_title
 
     pattern = F.lit(r"\[([^\]]+)\](?:\([^)]*\))?:\s*([^,\n]+),")
     found = texts.select("id", F.regexp_extract_all("text", pattern, F.lit(1)).alias("a"), F.regexp_extract_all("text", pattern, F.lit(2)).alias("f"))
     rows = found.select("id", F.posexplode(F.arrays_zip("a", "f")).alias("pos", "x")).select("id", "pos", F.trim("x.a").alias("abbr"), F.trim("x.f").alias("full"))
     rows = rows.withColumn("norm", norm_title(F.col("full"))).where("norm <> ''")
-    return rows.groupBy("norm").agg(F.min_by(F.struct("abbr", "full"), F.struct("id", "pos")).alias("x")).select("norm", "x.abbr", "x.full")
+    place = F.struct("id", "pos")
+    out = rows.groupBy("norm").agg(F.min_by(F.struct("abbr", "full", place.alias("ord")), place).alias("x")).select("norm", "x.*")
+    return out if order else out.drop("ord")
 
 
 def list_rows(notes: DataFrame, key: str = "tags", id_col: str = "note_id") -> DataFrame:

@@ -55,7 +55,7 @@ def link_reverse(spark, sf_dir):
     return linkage.reverse_best(*_sides(spark, sf_dir), threshold=0.85)
 
 
-_CONTAINS = f"{_SIDES}, c AS (SELECT row_id, note_id, path FROM a, b WHERE na <> '' AND nb <> '' AND (contains(' ' || na || ' ', ' ' || nb || ' ') OR contains(' ' || nb || ' ', ' ' || na || ' ')))"
+_CONTAINS = f"{_SIDES}, c AS (SELECT row_id, note_id, path FROM a, b WHERE na <> '' AND nb <> '' AND (contains(na, nb) OR contains(nb, na)))"
 
 
 @query(f"WITH {_CONTAINS} SELECT row_id, note_id FROM c")
@@ -69,12 +69,12 @@ def link_unique(spark, sf_dir):
     return linkage.link_unique(*_sides(spark, sf_dir))
 
 
-_TAIL = "CASE WHEN contains({0}, ':') THEN trim(regexp_replace(lower(substr({0}, strpos({0}, ':') + 1)), '[^a-z0-9]+', ' ', 'g')) ELSE '' END"
+_TAIL = "CASE WHEN contains({0}, ':') THEN trim(lower(substr({0}, strpos({0}, ':') + 1))) ELSE '' END"
 
 
-@query(f"""WITH {_CONTAINS}, t AS (SELECT row_id, 1 AS tier, note_id, path FROM a JOIN b ON a.title = b.title UNION ALL SELECT row_id, 2, note_id, path FROM a JOIN b ON lower(a.title) = lower(b.title)
-UNION ALL SELECT row_id, 3, note_id, path FROM a JOIN b ON {_TAIL.format('a.title')} <> '' AND {_TAIL.format('a.title')} = {_TAIL.format('b.title')} UNION ALL SELECT row_id, 4, note_id, path FROM c),
-f AS (SELECT row_id, tier, note_id FROM t QUALIFY row_number() OVER (PARTITION BY row_id ORDER BY tier, lower(path), path) = 1) SELECT row_id, tier, note_id FROM ledger LEFT JOIN f USING (row_id)""")
+@query(f"""WITH {_SIDES}, x AS MATERIALIZED (SELECT row_id, title, lower(title) AS lt, {_TAIL.format('title')} AS tt FROM a), y AS MATERIALIZED (SELECT note_id, path, title, lower(title) AS lt, {_TAIL.format('title')} AS tt FROM b),
+t AS (SELECT row_id, note_id, path, CASE WHEN x.title = y.title THEN 1 WHEN x.lt = y.lt THEN 2 WHEN x.tt <> '' AND y.tt <> '' AND (contains(x.tt, y.tt) OR contains(y.tt, x.tt)) THEN 3 WHEN contains(x.lt, y.lt) OR contains(y.lt, x.lt) THEN 4 END AS tier FROM x, y),
+f AS (SELECT row_id, tier, note_id FROM t WHERE tier IS NOT NULL QUALIFY row_number() OVER (PARTITION BY row_id ORDER BY tier, lower(path), path) = 1) SELECT row_id, tier, note_id FROM ledger LEFT JOIN f USING (row_id)""")
 def link_tiered(spark, sf_dir):
     return linkage.link_tiered(*_sides(spark, sf_dir))
 
@@ -92,11 +92,18 @@ def file_resolve(spark, sf_dir):
     return linkage.resolve_file(v.notes(spark, sf_dir), v.file_listing(spark, sf_dir))
 
 
-@query(f"""WITH {_FILES}, p AS (SELECT note_id, f, CASE WHEN f = pdf THEN 1 WHEN lower(f) = lower(replace(pdf, '_', '-')) THEN 2 WHEN fi.s = q.s THEN 3 ELSE 4 END AS tier FROM q JOIN fi ON fi.d = q.d AND (starts_with(fi.s, q.s) OR starts_with(q.s, fi.s))),
-g AS (SELECT note_id, tier, count(*) AS n, min(f) AS f FROM p GROUP BY 1, 2), x AS (SELECT note_id, tier, f FROM g WHERE tier < 4 OR n = 1 QUALIFY row_number() OVER (PARTITION BY note_id ORDER BY tier) = 1)
-SELECT note_id, f AS file, CASE tier WHEN 1 THEN 'direct' WHEN 2 THEN 'hyphen' WHEN 3 THEN 'stem' WHEN 4 THEN 'prefix' ELSE 'none' END AS how FROM notes LEFT JOIN x USING (note_id)""")
+_ASKED = "CASE WHEN note_id % 20 = 10 THEN concat(regexp_extract(pdf, '^(.*/)[^/]*$', 1), replace(regexp_extract(pdf, '([^/]*)$', 1), '_', '-')) WHEN note_id % 9 = 4 THEN replace(pdf, 'Item', 'Modelling') ELSE pdf END"
+_PSTEM = r"replace(trim(regexp_replace(lower(regexp_replace(regexp_extract({}, '([^/]*)$', 1), '\.[^.]*$', '')), '[^a-z0-9]+', '_', 'g'), '_'), 'modelling', 'modeling')"
+
+
+@query(f"""WITH q AS (SELECT note_id, {_ASKED} AS pdf FROM notes), w AS MATERIALIZED (SELECT note_id, pdf, {_FOLDER.format('pdf')} AS d, {_PSTEM.format('pdf')} AS s, concat({_FOLDER.format('pdf')}, '/', replace(regexp_extract(pdf, '([^/]*)$', 1), '-', ' ')) AS alt FROM q),
+fi AS MATERIALIZED (SELECT path AS f, {_FOLDER.format('path')} AS d, {_PSTEM.format('path')} AS s FROM file_listing),
+p AS (SELECT note_id, f, CASE WHEN f = pdf THEN 1 WHEN f = alt THEN 2 WHEN fi.s = w.s THEN 3 ELSE 4 END AS tier FROM w JOIN fi ON fi.d = w.d AND (f = alt OR starts_with(fi.s, w.s) OR starts_with(w.s, fi.s))),
+g AS (SELECT note_id, tier, count(*) AS n, min(f) AS f FROM p GROUP BY 1, 2), x AS (SELECT note_id, tier, f, n FROM g QUALIFY row_number() OVER (PARTITION BY note_id ORDER BY tier) = 1)
+SELECT note_id, f AS file, CASE tier WHEN 1 THEN 'direct' WHEN 2 THEN 'hyphen' WHEN 3 THEN 'stem' WHEN 4 THEN 'prefix' ELSE 'none' END AS how FROM notes LEFT JOIN (SELECT * FROM x WHERE tier < 4 OR n = 1) USING (note_id)""")
 def file_resolve_prefix(spark, sf_dir):
-    return linkage.resolve_file_prefix(v.notes(spark, sf_dir), v.file_listing(spark, sf_dir))
+    """Some notes ask with hyphens for spaces, or by a stem that no file begins with."""
+    return linkage.resolve_file_prefix(v.notes(spark, sf_dir).select("note_id", F.expr(_ASKED).alias("pdf")), v.file_listing(spark, sf_dir))
 
 
 @query("SELECT note_id, pdf, pdf IN (SELECT path FROM file_listing) AS found FROM notes")
@@ -127,8 +134,9 @@ def new_items(spark, sf_dir):
 _REF = "concat('[A', note_id, '](http://x.org): ', replace(title, ',', ' '), ', end')"
 
 
-@query(rf"""WITH r AS (SELECT concat('A', note_id) AS abbr, {_NORM.format('title')} AS norm, note_id FROM notes WHERE note_id % 2 = 0 QUALIFY row_number() OVER (PARTITION BY {_NORM.format('title')} ORDER BY note_id) = 1)
-SELECT row_id, CASE WHEN abbr IS NULL THEN paper_title ELSE concat('[', abbr, '] ', paper_title) END AS title FROM ledger LEFT JOIN r ON norm = {_NORM.format('paper_title')}""")
+@query(rf"""WITH {_SIDES}, r AS (SELECT concat('A', note_id) AS abbr, title AS full_title, nb, note_id FROM b WHERE nb <> '' QUALIFY row_number() OVER (PARTITION BY nb ORDER BY note_id) = 1),
+j AS (SELECT row_id, abbr, full_title FROM a JOIN r ON na <> '' AND (contains(na, nb) OR contains(nb, na)) QUALIFY row_number() OVER (PARTITION BY row_id ORDER BY na <> nb, note_id) = 1)
+SELECT row_id, CASE WHEN abbr IS NULL OR contains(lower(paper_title), lower(abbr)) OR lower(abbr) = lower(full_title) THEN paper_title ELSE concat('[', abbr, '] ', full_title) END AS title FROM ledger LEFT JOIN j USING (row_id)""")
 def ref_abbr(spark, sf_dir):
-    refs = structure.reference_list(v.notes(spark, sf_dir).where("note_id % 2 = 0").select(F.col("note_id").alias("id"), F.expr(_REF).alias("text")))
+    refs = structure.reference_list(v.notes(spark, sf_dir).select(F.col("note_id").alias("id"), F.expr(_REF).alias("text")), order=True)
     return linkage.ref_abbr(_sides(spark, sf_dir)[0], refs)

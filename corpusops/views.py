@@ -78,7 +78,8 @@ def _ledger(d: Dialect) -> list[list[str]]:
             "k AS row_id",
             "CASE k % 6 WHEN 0 THEN 'Wait' WHEN 1 THEN 'Downloaded' WHEN 2 THEN 'checked' WHEN 3 THEN 'analysis_mismatch' WHEN 4 THEN 'Knowledge' ELSE 'Missing' END AS state",
             "CASE k % 5 WHEN 0 THEN 'high' ELSE '' END AS importance",
-            "CASE k % 4 WHEN 0 THEN title WHEN 1 THEN upper(title) WHEN 2 THEN concat('Other: ', head) ELSE concat(substr(title, 1, 3), substr(title, 5)) END AS paper_title",
+            "CASE WHEN k % 12 = 3 THEN head WHEN k % 12 = 6 THEN concat('Other: ', substr(head, 1, 20)) WHEN k % 4 = 0 THEN title WHEN k % 4 = 1 THEN upper(title) "
+            "WHEN k % 4 = 2 THEN concat('Other: ', head) ELSE concat(substr(title, 1, 3), substr(title, 5)) END AS paper_title",
             "concat(venue, ' ', year) AS venue",
             "CASE k % 3 WHEN 0 THEN concat('https://github.com/org/repo', k) WHEN 1 THEN concat('https://project.example.org/', k, '/index.html') ELSE '-' END AS project_link",
             "CASE k % 2 WHEN 0 THEN concat('https://papers.example.org/', k, '.pdf') ELSE concat('https://papers.example.org/abs/', k) END AS paper_link",
@@ -89,11 +90,17 @@ def _ledger(d: Dialect) -> list[list[str]]:
 
 
 def _listing(d: Dialect) -> list[list[str]]:
-    stem = "substr(path, 1, length(path) - 4)"
+    folder = d.replace("pdf_path", "/[^/]*$")
+    name = "substr(path, length(folder) + 2, length(path) - length(folder) - 5)"
     return [
-        ["row_id AS k", "pdf_path AS path"],
-        ["k", f"CASE WHEN k % 4 = 1 THEN concat(replace({stem}, '_', '-'), '.pdf') ELSE path END AS path", "path AS original"],
-    ]
+        ["row_id AS k", "pdf_path AS path", f"{folder} AS folder"],
+        ["k", "folder", f"{name} AS name"],
+        [
+            "k", "concat(folder, '/', CASE WHEN k % 4 = 1 THEN replace(name, '_', '-') WHEN k % 12 = 2 THEN substr(name, 1, length(name) - 4) "
+            "WHEN k % 20 = 10 THEN replace(name, '_', ' ') ELSE name END, '.pdf') AS path",
+            "concat(folder, '/', replace(name, '_', ' '), '.pdf') AS spaced",
+        ],
+    ]
 
 
 def _fetch(d: Dialect) -> list[list[str]]:
@@ -145,9 +152,9 @@ def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def file_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Paths of three quarters of the ledger's files; some stems are there twice, as spelled and with hyphens."""
-    some = _spark(ledger(spark, sf_dir).where("row_id % 4 <> 0"), _listing)
-    return some.select("path").unionByName(some.where("k % 29 = 0 and path <> original").select(F.col("original").alias("path"))).distinct()
+    """Paths of most of the ledger's files; some names are spelled with hyphens or spaces or cut, some are there in two spellings."""
+    some = _spark(ledger(spark, sf_dir).where("row_id % 4 <> 0 or row_id % 8 = 0"), _listing)
+    return some.select("path").unionByName(some.where("k % 29 = 0").select(F.col("spaced").alias("path"))).distinct()
 
 
 def fetch_results(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -172,8 +179,8 @@ def duck_views() -> str:
     return f"""
     notes AS MATERIALIZED (SELECT * FROM {_duck('documents', _notes)}),
     ledger AS MATERIALIZED (SELECT * FROM {_duck('(SELECT * FROM notes WHERE note_id % 23 <> 0)', _ledger)}),
-    listed AS (SELECT * FROM {_duck('(SELECT * FROM ledger WHERE row_id % 4 <> 0)', _listing)}),
-    file_listing AS (SELECT path FROM listed UNION SELECT original FROM listed WHERE k % 29 = 0 AND path <> original),
+    listed AS (SELECT * FROM {_duck('(SELECT * FROM ledger WHERE row_id % 4 <> 0 OR row_id % 8 = 0)', _listing)}),
+    file_listing AS (SELECT path FROM listed UNION SELECT spaced FROM listed WHERE k % 29 = 0),
     fetch_results AS (SELECT * FROM {_duck('pages', _fetch)}),
     tag_alias AS (SELECT * FROM {_duck('(SELECT * FROM part WHERE p_partkey > 0 AND p_partkey < 64)', _alias)} UNION ALL VALUES {_values(MORE_ALIASES)}),
     state_rules(from_state, to_state) AS (VALUES {_values(STATE_RULES)})

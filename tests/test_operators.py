@@ -90,9 +90,8 @@ def _sides(spark, left, right):
 
 def test_link_best_ties_and_exact(spark):
     left, right = _sides(spark, [(1, "deep motion model"), (2, "other"), (3, "")], [(7, "deep motion modal", "b"), (8, "deep motion modal", "A"), (9, "zzz", "c")])
-    for exact in (False, True):
-        got = {r["row_id"]: r["note_id"] for r in linkage.link_best(left, right, 0.5, exact=exact).collect()}
-        assert got == {1: 8, 2: None, 3: None}
+    got = {r["row_id"]: r["note_id"] for r in linkage.link_best(left, right, 0.5).collect()}
+    assert got == {1: 8, 2: None, 3: None}
 
 
 def test_link_tiers(spark):
@@ -215,5 +214,39 @@ def test_best_links_without_a_shared_word(spark):
     for ratio in (textnorm.ratio_levenshtein, textnorm.ratio_ratcliff):
         got = {r["row_id"]: r["note_id"] for r in linkage.link_best(left, right, 0.78, ratio).collect()}
         assert got[0] == 3 and got[1] == 4 and got[2] is not None and got[3] is None
-        assert got == {r["row_id"]: r["note_id"] for r in linkage.link_best(left, right, 0.78, ratio, exact=True).collect()}
     assert {r["row_id"]: r["note_id"] for r in linkage.reverse_best(left, right, 0.78).collect()}[0] == 3
+
+
+def test_near_titles_lose_no_pair(spark):
+    """Random titles with up to five edits, against every pair."""
+    import random
+
+    rng = random.Random(3)
+    base = ["item " + "".join(rng.choice("abcd e") for _ in range(rng.randint(0, 40))) for _ in range(60)]
+    edited = []
+    for t in base:
+        for _ in range(rng.randint(0, 5)):
+            i = rng.randint(0, len(t))
+            t = t[:i] + rng.choice(["", "x", "ab"]) + t[i + rng.randint(0, 2) :]
+        edited.append(t)
+    left, right = _sides(spark, list(enumerate(edited)), [(i, t, f"p{i:03}") for i, t in enumerate(base)])
+    a, b = F.col("a"), F.col("b")
+    sides = linkage._normalised(left, right)
+    for ratio, threshold in ((textnorm.ratio_levenshtein, 0.78), (textnorm.ratio_levenshtein, 0.6), (textnorm.ratio_ratcliff, 0.78)):
+        score = F.round(textnorm.title_score(a, b, ratio), 9)
+        every = sides[0].crossJoin(sides[1]).select("row_id", score.alias("score")).groupBy("row_id").agg(F.max("score").alias("best"))
+        want = {r["row_id"]: r["best"] if r["best"] >= threshold else None for r in every.collect()}
+        assert want == {r["row_id"]: r["score"] for r in linkage.link_best(left, right, threshold, ratio).collect()}
+
+
+def test_tiers_by_containment(spark):
+    left, right = _sides(spark, [(1, "X: b cde"), (2, "bcd"), (3, ""), (4, "Y: q")], [(1, "A: B cd", "q"), (2, "A: zB cdez", "p"), (3, "abcde", "r")])
+    got = {r["row_id"]: (r["tier"], r["note_id"]) for r in linkage.link_tiered(left, right).collect()}
+    assert got == {1: (3, 2), 2: (4, 3), 3: (None, None), 4: (None, None)}
+
+
+def test_reference_titles(spark):
+    refs = spark.createDataFrame([("deep motion", "DM", "Deep Motion", 1), ("deep motion for all", "DMA", "Deep Motion for All", 2), ("same", "Same", "same", 3)], "norm string, abbr string, full string, ord int")
+    rows = [(1, "deep motion"), (2, "Deep Motion for"), (3, "(dm) deep motion"), (4, "same"), (5, "none")]
+    got = {r["row_id"]: r["title"] for r in linkage.ref_abbr(spark.createDataFrame(rows, "row_id long, title string"), refs).collect()}
+    assert got == {1: "[DM] Deep Motion", 2: "[DM] Deep Motion", 3: "(dm) deep motion", 4: "same", 5: "none"}
