@@ -87,8 +87,9 @@ def _near(longer: DataFrame, shorter: DataFrame, threshold: float) -> DataFrame:
 
 
 def _normalised(ledger: DataFrame, notes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(row_id, a) and (note_id, b, path), computed once: both are read several times."""
     left = ledger.select("row_id", textnorm.norm_title(F.col("title")).alias("a"))
-    return left, notes.select("note_id", textnorm.norm_title(F.col("title")).alias("b"), "path")
+    return cut(left), cut(notes.select("note_id", textnorm.norm_title(F.col("title")).alias("b"), "path"))
 
 
 def _scorable(ledger: DataFrame, notes: DataFrame, threshold: float, edits: bool) -> DataFrame:
@@ -151,7 +152,7 @@ def link_tiered(ledger: DataFrame, notes: DataFrame) -> DataFrame:
     """
     rows = ledger.select("row_id", F.col("title").alias("k1"), F.lower("title").alias("k2"), F.lower(textnorm.tail_of(F.col("title"))).alias("k3"))
     right = notes.select("note_id", "path", F.col("title").alias("k1"), F.lower("title").alias("k2"), F.lower(textnorm.tail_of(F.col("title"))).alias("k3"))
-    out = None
+    rows, right, out = cut(rows), cut(right), None
     for tier, key in ((1, "k1"), (2, "k2"), (3, "k3"), (4, "k2")):
         first = right.where(F.col(key) != "").groupBy(F.col(key).alias("theirs")).agg(F.min_by(F.struct("note_id", "path"), order_key(F.col("path"))).alias("x"))
         if tier < 3:
@@ -227,6 +228,7 @@ def ref_abbr(ledger: DataFrame, refs: DataFrame) -> DataFrame:
     refs: (norm, abbr, full, ord). A reference's normalised title is the title's own, else one of the two holds the other: the first by ord.
     """
     keyed = ledger.select("row_id", "title", textnorm.norm_title(F.col("title")).alias("ours"))
+    keyed, refs = cut(keyed), cut(refs)
     held = holding(keyed.select("ours"), refs.select("norm")).toDF("ours", "norm").unionByName(holding(refs.select("norm"), keyed.select("ours")).toDF("norm", "ours"))
     order = F.struct(F.col("ours") != F.col("norm"), "ord")
     found = held.join(refs, "norm").groupBy("ours").agg(F.min_by(F.struct("abbr", "full"), order).alias("x")).select("ours", "x.*")
