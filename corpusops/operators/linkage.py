@@ -63,10 +63,10 @@ def holding(hay: DataFrame, needles: DataFrame) -> DataFrame:
 
 
 def _near(longer: DataFrame, shorter: DataFrame, threshold: float) -> DataFrame:
-    """(longer, shorter): distinct texts, the first at least as long, that an edit distance of (1 - threshold) of its length can part.
+    """(longer, shorter): distinct texts, the first at least as long, that are an edit distance of at most (1 - threshold) of its length apart.
 
     An edit touches one of the pieces that the longer is cut into, so of any edits + 1 of them one stands in the shorter, moved by
-    at most as many characters as there are edits. The rarest pieces are looked up.
+    as many characters as there can be edits before and after it. The rarest pieces are looked up, and the distance then computed.
     """
     edits = lambda c: F.floor(F.length(c) * (1 - threshold) + 1e-9).cast("int")
     size = lambda c: F.greatest(F.lit(1), F.floor(F.length(c) / (edits(c) + 2)).cast("int"))
@@ -82,8 +82,10 @@ def _near(longer: DataFrame, shorter: DataFrame, threshold: float) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("longer").orderBy(F.coalesce("n", F.lit(0)), "at"))
     few = pieces.join(use, "piece", "left").withColumn("rank", rank).where(F.col("rank") <= edits(F.col("longer")) + 1)
     met = few.select("longer", "at", "piece").join(probes, "piece")
-    fits = (F.length("shorter") <= F.length("longer")) & (F.length("longer") - F.length("shorter") <= edits(F.col("longer"))) & (F.abs(F.col("at") - F.col("place")) <= edits(F.col("longer")))
-    return met.where(fits).select("longer", "shorter").distinct()
+    shift, rest = F.col("place") - F.col("at"), F.length("longer") - F.length("shorter")
+    fits = (rest >= 0) & (F.abs(shift) + F.abs(shift + rest) <= edits(F.col("longer")))  # edits before the piece, and after it
+    near = F.expr(f"levenshtein(longer, shorter, cast(floor(length(longer) * (1 - {threshold}D) + 1e-9) as int)) >= 0")
+    return met.where(fits).where(near).select("longer", "shorter").distinct()
 
 
 def _normalised(ledger: DataFrame, notes: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -36,11 +36,16 @@ def _empty(c: Column) -> Column:
 
 
 def fill_fields(fields: DataFrame) -> DataFrame:
-    """(note_id, category, venue, year, title, core_operator, actions): empty fields from the path, the heading or a marker to do."""
+    """(note_id, category, venue, year, title, tags, core_operator, primary_logic, actions): empty fields from the path, the heading or a marker to do.
+
+    A note without a heading has the title of its file name, without the year; tags that are missing are the path's category.
+    """
     path = F.col("path")
+    category = F.get(F.split(path, "/"), 0)
+    from_name = F.trim(F.replace(textnorm.strip_year_prefix(textnorm.stem_of(path)), F.lit("_"), F.lit(" ")))
     sources = {
-        "category": F.get(F.split(path, "/"), 0), "venue": textnorm.folder_venue(path), "year": textnorm.folder_year(path),
-        "title": F.col("heading"), "core_operator": F.lit("[TODO]"),
+        "category": category, "venue": textnorm.folder_venue(path), "year": textnorm.folder_year(path),
+        "title": F.coalesce(F.nullif(F.trim("heading"), F.lit("")), from_name), "tags": category, "core_operator": F.lit("[TODO]"), "primary_logic": F.lit("[TODO]"),
     }
     filled = [F.when(_empty(F.col(f)), s).otherwise(F.col(f)).alias(f) for f, s in sources.items()]
     actions = F.array_compact(F.array(*[F.when(_empty(F.col(f)) & s.isNotNull(), F.lit(f)) for f, s in sources.items()]))
@@ -147,6 +152,26 @@ def rename_plan(matches: DataFrame, listing: DataFrame, min_score: float = 0.80)
     return joined.select("row_id", "source", "target", outcome.alias("outcome"))
 
 
+def _rename_all(listing: DataFrame, target: Column, when: Column) -> DataFrame:
+    paths = listing.select("path").distinct()
+    plan = paths.where(when).select(F.col("path").alias("source"), target.alias("target"))
+    plan = plan.join(plan.groupBy("target").agg(F.count("*").alias("uses")), "target").join(paths.select(F.col("path").alias("target"), F.lit(True).alias("there")), "target", "left")
+    return plan.select("source", "target", F.when(F.col("there").isNotNull() | (F.col("uses") > 1), "target exists").otherwise("rename").alias("outcome"))
+
+
+def rename_suffix(listing: DataFrame, suffix: str = "_KB") -> DataFrame:
+    """(source, target, outcome) of the notes whose name ends in the suffix, which goes; ``target exists`` where a file has the name, or two would."""
+    path = F.col("path")
+    return _rename_all(listing, F.concat(F.substring(path, F.lit(1), F.length(path) - len(suffix) - 3), F.lit(".md")), path.endswith(f"{suffix}.md"))
+
+
+def rename_hyphens(listing: DataFrame, spare: str = "skill") -> DataFrame:
+    """(source, target, outcome) of the files with hyphens in their name, which become underscores; names with the spared word, in any case, stay."""
+    name = F.regexp_extract("path", "([^/]*)$", 1)
+    folder = F.regexp_extract("path", "^(.*/)[^/]*$", 1)
+    return _rename_all(listing, F.concat(folder, F.replace(name, F.lit("-"), F.lit("_"))), name.contains("-") & ~F.lower(name).contains(spare))
+
+
 def render_note(title: Column, venue: Column, year: Column, abstract: Column, numbers: Column) -> Column:
     """Text of a new note: fixed sections, what is known, and markers to do."""
     todo = F.lit("[TODO]")

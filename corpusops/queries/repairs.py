@@ -214,12 +214,12 @@ def report_capped(spark, sf_dir):
     return aggregate.report(repair.change_log(_moved(spark, sf_dir, "transition_audit")), "reason", "row_id", 10)
 
 
-_WIDE = f"{_FIELDS}, wd AS (SELECT n.note_id, n.path, " + ", ".join(f"max(CASE WHEN key = '{k}' THEN value END) AS {k}" for k in ("title", "venue", "year", "category", "core_operator", "pdf_ref")) + " FROM notes n LEFT JOIN fields f ON f.note_id = n.note_id GROUP BY 1, 2)"
+_WIDE = f"{_FIELDS}, wd AS (SELECT n.note_id, n.path, " + ", ".join(f"max(CASE WHEN key = '{k}' THEN value END) AS {k}" for k in ("title", "venue", "year", "category", "tags", "core_operator", "primary_logic", "pdf_ref")) + " FROM notes n LEFT JOIN fields f ON f.note_id = n.note_id GROUP BY 1, 2)"
 
 
 def _wide(spark, sf_dir):
     notes = v.notes(spark, sf_dir).select("note_id", "path", markdown.first_heading(F.col("text")).alias("heading"))
-    keys = ["title", "venue", "year", "category", "core_operator", "pdf_ref"]
+    keys = ["title", "venue", "year", "category", "tags", "core_operator", "primary_logic", "pdf_ref"]
     each = structure.front_matter_fields(v.notes(spark, sf_dir)).groupBy("note_id").agg(*[F.max(F.when(F.col("key") == k, F.col("value"))).alias(k) for k in keys])
     return notes.join(each, "note_id", "left")
 
@@ -229,8 +229,8 @@ _FY = r"nullif(regexp_extract(split_part(path, '/', 2), '_(\d{4})$', 1), '')"
 
 
 @query(f"""WITH {_WIDE}, h AS (SELECT wd.*, n.title AS heading, {_FV} AS fv, {_FY} AS fy FROM (SELECT * FROM wd) wd JOIN (SELECT note_id, title FROM notes) n USING (note_id))
-SELECT note_id, coalesce(category, split_part(path, '/', 1)) AS category, coalesce(venue, fv) AS venue, coalesce(year, fy) AS year, coalesce(title, heading) AS title, coalesce(core_operator, '[TODO]') AS core_operator,
-concat_ws(',', CASE WHEN category IS NULL THEN 'category' END, CASE WHEN venue IS NULL AND fv IS NOT NULL THEN 'venue' END, CASE WHEN year IS NULL AND fy IS NOT NULL THEN 'year' END, CASE WHEN title IS NULL THEN 'title' END, CASE WHEN core_operator IS NULL THEN 'core_operator' END) AS actions FROM h""")
+SELECT note_id, coalesce(category, split_part(path, '/', 1)) AS category, coalesce(venue, fv) AS venue, coalesce(year, fy) AS year, coalesce(title, heading) AS title, coalesce(tags, split_part(path, '/', 1)) AS tags, coalesce(core_operator, '[TODO]') AS core_operator, coalesce(primary_logic, '[TODO]') AS primary_logic,
+concat_ws(',', CASE WHEN category IS NULL THEN 'category' END, CASE WHEN venue IS NULL AND fv IS NOT NULL THEN 'venue' END, CASE WHEN year IS NULL AND fy IS NOT NULL THEN 'year' END, CASE WHEN title IS NULL THEN 'title' END, CASE WHEN tags IS NULL THEN 'tags' END, CASE WHEN core_operator IS NULL THEN 'core_operator' END, CASE WHEN primary_logic IS NULL THEN 'primary_logic' END) AS actions FROM h""")
 def fill_fields(spark, sf_dir):
     return repair.fill_fields(_wide(spark, sf_dir))
 
@@ -304,6 +304,28 @@ def rename_plan(spark, sf_dir):
     return repair.rename_plan(named.select("row_id", F.col("pdf_path").alias("source"), target.alias("target"), "need_review", "score"), v.file_listing(spark, sf_dir))
 
 
+_KB = "CASE note_id % 6 WHEN 0 THEN concat(substr(path, 1, length(path) - 3), '_KB.md') WHEN 1 THEN replace(path, 'Item_', 'Item-') WHEN 2 THEN replace(path, 'Item', 'skill-Item') ELSE path END"
+_KB_TWICE = "concat(substr(path, 1, length(path) - 3), '_KB.md')"
+_PATHS = f"np AS (SELECT {_KB} AS p FROM notes UNION ALL SELECT {_KB_TWICE} FROM notes WHERE note_id % 10 = 3)"
+
+
+def _paths(spark, sf_dir):
+    notes = v.notes(spark, sf_dir)
+    return notes.select(F.expr(_KB).alias("path")).unionByName(notes.where("note_id % 10 = 3").select(F.expr(_KB_TWICE).alias("path")))
+
+
+@query(f"""WITH {_PATHS}, s AS (SELECT DISTINCT p AS source, concat(substr(p, 1, length(p) - 6), '.md') AS target FROM np WHERE p LIKE '%\\_KB.md' ESCAPE '\\')
+SELECT source, target, CASE WHEN target IN (SELECT p FROM np) OR count(*) OVER (PARTITION BY target) > 1 THEN 'target exists' ELSE 'rename' END AS outcome FROM s""")
+def rename_suffix(spark, sf_dir):
+    return repair.rename_suffix(_paths(spark, sf_dir))
+
+
+@query(f"""WITH {_PATHS}, s AS (SELECT DISTINCT p AS source, concat(regexp_extract(p, '^(.*/)[^/]*$', 1), replace(regexp_extract(p, '([^/]*)$', 1), '-', '_')) AS target FROM np WHERE regexp_extract(p, '([^/]*)$', 1) LIKE '%-%' AND NOT contains(lower(regexp_extract(p, '([^/]*)$', 1)), 'skill'))
+SELECT source, target, CASE WHEN target IN (SELECT p FROM np) OR count(*) OVER (PARTITION BY target) > 1 THEN 'target exists' ELSE 'rename' END AS outcome FROM s""")
+def rename_hyphens(spark, sf_dir):
+    return repair.rename_hyphens(_paths(spark, sf_dir))
+
+
 @query(f"""WITH s AS (SELECT row_id, paper_title, right(venue, 4) AS y, trim(venue[:-5]) AS ve, {_NUMBERS} AS nu, {_LINES_FROM} FROM ledger JOIN documents ON doc_id = row_id), d AS (SELECT *, {_ABSTRACT} AS ab FROM s)
 SELECT row_id, concat('---', chr(10), 'title: ', paper_title, chr(10), 'venue: ', ve, chr(10), 'year: ', y, chr(10), '---', chr(10), '# ', paper_title, chr(10), '> [!abstract] Summary', chr(10), '> - **Summary**: ', coalesce(nullif(ab, ''), '[TODO]'), chr(10), '## Part I', chr(10), '[TODO]', chr(10), '## Part II', chr(10), 'Numbers: ', coalesce(nullif(array_to_string(nu, ', '), ''), '[TODO]'), chr(10), '## Part III', chr(10), '[TODO]', chr(10), '## Local Reading') AS text FROM d""")
 def render_note(spark, sf_dir):
@@ -333,6 +355,16 @@ def ledger_pipe_parse(spark, sf_dir):
     return out.select(F.col("line_no").alias("row_id"), "state", "title", "venue", "category")
 
 
+@query("""SELECT row_id, state, coalesce(importance, '') AS importance, trim(replace(paper_title, '|', ' ')) AS paper_title, pdf_path FROM ledger WHERE row_id % 5 <> 0""")
+def ledger_pipe_wide(spark, sf_dir):
+    """Eight fields and one more, which is cut; lines of seven are left out."""
+    from corpusops.sources import files
+
+    eight = ["state", "importance", "replace(paper_title, '|', ' ')", "venue", "project_link", "paper_link", "sort", "pdf_path"]
+    lines = v.ledger(spark, sf_dir).select(F.col("row_id").alias("line_no"), F.expr(f"CASE WHEN row_id % 5 = 0 THEN concat_ws(' | ', {', '.join(eight[:7])}) ELSE concat_ws(' | ', {', '.join(eight)}, 'more') END").alias("value"))
+    return files.parse_pipe(lines, "least8").select(F.col("line_no").alias("row_id"), "state", "importance", "paper_title", "pdf_path")
+
+
 @query("""WITH p AS (SELECT n.note_id, n.title, n.path, n.category, n.venue, n.year FROM notes n) SELECT note_id, title, path, category, venue, year FROM p""")
 def index_rows(spark, sf_dir):
     from corpusops.sources import files

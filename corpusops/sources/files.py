@@ -11,14 +11,14 @@ LEDGER = ["state", "importance", "paper_title", "venue", "project_link_or_github
 PIPE = ["state", "title", "venue", "project_url", "pdf_url", "category"]
 
 
-def _relative(path: Column, root: str) -> Column:
+def relative(path: Column, root: str) -> Column:
     return F.regexp_replace(path, "^.*?" + root.rstrip("/").removeprefix("file://").replace(".", r"\.") + "/", "")
 
 
 def read_notes(spark: SparkSession, path: str, glob: str = "*.md", on_bad_utf8: str = "skip") -> DataFrame:
     """(path, text) of every file below path; a file that isn't UTF-8 is skipped, or loses its bad bytes with ``ignore``."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(path)
-    raw = raw.select(_relative(F.col("path"), path).alias("path"), F.col("content").cast("string").alias("text"))
+    raw = raw.select(relative(F.col("path"), path).alias("path"), F.col("content").cast("string").alias("text"))
     if on_bad_utf8 == "skip":
         return raw.where(F.is_valid_utf8("text"))
     return raw.withColumn("text", F.when(F.is_valid_utf8("text"), F.col("text")).otherwise(F.replace(F.make_valid_utf8("text"), F.lit("�"), F.lit(""))))
@@ -45,17 +45,17 @@ def read_ledger_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def parse_pipe(lines: DataFrame, mode: str = "exact") -> DataFrame:
-    """(line_no, six fields) of (line_no, value) lines; blank and ``#`` lines are skipped.
+    """(line_no, fields) of (line_no, value) lines; blank and ``#`` lines are skipped.
 
-    ``exact``: six fields, the last keeps further bars; ``pad``: missing fields are empty, a missing category is Misc; ``least8``: lines of
-    eight fields or more, cut.
+    ``exact``: the six of PIPE, the last keeps further bars; ``pad``: missing ones are empty, a missing category is Misc; ``least8``: the eight
+    of LEDGER, of lines of eight fields or more, cut.
     """
     kept = lines.where((F.trim("value") != "") & ~F.trim("value").startswith("#"))
     parts = F.split("value", r"\|", 6 if mode == "exact" else -1)
     if mode != "pad":
         kept = kept.where(F.size(parts) >= (6 if mode == "exact" else 8))
     field = lambda i, c: F.coalesce(F.trim(F.get(parts, i)), F.lit("Misc" if c == "category" else ""))
-    return kept.select("line_no", *[field(i, c).alias(c) for i, c in enumerate(PIPE)])
+    return kept.select("line_no", *[field(i, c).alias(c) for i, c in enumerate(LEDGER if mode == "least8" else PIPE)])
 
 
 def read_ledger_pipe(spark: SparkSession, path: str, mode: str = "exact") -> DataFrame:
@@ -65,7 +65,7 @@ def read_ledger_pipe(spark: SparkSession, path: str, mode: str = "exact") -> Dat
 def list_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     """(path, ext, length, modified) below path; contents aren't read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(path)
-    rel = _relative(F.col("path"), path)
+    rel = relative(F.col("path"), path)
     return files.select(rel.alias("path"), F.regexp_extract(rel, r"\.([^./]+)$", 1).alias("ext"), "length", F.col("modificationTime").alias("modified"))
 
 
@@ -120,4 +120,4 @@ def write_index(notes: DataFrame, path: str) -> None:
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
     """(url, html) of saved pages, one a file; the address is the file's path below ``path`` without its suffix."""
     files = spark.read.format("text").option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.html").load(path)
-    return files.select(F.regexp_replace(_relative(F.col("_metadata.file_path"), path), r"\.html$", "").alias("url"), F.col("value").alias("html"))
+    return files.select(F.regexp_replace(relative(F.col("_metadata.file_path"), path), r"\.html$", "").alias("url"), F.col("value").alias("html"))

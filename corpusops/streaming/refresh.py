@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from corpusops.functions import markdown
 from corpusops.operators.audit import describe_gaps, verdict
+from corpusops.sources.files import relative
 
 
 def parse_notes(notes: DataFrame) -> DataFrame:
@@ -20,9 +21,10 @@ def parse_notes(notes: DataFrame) -> DataFrame:
     return notes.select("path", title.alias("title"), verdict(c).alias("ok"), describe_gaps(c).alias("gap"), markdown.front_matter_keys(c).alias("keys"))
 
 
-def refresh_notes(spark: SparkSession, source: str, target: str, checkpoint: str) -> StreamingQuery:
-    """Parse the notes (parquet files of path, text) that arrived since the last run into target/batch=N; ends when none are left."""
-    stream = spark.readStream.schema("path string, text string").parquet(source)
+def refresh_notes(spark: SparkSession, source: str, target: str, checkpoint: str, glob: str = "*.md") -> StreamingQuery:
+    """Parse the note files that arrived below source since the last run into target/batch=N; ends when none are left."""
+    files = spark.readStream.format("text").option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(source)
+    stream = files.select(relative(F.col("_metadata.file_path"), source).alias("path"), F.col("value").alias("text"))
 
     def write(batch: DataFrame, number: int) -> None:
         parse_notes(batch).write.mode("overwrite").parquet(f"{target}/batch={number}")

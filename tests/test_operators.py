@@ -179,13 +179,14 @@ def test_ledger_files(spark, tmp_path):
 
 def test_stream_refresh(spark, tmp_path):
     src, dst, ck = (str(tmp_path / x) for x in ("src", "dst", "ck"))
-    note = lambda n: spark.createDataFrame([(f"c/V_2024/{n}.md", f"# T{n}\n")], "path string, text string")
-    note(1).write.parquet(src)
+    (tmp_path / "src/c/V_2024").mkdir(parents=True)
+    note = lambda n: (tmp_path / f"src/c/V_2024/{n}.md").write_text(f"# T{n}\n\ntext\n")
+    note(1)
     refresh.refresh_notes(spark, src, dst, ck).awaitTermination()
-    note(2).write.mode("append").parquet(src)
+    note(2)
     refresh.refresh_notes(spark, src, dst, ck).awaitTermination()
-    got = spark.read.parquet(dst).select("batch", "title").collect()
-    assert sorted(map(tuple, got)) == [(0, "T1"), (1, "T2")]
+    got = spark.read.parquet(dst).select("batch", "path", "title").collect()
+    assert sorted(map(tuple, got)) == [(0, "c/V_2024/1.md", "T1"), (1, "c/V_2024/2.md", "T2")]
 
 
 def test_stream_latest_state(spark, sf_dir, tmp_path):
@@ -250,3 +251,11 @@ def test_reference_titles(spark):
     rows = [(1, "deep motion"), (2, "Deep Motion for"), (3, "(dm) deep motion"), (4, "same"), (5, "none")]
     got = {r["row_id"]: r["title"] for r in linkage.ref_abbr(spark.createDataFrame(rows, "row_id long, title string"), refs).collect()}
     assert got == {1: "[DM] Deep Motion", 2: "[DM] Deep Motion", 3: "(dm) deep motion", 4: "same", 5: "none"}
+
+
+def test_fill_from_the_name(spark):
+    row = ("1", "Cat/ICLR_2024/2024_A_b.md", None, "", None, None, None, None, None, None)
+    names = ["note_id", "path", "heading", "title", "venue", "year", "category", "tags", "core_operator", "primary_logic"]
+    got = repair.fill_fields(spark.createDataFrame([row], ", ".join(f"{n} string" for n in names))).first()
+    assert (got["title"], got["tags"], got["primary_logic"]) == ("A b", "Cat", "[TODO]")
+    assert got["actions"] == "category,venue,year,title,tags,core_operator,primary_logic"
