@@ -15,6 +15,7 @@ from corpusops.functions import textnorm
 from corpusops.plans.cut import cut
 
 GRAM = 6  # characters of the gram by which a title finds the titles that hold it; shorter ones are looked up whole
+PIECES = 0.25  # of a text's length: more edits than that leave pieces that most texts have
 
 
 def order_key(path: Column) -> Column:
@@ -75,9 +76,11 @@ def _near(longer: DataFrame, shorter: DataFrame, threshold: float) -> DataFrame:
     pieces = longer.withColumn("size", size(F.col("longer")))
     pieces = pieces.select("longer", "size", F.posexplode(_pieces(F.col("longer"), F.col("size"), F.col("size"))).alias("at", "piece"))
     pieces = pieces.withColumn("at", F.col("at") * F.col("size"))
-    sizes = pieces.select("size").distinct().agg(F.collect_set("size").alias("sizes"))  # a few numbers: sizes hardly grow with the length
-    probes = F.flatten(F.transform("sizes", lambda n: F.transform(_pieces(F.col("shorter"), n, F.lit(1)), lambda p, i: F.struct(p.alias("piece"), i.alias("place")))))
-    probes = shorter.crossJoin(F.broadcast(sizes)).select("shorter", F.explode(probes).alias("x")).select("shorter", "x.*")
+    # A few rows, as sizes hardly grow with the length: each size with the lengths of the texts that can be near one of its texts.
+    fit = longer.groupBy(size(F.col("longer")).alias("size")).agg(F.min(F.length("longer") - edits(F.col("longer"))).alias("from"), F.max(F.length("longer")).alias("to"))
+    placed = F.transform(_pieces(F.col("shorter"), F.col("size"), F.lit(1)), lambda p, i: F.struct(p.alias("piece"), i.alias("place")))
+    probes = shorter.join(F.broadcast(fit), F.length("shorter").between(F.col("from"), F.col("to")))
+    probes = probes.select("shorter", F.explode(placed).alias("x")).select("shorter", "x.*")
     use = probes.groupBy("piece").agg(F.count("*").alias("n"))
     rank = F.row_number().over(Window.partitionBy("longer").orderBy(F.coalesce("n", F.lit(0)), "at"))
     few = pieces.join(use, "piece", "left").withColumn("rank", rank).where(F.col("rank") <= edits(F.col("longer")) + 1)
@@ -94,31 +97,43 @@ def _normalised(ledger: DataFrame, notes: DataFrame) -> tuple[DataFrame, DataFra
     return cut(left), cut(notes.select("note_id", textnorm.norm_title(F.col("title")).alias("b"), "path"))
 
 
-def _scorable(ledger: DataFrame, notes: DataFrame, threshold: float, edits: bool) -> DataFrame:
-    """(row_id, a, note_id, b, path) of all pairs that can score the threshold: one title holds the other, or they are near.
+def _near_pairs(a: DataFrame, b: DataFrame, threshold: float, edits: bool) -> DataFrame:
+    """(a, b): distinct pairs of texts whose ratio can be the threshold.
 
     edits: the ratio is 1 less the edits by the longer length. Other ratios, of 2 m / (la + lb) with m characters in common, bound
-    the edits by (1 - threshold) (la + lb), which no pieces can find, so there all pairs of distinct titles whose lengths fit are tried.
+    the edits by (1 - threshold) (la + lb), at most 2 (1 - threshold) of the longer; where that is more than PIECES of it, the pieces
+    would be too short to tell texts apart, and all pairs of distinct titles whose lengths fit are tried.
     """
-    left, right = _normalised(ledger, notes)
-    a, b = left.select("a"), right.select("b")
-    pairs = holding(a, b).toDF("a", "b").unionByName(holding(b, a).toDF("b", "a"))
-    if edits:
-        pairs = pairs.unionByName(_near(a, b, threshold).toDF("a", "b")).unionByName(_near(b, a, threshold).toDF("b", "a"))
-    else:
-        la, lb = F.length("a"), F.length("b")
-        long_enough = F.least(la, lb) >= F.greatest(la, lb) * (threshold / (2 - threshold)) - 1e-6
-        near = F.levenshtein(F.col("a"), F.col("b")) <= (1 - threshold) * (la + lb) + 1e-6
-        pairs = pairs.unionByName(a.where("a <> ''").distinct().join(b.where("b <> ''").distinct(), long_enough).where(near))
-    return pairs.distinct().join(left, "a").join(right, "b")
+    least = threshold if edits else 2 * threshold - 1
+    if edits or 1 - least <= PIECES:
+        return _near(a, b, least).toDF("a", "b").unionByName(_near(b, a, least).toDF("b", "a"))
+    la, lb = F.length("a"), F.length("b")
+    long_enough = F.least(la, lb) >= F.greatest(la, lb) * (threshold / (2 - threshold)) - 1e-6
+    near = F.expr(f"levenshtein(a, b, cast(floor((length(a) + length(b)) * (1 - {threshold}D) + 1e-6) as int)) >= 0")
+    return a.where("a <> ''").distinct().join(b.where("b <> ''").distinct(), long_enough).where(near)
 
 
 def link_best(ledger: DataFrame, notes: DataFrame, threshold: float, ratio=textnorm.ratio_levenshtein) -> DataFrame:
-    """(row_id, note_id, score) of every ledger row: the note of the highest title score, the first of equals; null below the threshold, which is above 0."""
-    a, b = F.col("a"), F.col("b")
-    scored = _scorable(ledger, notes, threshold, ratio is textnorm.ratio_levenshtein).withColumn("score", textnorm.title_score(a, b, ratio)).where(F.col("score") >= threshold)
-    best = scored.groupBy("row_id").agg(F.min_by(F.struct("note_id", "score"), F.struct(-F.col("score"), order_key(F.col("path")))).alias("x"))
-    return ledger.select("row_id").join(best, "row_id", "left").select("row_id", "x.note_id", F.round("x.score", 9).alias("score"))
+    """(row_id, note_id, score) of every ledger row: the note of the highest title score, the first of equals; null below the threshold, which is above 0.
+
+    Rows are looked for from the score of a title that holds another, where few edits are allowed and pieces are long; only titles
+    whose best is below go on, in steps down to the threshold. Each step finds all pairs of its score, so the best is the same.
+    """
+    held, edits = textnorm.CONTAINS_SCORE, ratio is textnorm.ratio_levenshtein
+    left, right = _normalised(ledger, notes)
+    first = right.groupBy("b").agg(F.min_by(F.struct("note_id", "path"), order_key(F.col("path"))).alias("x"))
+    steps = [threshold] if threshold >= held else [held, (held + threshold) / 2, threshold] if edits else [held, threshold]
+    open_, b, found = left.select("a"), right.select("b"), None
+    for least in steps:
+        pairs = _near_pairs(open_, b, least, edits)
+        if found is None:
+            pairs = pairs.unionByName(holding(open_, b).toDF("a", "b")).unionByName(holding(b, open_).toDF("b", "a"))
+        scored = pairs.distinct().withColumn("score", textnorm.title_score(F.col("a"), F.col("b"), ratio)).where(F.col("score") >= least)
+        best = scored.join(first, "b").groupBy("a").agg(F.min_by(F.struct("x.note_id", "score"), F.struct(-F.col("score"), order_key(F.col("x.path")))).alias("y"))
+        best = cut(best) if least > threshold else best
+        found = best if found is None else found.unionByName(best)
+        open_ = open_.join(best, "a", "left_anti") if least > threshold else open_
+    return left.join(found, "a", "left").select("row_id", "y.note_id", F.round("y.score", 9).alias("score"))
 
 
 def reverse_best(ledger: DataFrame, notes: DataFrame, threshold: float, ratio=textnorm.ratio_levenshtein) -> DataFrame:
