@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusops.llm.common import texts, with_ids
+from corpusops.llm.common import join_hot, materialise, texts, with_ids
 
 CLASSES = ("lower", "upper", "digit", "space", "newline", "mark", "symbol", "other_script", "control")
 
@@ -27,8 +27,9 @@ GUARD_WORDS = 100  # nor a word histogram
 MAX_CLASS_DISTANCE = 0.25
 MAX_WORD_DISTANCE = 0.64
 COMMON_WORDS = 40  # words of a reference
-MAX_REFERENCES = 200  # languages with a reference of their own, by number of documents; the rest use that of all
+MAX_SENT = 1000  # languages whose references are sent to the workers, some 2 MB; of more, each row gets its own by a join
 FLUSH_WORDS = 200_000
+FLUSH_LANGUAGES = 10_000
 
 _SYMBOLS = "#*$%&|<>"
 
@@ -86,53 +87,63 @@ def duplicate_lines(text: str) -> int:
     return len(lines) - len(set(lines))
 
 
-def language_references(docs: DataFrame) -> tuple[dict, dict]:
-    """({language: class counts}, {language: {word: count}}) over all rows; key None: of the whole table.
+def language_references(docs: DataFrame) -> DataFrame:
+    """(lang, classes, names, counts): class counts and the COMMON_WORDS most used words of each language, over all rows.
 
-    At most MAX_REFERENCES languages of COMMON_WORDS words each, so it is small whatever the input's size.
+    classes follow CLASSES, names are by use. A row for every language in docs, of bounded size each.
     """
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[str, Counter] = {}
         classes: dict[str, np.ndarray] = {}
-        sizes: Counter = Counter()
+        words = 0
 
         def rows() -> pd.DataFrame:
             out = [(lang, "word", w.decode("utf-8", "replace"), n) for lang, c in held.items() for w, n in c.items()]
             out += [(lang, "class", name, int(x)) for lang, c in classes.items() for name, x in zip(CLASSES, c, strict=True)]
-            out += [(lang, "docs", "", n) for lang, n in sizes.items()]
-            for x in (held, classes, sizes):
-                x.clear()
+            held.clear()
+            classes.clear()
             return pd.DataFrame(out, columns=["lang", "kind", "name", "n"])
 
         for batch in batches:
             for lang, text in zip(batch["lang"], batch["text"], strict=True):
                 raw = text.encode("utf-8", "surrogatepass")
-                held.setdefault(lang, Counter()).update(raw.lower().split())
+                own = held.setdefault(lang, Counter())
+                words -= len(own)
+                own.update(raw.lower().split())
+                words += len(own)
                 classes[lang] = classes.get(lang, 0) + class_counts(raw)
-                sizes[lang] += 1
-                if len(held[lang]) > FLUSH_WORDS:
+                if words > FLUSH_WORDS or len(classes) > FLUSH_LANGUAGES:
                     yield rows()
+                    words = 0
         yield rows()
 
     per = docs.mapInPandas(count, "lang string, kind string, name string, n bigint").groupBy("lang", "kind", "name").agg(F.sum("n").alias("n"))
     # Ranked within salts first, so no task ranks a language's whole vocabulary.
     salted = Window.partitionBy("lang", "kind", F.pmod(F.xxhash64("name"), F.lit(64))).orderBy(F.desc("n"), "name")
     of_all = Window.partitionBy("lang", "kind").orderBy(F.desc("n"), "name")
-    top = per.withColumn("rank", F.row_number().over(salted)).where(F.col("rank") <= 4 * COMMON_WORDS)
-    top = top.withColumn("rank", F.row_number().over(of_all)).where((F.col("rank") <= 4 * COMMON_WORDS) | (F.col("kind") != "word"))
-    sizes = per.where("kind = 'docs'").select(F.col("lang").alias("big"), F.col("n").alias("docs")).orderBy(F.desc("docs"), "big").limit(MAX_REFERENCES)
-    got = top.join(F.broadcast(sizes), F.col("lang") == F.col("big")).select("lang", "kind", "name", "n").collect()
-    classes: dict = {}
-    words: dict = {}
-    for r in got:
-        if r["kind"] == "class":
-            classes.setdefault(r["lang"], np.zeros(len(CLASSES)))[CLASSES.index(r["name"])] = r["n"]
-        elif r["kind"] == "word":
-            words.setdefault(r["lang"], Counter())[r["name"].encode()] = r["n"]
-    classes[None] = sum(classes.values()) if classes else np.zeros(len(CLASSES))
-    words[None] = sum(words.values(), Counter())
-    return classes, {k: dict(sorted(c.items(), key=lambda x: (-x[1], x[0]))[:COMMON_WORDS]) for k, c in words.items()}
+    top = per.withColumn("rank", F.row_number().over(salted)).where(F.col("rank") <= COMMON_WORDS)
+    top = top.withColumn("rank", F.row_number().over(of_all)).where((F.col("rank") <= COMMON_WORDS) | (F.col("kind") != "word"))
+    common = F.sort_array(F.collect_list(F.when(F.col("kind") == "word", F.struct("rank", "name", "n"))))
+    sums = [F.coalesce(F.sum(F.when((F.col("kind") == "class") & (F.col("name") == c), F.col("n"))), F.lit(0)).alias(c) for c in CLASSES]
+    return top.groupBy("lang").agg(common.alias("common"), *sums).select("lang", F.array(*CLASSES).alias("classes"), F.col("common.name").alias("names"), F.col("common.n").alias("counts"))
+
+
+SENT = ("classes", "names", "counts")
+
+
+def with_references(rows: DataFrame, lang: str, references: DataFrame) -> tuple[DataFrame, dict]:
+    """(rows with the columns of SENT, {language: reference}).
+
+    Up to MAX_SENT languages the references go to the workers as the dictionary and the columns are null; where there are more
+    they come with their rows by a join, and the dictionary is empty. The verdicts are the same.
+    """
+    references = materialise(references)
+    empty = [F.lit(None).cast(references.schema[c].dataType).alias(c) for c in SENT]
+    if len(references.select("lang").take(MAX_SENT + 1)) <= MAX_SENT:
+        held = {r["lang"]: (r["classes"], r["names"], r["counts"]) for r in references.collect()}
+        return rows.select("*", *empty), held
+    return join_hot(rows, references.withColumnRenamed("lang", lang), lang), {}
 
 
 SCHEMA = (
@@ -142,21 +153,24 @@ SCHEMA = (
 
 
 class _Judge:
-    """Figures and verdict of one text, by the references."""
+    """Figures and verdict of one text, by its language's reference."""
+
+    def __init__(self, references: dict):
+        self.references = {lang: self._ready(*r) for lang, r in references.items()}
 
-    def __init__(self, classes: dict, words: dict):
-        self.classes = classes
-        self.words = {k: (list(c), np.array(list(c.values()), float)) for k, c in words.items()}
+    @staticmethod
+    def _ready(classes, names, counts) -> tuple:
+        return np.asarray(classes, float), [w.encode() for w in names], np.asarray(counts, float)
 
-    def __call__(self, text: str, lang: str) -> tuple:
+    def __call__(self, text: str, lang: str, *own) -> tuple:
         raw = text.encode("utf-8", "surrogatepass")
         tokens = raw.split()
         n, repeats = len(tokens), repeated_words(tokens)
         failed = n < MIN_WORDS or 100 * repeats > MAX_REPEAT_PERCENT * n
         by_class = by_word = None
+        classes, names, want = self.references[lang] if lang in self.references else self._ready(*own)
         if len(text) >= GUARD_CHARS:
-            by_class = distance(class_counts(raw), self.classes.get(lang, self.classes[None]))
-        names, want = self.words.get(lang, self.words[None])
+            by_class = distance(class_counts(raw), classes)
         if n >= GUARD_WORDS and len(names):
             have = Counter(raw.lower().split())
             by_word = distance(np.array([have.get(w, 0) for w in names], float), want)
@@ -170,31 +184,33 @@ def judge_quality(docs: DataFrame) -> DataFrame:
 
     Columns doc_id, text and lang are used; others are ignored. n_words, word_chars, n_symbols, n_dup_lines,
     n_repeat_words; base_failed (fewer than MIN_WORDS words, or more than MAX_REPEAT_PERCENT % in repeated windows);
-    class_distance and word_distance, null below the length guards or without a reference; kept is false where
+    class_distance and word_distance, null below the length guards; kept is false where
     base_failed or a distance is over its limit. Null and empty texts have no words and fail. A null language is a
-    language of its own. Repeated rows each give a row; an empty table gives an empty table.
+    language of its own. Every language has its reference, however many there are. Repeated rows each give a row; an
+    empty table gives an empty table.
     """
     source = texts(docs, "lang")
-    references = language_references(source.select("text", "lang"))
+    source, references = with_references(source, "lang", language_references(source.select("text", "lang")))
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        judged = _Judge(*references)
+        judged = _Judge(references)
         names = [x.split()[0] for x in SCHEMA.split(", ")]
         for batch in batches:
-            rows = [(i, *judged(text, lang)) for i, text, lang in zip(batch["doc_id"], batch["text"], batch["lang"], strict=True)]
+            rows = [(i, *judged(*rest)) for i, *rest in zip(*[batch[c] for c in ("doc_id", "text", "lang", *SENT)], strict=True)]
             yield pd.DataFrame(rows, columns=names).astype({"class_distance": float, "word_distance": float})
 
     return with_ids(source.mapInPandas(judge, SCHEMA))
 
 
 def keep_quality(docs: DataFrame) -> DataFrame:
-    """The rows of docs that judge_quality keeps, as they are; no row is moved."""
-    references = language_references(texts(docs, "lang").select("text", "lang"))
+    """The rows of docs that judge_quality keeps, as they are; no row is moved where the references can be sent."""
+    source = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce("lang", F.lit("")).alias("lang"))
+    source, references = with_references(source, "lang", language_references(texts(docs, "lang").select("text", "lang")))
 
     @F.pandas_udf("boolean")
-    def kept(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        judged = _Judge(*references)
-        for texts, langs in batches:
-            yield pd.Series([judged(text, lang)[6] for text, lang in zip(texts, langs, strict=True)], dtype=bool)
+    def kept(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        judged = _Judge(references)
+        for columns in batches:
+            yield pd.Series([judged(*x)[6] for x in zip(*columns, strict=True)], dtype=bool)
 
-    return docs.where(kept(F.coalesce("text", F.lit("")), F.coalesce("lang", F.lit(""))))
+    return source.where(kept(F.coalesce("row.text", F.lit("")), "lang", *SENT)).select("row.*")

@@ -94,6 +94,54 @@ def test_quality_rules(spark, docs, none, sf_dir):
     assert quality_rules.judge_quality(none).count() == 0 and quality_rules.keep_quality(none).count() == 0
 
 
+def _divergence(have, want):
+    a, b = sum(have), sum(want)
+    p, q = [x / a if a else 0 for x in have], [x / b if b else 0 for x in want]
+    mean = [(x + y) / 2 for x, y in zip(p, q)]
+    return math.sqrt(max(0, sum(x * math.log2(x / m) for s in (p, q) for x, m in zip(s, mean) if x) / 2))
+
+
+def _char_class(c):
+    if ord(c) > 127:
+        return "other_script"
+    kinds = {"space": " \t\r", "newline": "\n", "mark": ".,;:!?'\"()-"}
+    for name, chars in kinds.items():
+        if c in chars:
+            return name
+    if ord(c) < 32 or ord(c) == 127:
+        return "control"
+    return "lower" if c.islower() else "upper" if c.isupper() else "digit" if c.isdigit() else "symbol"
+
+
+@pytest.mark.parametrize("sent", [1000, 1])
+def test_quality_distances(spark, docs, sf_dir, monkeypatch, sent):
+    """Distances and verdicts against plain counts, with the references sent and joined."""
+    monkeypatch.setattr(quality_rules, "MAX_SENT", sent)
+    source = small(spark, sf_dir, 200).select("doc_id", "text", "lang").unionByName(docs.select("doc_id", "text", "lang"))
+    texts = [(r["doc_id"], r["text"] or "", r["lang"] or "") for r in source.collect()]
+    split = lambda t: re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t))
+    classes, words = {}, {}
+    for _, text, lang in texts:
+        classes.setdefault(lang, Counter()).update(map(_char_class, text))
+        words.setdefault(lang, Counter()).update(split(text))
+    common = {k: sorted(c.items(), key=lambda x: (-x[1], x[0].encode()))[: quality_rules.COMMON_WORDS] for k, c in words.items()}
+    want = []
+    for i, text, lang in texts:
+        by_class = by_word = None
+        if len(text) >= quality_rules.GUARD_CHARS:
+            own = Counter(map(_char_class, text))
+            by_class = _divergence([own[c] for c in quality_rules.CLASSES], [classes[lang][c] for c in quality_rules.CLASSES])
+        if len(split(text)) >= quality_rules.GUARD_WORDS:
+            own = Counter(split(text))
+            by_word = _divergence([own[w] for w, _ in common[lang]], [n for _, n in common[lang]])
+        far = (by_class or 0) > quality_rules.MAX_CLASS_DISTANCE or (by_word or 0) > quality_rules.MAX_WORD_DISTANCE
+        want.append((i, *(None if x is None else round(x, 9) for x in (by_class, by_word)), not _plain_quality(text)[5] and not far))
+    got = rows(quality_rules.judge_quality(source))
+    plain = lambda x: None if x is None or x != x else round(x, 9)
+    assert sorted(((r["doc_id"], plain(r["class_distance"]), plain(r["word_distance"]), r["kept"]) for r in got), key=repr) == sorted(want, key=repr)
+    assert any(w[2] is not None for w in want) and Counter(w[0] for w in want if w[3]) == Counter(r["doc_id"] for r in quality_rules.keep_quality(source).collect())
+
+
 def test_distance():
     p, q = np.array([1.0, 0, 3]), np.array([0, 2.0, 2])
     m = (p / 4 + q / 4) / 2
