@@ -162,7 +162,7 @@ def fetch_results(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tag_alias(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chain = _spark(table(spark, sf_dir, "part").where("p_partkey > 0 and p_partkey < 64"), _alias)
+    chain = _spark(table(spark, sf_dir, "part").where("p_partkey > 0"), _alias)
     return chain.unionByName(spark.createDataFrame(MORE_ALIASES, "ord long, alias string, canonical string"))
 
 
@@ -182,6 +182,6 @@ def duck_views() -> str:
     listed AS (SELECT * FROM {_duck('(SELECT * FROM ledger WHERE row_id % 4 <> 0 OR row_id % 8 = 0)', _listing)}),
     file_listing AS (SELECT path FROM listed UNION SELECT spaced FROM listed WHERE k % 29 = 0),
     fetch_results AS (SELECT * FROM {_duck('pages', _fetch)}),
-    tag_alias AS (SELECT * FROM {_duck('(SELECT * FROM part WHERE p_partkey > 0 AND p_partkey < 64)', _alias)} UNION ALL VALUES {_values(MORE_ALIASES)}),
+    tag_alias AS (SELECT * FROM {_duck('(SELECT * FROM part WHERE p_partkey > 0)', _alias)} UNION ALL VALUES {_values(MORE_ALIASES)}),
     state_rules(from_state, to_state) AS (VALUES {_values(STATE_RULES)})
     """
