@@ -33,7 +33,7 @@ SPARK, DUCK = Dialect(False), Dialect(True)
 
 def _notes(d: Dialect) -> list[list[str]]:
     head = f"trim(substr(trim({d.replace('text', '[^A-Za-z0-9]+', ' ')}), 1, 60))"
-    plain = d.replace("substr(text, 1, 300)", r"[#>|\-*]", "")
+    plain = d.replace("text", r"[#>|\-*]", "")
     return [
         [
             "doc_id AS k", "lang", f"{head} AS head", f"{plain} AS plain", "2020 + doc_id % 6 AS year",
