@@ -6,7 +6,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Fixed character class of the words that white space bounds: space and U+0009 to U+000D.
@@ -103,3 +103,24 @@ def join_hot(rows: DataFrame, keyed: DataFrame, key: str) -> DataFrame:
         return rows.join(keyed, key, "left")
     is_hot = F.col(key).isin(hot)
     return rows.where(~is_hot).join(keyed, key, "left").unionByName(rows.where(is_hot).join(F.broadcast(keyed.where(is_hot)), key, "left"))
+
+
+def running(df: DataFrame, by: list[str], order: list[str], values: list[str]) -> DataFrame:
+    """df with NAME_before and NAME_all for each of values: its sum over the earlier rows of the group, and over the whole group.
+
+    Rows are dealt into ranges by group and order, so a group of any size is spread over many tasks; each range is summed alone
+    and shifted by the sums of the ranges before, of which a group has at most as many as there are partitions. Rows that are
+    equal in all of order are told apart by where they stand, so they spread, too. Columns of by hold no null; without any, the
+    whole table is one group. Send slim rows: all of df is shuffled.
+    """
+    keys = [*by, "_range"]
+    dealt = df.withColumn("_tie", F.monotonically_increasing_id()).repartitionByRange(*by, *order, "_tie").withColumn("_range", F.spark_partition_id())
+    dealt = materialise(dealt)  # sums and rows must see the same ranges
+    sums = dealt.groupBy(*keys).agg(*[F.sum(v).alias(v) for v in values])
+    earlier = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    whole = [F.sum(v).over(Window.partitionBy(*by)).alias(f"{v}_all") for v in values]
+    sums = sums.select(*keys, *[F.coalesce(F.sum(v).over(earlier), F.lit(0)).alias(f"{v}_shift") for v in values], *whole)
+    inside = Window.partitionBy(*keys).orderBy(*order, "_tie").rowsBetween(Window.unboundedPreceding, -1)
+    rows = dealt.select("*", *[F.coalesce(F.sum(v).over(inside), F.lit(0)).alias(f"{v}_inside") for v in values]).join(sums, keys)
+    before = [(F.col(f"{v}_inside") + F.col(f"{v}_shift")).alias(f"{v}_before") for v in values]
+    return rows.select(*df.columns, *before, *[f"{v}_all" for v in values])

@@ -6,7 +6,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusops.llm import bloom_lm, byte_bpe, harmonic_packing, license_scan, line_dedup, mil_classifier, order_minhash, quality_rules, sharding, simhash_dedup
+from corpusops.llm import (
+    bloom_lm, byte_bpe, collocations, harmonic_packing, license_scan, line_dedup, merkle_manifest, mil_classifier, order_minhash, quality_rules, sharding,
+    simhash_dedup, source_mix,
+)
 from corpusops.llm.common import table
 
 
@@ -56,9 +59,24 @@ def op10_mil_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mil_classifier.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine_collocations(table(spark, sf_dir, "documents"))
+
+
+def op12_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_mix.plan_mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle_manifest.verify_rows(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_license_scan, op2_quality_rules, op3_extendible_sharding, op4_harmonic_packing, op5_bloom_lm, op6_order_minhash,
     op7_byte_bpe, op8_simhash_dedup,
-    op9_line_dedup, op10_mil_classifier,
+    op9_line_dedup, op10_mil_classifier, op11_collocations, op12_source_mix, op13_merkle_manifest,
 )}
-ORACLES = {"op1_license_scan": license_scan.oracle(), "op3_extendible_sharding": sharding.oracle()}
+ORACLES = {
+    "op1_license_scan": license_scan.oracle(), "op3_extendible_sharding": sharding.oracle(), "op11_collocations": collocations.oracle(),
+    "op12_source_mix": source_mix.oracle(),
+}
