@@ -1,8 +1,10 @@
 """Mixing sources to target weights by systematic sampling.
 
 A source's documents expect the same number of copies each, its target by its size. In an order by size, the expected copies are
-summed up, one random offset is added, and a document is emitted once for each integer that the sum crosses at it. Sums are ranks
-times a fraction of whole numbers, so boundaries are exact at any size and no source takes more than its limit.
+summed up, one random offset is added, and a document is emitted once for each integer that the sum crosses at it. Whole
+documents miss the target by less than the largest; the documents that are small beside what is missing are then drawn again, with
+the copies that they are to make up for it. Sums are ranks times a fraction of whole numbers, so boundaries are exact at any size
+and no document is taken more often than its limit.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ WEIGHTS = (5, 2, 1)
 LIMIT = 3
 
 STEPS = 65536  # places that an offset can have between two integers
+ROUNDS = 3  # draws: of all documents, then twice of those that are at most half of what is missing
 OFFSETS = 16  # places that are tried for each source's offset, evenly from its random one; the nearest sum to the target is taken
 
 _NONE = "~"  # key of a null source; others begin with a space, so it is the last
@@ -67,9 +70,9 @@ def _offset(key: Column, turn: Column | int) -> Column:
 
 
 def _copies(offset: str) -> str:
-    """Integers crossed between rank and next, each times num / (den * source_size) and moved by the offset."""
-    share = f"({_whole('den', 10)} * {_whole('source_size', 16)})"
-    crossed = [f"(({_whole(rank, 12)} * num * {STEPS} + {_whole(offset, 6)} * {share}) div ({share} * {STEPS}))" for rank in ("next", "rank")]
+    """Integers crossed between rank and the next, counted from the first that is drawn, each times num / (den * space) and moved by the offset."""
+    share = f"({_whole('den', 10)} * {_whole('space', 16)})"
+    crossed = [f"(({_whole(rank, 12)} * num * {STEPS} + {_whole(offset, 6)} * {share}) div ({share} * {STEPS}))" for rank in ("rank - first + 1", "rank - first")]
     return f"{crossed[0]} - {crossed[1]}"
 
 
@@ -78,8 +81,8 @@ def plan_mix(docs: DataFrame) -> DataFrame:
 
     size: words between white space. copies: integers that the expected copies, summed within the source from the largest
     document to the smallest, cross at this one; at most LIMIT. The offset is drawn from the source's name, so reruns agree; of
-    OFFSETS even shifts of it the one whose words come nearest to the target is used, the first of equals. What a source takes
-    is then off by less than its largest document, and by all of it only where a source has a document or two.
+    OFFSETS even shifts of it the one whose words come nearest to the target is used, the first of equals. Each further round
+    leaves at most half of what was missing, unless the small documents are used up.
 
     Null texts have no words; a null source is one of its own, the last. Documents without words have copies too, of nothing; in
     a source without words none has. Documents of equal size go by the hash of their id and then by their text's, rows equal in
@@ -90,18 +93,32 @@ def plan_mix(docs: DataFrame) -> DataFrame:
     goals = materialise(targets(sizes))
     order = [(-F.col("size")).alias("least"), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))).alias("tie")]
     ranked = running(sizes.select("*", F.lit(1).cast("bigint").alias("one"), *order), ["key"], ["least", "tie", "text_hash"], ["one"])
-    ranked = materialise(ranked.select("key", "doc_id", "size", "text_hash", F.col("one_before").alias("rank"), (F.col("one_before") + 1).alias("next")))
-
-    tried = join_hot(ranked, goals, "key").where("source_size > 0")
-    for j in range(OFFSETS):
-        tried = tried.withColumn(f"o{j}", _offset(F.col("key"), j))
-    sums = tried.groupBy("key", "num", "den").agg(*[F.sum(F.expr(_copies(f"o{j}")) * F.col("size")).alias(f"s{j}") for j in range(OFFSETS)])
-    off = [F.struct(F.expr(f"abs({_whole(f's{j}')} * den - num)").alias("off"), F.lit(j).alias("turn")) for j in range(OFFSETS)]
-    offsets = sums.select("key", _offset(F.col("key"), F.array_min(F.array(*off))["turn"]).alias("offset"))
-    placed = join_hot(ranked, materialise(goals.join(offsets, "key", "left")), "key")
-    copies = F.when(F.col("source_size") > 0, F.expr(_copies("offset"))).otherwise(F.lit(0).cast("bigint"))
+    ranked = materialise(ranked.select("key", "doc_id", "size", "text_hash", F.col("one_before").alias("rank")))
+
+    rows, out = ranked, None
+    draw = goals.withColumns({"space": F.col("source_size"), "first": F.lit(0).cast("bigint")})
+    for turn in range(ROUNDS):
+        tried = join_hot(rows, draw, "key").where("space > 0")
+        for j in range(OFFSETS):
+            tried = tried.withColumn(f"o{j}", _offset(F.col("key"), j))
+        sums = tried.groupBy("key", "num", "den").agg(*[F.sum(F.expr(_copies(f"o{j}")) * F.col("size")).alias(f"s{j}") for j in range(OFFSETS)])
+        off = [F.struct(F.expr(f"abs({_whole(f's{j}')} * den - num)").alias("off"), F.lit(j).alias("turn")) for j in range(OFFSETS)]
+        nearest = sums.select("key", F.array_min(F.array(*off)).alias("x")).select("key", _offset(F.col("key"), F.col("x.turn")).alias("offset"), F.col("x.off").alias("off"))
+        draw = materialise(draw.join(nearest, "key", "left"))
+        drawn = join_hot(rows, draw, "key").withColumn("copies", F.when(F.col("space") > 0, F.expr(_copies("offset"))).otherwise(F.lit(0).cast("bigint")))
+        small = F.expr(f"space > 0 and {_whole('size', 16)} * 2 * den <= off") if turn < ROUNDS - 1 else F.lit(False)
+        drawn = materialise(drawn.select(*ranked.columns, "source_size", "target", "copies", small.alias("small")))
+        done = drawn.where("not small").drop("small")
+        out = done if out is None else out.unionByName(done)
+        if turn < ROUNDS - 1:
+            big, words = F.expr("not small"), F.col("copies") * F.col("size")
+            left = drawn.groupBy("key").agg(F.count(F.when(big, 1)).alias("bigs"), F.coalesce(F.sum(F.when(big, words)), F.lit(0)).alias("has"), F.coalesce(F.sum(F.when(~big, F.col("size"))), F.lit(0)).alias("space"))
+            most = f"{_whole('den', 10)} * space * {LIMIT}"
+            num = F.expr(f"cast(greatest(0, least(num - {_whole('has', 16)} * den, {most})) as decimal(20, 0))")
+            draw = draw.drop("space", "offset", "off").join(left, "key").withColumns({"num": num, "first": F.col("first") + F.col("bigs")}).drop("bigs", "has")
+            rows = drawn.where("small").select(*ranked.columns)
     source = F.when(F.col("key") != _NONE, F.substring("key", 2, 2**31 - 1))
-    return placed.select("doc_id", source.alias("source"), "text_hash", "size", "source_size", "target", copies.alias("copies"))
+    return out.select("doc_id", source.alias("source"), "text_hash", "size", "source_size", "target", "copies")
 
 
 def mix(docs: DataFrame) -> DataFrame:
@@ -122,8 +139,32 @@ def mix(docs: DataFrame) -> DataFrame:
 def oracle() -> str:
     """The same in DuckDB, with targets reshared in rounds, one for each source."""
     turns = " ".join(f"when {i} then {w}" for i, w in enumerate(WEIGHTS))
-    crossed = lambda rank, o: f"(({rank})::hugeint * num * {STEPS} + ({o})::hugeint * den * source_size) // (den::hugeint * source_size * {STEPS})"
-    offset = lambda j: f"(('0x' || substr(md5(key), 1, 4))::bigint + {j} * {STEPS // OFFSETS}) % {STEPS}"
+    crossed = lambda rank, o: f"(({rank})::hugeint * num * {STEPS} + ({o})::hugeint * den * space) // (den::hugeint * space * {STEPS})"
+    copies = lambda o: f"({crossed('rank - first + 1', o)} - {crossed('rank - first', o)})"
+    offset = "(('0x' || substr(md5(r.key), 1, 4))::bigint + j * {step}) % {steps}".format(step=STEPS // OFFSETS, steps=STEPS)
+
+    def drawn(i: int) -> str:
+        last = i == ROUNDS - 1
+        ask = f"""
+, tried{i} as (
+  select r.key, j, {offset} o, abs(sum({copies(offset)} * size)::hugeint * any_value(den) - any_value(num)) off
+  from rows{i} r join draw{i} d on d.key = r.key, (select unnest(range({OFFSETS})) j) where space > 0 group by r.key, j
+), best{i} as (
+  select key, o, off from (select *, row_number() over (partition by key order by off, j) pick from tried{i}) where pick = 1
+), drawn{i} as (
+  select r.doc_id, r.key, r.size, r.source_size, r.target, r.rank, case when space > 0 then {copies("o")} else 0 end copies,
+    {"false" if last else "coalesce(space > 0 and size::hugeint * 2 * den <= off, false)"} as small
+  from rows{i} r join draw{i} d on d.key = r.key left join best{i} b on b.key = r.key
+)"""
+        return ask if last else ask + f""", left{i} as (
+  select key, count(*) filter (not small) bigs, coalesce(sum(copies * size) filter (not small), 0)::hugeint has, coalesce(sum(size) filter (small), 0)::hugeint space
+  from drawn{i} group by key
+), draw{i + 1} as (
+  select d.key, greatest(0, least(num - has * den, den::hugeint * l.space * {LIMIT})) num, den, l.space, first + bigs as first from draw{i} d join left{i} l on l.key = d.key
+), rows{i + 1} as (
+  select * exclude (copies, small) from drawn{i} where small
+)"""
+
     return rf"""
 with recursive sizes as (
   select coalesce(' ' || source, '{_NONE}') as key, doc_id, len(regexp_extract_all(coalesce(text, ''), '[^{SPACES}]+'))::bigint size from documents
@@ -141,14 +182,11 @@ with recursive sizes as (
   select key, source_size, case when stops then {LIMIT} * source_size::hugeint else weight * rest end num, case when stops then 1 else weights end den
   from rounds where round = (select max(round) from rounds)
 ), ranked as (
-  select s.*, g.* exclude (key), row_number() over (partition by s.key order by size desc, md5(coalesce(doc_id::varchar, '-'))) - 1 rank
+  select s.*, source_size, num::double / den::double target, row_number() over (partition by s.key order by size desc, md5(coalesce(doc_id::varchar, '-'))) - 1 rank
   from sizes s join goals g on g.key = s.key
-), tried as (
-  select key, j, abs(sum(({crossed('rank + 1', offset('j'))} - {crossed('rank', offset('j'))}) * size)::hugeint * any_value(den) - any_value(num)) off
-  from ranked, (select unnest(range({OFFSETS})) j) where source_size > 0 group by key, j
-), best as (
-  select key, {offset('j')} o from (select *, row_number() over (partition by key order by off, j) pick from tried) where pick = 1
-)
-select doc_id, size, source_size, num::double / den::double target,
-  case when source_size > 0 then (({crossed('rank + 1', 'o')} - {crossed('rank', 'o')}) * size)::bigint else 0 end taken
-from ranked left join best using (key)"""
+), rows0 as (
+  select * from ranked
+), draw0 as (
+  select key, num::hugeint num, den, source_size space, 0::bigint as first from goals
+){"".join(drawn(i) for i in range(ROUNDS))}
+select doc_id, size, source_size, target, (copies * size)::bigint taken from ({" union all ".join(f"select * from drawn{i} where not small" for i in range(ROUNDS))})"""

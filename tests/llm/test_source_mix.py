@@ -41,14 +41,20 @@ def _plain(rows):
         tie = lambda d: hashlib.md5(("-" if d[0] is None else str(d[0])).encode()).hexdigest()
         mine = sorted((d for d in docs if d[1] == s), key=lambda d: (-d[2], tie(d)))
         first = int(hashlib.md5(("~" if s is None else " " + s).encode()).hexdigest()[:4], 16)
-        rate = target / sizes[s] if sizes[s] else 0
-        draws = []
-        for j in range(16):
-            u = Fraction((first + j * 4096) % 65536, 65536)
-            copies = [math.floor((i + 1) * rate + u) - math.floor(i * rate + u) for i in range(len(mine))]
-            draws.append((abs(sum(c * d[2] for c, d in zip(copies, mine)) - target), j, copies))
-        copies = min(draws)[2] if sizes[s] else [0] * len(mine)
-        out += [(d[0], d[2], sizes[s], float(target), c * d[2]) for d, c in zip(mine, copies)]
+        goal = target
+        for last in (False, False, True):
+            space = sum(d[2] for d in mine)
+            rate = min(Fraction(3), max(Fraction(0), Fraction(target) / space)) if space else 0
+            draws = []
+            for j in range(16):
+                u = Fraction((first + j * 4096) % 65536, 65536)
+                copies = [math.floor((i + 1) * rate + u) - math.floor(i * rate + u) for i in range(len(mine))]
+                draws.append((abs(sum(c * d[2] for c, d in zip(copies, mine)) - rate * space), j, copies))
+            off, _, copies = min(draws) if space else (0, 0, [0] * len(mine))
+            big = [last or not space or 2 * d[2] > off for d in mine]
+            out += [(d[0], d[2], sizes[s], float(goal), c * d[2]) for d, c, b in zip(mine, copies, big) if b]
+            target -= sum(c * d[2] for d, c, b in zip(mine, copies, big) if b)
+            mine = [d for d, b in zip(mine, big) if not b]
     return sorted(out, key=repr)
 
 
