@@ -1,8 +1,9 @@
 """Phrase collocations by top-order marginalisation.
 
 Every word starts one window: itself and the three words that follow it in its piece, padded where the piece ends. Only these
-longest windows are counted. All shorter phrases are their prefixes, so a ROLLUP over the counted windows sums them; no text is
-exploded again for pairs or triples.
+longest windows are counted. All shorter phrases are their prefixes, so a ROLLUP over the counted windows sums them; no phrase is
+counted on its own. So that not every rare window is shuffled, windows are padded from the first pair of words that is too rare for
+any candidate, too.
 """
 
 from __future__ import annotations
@@ -23,29 +24,51 @@ LEAST = 30  # occurrences that a candidate has at least
 COVER = 80  # percent of a phrase's occurrences in a longer candidate that make it a part of that
 SCALE = 2_000_000
 TOP = 2000  # phrases of each language in the report
+SENT = 4_000_000  # hashes of frequent pairs that are sent to the workers: 32 MB of numbers
 SALTS = 64  # parts of a language that are ranked alone before the whole
 
 _WORDS = [f"w{i}" for i in range(LONGEST)]
 _PAD = ""  # no word is empty
 
 
-def windows(docs: DataFrame) -> DataFrame:
-    """(lang, w0..w3): the window that each word starts, padded with empty strings at the end of its piece."""
-    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+def windows(docs: DataFrame, longest: int = LONGEST) -> DataFrame:
+    """(lang, w0, w1, ...): the window of words that each word starts, padded with empty strings at the end of its piece."""
+    upper, names = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", _WORDS[:longest]
     marked = F.translate(F.coalesce("text", F.lit("")), f"{upper}\t{PIECE_ENDS}", f"{upper.lower()} {'\n' * len(PIECE_ENDS)}")
     words = docs.select(F.coalesce("lang", F.lit(UNKNOWN)).alias("lang"), F.split(F.replace(marked, F.lit("\n"), F.lit(" \n ")), " +").alias("x"))
-    lead = [F.col("x"), *[F.slice("x", i + 1, F.size("x")) for i in range(1, LONGEST)]]
-    each = words.select("lang", F.inline(F.arrays_zip(*[c.alias(w) for c, w in zip(lead, _WORDS, strict=True)])))
-    each = each.toDF("lang", *_WORDS).where("w0 <> '' and w0 <> '\n'")
-    for before, w in zip(_WORDS, _WORDS[1:]):
+    lead = [F.col("x"), *[F.slice("x", i + 1, F.size("x")) for i in range(1, longest)]]
+    each = words.select("lang", F.inline(F.arrays_zip(*[c.alias(w) for c, w in zip(lead, names, strict=True)])))
+    each = each.toDF("lang", *names).where("w0 <> '' and w0 <> '\n'")
+    for before, w in zip(names, names[1:]):
         ended = F.lit(False) if before == "w0" else F.col(before) == _PAD
         each = each.withColumn(w, F.when(ended | F.col(w).isNull() | (F.col(w) == "\n"), F.lit(_PAD)).otherwise(F.col(w)))
     return each
 
 
+def _pair(a: str, b: str) -> Column:
+    return F.xxhash64("lang", a, b)
+
+
+def _cut_short(each: DataFrame, docs: DataFrame, least: int) -> DataFrame:
+    """Windows up to their first pair of words that occurs too seldom: no phrase over it can occur often enough.
+
+    Pairs are told apart by a hash of 64 bits; equal hashes only leave a window longer than need be. Where more pairs than SENT are
+    frequent, windows stay as they are; the counts of frequent phrases are the same either way.
+    """
+    pairs = windows(docs, 2).where(F.col("w1") != _PAD).groupBy(_pair("w0", "w1").alias("pair")).agg(F.count("*").alias("n"))
+    often = materialise(pairs.where(F.col("n") >= least).select("pair"))
+    if often.count() > SENT:
+        return each
+    for before, w in zip(_WORDS, _WORDS[1:]):
+        known = F.broadcast(often.select(F.col("pair").alias("key"), F.lit(True).alias("known")))
+        kept = F.col("known") if before == "w0" else F.col("known") & (F.col(before) != _PAD)
+        each = each.join(known, _pair(before, w) == F.col("key"), "left").withColumn(w, F.when(kept, F.col(w)).otherwise(F.lit(_PAD))).drop("key", "known")
+    return each
+
+
 def phrase_counts(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """(lang, phrase, size, f): every phrase of up to four words that occurs ``least`` times or more, and each language's words as size 0."""
-    counted = windows(docs).groupBy("lang", *_WORDS).agg(F.count("*").alias("f"))
+    counted = materialise(_cut_short(windows(docs), docs, least).groupBy("lang", *_WORDS).agg(F.count("*").alias("f")))
     shorter = counted.rollup("lang", *_WORDS[:-1]).agg(F.sum("f").alias("f"), F.grouping_id().alias("rolled"))
     # The grouping id has a bit for each column that is summed away: 0 for three words, 1 for two, 3 for one, 7 for a language, 15 for all.
     size = reduce(lambda c, n: c.when(F.col("rolled") == (1 << (LONGEST - 1 - n)) - 1, n), range(LONGEST), F)
