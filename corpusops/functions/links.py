@@ -19,7 +19,7 @@ def absolute_url(link: Column, page_url: Column) -> Column:
     return F.when(link.startswith("http"), link).when(link.startswith("/"), F.concat(site, link)).otherwise(F.concat(site, F.lit("/"), link))
 
 
-DOI = r"(10\.\d{4,9}/[-._;()/:A-Za-z0-9]+)"
+DOI = r"""(10\.\d{4,9}/[^"'\s<>]+)"""
 ARXIV = r"arxiv\.org/(?:abs|pdf)/(\d{4}\.\d{4,5})"
 IEEE = r"ieee\.org/document/(\d+)"
 
@@ -37,14 +37,19 @@ def ieee_number(text: Column) -> Column:
 
 
 def meta_content(html: Column, name: str) -> Column:
-    return F.nullif(F.regexp_extract(html, rf"""<meta[^>]*name=["']{name}["'][^>]*content=["']([^"']+)["']""", 1), F.lit(""))
+    return F.nullif(F.trim(F.regexp_extract(html, rf"""(?i)<meta[^>]*name=["']{name}["'][^>]*content=["']([^"']+)["']""", 1)), F.lit(""))
 
 
-def first_candidate(html: Column, suffix: str) -> Column:
-    """First link with the suffix, else the page's paper link, else its DOI as a web address, else a DOI in the text as one."""
+def first_candidate(html: Column, suffix: str, page_url: Column | None = None, meta_first: bool = False) -> Column:
+    """First link with the suffix, absolute where the page's address is given, else the page's paper link, else its DOI as a web address, else a DOI in the text as one.
+
+    meta_first: the paper link comes before other links, as for a page that a browser has rendered.
+    """
+    link = F.get(page_links(html, suffix), 0)
+    link = link if page_url is None else F.when(link.isNotNull(), absolute_url(link, page_url))
+    steps = [link, meta_content(html, "citation_pdf_url")]
     return F.coalesce(
-        F.get(page_links(html, suffix), 0),
-        meta_content(html, "citation_pdf_url"),
+        *(steps[::-1] if meta_first else steps),
         F.concat(F.lit("https://doi.org/"), meta_content(html, "citation_doi")),
         F.concat(F.lit("https://doi.org/"), doi(html)),
     )

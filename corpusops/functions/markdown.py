@@ -52,6 +52,13 @@ def section_text(text: Column, header: str) -> Column:
     return F.trim(F.regexp_replace(found, r"\A\n+|\n+\z", ""))
 
 
+def summary_text(text: Column) -> Column:
+    """The section headed Abstract, else the lines that hold ``Summary``, or ``abstract`` in any case; empty without any."""
+    section = section_text(body(text), "Abstract")
+    lines = F.filter(F.split(body(text), "\n"), lambda x: x.contains("Summary") | F.lower(x).contains("abstract"))
+    return F.when(section != "", section).otherwise(F.array_join(lines, "\n"))
+
+
 def callout_block(text: Column) -> Column:
     """The lines that begin with ``>``, from the first abstract callout on; empty without one."""
     return F.regexp_extract(text, r"(?m)^> \[!abstract\][^\n]*(?:\n>[^\n]*)*", 0)

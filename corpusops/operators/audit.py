@@ -58,23 +58,58 @@ def missing_markers(text: Column, markers: list[str], mode: str = "regex") -> Co
     return F.array_compact(F.array(*[F.when(~found(m), F.lit(m)) for m in markers]))
 
 
-def audit_reasons(text: Column, title: Column) -> Column:
-    """Reasons why a note fails, in rule order; empty for a sound one."""
-    heading = markdown.first_heading(text)
-    keys = missing_keys(markdown.front_matter_keys(text))
-    second = markdown.section_text(text, "Part II:")
-    rules = [
-        (~markdown.has_front_matter(text), F.lit("no front matter")),
-        (markdown.has_front_matter(text) & (F.size(keys) > 0), F.concat(F.lit("missing keys: "), F.array_join(keys, ","))),
-        (heading.isNull(), F.lit("no heading")),
-        (heading.isNotNull() & ~F.lower(heading).contains(F.lower(title)), F.lit("heading without title")),
-        (~text.contains("**Links**"), F.lit("no quick links")),
-        (F.size(missing_markers(text, PARTS)) > 0, F.concat(F.lit("missing parts: "), F.array_join(missing_markers(text, PARTS), ","))),
-        (~(second.contains("Input") & second.contains("Output")), F.lit("no input and output")),
-        (~second.rlike(r"(?i)\bstep\b"), F.lit("no steps")),
-        (~markdown.has_numeric_signal(second), F.lit("no numbers")),
-    ]
-    return F.array_compact(F.array(*[F.when(when, reason) for when, reason in rules]))
+#: The rules of a sound note, in order: (kind, argument, section, reason). A section is that under the heading which holds the words;
+#: an empty one is the whole note. ``{}`` in a reason stands for what is missing.
+AUDIT_RULES = [
+    ("front matter", "", "", "no front matter"),
+    ("keys", ",".join(REQUIRED_KEYS), "", "missing keys: {}"),
+    ("heading", "", "", "no heading"),
+    ("title in heading", "", "", "heading without title"),
+    ("contains", "**Links**", "", "no quick links"),
+    ("parts", ",".join(PARTS), "", "missing parts: {}"),
+    ("contains", "Input,Output", "Part II:", "no input and output"),
+    ("matches", r"(?i)\bstep\b", "Part II:", "no steps"),
+    ("numbers", "", "Part II:", "no numbers"),
+]
+
+
+def _lacking(kind: str, argument: str, c: Column, title: Column) -> Column:
+    """What a text lacks by a rule, as an array: empty where it has all."""
+    heading, words = markdown.first_heading(c), [w.strip() for w in argument.split(",") if w.strip()]
+    none, one = F.array().cast("array<string>"), F.array(F.lit(argument))
+    listed = {
+        "keys": lambda: F.when(markdown.has_front_matter(c), missing_keys(markdown.front_matter_keys(c), words)).otherwise(none),
+        "contains": lambda: missing_markers(c, words, "contains"),
+        "parts": lambda: missing_markers(c, words, "regex"),
+    }
+    if kind in listed:
+        return listed[kind]()
+    holds = {
+        "front matter": lambda: markdown.has_front_matter(c),
+        "heading": lambda: heading.isNotNull(),
+        "title in heading": lambda: heading.isNull() | F.lower(heading).contains(F.lower(title)),
+        "matches": lambda: c.rlike(argument),
+        "lacks": lambda: ~c.rlike(argument),
+        "numbers": lambda: markdown.has_numeric_signal(c),
+    }
+    if kind not in holds:
+        raise ValueError(f"unknown kind of rule: {kind}")
+    return F.when(holds[kind](), none).otherwise(one)
+
+
+def audit_reasons(text: Column, title: Column, rules: list[tuple[str, str, str, str]] | None = None) -> Column:
+    """Reasons why a note fails, in rule order; empty for a sound one. rules: rows like AUDIT_RULES, of which each becomes a column expression.
+
+    Kinds: front matter, keys (names between commas), heading, title in heading, contains (words between commas), parts (the same, in any
+    case and spacing), matches and lacks (a regular expression), numbers.
+    """
+    reasons = []
+    for kind, argument, section, reason in AUDIT_RULES if rules is None else rules:
+        lacks = _lacking(kind, argument, markdown.section_text(text, section) if section else text, title)
+        before, named, after = reason.partition("{}")
+        words = F.concat(F.lit(before), F.array_join(lacks, ","), F.lit(after)) if named else F.lit(reason)
+        reasons.append(F.when(F.size(lacks) > 0, words))
+    return F.array_compact(F.array(*reasons))
 
 
 def describe_gaps(text: Column) -> Column:
@@ -84,14 +119,18 @@ def describe_gaps(text: Column) -> Column:
 
 
 def content_mismatch(title: Column, summary: Column, source: Column) -> Column:
-    """Reason why a note isn't about its source: the source is empty, or its first five lines, or the summary, share too few tokens; else null."""
+    """Reasons why a note isn't about its source: the source is empty, or its first five lines and the title, or all of it and the summary, share too few tokens.
+
+    A note without title or summary isn't judged by it; null without a reason.
+    """
     first = F.array_join(F.slice(F.split(source, "\n"), 1, 5), " ")
     t, s, all_tokens = textnorm.tokens(title), textnorm.tokens(summary), textnorm.tokens(source)
-    return (
-        F.when(F.coalesce(F.trim(source), F.lit("")) == "", F.lit("empty source"))
-        .when(textnorm.jaccard(t, textnorm.tokens(first)) < 0.2, F.lit("title mismatch"))
-        .when(textnorm.jaccard(s, all_tokens) < 0.05, F.lit("summary mismatch"))
-    )
+    reasons = F.array_compact(F.array(
+        F.when((F.coalesce(title, F.lit("")) != "") & (textnorm.jaccard(t, textnorm.tokens(first)) < 0.2), F.lit("title mismatch")),
+        F.when((F.coalesce(summary, F.lit("")) != "") & (textnorm.jaccard(s, all_tokens) < 0.05), F.lit("summary mismatch")),
+    ))
+    empty = F.coalesce(F.trim(source), F.lit("")) == ""
+    return F.when(empty, F.lit("empty source")).when(F.size(reasons) > 0, F.array_join(reasons, ", "))
 
 
 def field_diff(ledger: DataFrame, notes: DataFrame, key: str, fields: dict[str, str]) -> DataFrame:

@@ -2,8 +2,7 @@
 
 Left: (row_id, title); right: (note_id, title, path). The order of notes is the lower-case path, then the path; where a rule
 takes the first or last note, it is by this order. Equal keys meet in hash joins. A title that another holds is found by its
-rarest gram; titles within an edit distance share one of any ``edits + 1`` pieces of the longer, so its rarest ones find them.
-Both lose no pair. Distinct titles are compared, so repeated ones cost nothing.
+rarest gram; near titles by the joins of ``similarity``. Both lose no pair. Distinct titles are compared, so repeated ones cost nothing.
 """
 
 from __future__ import annotations
@@ -12,8 +11,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusops.functions import textnorm
+from corpusops.operators import similarity
 from corpusops.plans.cut import cut
 
+STEP = 0.875  # the score that is looked for between that of a held title and the threshold: pieces still tell texts apart there
 GRAM = 6  # characters of the gram by which a title finds the titles that hold it; shorter ones are looked up whole
 PIECES = 0.25  # of a text's length: more edits than that leave pieces that most texts have
 
@@ -63,34 +64,6 @@ def holding(hay: DataFrame, needles: DataFrame) -> DataFrame:
     return found.unionByName(short.select("hay", "needle"))
 
 
-def _near(longer: DataFrame, shorter: DataFrame, threshold: float) -> DataFrame:
-    """(longer, shorter): distinct texts, the first at least as long, that are an edit distance of at most (1 - threshold) of its length apart.
-
-    An edit touches one of the pieces that the longer is cut into, so of any edits + 1 of them one stands in the shorter, moved by
-    as many characters as there can be edits before and after it. The rarest pieces are looked up, and the distance then computed.
-    """
-    edits = lambda c: F.floor(F.length(c) * (1 - threshold) + 1e-9).cast("int")
-    size = lambda c: F.greatest(F.lit(1), F.floor(F.length(c) / (edits(c) + 2)).cast("int"))
-    longer = longer.toDF("longer").where("longer <> ''").distinct()
-    shorter = shorter.toDF("shorter").where("shorter <> ''").distinct()
-    pieces = longer.withColumn("size", size(F.col("longer")))
-    pieces = pieces.select("longer", "size", F.posexplode(_pieces(F.col("longer"), F.col("size"), F.col("size"))).alias("at", "piece"))
-    pieces = pieces.withColumn("at", F.col("at") * F.col("size"))
-    # A few rows, as sizes hardly grow with the length: each size with the lengths of the texts that can be near one of its texts.
-    fit = longer.groupBy(size(F.col("longer")).alias("size")).agg(F.min(F.length("longer") - edits(F.col("longer"))).alias("from"), F.max(F.length("longer")).alias("to"))
-    placed = F.transform(_pieces(F.col("shorter"), F.col("size"), F.lit(1)), lambda p, i: F.struct(p.alias("piece"), i.alias("place")))
-    probes = shorter.join(F.broadcast(fit), F.length("shorter").between(F.col("from"), F.col("to")))
-    probes = probes.select("shorter", F.explode(placed).alias("x")).select("shorter", "x.*")
-    use = probes.groupBy("piece").agg(F.count("*").alias("n"))
-    rank = F.row_number().over(Window.partitionBy("longer").orderBy(F.coalesce("n", F.lit(0)), "at"))
-    few = pieces.join(use, "piece", "left").withColumn("rank", rank).where(F.col("rank") <= edits(F.col("longer")) + 1)
-    met = few.select("longer", "at", "piece").join(probes, "piece")
-    shift, rest = F.col("place") - F.col("at"), F.length("longer") - F.length("shorter")
-    fits = (rest >= 0) & (F.abs(shift) + F.abs(shift + rest) <= edits(F.col("longer")))  # edits before the piece, and after it
-    near = F.expr(f"levenshtein(longer, shorter, cast(floor(length(longer) * (1 - {threshold}D) + 1e-9) as int)) >= 0")
-    return met.where(fits).where(near).select("longer", "shorter").distinct()
-
-
 def _normalised(ledger: DataFrame, notes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(row_id, a) and (note_id, b, path), computed once: both are read several times."""
     left = ledger.select("row_id", textnorm.norm_title(F.col("title")).alias("a"))
@@ -98,19 +71,14 @@ def _normalised(ledger: DataFrame, notes: DataFrame) -> tuple[DataFrame, DataFra
 
 
 def _near_pairs(a: DataFrame, b: DataFrame, threshold: float, edits: bool) -> DataFrame:
-    """(a, b): distinct pairs of texts whose ratio can be the threshold.
+    """(a, b): ids of texts, of a and b (id, text), among which all are whose ratio is the threshold at least.
 
     edits: the ratio is 1 less the edits by the longer length. Other ratios, of 2 m / (la + lb) with m characters in common, bound
     the edits by (1 - threshold) (la + lb), at most 2 (1 - threshold) of the longer; where that is more than PIECES of it, the pieces
-    would be too short to tell texts apart, and all pairs of distinct titles whose lengths fit are tried.
+    would be too short to tell texts apart, and texts are found by the characters that they have in common.
     """
     least = threshold if edits else 2 * threshold - 1
-    if edits or 1 - least <= PIECES:
-        return _near(a, b, least).toDF("a", "b").unionByName(_near(b, a, least).toDF("b", "a"))
-    la, lb = F.length("a"), F.length("b")
-    long_enough = F.least(la, lb) >= F.greatest(la, lb) * (threshold / (2 - threshold)) - 1e-6
-    near = F.expr(f"levenshtein(a, b, cast(floor((length(a) + length(b)) * (1 - {threshold}D) + 1e-6) as int)) >= 0")
-    return a.where("a <> ''").distinct().join(b.where("b <> ''").distinct(), long_enough).where(near)
+    return similarity.near_texts(a, b, least) if edits or 1 - least <= PIECES + 1e-9 else similarity.common_characters(a, b, threshold)
 
 
 def link_best(ledger: DataFrame, notes: DataFrame, threshold: float, ratio=textnorm.ratio_levenshtein) -> DataFrame:
@@ -121,18 +89,20 @@ def link_best(ledger: DataFrame, notes: DataFrame, threshold: float, ratio=textn
     """
     held, edits = textnorm.CONTAINS_SCORE, ratio is textnorm.ratio_levenshtein
     left, right = _normalised(ledger, notes)
-    first = right.groupBy("b").agg(F.min_by(F.struct("note_id", "path"), order_key(F.col("path"))).alias("x"))
-    steps = [threshold] if threshold >= held else [held, (held + threshold) / 2, threshold] if edits else [held, threshold]
-    open_, b, found = left.select("a"), right.select("b"), None
+    first = cut(right.groupBy("b").agg(F.min("note_id").alias("ib"), F.min_by(F.struct("note_id", "path"), order_key(F.col("path"))).alias("x")))
+    asked = cut(left.groupBy("a").agg(F.min("row_id").alias("ia")))
+    steps = [s for s in (held, STEP) if s > threshold] + [threshold]
+    ids, open_, found = first.select("ib", "b"), asked, None
     for least in steps:
-        pairs = _near_pairs(open_, b, least, edits)
+        pairs = _near_pairs(open_.select("ia", "a"), ids, least, edits).toDF("ia", "ib").join(open_, "ia").join(ids, "ib").select("a", "b")
         if found is None:
-            pairs = pairs.unionByName(holding(open_, b).toDF("a", "b")).unionByName(holding(b, open_).toDF("b", "a"))
-        scored = pairs.distinct().withColumn("score", textnorm.title_score(F.col("a"), F.col("b"), ratio)).where(F.col("score") >= least)
+            a, b = open_.select("a"), ids.select("b")
+            pairs = pairs.unionByName(holding(a, b).toDF("a", "b")).unionByName(holding(b, a).toDF("b", "a")).distinct()
+        scored = pairs.withColumn("score", textnorm.title_score(F.col("a"), F.col("b"), ratio)).where(F.col("score") >= least)
         best = scored.join(first, "b").groupBy("a").agg(F.min_by(F.struct("x.note_id", "score"), F.struct(-F.col("score"), order_key(F.col("x.path")))).alias("y"))
         best = cut(best) if least > threshold else best
         found = best if found is None else found.unionByName(best)
-        open_ = open_.join(best, "a", "left_anti") if least > threshold else open_
+        open_ = cut(open_.join(best, "a", "left_anti")) if least > threshold else open_
     return left.join(found, "a", "left").select("row_id", "y.note_id", F.round("y.score", 9).alias("score"))
 
 

@@ -8,18 +8,6 @@ from pyspark.sql import functions as F
 from corpusops.functions import links, textnorm
 
 
-def transition(ledger: DataFrame, verdicts: DataFrame, rules: DataFrame) -> DataFrame:
-    """ledger with new_state and reason.
-
-    verdicts: (row_id, verdict, reason); rules: (from_state, verdict, to_state). A row whose state and verdict a rule names
-    moves; all others stay, with a null reason. A row without a verdict has the verdict ``none``.
-    """
-    judged = ledger.join(verdicts, "row_id", "left").withColumn("verdict", F.coalesce("verdict", F.lit("none")))
-    moved = judged.join(rules.withColumnRenamed("from_state", "state"), ["state", "verdict"], "left")
-    changed = F.col("to_state").isNotNull()
-    return moved.select(*ledger.columns, F.coalesce("to_state", "state").alias("new_state"), F.when(changed, F.coalesce("reason", "verdict")).alias("reason"))
-
-
 def change_log(moved: DataFrame) -> DataFrame:
     """(row_id, title, old_state, new_state, reason) of the rows whose state isn't the same."""
     return moved.where(~F.col("state").eqNullSafe(F.col("new_state"))).select(
@@ -63,14 +51,28 @@ def fill_venue_year(fields: DataFrame, whitelist: list[str]) -> DataFrame:
     return out.where(~F.col("old_venue").eqNullSafe(F.col("new_venue")) | ~F.col("old_year").eqNullSafe(F.col("new_year")))
 
 
-def canonical_note(notes: DataFrame, ledger: DataFrame) -> DataFrame:
-    """Fields by precedence: title and pdf_ref from the note, then the ledger; venue and category from the ledger, then the note."""
-    joined = notes.join(ledger.select("row_id", *[F.col(c).alias(f"l_{c}") for c in ("paper_title", "venue", "sort", "paper_link")]), F.col("note_id") == F.col("row_id"), "left")
+def canonical_note(notes: DataFrame, linked: DataFrame, ledger: DataFrame) -> DataFrame:
+    """(note_id, title, venue, year, category, pdf_ref, tags, created, updated, core_operator, primary_logic): each note's fields beside its ledger row's.
+
+    title and pdf_ref are the note's, else the row's; venue, year and category the row's, else the note's, venue and year being parts of
+    the row's venue. tags are the note's, lines of a list or between commas, after the category where that isn't one of them. What
+    nobody has is empty, blanks at the ends are none. linked: (row_id, note_id); of several rows of a note the last counts.
+    """
+    last = linked.where("note_id is not null").groupBy("note_id").agg(F.max("row_id").alias("row_id"))
+    rows = ledger.select("row_id", *[F.trim(c).alias(f"l_{c}") for c in ("paper_title", "venue", "sort", "paper_link")])
+    venue = F.col("l_venue")
+    rows = rows.withColumns({"l_year": textnorm.year_of(venue), "l_venue": F.trim(textnorm.venue_of(venue)), "l_sort": F.replace("l_sort", F.lit(" "), F.lit("_"))})
+    joined = notes.join(last.join(rows, "row_id"), "note_id", "left")
     pick = lambda *cs: F.coalesce(*[F.nullif(F.trim(F.col(c)), F.lit("")) for c in cs], F.lit(""))
-    return joined.select(
-        "note_id", pick("title", "l_paper_title").alias("title"), pick("l_venue", "venue").alias("venue"),
-        textnorm.category_folder(pick("l_sort", "category")).alias("category"), pick("pdf_ref", "l_paper_link").alias("pdf_ref"),
+    out = joined.select(
+        "note_id", pick("title", "l_paper_title").alias("title"), pick("l_venue", "venue").alias("venue"), pick("l_year", "year").alias("year"),
+        pick("l_sort", "category").alias("category"), pick("pdf_ref", "l_paper_link").alias("pdf_ref"), F.coalesce("tags", F.lit("")).alias("tags"),
+        *[pick(c).alias(c) for c in ("created", "updated", "core_operator", "primary_logic")],
     )
+    items = F.split("tags", F.when(F.col("tags").contains("\n"), F.lit("\n")).otherwise(F.lit(",")))
+    items = F.filter(F.transform(items, lambda x: F.trim(x)), lambda x: x != "")
+    first = F.when(F.array_contains(items, F.col("category")) | (F.col("category") == ""), items).otherwise(F.array_prepend(items, F.col("category")))
+    return out.withColumn("tags", first)
 
 
 def repair_file_ref(refs: DataFrame, exists: DataFrame, resolved: DataFrame) -> DataFrame:
@@ -135,18 +137,24 @@ def suggest_names(matches: DataFrame, review_below: float = 0.80) -> DataFrame:
     return matches.select("row_id", F.concat(year, F.lit("_"), name).alias("stem"), F.when(review, "Y").otherwise("N").alias("need_review"))
 
 
-def rename_plan(matches: DataFrame, listing: DataFrame, min_score: float = 0.80) -> DataFrame:
-    """(row_id, source, target, outcome): rename, same, not found, target exists, or review; rows need no review or have the least score.
+def rename_plan(matches: DataFrame, listing: DataFrame, min_score: float = 0.80, mode: str = "guarded") -> DataFrame:
+    """(row_id, source, target, outcome): rename, same, not found, target exists, or review.
 
-    matches: (row_id, source, target, need_review, score). Two rows for one target are both ``target exists``.
+    matches: (row_id, source, target, need_review, score). mode: ``N`` plans the rows that need no review alone, ``all`` every row, ``Y``
+    those that need review, and ``guarded`` every row; with the last two a row that needs review and has less than the least score is
+    left to review. Two planned rows for one target are both ``target exists``.
     """
+    if mode not in ("N", "Y", "all", "guarded"):
+        raise ValueError(f"unknown mode: {mode}")
+    matches = matches.where(F.col("need_review") == mode) if mode in ("N", "Y") else matches
+    unsure = (F.col("need_review") == "Y") & (F.coalesce("score", F.lit(0.0)) < min_score) & F.lit(mode in ("Y", "guarded"))
     there = listing.select("path").distinct()
-    joined = matches.join(there.select(F.col("path").alias("source"), F.lit(True).alias("has_source")), "source", "left")
+    joined = matches.withColumn("unsure", unsure).join(there.select(F.col("path").alias("source"), F.lit(True).alias("has_source")), "source", "left")
     joined = joined.join(there.select(F.col("path").alias("target"), F.lit(True).alias("has_target")), "target", "left")
     uses = matches.groupBy("target").agg(F.count("*").alias("uses"))
     joined = joined.join(uses, "target", "left")
     outcome = (
-        F.when((F.col("need_review") == "Y") & (F.coalesce("score", F.lit(0.0)) < min_score), "review").when(F.col("has_source").isNull(), "not found")
+        F.when(F.col("unsure"), "review").when(F.col("has_source").isNull(), "not found")
         .when(F.col("source") == F.col("target"), "same").when(F.col("has_target").isNotNull() | (F.col("uses") > 1), "target exists").otherwise("rename")
     )
     return joined.select("row_id", "source", "target", outcome.alias("outcome"))

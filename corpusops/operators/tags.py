@@ -9,22 +9,33 @@ from corpusops.plans.cut import cut
 
 
 def alias_closure(alias: DataFrame) -> DataFrame:
-    """(alias, canonical): aliases followed to where they end, by pointer doubling.
+    """(alias, canonical): aliases followed to where they end, by pointer doubling over those that aren't settled.
 
     The entry with the greatest ord counts for an alias. Tags on a cycle all end at the member with the least ord;
     what leads into a cycle ends there, too. alias: (ord, alias, canonical).
+
+    A round doubles how far the open aliases look ahead and settles those whose target is settled. On a cycle nothing ends, but the
+    entry of least ord among the steps passed is the same from an alias and from its target only once the steps go round it: steps
+    of the one and of the other are passed at different times, so what both hold lies on a cycle, all of which is between. A
+    round moves only the open aliases, and there are about log2(d) rounds for chains of depth d, whatever the table's size.
     """
     last = alias.groupBy("alias").agg(F.max_by(F.struct("ord", "canonical"), "ord").alias("x")).select("alias", "x.ord", "x.canonical")
-    # After k rounds ``to`` is 2^k steps on, and ``least`` the entry of least ord among the steps passed; on a cycle that is
-    # the same for all its members once the steps go round it, so it settles where the targets don't.
-    step = cut(last.select("alias", F.col("canonical").alias("to"), F.struct("ord", "alias").alias("least")))
-    rounds = max(1, step.count().bit_length() + 1)
-    for _ in range(rounds):
-        on = step.select(F.col("alias").alias("to"), F.col("to").alias("next"), F.col("least").alias("low"))
-        step = cut(step.join(on, "to", "left").select("alias", F.coalesce("next", "to").alias("to"), F.least("least", F.coalesce("low", "least")).alias("least")))
-    # A target that still is an alias lies on a cycle; the least entry seen from there on is its representative.
-    ring = step.select(F.col("alias").alias("to"), F.col("least.alias").alias("name"))
-    return step.join(ring, "to", "left").select("alias", F.coalesce("name", "to").alias("canonical"))
+    ends = last.select(F.col("alias").alias("canonical"), F.lit(True).alias("goes_on"))
+    first = last.join(ends, "canonical", "left").select(
+        "alias", F.col("canonical").alias("to"), F.struct("ord", "alias").alias("least"), F.when(F.col("goes_on").isNull(), F.col("canonical")).alias("end")
+    )
+    step, settled = cut(first), None
+    while True:
+        done = step.where("end is not null").select("alias", F.col("end").alias("canonical"))
+        settled = done if settled is None else settled.unionByName(done)
+        open_ = step.where("end is null")
+        if open_.isEmpty():
+            return settled
+        on = open_.select(F.col("alias").alias("to"), F.col("to").alias("next"), F.col("least").alias("low"), F.col("end").alias("theirs")).unionByName(
+            settled.select(F.col("alias").alias("to"), F.col("canonical").alias("theirs")), allowMissingColumns=True
+        )
+        end = F.coalesce("theirs", F.when(F.col("least") == F.col("low"), F.col("least.alias")))
+        step = cut(open_.drop("end").join(on, "to").select("alias", F.col("next").alias("to"), F.least("least", "low").alias("least"), end.alias("end")))
 
 
 def canonical_tags(tags: DataFrame, closure: DataFrame) -> DataFrame:

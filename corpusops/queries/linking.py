@@ -34,6 +34,8 @@ def pending_files(spark, sf_dir):
     return files.join(v.notes(spark, sf_dir).select(F.col("path").alias("note")), "note", "left_anti").select("path")
 
 
+#: Score of na and nb, in DuckDB.
+_SCORE = "CASE WHEN na = '' OR nb = '' THEN 0 WHEN contains(na, nb) OR contains(nb, na) THEN 0.92 ELSE 1 - levenshtein(na, nb) / greatest(length(na), length(nb)) END"
 _BEST = f"""WITH {_SIDES}, p AS (SELECT row_id, note_id, path, CASE WHEN na = '' OR nb = '' THEN 0 WHEN contains(na, nb) OR contains(nb, na) THEN 0.92 WHEN greatest(length(na), length(nb)) = 0 THEN 1 ELSE 1 - levenshtein(na, nb) / greatest(length(na), length(nb)) END AS score FROM a, b),
 m AS (SELECT row_id, note_id, score FROM p WHERE score >= 0.78 QUALIFY row_number() OVER (PARTITION BY row_id ORDER BY score DESC, lower(path), path) = 1)"""
 
@@ -72,9 +74,12 @@ def link_unique(spark, sf_dir):
 _TAIL = "CASE WHEN contains({0}, ':') THEN trim(lower(substr({0}, strpos({0}, ':') + 1))) ELSE '' END"
 
 
-@query(f"""WITH {_SIDES}, x AS MATERIALIZED (SELECT row_id, title, lower(title) AS lt, {_TAIL.format('title')} AS tt FROM a), y AS MATERIALIZED (SELECT note_id, path, title, lower(title) AS lt, {_TAIL.format('title')} AS tt FROM b),
+_TIERS = f"""{_SIDES}, x AS MATERIALIZED (SELECT row_id, title, lower(title) AS lt, {_TAIL.format('title')} AS tt FROM a), y AS MATERIALIZED (SELECT note_id, path, title, lower(title) AS lt, {_TAIL.format('title')} AS tt FROM b),
 t AS (SELECT row_id, note_id, path, CASE WHEN x.title = y.title THEN 1 WHEN x.lt = y.lt THEN 2 WHEN x.tt <> '' AND y.tt <> '' AND (contains(x.tt, y.tt) OR contains(y.tt, x.tt)) THEN 3 WHEN contains(x.lt, y.lt) OR contains(y.lt, x.lt) THEN 4 END AS tier FROM x, y),
-f AS (SELECT row_id, tier, note_id FROM t WHERE tier IS NOT NULL QUALIFY row_number() OVER (PARTITION BY row_id ORDER BY tier, lower(path), path) = 1) SELECT row_id, tier, note_id FROM ledger LEFT JOIN f USING (row_id)""")
+tiered AS (SELECT row_id, tier, note_id FROM t WHERE tier IS NOT NULL QUALIFY row_number() OVER (PARTITION BY row_id ORDER BY tier, lower(path), path) = 1)"""
+
+
+@query(f"WITH {_TIERS} SELECT row_id, tier, note_id FROM ledger LEFT JOIN tiered USING (row_id)")
 def link_tiered(spark, sf_dir):
     return linkage.link_tiered(*_sides(spark, sf_dir))
 

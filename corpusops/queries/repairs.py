@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from corpusops import views as v
 from corpusops.functions import links, markdown, textnorm
-from corpusops.operators import aggregate, audit, linkage, repair, structure, tags
-from corpusops.queries.audits import _FIELDS, _FLAGS
+from corpusops.operators import aggregate, audit, linkage, repair, structure, tags, transitions
+from corpusops.plans.cut import cut
+from corpusops.queries.audits import _FIELDS, _FLAGS, _GAPS, _REASONS
 from corpusops.queries.base import query
-from corpusops.queries.linking import _BEST, _RESOLVED
+from corpusops.queries.linking import _BEST, _RESOLVED, _SCORE, _SIDES, _TIERS
 from corpusops.queries.text import _ABSTRACT, _LINES_FROM, _NUMBERS
 
 _OK = f"f AS (SELECT note_id, {_FLAGS} FROM notes), ok AS (SELECT note_id, callout AND part_1 AND part_2 AND part_3 AND reading AND metrics AND pdf_ref AS ok FROM f)"
@@ -129,97 +132,148 @@ def tags_normalise(spark, sf_dir):
     return v.notes(spark, sf_dir).select("note_id", F.array_join(tags.normalise_tags(F.expr(_RAW), F.col("category")), ",").alias("tags"))
 
 
-_RULES = {
-    "transition_audit": [("Knowledge", "failed", "analysis_mismatch"), ("Knowledge", "missing", "analysis_mismatch")],
-    "transition_review": [("analysis_mismatch", "passed", "checked")],
-    "transition_wait": [("Wait", "passed", "checked"), ("Wait", "failed", "analysis_mismatch")],
-    "transition_parts": [("checked", "failed", "Wait")],
-    "transition_reopen": [(s, "failed", "Wait") for s in ("checked", "Downloaded", "Knowledge", "analysis_mismatch", "Missing")],
-    "transition_complete": [("Wait", "passed", "checked")],
-    "transition_fetch": [("Wait", "fetched", "Downloaded")],
-}
+def _rows(spark, sf_dir):
+    return v.ledger(spark, sf_dir).withColumnRenamed("paper_title", "title")
 
 
-def _verdicts(spark, sf_dir):
-    """(row_id, verdict, reason): whether the row's note, by title or else by number, has all its parts."""
-    notes = v.notes(spark, sf_dir).select(F.col("note_id").alias("row_id"), audit.verdict(F.col("text")).alias("ok"), audit.describe_gaps(F.col("text")).alias("gap"))
-    rows = v.ledger(spark, sf_dir).select("row_id")
-    verdict = F.when(F.col("ok").isNull() | (F.col("row_id") % 31 == 0), "missing").when(F.col("ok"), "passed").otherwise("failed")
-    return rows.join(notes, "row_id", "left").select("row_id", verdict.alias("verdict"), verdict.alias("reason"))
+#: Fixture: a row's paper served or not, and an address of its project's site that served instead.
+_OK_FETCH, _FOUND_AT = "paper_link LIKE '%.pdf' AND row_id % 9 <> 6", "CASE WHEN row_id % 18 = 6 AND project_link LIKE 'http%' THEN {} END"
 
 
 def _fetched(spark, sf_dir):
-    fetched = links.classify_fetch(F.lit(200), F.when(F.col("paper_link").endswith(".pdf"), "application/pdf").otherwise("text/html"))
-    return v.ledger(spark, sf_dir).select("row_id", F.when(fetched == "downloaded", "fetched").otherwise("failed").alias("verdict"), fetched.alias("reason"))
-
-
-def _moved(spark, sf_dir, name):
-    rules = spark.createDataFrame(_RULES[name], "from_state string, verdict string, to_state string")
-    verdicts = _fetched(spark, sf_dir) if name == "transition_fetch" else _verdicts(spark, sf_dir)
-    return repair.transition(v.ledger(spark, sf_dir), verdicts, rules)
-
-
-_VERDICT = f"""{_OK}, vd AS (SELECT row_id, CASE WHEN ok IS NULL OR row_id % 31 = 0 THEN 'missing' WHEN ok THEN 'passed' ELSE 'failed' END AS verdict FROM ledger LEFT JOIN ok ON note_id = row_id)"""
-_FETCHED = "vd AS (SELECT row_id, CASE WHEN paper_link LIKE '%.pdf' THEN 'fetched' ELSE 'failed' END AS verdict, CASE WHEN paper_link LIKE '%.pdf' THEN 'downloaded' ELSE 'non-pdf content-type=text/html' END AS reason FROM ledger)"
+    ok = F.expr(_OK_FETCH)
+    found = F.expr(_FOUND_AT.format("project_link"))
+    why = links.classify_fetch(F.when(ok, 200).otherwise(404), F.lit("application/pdf"))
+    return v.ledger(spark, sf_dir).select("row_id", ok.alias("ok"), F.get(links.site_paths(found), 1).alias("found"), why.alias("why"))
+
+
+def _findings(spark, sf_dir, rule):
+    return transitions.findings(_rows(spark, sf_dir), v.notes(spark, sf_dir), rule, _fetched(spark, sf_dir))
+
+
+_SITE = _FOUND_AT.format(r"concat(regexp_extract(project_link, '^(https?://[^/]+)', 1), '/assets/paper.pdf')")
+_PART = r"regexp_matches(text, '(?i)\bPart\s*{}\b')"
+_PARTS_LACK = "concat_ws(', ', " + ", ".join(f"CASE WHEN NOT {_PART.format(p)} THEN 'Part {p}' END" for p in ("I", "II", "III")) + ")"
+_MARKS_LACK = "concat_ws(', ', " + ", ".join(f"CASE WHEN NOT contains(text, 'Part {p}') THEN 'Part {p}' END" for p in ("I", "II", "III")) + ")"
+
+#: What each rule finds for every row, whatever its state, in DuckDB: (row_id, verdict, why).
+_FIND = {
+    "audit": f"""{_GAPS}, ga AS (SELECT note_id, l FROM g), lt AS (SELECT row_id, min_by(note_id, (lower(path), path)) AS note_id FROM ledger LEFT JOIN notes ON title = paper_title GROUP BY 1),
+fd_audit AS (SELECT row_id, CASE WHEN l IS NULL THEN 'missing' WHEN l = '' THEN 'passed' ELSE 'failed' END AS verdict, concat('structure_or_depth: ', l) AS why FROM lt LEFT JOIN ga USING (note_id))""",
+    "review": f"""{_TIERS}, {_GAPS}, fd_review AS (SELECT row_id, CASE WHEN l IS NULL THEN 'missing' WHEN l = '' THEN 'passed' ELSE 'failed' END AS verdict, concat('structure_or_depth: ', l) AS why FROM ledger LEFT JOIN tiered USING (row_id) LEFT JOIN g USING (note_id))""",
+    "wait": f"""{_REASONS}, rs AS (SELECT note_id, string_agg(reason, '; ' ORDER BY o) AS why FROM u GROUP BY 1),
+fd_wait AS (SELECT row_id, CASE WHEN note_id IS NULL THEN 'missing' WHEN why IS NULL THEN 'passed' ELSE 'failed' END AS verdict, why FROM ledger l LEFT JOIN notes n ON concat(substr(pdf_path, 6, length(pdf_path) - 9), '.md') = n.path LEFT JOIN rs USING (note_id))""",
+    "parts": f"""hd AS (SELECT note_id, path, {_MARKS_LACK} AS lack, trim(regexp_replace(trim(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')[1]), '^#+', '')) AS head FROM notes),
+hh AS (SELECT note_id, any_value(path) AS path, any_value(lack) AS lack, min(row_id) AS row_id FROM hd JOIN ledger ON contains(paper_title, head) WHERE lack <> '' AND head <> '' GROUP BY 1 HAVING count(*) = 1),
+fd_parts AS (SELECT row_id, 'failed' AS verdict, concat('missing ', min_by(lack, (lower(path), path))) AS why FROM hh GROUP BY 1)""",
+    "reopen": f"""{_SIDES}, pl AS (SELECT note_id, {_PARTS_LACK} AS lack FROM notes), rb AS (SELECT note_id, row_id, path, lack, {_SCORE} AS score FROM a, b JOIN pl USING (note_id) WHERE lack <> ''),
+rn AS (SELECT * FROM rb WHERE score >= 0.78 QUALIFY row_number() OVER (PARTITION BY note_id ORDER BY score DESC, row_id) = 1), fd_reopen AS (SELECT row_id, 'failed' AS verdict, concat('missing ', min_by(lack, (lower(path), path))) AS why FROM rn GROUP BY 1)""",
+    "complete": f"""{_SIDES}, pl AS (SELECT note_id, {_PARTS_LACK} AS lack FROM notes), cb AS (SELECT note_id, row_id, path, {_SCORE} AS score FROM a, b),
+cn AS (SELECT * FROM cb WHERE score >= 0.85 QUALIFY row_number() OVER (PARTITION BY note_id ORDER BY score DESC, row_id) = 1), cl AS (SELECT row_id, max_by(note_id, (lower(path), path)) AS note_id FROM cn GROUP BY 1),
+fd_complete AS (SELECT row_id, CASE WHEN lack = '' THEN 'passed' ELSE 'failed' END AS verdict, concat('missing ', lack) AS why FROM cl JOIN pl USING (note_id))""",
+    "fetch": f"""fd_fetch AS (SELECT row_id, CASE WHEN {_OK_FETCH} THEN 'fetched' WHEN {_SITE} IS NOT NULL THEN 'found' ELSE 'failed' END AS verdict, '' AS why, CASE WHEN NOT ({_OK_FETCH}) THEN {_SITE} END AS url FROM ledger)""",
+}
+_BY_NAME = {r.name: r for r in transitions.RULES}
 
 
-def _moved_sql(name):
-    rules = ", ".join(str(r) for r in _RULES[name])
-    verdict, reason = (_FETCHED, "vd.reason") if name == "transition_fetch" else (_VERDICT, "vd.verdict")
-    return f"{verdict}, ru(fs, rv, ts) AS (VALUES {rules}), mv AS (SELECT l.*, coalesce(ts, state) AS new_state, CASE WHEN ts IS NOT NULL THEN {reason} END AS reason FROM ledger l JOIN vd USING (row_id) LEFT JOIN ru ON fs = state AND rv = vd.verdict)"
+def _move_sql(rule, source="ledger", alias="mv"):
+    """The rows of source (row_id, state, ...) with new_state, reason and new_link after a rule."""
+    cases = " ".join(f"WHEN '{v_}' THEN '{to}'" for v_, to in rule.moves.items())
+    states = f"state IN ({', '.join(map(repr, rule.states))})" if rule.states else "true"
+    batch = f" AND row_id IN (SELECT row_id FROM {source} WHERE {states} ORDER BY row_id LIMIT {rule.batch})" if rule.batch else ""
+    url = "fd.url" if rule.link == "fetch" else "NULL"
+    return f"""{alias}_to AS (SELECT s.*, CASE WHEN {states}{batch} THEN CASE verdict {cases} END END AS t, verdict, why, {url} AS u FROM {source} s LEFT JOIN fd_{rule.name} fd USING (row_id)),
+{alias} AS (SELECT * EXCLUDE (t, verdict, why, u), CASE WHEN t <> state THEN t ELSE state END AS new_state, CASE WHEN t <> state THEN concat('{rule.name} ', CASE WHEN verdict = 'failed' THEN concat('failed: ', why) ELSE verdict END) END AS reason,
+CASE WHEN t <> state THEN coalesce(u, paper_link) ELSE paper_link END AS new_link FROM {alias}_to)"""
 
 
-def _register(name):
+def _register(rule):
     def moved(spark, sf_dir):
-        return _moved(spark, sf_dir, name).select("row_id", "state", "new_state", "reason")
+        return transitions.move(_rows(spark, sf_dir), _findings(spark, sf_dir, rule)).select("row_id", "state", "new_state", "reason", "new_link")
+
+    moved.__name__ = f"transition_{rule.name}"
+    query(f"WITH {_FIND[rule.name]}, {_move_sql(rule)} SELECT row_id, state, new_state, reason, new_link FROM mv")(moved)
 
-    moved.__name__ = name
-    query(f"WITH {_moved_sql(name)} SELECT row_id, state, new_state, reason FROM mv")(moved)
 
+for _rule in transitions.RULES:
+    _register(_rule)
 
-for _name in _RULES:
-    _register(_name)
+#: Every row in the state, not a batch.
+_AUDIT = replace(_BY_NAME["audit"], batch=None)
+_LOG = f"{_FIND['audit']}, {_move_sql(_AUDIT)}, lg AS (SELECT row_id, paper_title AS title, state AS old_state, new_state, reason FROM mv WHERE state <> new_state)"
 
 
-_LOG = f"{_moved_sql('transition_audit')}, lg AS (SELECT row_id, paper_title AS title, state AS old_state, new_state, reason FROM mv WHERE state <> new_state)"
+def _log(spark, sf_dir):
+    return repair.change_log(transitions.move(_rows(spark, sf_dir), _findings(spark, sf_dir, _AUDIT)).withColumnRenamed("title", "paper_title"))
 
 
 @query(f"WITH {_LOG} SELECT * FROM lg")
 def change_log(spark, sf_dir):
-    return repair.change_log(_moved(spark, sf_dir, "transition_audit"))
+    return _log(spark, sf_dir)
 
 
 @query(f"""WITH {_OK}, l AS (SELECT row_id, paper_title, state, min_by(note_id, (lower(path), path)) AS note_id FROM ledger LEFT JOIN notes ON title = paper_title WHERE state = 'Knowledge' GROUP BY 1, 2, 3)
 SELECT row_id, paper_title AS title, state AS old_state, 'analysis_mismatch' AS new_state, CASE WHEN note_id IS NULL THEN 'missing' ELSE 'failed' END AS reason FROM l LEFT JOIN ok USING (note_id) WHERE ok IS NULL OR NOT ok""")
 def audit_transition(spark, sf_dir):
     """Flagship: ledger rows that change state after their notes, found by title, are audited, and why."""
-    notes = v.notes(spark, sf_dir)
-    ledger = v.ledger(spark, sf_dir)
-    linked = linkage.link_exact(ledger.select("row_id", F.col("paper_title").alias("title")), notes)
-    judged = linked.join(notes.select("note_id", audit.verdict(F.col("text")).alias("ok")), "note_id", "left")
-    verdict = F.when(F.col("ok").isNull(), "missing").when(F.col("ok"), "passed").otherwise("failed")
-    rules = spark.createDataFrame(_RULES["transition_audit"], "from_state string, verdict string, to_state string")
-    return repair.change_log(repair.transition(ledger, judged.select("row_id", verdict.alias("verdict"), verdict.alias("reason")), rules))
+    found = _findings(spark, sf_dir, _AUDIT)
+    return found.select("row_id", "title", F.col("state").alias("old_state"), F.col("to_state").alias("new_state"), F.col("verdict").alias("reason"))
+
+
+_CHAIN = [(i, r) for i, r in enumerate(transitions.RULES)]
+
+
+def _chain_sql():
+    """All rules one after the other; each starts from the states that the one before left."""
+    ctes, seen, source = [], set(), "ledger"
+    for i, rule in _CHAIN:
+        for cte in _split_ctes(_FIND[rule.name]):
+            if cte[0] not in seen:
+                seen.add(cte[0])
+                ctes.append(cte[1])
+        ctes.append(_move_sql(rule, source, f"m{i}"))
+        ctes.append(f"s{i} AS (SELECT * EXCLUDE (state, paper_link, new_state, new_link, reason), new_state AS state, new_link AS paper_link FROM m{i})")
+        source = f"s{i}"
+    return ", ".join(ctes)
+
+
+def _split_ctes(text):
+    """(name, definition) of the common table expressions of a list, by their brackets."""
+    out, depth, quoted, start = [], 0, False, 0
+    for i, c in enumerate(text):
+        quoted ^= c == "'"
+        depth += 0 if quoted else (c == "(") - (c == ")")
+        if not quoted and depth == 0 and c == ",":
+            out.append(text[start:i].strip())
+            start = i + 1
+    out.append(text[start:].strip())
+    return [(x.split()[0], x) for x in out]
+
+
+@query("WITH " + _chain_sql() + " " + " UNION ALL ".join(f"SELECT {i}::INT AS step, row_id, paper_title AS title, state AS old_state, new_state, reason FROM m{i} WHERE state <> new_state" for i, _ in _CHAIN))
+def transition_chain(spark, sf_dir):
+    """All seven rules, each on the states that the ones before left."""
+    return transitions.run_rules(_rows(spark, sf_dir), v.notes(spark, sf_dir), transitions.RULES, _fetched(spark, sf_dir))[1]
 
 
 @query(f"WITH {_LOG}, a AS (SELECT * FROM lg WHERE row_id % 4 = 0 UNION ALL SELECT row_id, title, new_state, old_state, reason FROM lg WHERE row_id % 4 <> 0) SELECT a.* FROM a LEFT JOIN state_rules ON from_state = old_state AND to_state = new_state WHERE from_state IS NULL")
 def illegal_transitions(spark, sf_dir):
-    log = repair.change_log(_moved(spark, sf_dir, "transition_audit"))
+    log = _log(spark, sf_dir)
     odd = log.where("row_id % 4 <> 0").select("row_id", "title", F.col("new_state").alias("old_state"), F.col("old_state").alias("new_state"), "reason")
     return repair.illegal_transitions(log.where("row_id % 4 = 0").unionByName(odd), v.state_rules(spark)).select("row_id", "title", "old_state", "new_state", "reason")
 
 
 @query(f"WITH {_LOG}, k AS (SELECT *, row_number() OVER (PARTITION BY reason ORDER BY row_id) AS r FROM lg) SELECT reason AS section, r AS place, row_id::VARCHAR AS line FROM k WHERE r <= 10 UNION ALL SELECT reason, 0, concat('count ', count(*)) FROM lg GROUP BY 1 UNION ALL SELECT reason, 11, concat('... and ', count(*) - 10, ' more') FROM lg GROUP BY 1 HAVING count(*) > 10")
 def report_capped(spark, sf_dir):
-    return aggregate.report(repair.change_log(_moved(spark, sf_dir, "transition_audit")), "reason", "row_id", 10)
+    return aggregate.report(_log(spark, sf_dir), "reason", "row_id", 10)
 
 
 _WIDE = f"{_FIELDS}, wd AS (SELECT n.note_id, n.path, " + ", ".join(f"max(CASE WHEN key = '{k}' THEN value END) AS {k}" for k in ("title", "venue", "year", "category", "tags", "core_operator", "primary_logic", "pdf_ref")) + " FROM notes n LEFT JOIN fields f ON f.note_id = n.note_id GROUP BY 1, 2)"
 
 
-def _wide(spark, sf_dir):
+def _wide(spark, sf_dir, *more):
     notes = v.notes(spark, sf_dir).select("note_id", "path", markdown.first_heading(F.col("text")).alias("heading"))
-    keys = ["title", "venue", "year", "category", "tags", "core_operator", "primary_logic", "pdf_ref"]
+    keys = ["title", "venue", "year", "category", "tags", "core_operator", "primary_logic", "pdf_ref", *more]
     each = structure.front_matter_fields(v.notes(spark, sf_dir)).groupBy("note_id").agg(*[F.max(F.when(F.col("key") == k, F.col("value"))).alias(k) for k in keys])
     return notes.join(each, "note_id", "left")
 
@@ -241,9 +295,21 @@ def fill_venue_year(spark, sf_dir):
     return repair.fill_venue_year(_wide(spark, sf_dir), ["CVPR", "ICLR"])
 
 
-@query(f"""WITH {_WIDE} SELECT note_id, coalesce(wd.title, l.paper_title, '') AS title, coalesce(l.venue, wd.venue, '') AS venue, regexp_replace(coalesce(l.sort, wd.category, ''), '\\s+', '_', 'g') AS category, coalesce(wd.pdf_ref, l.paper_link, '') AS pdf_ref FROM wd LEFT JOIN ledger l ON row_id = note_id""")
+@query(rf"""WITH {_WIDE}, ex AS (SELECT note_id, max(CASE WHEN key = 'created' THEN value END) AS created, max(CASE WHEN key = 'updated' THEN value END) AS updated FROM fields GROUP BY 1),
+lk AS (SELECT row_id, min_by(note_id, (lower(path), path)) AS note_id FROM ledger JOIN notes ON title = trim(paper_title) WHERE state = 'checked' GROUP BY 1), la AS (SELECT note_id, max(row_id) AS row_id FROM lk GROUP BY 1),
+lv AS (SELECT la.note_id, trim(paper_title) AS lt, trim(paper_link) AS ll, replace(trim(sort), ' ', '_') AS lc, trim(l.venue) AS v FROM la JOIN ledger l USING (row_id)),
+c AS (SELECT note_id, coalesce(nullif(trim(wd.title), ''), nullif(lt, ''), '') AS title,
+coalesce(nullif(CASE WHEN regexp_matches(v, '^[A-Za-z ]*\d{{4}}$') THEN trim(regexp_replace(v, '\d{{4}}$', '')) ELSE v END, ''), nullif(trim(wd.venue), ''), '') AS venue,
+coalesce(CASE WHEN regexp_matches(v, '^[A-Za-z ]*\d{{4}}$') THEN right(v, 4) END, nullif(trim(wd.year), ''), '') AS year, coalesce(nullif(lc, ''), nullif(trim(wd.category), ''), '') AS category,
+coalesce(nullif(trim(wd.pdf_ref), ''), nullif(ll, ''), '') AS pdf_ref, list_filter(list_transform(string_split(coalesce(wd.tags, ''), CASE WHEN contains(wd.tags, chr(10)) THEN chr(10) ELSE ',' END), lambda x: trim(x)), lambda x: x <> '') AS tg,
+coalesce(trim(created), '') AS created, coalesce(trim(updated), '') AS updated, coalesce(trim(core_operator), '') AS core_operator, coalesce(trim(primary_logic), '') AS primary_logic FROM wd LEFT JOIN lv USING (note_id) LEFT JOIN ex USING (note_id))
+SELECT * EXCLUDE (tg), array_to_string(CASE WHEN category = '' OR list_contains(tg, category) THEN tg ELSE [category] || tg END, ',') AS tags FROM c""")
 def canonical_note(spark, sf_dir):
-    return repair.canonical_note(_wide(spark, sf_dir), v.ledger(spark, sf_dir))
+    """Notes beside the checked rows of their title."""
+    wide = _wide(spark, sf_dir, "created", "updated")
+    ledger = v.ledger(spark, sf_dir).where("state = 'checked'")
+    linked = linkage.link_exact(ledger.select("row_id", F.trim("paper_title").alias("title")), v.notes(spark, sf_dir))
+    return repair.canonical_note(wide, linked, ledger).withColumn("tags", F.array_join("tags", ","))
 
 
 @query(f"""WITH {_RESOLVED}, {_WIDE} SELECT note_id, CASE WHEN pdf_ref IN (SELECT path FROM file_listing) THEN pdf_ref ELSE coalesce(file, pdf_ref) END AS pdf_ref,
@@ -294,14 +360,36 @@ def suggest_names(spark, sf_dir):
     return repair.suggest_names(_matches(spark, sf_dir))
 
 
-@query(f"""{_NAMES}, pl AS (SELECT row_id, pdf_path AS source, concat(regexp_replace(pdf_path, '/[^/]*$', ''), '/', stem, '.pdf') AS target, need_review, score FROM sn)
-SELECT row_id, source, target, CASE WHEN need_review = 'Y' AND coalesce(score, 0) < 0.8 THEN 'review' WHEN source NOT IN (SELECT path FROM file_listing) THEN 'not found' WHEN source = target THEN 'same'
-WHEN target IN (SELECT path FROM file_listing) OR count(*) OVER (PARTITION BY target) > 1 THEN 'target exists' ELSE 'rename' END AS outcome FROM pl""")
-def rename_plan(spark, sf_dir):
+def _rename_sql(where, review):
+    return f"""SELECT row_id, source, target, CASE WHEN {review} THEN 'review' WHEN source NOT IN (SELECT path FROM file_listing) THEN 'not found' WHEN source = target THEN 'same'
+WHEN target IN (SELECT path FROM file_listing) OR count(*) OVER (PARTITION BY target) > 1 THEN 'target exists' ELSE 'rename' END AS outcome FROM pl WHERE {where}"""
+
+
+_PLANNED = f"{_NAMES}, pl AS (SELECT row_id, pdf_path AS source, concat(regexp_replace(pdf_path, '/[^/]*$', ''), '/', stem, '.pdf') AS target, need_review, score FROM sn)"
+_UNSURE = "need_review = 'Y' AND coalesce(score, 0) < 0.8"
+
+
+def _planned(spark, sf_dir):
     matches = _matches(spark, sf_dir)
     named = matches.select("row_id", "pdf_path", "score").join(repair.suggest_names(matches), "row_id")
     target = F.concat(textnorm.folder_of(F.col("pdf_path")), F.lit("/"), "stem", F.lit(".pdf"))
-    return repair.rename_plan(named.select("row_id", F.col("pdf_path").alias("source"), target.alias("target"), "need_review", "score"), v.file_listing(spark, sf_dir))
+    return named.select("row_id", F.col("pdf_path").alias("source"), target.alias("target"), "need_review", "score")
+
+
+@query(f"{_PLANNED} {_rename_sql('true', _UNSURE)}")
+def rename_plan(spark, sf_dir):
+    return repair.rename_plan(_planned(spark, sf_dir), v.file_listing(spark, sf_dir))
+
+
+_MODES = {"N": ("need_review = 'N'", "false"), "Y": ("need_review = 'Y'", _UNSURE), "all": ("true", "false")}
+
+
+@query(f"{_PLANNED} " + " UNION ALL ".join(f"SELECT '{mode}' AS mode, * FROM ({_rename_sql(*x)})" for mode, x in _MODES.items()))
+def rename_modes(spark, sf_dir):
+    """The plan under each way of treating rows that need review."""
+    planned, listing = cut(_planned(spark, sf_dir)), v.file_listing(spark, sf_dir)
+    plans = [repair.rename_plan(planned, listing, mode=m).withColumn("mode", F.lit(m)) for m in _MODES]
+    return plans[0].unionByName(plans[1]).unionByName(plans[2])
 
 
 _KB = "CASE note_id % 6 WHEN 0 THEN concat(substr(path, 1, length(path) - 3), '_KB.md') WHEN 1 THEN replace(path, 'Item_', 'Item-') WHEN 2 THEN replace(path, 'Item', 'skill-Item') ELSE path END"

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from corpusops import views as v
 from corpusops.functions import links, markdown, textnorm
+from corpusops.operators import similarity
 from corpusops.queries.base import query
 
 T = textnorm
@@ -93,14 +94,12 @@ _TOK = r"list_distinct(list_filter(string_split_regex(lower({}), '\s+'), lambda
 tn AS (SELECT doc_id, count(*) AS n FROM t GROUP BY 1), bn AS (SELECT item_id, count(*) AS n FROM b GROUP BY 1), s AS (SELECT doc_id, item_id, count(*) AS n FROM t JOIN b USING (w) GROUP BY 1, 2)
 SELECT item_id, doc_id, s.n AS shared, round(s.n / (tn.n + bn.n - s.n), 9) AS score FROM s JOIN tn USING (doc_id) JOIN bn USING (item_id) WHERE s.n / (tn.n + bn.n - s.n) >= 0.2""", views=False)
 def jaccard(spark, sf_dir):
-    """Documents and benchmark items that share a fifth of their tokens: only pairs with a common token are made, and tallied by aggregation."""
+    """Documents and benchmark items whose tokens are alike by a fifth."""
     docs = v.table(spark, sf_dir, "documents").select("doc_id", T.tokens(F.col("text")).alias("t"))
     items = v.table(spark, sf_dir, "benchmark").select("item_id", T.tokens(F.col("text")).alias("t"))
-    left = docs.select("doc_id", F.size("t").alias("n"), F.explode("t").alias("w"))
-    right = items.select("item_id", F.size("t").alias("m"), F.explode("t").alias("w"))
-    tally = left.join(right, "w").groupBy("item_id", "doc_id", "n", "m").agg(F.count("*").alias("shared"))
+    pairs = similarity.similar_sets(docs, items, 0.2)
     score = F.col("shared") / (F.col("n") + F.col("m") - F.col("shared"))
-    return tally.where(score >= 0.2).select("item_id", "doc_id", "shared", F.round(score, 9).alias("score"))
+    return pairs.select(F.col("b").alias("item_id"), F.col("a").alias("doc_id"), F.col("shared").cast("bigint").alias("shared"), F.round(score, 9).alias("score"))
 
 
 _FRONT = r"(?s)\A---\n(.*?\n)?---(?:\n|\z)"
@@ -198,15 +197,28 @@ def page_links_abs(spark, sf_dir):
     return pages.select("page_id", links.absolute_url(F.col("link"), F.col("url")).alias("link")).distinct()
 
 
-@query(rf"""SELECT page_id, coalesce((regexp_extract_all(html, '{_HREF}', 1) || regexp_extract_all(html, '{_RAW}', 1))[1], nullif(regexp_extract(html, '<meta[^>]*name=["'']citation_pdf_url["''][^>]*content=["'']([^"'']+)["'']', 1), '')) AS candidate FROM pages""", views=False)
+#: Fixture: pages with each kind of mark, or none.
+_MARKED = """CASE page_id % 7 WHEN 0 THEN concat(html, '<a href="files/p', page_id, '.PDF">') WHEN 1 THEN concat(html, '<META NAME="citation_pdf_url" x CONTENT="https://c.example.org/', page_id, '">')
+WHEN 2 THEN concat(html, '<meta name="citation_doi" content=" 10.1145/', page_id, ' ">') WHEN 3 THEN concat(html, ' doi 10.1000/x(', page_id, ').') WHEN 4 THEN concat(html, ' var u = "https://d.example.org/', page_id, '.pdf"<meta name="citation_pdf_url" content="later">')
+WHEN 5 THEN concat(html, '<a href="/root/', page_id, '.pdf">') ELSE html END"""
+_META = r"""nullif(trim(regexp_extract(h, '(?i)<meta[^>]*name=["'']{}["''][^>]*content=["'']([^"'']+)["'']', 1)), '')"""
+
+
+@query(rf"""WITH p AS (SELECT page_id, url, {_MARKED} AS h FROM pages), q AS (SELECT *, (regexp_extract_all(h, '(?i)href=["'']([^"'']*\.pdf)["'']', 1) || regexp_extract_all(h, '(?i)(https?://[^\s"''<>]+\.pdf)', 1))[1] AS l, regexp_extract(url, '^(https?://[^/]+)', 1) AS site FROM p),
+a AS (SELECT page_id, h, CASE WHEN l LIKE 'http%' THEN l WHEN l LIKE '/%' THEN concat(site, l) WHEN l IS NOT NULL THEN concat(site, '/', l) END AS link, {_META.format('citation_pdf_url')} AS meta,
+coalesce(concat('https://doi.org/', nullif({_META.format('citation_doi')}, '')), NULL) AS md, nullif(regexp_replace(regexp_extract(h, '(10\.\d{{4,9}}/[^"''\s<>]+)', 1), '\.+$', ''), '') AS td FROM q)
+SELECT page_id, coalesce(link, meta, CASE WHEN {_META.format('citation_doi')} IS NOT NULL THEN md END, CASE WHEN td IS NOT NULL THEN concat('https://doi.org/', td) END) AS candidate,
+coalesce(meta, link, CASE WHEN {_META.format('citation_doi')} IS NOT NULL THEN md END, CASE WHEN td IS NOT NULL THEN concat('https://doi.org/', td) END) AS rendered FROM a""", views=False)
 def page_candidate(spark, sf_dir):
-    return v.table(spark, sf_dir, "pages").select("page_id", links.first_candidate(F.col("html"), "").alias("candidate"))
+    pages = v.table(spark, sf_dir, "pages").select("page_id", "url", F.expr(_MARKED).alias("html"))
+    pick = lambda **more: links.first_candidate(F.col("html"), ".pdf", F.col("url"), **more)
+    return pages.select("page_id", pick().alias("candidate"), pick(meta_first=True).alias("rendered"))
 
 
 _IDS = "CASE note_id % 4 WHEN 0 THEN concat('see doi 10.1145/', note_id, '.77.') WHEN 1 THEN concat('https://arxiv.org/abs/2401.', 10000 + note_id % 80000) WHEN 2 THEN concat('https://ieeexplore.ieee.org/document/', note_id) ELSE title END"
 
 
-@query(rf"""WITH s AS (SELECT note_id, {_IDS} AS t FROM notes) SELECT note_id, nullif(regexp_replace(regexp_extract(t, '(10\.\d{{4,9}}/[-._;()/:A-Za-z0-9]+)', 1), '\.+$', ''), '') AS doi,
+@query(rf"""WITH s AS (SELECT note_id, {_IDS} AS t FROM notes) SELECT note_id, nullif(regexp_replace(regexp_extract(t, '(10\.\d{{4,9}}/[^"''\s<>]+)', 1), '\.+$', ''), '') AS doi,
 nullif(regexp_extract(lower(t), 'arxiv\.org/(?:abs|pdf)/(\d{{4}}\.\d{{4,5}})', 1), '') AS arxiv, nullif(regexp_extract(lower(t), 'ieee\.org/document/(\d+)', 1), '') AS ieee FROM s""")
 def id_extract(spark, sf_dir):
     c = F.expr(_IDS)

@@ -37,10 +37,12 @@ def filter_note_paths(notes: DataFrame, depth: int = 3, exclude_dirs: list[str]
 
 
 def read_ledger_csv(spark: SparkSession, path: str) -> DataFrame:
-    """The ledger's eight columns with file and line order kept in row_id; a header row is left out, short rows end in empty strings, long ones are cut."""
+    """The ledger's eight columns with file and line order kept in row_id; a header in a file's first row is left out, short rows end in empty strings, long ones are cut."""
     schema = ", ".join(f"`{c}` string" for c in LEDGER)
     rows = spark.read.schema(schema).option("multiLine", True).option("quote", '"').option("escape", '"').option("mode", "PERMISSIVE").csv(path)
-    rows = rows.withColumn("row_id", F.monotonically_increasing_id()).where(F.coalesce(F.lower("state"), F.lit("")) != "state")
+    rows = rows.select("*", F.col("_metadata.file_path").alias("file")).withColumn("row_id", F.monotonically_increasing_id())
+    first = rows.groupBy("file").agg(F.min("row_id").alias("row_id"), F.min_by("state", "row_id").alias("state"))
+    rows = rows.join(first.where(F.lower("state") == "state").select("row_id"), "row_id", "left_anti")
     return rows.select("row_id", *[F.coalesce(c, F.lit("")).alias(c) for c in LEDGER])
 
 
@@ -69,20 +71,36 @@ def list_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     return files.select(rel.alias("path"), F.regexp_extract(rel, r"\.([^./]+)$", 1).alias("ext"), "length", F.col("modificationTime").alias("modified"))
 
 
+def fingerprint(ledger: DataFrame) -> tuple:
+    """Rows of a ledger and two sums of their hashes: equal for the same rows in any order, each as often."""
+    columns = ["row_id", *LEDGER]
+    total = lambda *more: F.coalesce(F.sum(F.xxhash64(*columns, *more).cast("decimal(38, 0)")), F.lit(0).cast("decimal(38, 0)"))
+    return tuple(ledger.agg(F.count("*").alias("n"), total().alias("a"), total(F.lit(1)).alias("b")).first())
+
+
 def write_ledger(ledger: DataFrame, path: str, changed: bool | None = None) -> str | None:
     """Write a new version beside the earlier ones, in row order; nothing where nothing changed. Returns its folder.
 
-    changed: known beforehand; otherwise the rows are compared with those of the newest version.
+    changed: known beforehand; otherwise the rows' fingerprint is compared with that kept beside the newest version, in one aggregate.
     """
-    spark = ledger.sparkSession
-    if changed is None and read_version(spark, path):
-        now, before = ledger.select("row_id", *LEDGER), read_ledger(spark, path)
-        changed = not (now.exceptAll(before).isEmpty() and before.exceptAll(now).isEmpty())
     if changed is False:
         return None
-    version = f"{path}/version={read_version(spark, path) + 1:08d}-{uuid.uuid4().hex[:8]}"
-    ledger.orderBy("row_id").select("row_id", *LEDGER).write.parquet(version)
-    return version
+    spark, now = ledger.sparkSession, fingerprint(ledger)
+    if changed is None and read_version(spark, path) and now == _kept_fingerprint(spark, path):
+        return None
+    name = f"{read_version(spark, path) + 1:08d}-{uuid.uuid4().hex[:8]}"
+    spark.createDataFrame([now], "n bigint, a decimal(38, 0), b decimal(38, 0)").coalesce(1).write.parquet(f"{path}/fingerprint={name}")
+    ledger.orderBy("row_id").select("row_id", *LEDGER).write.parquet(f"{path}/version={name}")
+    return f"{path}/version={name}"
+
+
+def _kept_fingerprint(spark: SparkSession, path: str) -> tuple:
+    """Of the newest version; computed where a version was written without."""
+    kept = f"{path}/{_versions(spark, path)[-1].replace('version=', 'fingerprint=')}"
+    there = spark._jvm.org.apache.hadoop.fs.Path(kept)
+    if there.getFileSystem(spark._jsc.hadoopConfiguration()).exists(there):
+        return tuple(spark.read.parquet(kept).first())
+    return fingerprint(read_ledger(spark, path))
 
 
 def _versions(spark: SparkSession, path: str) -> list[str]:

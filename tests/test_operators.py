@@ -2,10 +2,12 @@
 
 import difflib
 
+import pytest
 from pyspark.sql import functions as F
 
 from corpusops.functions import links, markdown, textnorm
 from corpusops.operators import aggregate, audit, linkage, repair, structure, tags
+from corpusops.plans.cut import cut
 from corpusops.sources import files
 from corpusops.streaming import refresh
 
@@ -116,6 +118,28 @@ def test_alias_closure(spark):
     assert tags.alias_closure(alias.limit(0)).count() == 0
 
 
+def test_alias_rounds_follow_the_depth(spark, monkeypatch):
+    """Chains, cycles with tails of all lengths, against following each; few rounds where chains are short, however many there are."""
+    rounds = []
+    monkeypatch.setattr(tags, "cut", lambda df: rounds.append(1) or cut(df))
+    rows = [(i, f"n{i}", f"n{i + 1}") for i in range(20)] + [(100 + i, f"c{i}", f"c{(i + 1) % 7}") for i in range(7)]
+    rows += [(50 - i, f"t{i}", f"t{i + 1}" if i < 11 else "c3") for i in range(12)] + [(200 + i, f"d{i}", f"d{(i * 5 + 3) % 16}") for i in range(16)]
+    last = {a: (o, c) for o, a, c in rows}
+
+    def follow(a):
+        seen = []
+        while a in last and a not in seen:
+            seen.append(a)
+            a = last[a][1]
+        return a if a not in last else min(seen[seen.index(a) :], key=lambda x: last[x][0])
+
+    frame = lambda rows: spark.createDataFrame(rows, "ord long, alias string, canonical string")
+    assert {r["alias"]: r["canonical"] for r in tags.alias_closure(frame(rows)).collect()} == {a: follow(a) for a in last}
+    rounds.clear()
+    short = [(3 * i + k, f"s{i}.{k}", f"s{i}.{k + 1}") for i in range(2000) for k in range(3)]
+    assert all(r["canonical"].endswith(".3") for r in tags.alias_closure(frame(short)).collect()) and len(rounds) <= 4
+
+
 def test_canonical_tags_flags(spark):
     rows = spark.createDataFrame([(1, 0, "a"), (1, 1, "b"), (1, 2, "a"), (2, 0, "k")], "note_id long, pos int, item string")
     closure = spark.createDataFrame([("b", "a")], "alias string, canonical string")
@@ -175,6 +199,25 @@ def test_ledger_files(spark, tmp_path):
     first, second = files.write_ledger(ledger, out), files.write_ledger(ledger.where("state = 'Wait'"), out)
     assert files.write_ledger(ledger.where("state = 'Wait'"), out) is None
     assert first != second and files.read_version(spark, out) == 2 and files.read_ledger(spark, out).count() == 2
+    assert [r["state"] for r in files.read_ledger_csv(spark, _write(tmp_path / "s.csv", "state,a\nState,b\nWait,c\n")).orderBy("row_id").collect()] == ["State", "Wait"]
+
+
+def _write(path, text):
+    path.write_text(text)
+    return str(path)
+
+
+def test_ledger_guard(spark, tmp_path):
+    """Rows in another order are the same ledger; swapped, repeated and changed ones aren't."""
+    rows = [(i, *(f"{c}{i % 3}" for c in files.LEDGER)) for i in range(20)]
+    frame = lambda rows: spark.createDataFrame(rows, ", ".join(["row_id long", *(f"`{c}` string" for c in files.LEDGER)])).repartition(3)
+    out = str(tmp_path / "guard")
+    assert files.write_ledger(frame(rows), out)
+    assert files.write_ledger(frame(rows[::-1]), out) is None
+    swapped = [(0, *rows[1][1:]), (1, *rows[0][1:]), *rows[2:]]
+    for other in (swapped, rows + rows[:1], rows[1:], [(*rows[0][:-1], "x"), *rows[1:]]):
+        assert files.write_ledger(frame(other), out) and files.write_ledger(frame(other), out) is None
+    assert files.read_version(spark, out) == 5
 
 
 def test_stream_refresh(spark, tmp_path):
@@ -187,16 +230,52 @@ def test_stream_refresh(spark, tmp_path):
     refresh.refresh_notes(spark, src, dst, ck).awaitTermination()
     got = spark.read.parquet(dst).select("batch", "path", "title").collect()
     assert sorted(map(tuple, got)) == [(0, "c/V_2024/1.md", "T1"), (1, "c/V_2024/2.md", "T2")]
+    assert sorted(map(tuple, refresh.round_reports(spark, dst).collect())) == [(0, 1, 0, 0, 1), (1, 1, 0, 0, 1)]
+
+
+def test_stream_reports_changed_notes_once(spark, tmp_path):
+    src, dst, ck = (str(tmp_path / x) for x in ("src", "dst", "ck"))
+
+    def deliver(day, **notes):
+        (tmp_path / f"src/day{day}/c").mkdir(parents=True)
+        for name, text in notes.items():
+            (tmp_path / f"src/day{day}/c/{name}.md").write_text(text)
+        refresh.refresh_notes(spark, src, dst, ck, delivery="day[0-9]+/").awaitTermination()
+
+    deliver(1, a="# A\n", b="# B\n")
+    deliver(2, a="# A two\n", b="# B\n", c="# C\n")
+    deliver(3, a="# A two\n")
+    got = sorted(map(tuple, refresh.round_reports(spark, dst).select("batch", "added", "changed", "same").collect()))
+    assert got == [(0, 2, 0, 0), (1, 1, 1, 1), (2, 0, 0, 1)]
+    refresh.refresh_notes(spark, src, dst, str(tmp_path / "again"), delivery="day[0-9]+/").awaitTermination()  # all of it as batch 0 again
+    assert spark.read.parquet(f"{dst}/_reports/batch=0").first()["changed"] == 0
 
 
 def test_stream_latest_state(spark, sf_dir, tmp_path):
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role")
     src, dst, ck = (str(tmp_path / x) for x in ("src", "dst", "ck"))
+    run = lambda ck: refresh.latest_state(spark, src, "conv_id long, turn long, role string", dst, ck, "conv_id", "turn").awaitTermination()
     for part in ("turn < 2", "turn >= 2"):
         turns.where(part).coalesce(1).write.mode("append").parquet(src)
-        refresh.latest_state(spark, src, "conv_id long, turn long, role string", dst, ck, "conv_id", "turn").awaitTermination()
-    got = sorted(map(tuple, spark.read.parquet(f"{dst}/state=1").select("conv_id", "turn", "role").collect()))
-    assert got == sorted(map(tuple, refresh.latest_rows(turns, "conv_id", "turn").select("conv_id", "turn", "role").collect()))
+        run(ck)
+    want = sorted(map(tuple, refresh.latest_rows(turns, "conv_id", "turn").select("conv_id", "turn", "role").collect()))
+    state = lambda: sorted(map(tuple, refresh.read_state(spark, dst).select("conv_id", "turn", "role").collect()))
+    assert state() == want
+    ids = [r[0] for r in turns.select("conv_id").distinct().orderBy("conv_id").limit(10).collect()]
+    few = spark.createDataFrame([(i, 1000, "late") for i in ids], "conv_id long, turn long, role string")
+    few.coalesce(1).write.mode("append").parquet(src)
+    run(ck)
+    new = list((tmp_path / "dst/data/version=2").glob("bucket=*"))
+    assert 0 < len(new) <= 10
+    want = sorted([r for r in want if r[0] not in ids] + [(i, 1000, "late") for i in ids])
+    assert state() == want
+    # What batch 1 replaced is gone, what batch 2 replaced stays for a replay of it.
+    old = refresh._manifest(spark, dst, 0)
+    assert all((tmp_path / f"dst/data/version={v}/bucket={b}").exists() == (refresh._manifest(spark, dst, 1)[b] == v) for b, v in old.items())
+    (tmp_path / "ck/commits/2").unlink()
+    (tmp_path / "ck/commits/.2.crc").unlink(missing_ok=True)
+    run(ck)
+    assert state() == want
 
 
 def test_scan_reads_only_what_it_needs(spark, sf_dir):
@@ -259,3 +338,13 @@ def test_fill_from_the_name(spark):
     got = repair.fill_fields(spark.createDataFrame([row], ", ".join(f"{n} string" for n in names))).first()
     assert (got["title"], got["tags"], got["primary_logic"]) == ("A b", "Cat", "[TODO]")
     assert got["actions"] == "category,venue,year,title,tags,core_operator,primary_logic"
+
+
+def test_rules_of_users(spark):
+    """A tenth rule needs no code; an unknown kind is an error."""
+    rules = [*audit.AUDIT_RULES, ("lacks", "(?i)todo", "Part II:", "unfinished"), ("contains", "a,b", "", "lacks {}")]
+    text = "# T\n\n## Part II: B\ntodo\n"
+    got = one(spark, lambda: audit.audit_reasons(F.col("c"), F.lit("T"), rules), c=text)
+    assert got[-2:] == ["unfinished", "lacks b"] and got[0] == "no front matter"
+    with pytest.raises(ValueError):
+        audit.audit_reasons(F.col("c"), F.lit("T"), [("odd", "", "", "")])
