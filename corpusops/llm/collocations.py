@@ -24,7 +24,7 @@ LEAST = 30  # occurrences that a candidate has at least
 COVER = 80  # percent of a phrase's occurrences in a longer candidate that make it a part of that
 SCALE = 2_000_000
 TOP = 2000  # phrases of each language in the report
-SENT = 4_000_000  # hashes of frequent pairs that are sent to the workers: 32 MB of numbers
+MAP_BITS = 27  # of the number of bits of the map of frequent pairs that is sent to the workers: at most 2 million rows of two numbers
 SALTS = 64  # parts of a language that are ranked alone before the whole
 
 _WORDS = [f"w{i}" for i in range(LONGEST)]
@@ -52,17 +52,18 @@ def _pair(a: str, b: str) -> Column:
 def _cut_short(each: DataFrame, docs: DataFrame, least: int) -> DataFrame:
     """Windows up to their first pair of words that occurs too seldom: no phrase over it can occur often enough.
 
-    Pairs are told apart by a hash of 64 bits; equal hashes only leave a window longer than need be. Where more pairs than SENT are
-    frequent, windows stay as they are; the counts of frequent phrases are the same either way.
+    Frequent pairs are bits of a map of MAP_BITS, a row for each 64 of them that has any, which bounds what is sent to the workers.
+    Pairs that meet on a bit only leave a window longer than need be; the counts of frequent phrases are the same.
     """
     pairs = windows(docs, 2).where(F.col("w1") != _PAD).groupBy(_pair("w0", "w1").alias("pair")).agg(F.count("*").alias("n"))
-    often = materialise(pairs.where(F.col("n") >= least).select("pair"))
-    if often.count() > SENT:
-        return each
+    slot, place = lambda h: F.shiftrightunsigned(h, 70 - MAP_BITS), lambda h: h.bitwiseAND(63).cast("int")
+    often = pairs.where(F.col("n") >= least).select(slot(F.col("pair")).alias("slot"), F.expr("shiftleft(1L, cast(pair & 63 as int))").alias("bit"))
+    often = materialise(often.groupBy("slot").agg(F.bit_or("bit").alias("bits")))
     for before, w in zip(_WORDS, _WORDS[1:]):
-        known = F.broadcast(often.select(F.col("pair").alias("key"), F.lit(True).alias("known")))
-        kept = F.col("known") if before == "w0" else F.col("known") & (F.col(before) != _PAD)
-        each = each.join(known, _pair(before, w) == F.col("key"), "left").withColumn(w, F.when(kept, F.col(w)).otherwise(F.lit(_PAD))).drop("key", "known")
+        hashed = _pair(before, w)
+        known = F.getbit("bits", place(hashed)) == 1
+        kept = known if before == "w0" else known & (F.col(before) != _PAD)
+        each = each.join(F.broadcast(often), slot(hashed) == F.col("slot"), "left").withColumn(w, F.when(kept, F.col(w)).otherwise(F.lit(_PAD))).drop("slot", "bits")
     return each
 
 
