@@ -16,6 +16,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from corpusops.llm import license_templates
 from corpusops.llm.common import texts, with_ids
 
 #: The phrases whose places are the base, and their labels.
@@ -39,7 +40,7 @@ TEMPLATES = {
     "cc-by-sa": """licensed under <<beginOptional>>the<<endOptional>> <<beginOptional>>creative commons<<endOptional>>
         cc by sa <<var;name=version;match=2 0|2 5|3 0|4 0>>""",
     "gpl-header": """this program is free software you can redistribute it and or modify it under the terms of the gnu
-        <<beginOptional>>lesser<<endOptional>> general public license as published by the free software foundation
+        general public license as published by the free software foundation
         either version <<var;name=version;match=2|2 1|3>> <<var;name=choice;words=0-12>>""",
     "gpl-licensed": """licensed under <<beginOptional>>the terms of<<endOptional>> the gnu general public license
         <<beginOptional>>version<<endOptional>> <<var;name=version;match=1|2|3>>""",
@@ -49,6 +50,8 @@ TEMPLATES = {
         to deal in the software without restriction""",
     "mit-released": """<<var;name=verb;match=released|licensed|distributed>> under <<beginOptional>>the terms of<<endOptional>>
         the mit license""",
+    **license_templates.NOTICES,
+    **license_templates.BODIES,
 }
 
 #: Words of a text in lower case: runs of characters that are neither ASCII controls, spaces nor punctuation.
