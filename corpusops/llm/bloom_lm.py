@@ -19,6 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -35,6 +36,7 @@ SEGMENT_BITS = 6  # 64 segments of the filter, built apart; more where they woul
 MAX_SEGMENT = 1 << 24  # bits: 2 MiB
 CHUNK_CHARS = 4_000_000  # of the texts whose n-grams are shuffled together
 KNOWN_WORDS = 4_000_000  # words in the table of exact counts, 12 bytes each
+COMMON = 65_536  # n-grams used most whose levels all workers know where the filter is too large to be sent
 PRIOR = 50.0  # tokens that the words' own probabilities count for, in each context
 CACHE_BITS = 20  # of the numbers of places where a worker keeps levels that it has looked up
 CHUNK = 250_000  # tokens scored at a time
@@ -249,16 +251,20 @@ def build_filter(counts: DataFrame) -> tuple[LogFrequencyFilter | None, Segments
     return LogFrequencyFilter(np.frombuffer(bytes(bits), np.uint8), size, parts.segment_bits), parts, n
 
 
-def known_counts(counts: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
-    """Sorted keys and exact counts of the words with at least the returned count: all that fit into KNOWN_WORDS."""
-    words = counts.where("key % 2 = 0")
+def _most_used(counts: DataFrame, most: int) -> tuple[pa.Table, int]:
+    """(key, n) of the n-grams with at least the returned count: all that fit into ``most``."""
     total, least = 0, 1 << 62
-    for r in sorted(words.groupBy(F.least("n", F.lit(1 << 16)).alias("n")).agg(F.count("*").alias("keys")).collect(), key=lambda r: -r["n"]):
+    for r in sorted(counts.groupBy(F.least("n", F.lit(1 << 16)).alias("n")).agg(F.count("*").alias("keys")).collect(), key=lambda r: -r["n"]):
         total += r["keys"]
-        if total > KNOWN_WORDS:
+        if total > most:
             break
         least = r["n"]
-    got = words.where(F.col("n") >= least).toArrow()
+    return counts.where(F.col("n") >= least).toArrow(), least
+
+
+def known_counts(counts: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
+    """Sorted keys and exact counts of the words with at least the returned count: all that fit into KNOWN_WORDS."""
+    got, least = _most_used(counts.where("key % 2 = 0"), KNOWN_WORDS)
     keys, n = got["key"].to_numpy().view(np.uint64), got["n"].to_numpy().astype(np.uint64)
     order = np.argsort(keys)
     return keys[order], n[order].astype(np.uint32), least
@@ -303,9 +309,35 @@ def text_chunks(source: DataFrame) -> DataFrame:
     return materialise(each.mapInPandas(run, "chunk bigint, ids array<bigint>, texts array<string>, held array<boolean>"))
 
 
-def find_levels(chunked: DataFrame, parts: Segments) -> DataFrame:
-    """(chunk, key, level) of the distinct n-grams of each chunk, looked up where their segments are."""
-    size, segment_bits = parts.size, parts.segment_bits
+def common_levels(counts: DataFrame, parts: Segments) -> FoundLevels:
+    """Levels of the n-grams used most, words and pairs, at most COMMON of them: those that nearly every chunk would ask for."""
+    keys = np.sort(_most_used(counts, COMMON)[0]["key"].to_numpy().view(np.uint64))
+    asked = pd.DataFrame({"chunk": np.zeros(len(keys), np.int64), "segment": _segment(keys, parts.segment_bits).astype("int32"), "key": keys.view(np.int64)})
+    found = _looked_up(counts.sparkSession.createDataFrame(asked, "chunk bigint, segment int, key bigint"), parts).toPandas().sort_values("key")
+    got, levels = found["key"].to_numpy(np.int64).view(np.uint64), found["level"].to_numpy(np.int64)
+    order = np.argsort(got)
+    return FoundLevels(got[order], levels[order])
+
+
+def _looked_up(asked: DataFrame, parts: Segments) -> DataFrame:
+    """(chunk, key, level) of asked (chunk, segment, key)."""
+    size = parts.size
+
+    def look(asked: pd.DataFrame, bits: pd.DataFrame) -> pd.DataFrame:
+        found = np.zeros(len(asked), np.int64)
+        if len(asked) and len(bits):
+            found = LogFrequencyFilter(np.frombuffer(bits["bits"].iloc[0], np.uint8), size, 0).levels(asked["key"].to_numpy().view(np.uint64))
+        return pd.DataFrame({"chunk": asked["chunk"], "key": asked["key"], "level": found})
+
+    return asked.groupBy("segment").cogroup(parts.table.groupBy("segment")).applyInPandas(look, "chunk bigint, key bigint, level int")
+
+
+def find_levels(chunked: DataFrame, parts: Segments, common: FoundLevels) -> DataFrame:
+    """(chunk, key, level) of the distinct n-grams of each chunk but the common ones, looked up where their segments are.
+
+    An n-gram that isn't common stands in few chunks beside all there are, so no segment's frame grows with the chunks.
+    """
+    segment_bits, known = parts.segment_bits, chunked.sparkSession.sparkContext.broadcast(common.keys)
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = _Hashes()
@@ -314,26 +346,21 @@ def find_levels(chunked: DataFrame, parts: Segments) -> DataFrame:
                 keys = [word_key(np.array([END], np.uint64))]
                 for _, tokens, _ in chunks(ids, docs, hashes):
                     keys += [np.unique(word_key(tokens)), np.unique(pair_key(_before(tokens), tokens))]
-                k = np.unique(np.concatenate(keys))
+                k = np.setdiff1d(np.concatenate(keys), known.value)
                 yield pd.DataFrame({"chunk": np.full(len(k), chunk), "segment": _segment(k, segment_bits).astype("int32"), "key": k.view(np.int64)})
 
-    def look(asked: pd.DataFrame, bits: pd.DataFrame) -> pd.DataFrame:
-        found = np.zeros(len(asked), np.int64)
-        if len(asked) and len(bits):
-            found = LogFrequencyFilter(np.frombuffer(bits["bits"].iloc[0], np.uint8), size, 0).levels(asked["key"].to_numpy().view(np.uint64))
-        return pd.DataFrame({"chunk": asked["chunk"], "key": asked["key"], "level": found})
-
-    asked = chunked.mapInPandas(ask, "chunk bigint, segment int, key bigint")
-    return materialise(asked.groupBy("segment").cogroup(parts.table.groupBy("segment")).applyInPandas(look, "chunk bigint, key bigint, level int"))
+    return materialise(_looked_up(chunked.mapInPandas(ask, "chunk bigint, segment int, key bigint"), parts))
 
 
-def _with_levels(chunked: DataFrame, found: DataFrame, body, schema: str) -> DataFrame:
+def _with_levels(chunked: DataFrame, found: DataFrame, common: FoundLevels, body, schema: str) -> DataFrame:
     """Rows of body(filter, ids, texts, held) of each chunk."""
+    shared = chunked.sparkSession.sparkContext.broadcast((common.keys, common.found))
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        right = right.sort_values("key")
-        bloom, row = FoundLevels(right["key"].to_numpy().view(np.uint64), right["level"].to_numpy()), left.iloc[0]
-        return pd.concat(body(bloom, row["ids"], row["texts"], row["held"]), ignore_index=True)
+        keys = np.concatenate([shared.value[0], right["key"].to_numpy(np.int64).view(np.uint64)])
+        levels = np.concatenate([shared.value[1], right["level"].to_numpy(np.int64)])
+        order, row = np.argsort(keys), left.iloc[0]
+        return pd.concat(body(FoundLevels(keys[order], levels[order]), row["ids"], row["texts"], row["held"]), ignore_index=True)
 
     return chunked.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInPandas(run, schema)
 
@@ -385,14 +412,14 @@ def score_texts(docs: DataFrame) -> DataFrame:
     bloom, parts, _ = build_filter(counts)
     if bloom is None:
         chunked = text_chunks(source)
-        found = find_levels(chunked, parts)
-
+        common = common_levels(counts, parts)
+        found = find_levels(chunked, parts, common)
         shared = spark.sparkContext.broadcast(model)
 
         def scores_of(bloom, ids, docs, held) -> list:
             return list(_score_rows(shared.value, bloom, ids, docs, _Hashes()))
 
-        scored = _with_levels(chunked, found, scores_of, _SCORED)
+        scored = _with_levels(chunked, found, common, scores_of, _SCORED)
     else:
         # Sent as bytes, which workers read in place.
         shared, size, segment_bits = spark.sparkContext.broadcast(model | {"bits": bloom.bits.tobytes()}), bloom.size, bloom.segment_bits

@@ -73,10 +73,19 @@ def assign_shards(docs: DataFrame, limit: int = LIMIT, id_col: str = "doc_id", t
     return done.select("doc_id", "n_bytes", shard.alias("shard"), "depth", "shard_bytes", "shard_rows", (F.col("shard_bytes") > limit).alias("over_limit"))
 
 
-def write_shards(docs: DataFrame, path: str, limit: int = LIMIT) -> None:
-    """Write docs as one folder a shard."""
-    shards = assign_shards(docs, limit).select("doc_id", "shard", "depth").distinct()
-    docs.join(shards, docs["doc_id"].eqNullSafe(shards["doc_id"])).drop(shards["doc_id"]).repartition("shard").write.partitionBy("shard").parquet(path)
+def write_shards(docs: DataFrame, path: str, limit: int = LIMIT) -> str:
+    """Write docs as one folder a shard, and return the folders' key: ``shard``, or with a number where docs has such a column.
+
+    All columns of docs are written as they are, whatever their names. Null texts, repeated and null ids go as assign_shards says; an
+    empty table writes no shard.
+    """
+    taken = {c.lower() for c in docs.columns}
+    key = next(k for k in ("shard", *(f"shard_{i}" for i in range(1, len(taken) + 2))) if k not in taken)
+    shards = assign_shards(docs, limit).select("doc_id", "shard").distinct()
+    given = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.col("doc_id").alias("id"))
+    placed = given.join(shards, given["id"].eqNullSafe(shards["doc_id"]))
+    placed.select(*[F.col("row")[c].alias(c) for c in docs.columns], F.col("shard").alias(key)).repartition(key).write.partitionBy(key).parquet(path)
+    return key
 
 
 def oracle() -> str:

@@ -297,6 +297,21 @@ def test_filter_in_segments_scores_the_same(spark, docs, none, sf_dir, monkeypat
     assert bloom_lm.score_texts(none).count() == 0
 
 
+def test_common_ngrams_are_not_shuffled(spark, monkeypatch):
+    """A word and a pair that every chunk holds are asked for nowhere, so no frame of questions grows with the chunks."""
+    monkeypatch.setattr(bloom_lm, "BROADCAST_BITS", 0)
+    monkeypatch.setattr(bloom_lm, "CHUNK_CHARS", 200)
+    monkeypatch.setattr(bloom_lm, "COMMON", 8)
+    source = spark.createDataFrame([(i, f"of the w{i} of the v{i} x{i % 9}") for i in range(400)], "doc_id long, text string")
+    counts = bloom_lm.count_ngrams(bloom_lm.texts(source))
+    _, parts, _ = bloom_lm.build_filter(counts)
+    common = bloom_lm.common_levels(counts, parts)
+    assert 3 <= len(common.keys) <= 8 and (common.found > 0).all()
+    chunked = bloom_lm.text_chunks(bloom_lm.texts(source))
+    asked = bloom_lm.find_levels(chunked, parts, common).groupBy("key").count().agg(F.max("count")).first()[0]
+    assert asked < chunked.count() / 2
+
+
 # Order MinHash
 
 
