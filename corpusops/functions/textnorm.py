@@ -68,6 +68,7 @@ def abbr_title(c: Column) -> Column:
     )
 
 
+#: Fixed value: letters, then a closing year of four digits.
 _VENUE_YEAR = r"^([A-Za-z ]*?)\s*(\d{4})$"
 
 

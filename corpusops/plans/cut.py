@@ -1,19 +1,33 @@
-"""Cutting the lineage of loops."""
+"""Cutting the lineage of loops, and tables on the way, in the folder that all machines share."""
 
 from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df computed once and read back from the cluster's checkpoint folder; a temporary folder only where none is set and driver and tasks are one process."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        path = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not path and not re.fullmatch(r"local(\[.*\])?", context.master):
+def shared_dir(spark: SparkSession) -> str:
+    """The cluster's checkpoint folder; a temporary folder only where none is set and driver and tasks are one process."""
+    context = spark.sparkContext
+    path = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not path:
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
             raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
-        context.setCheckpointDir(path or f"file://{tempfile.mkdtemp(prefix='spark-')}")
+        path = f"file://{tempfile.mkdtemp(prefix='spark-')}"
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(path)
+    return path
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df computed once and read back from the shared folder; its files go with the frame where the session cleans checkpoints."""
+    shared_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A folder of its own in the shared folder."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"

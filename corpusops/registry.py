@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from corpusops.queries import audits, linking, repairs, text  # noqa: F401
+from corpusops.queries import audits, filed, linking, repairs, text  # noqa: F401
 from corpusops.queries.base import ORACLES, QUERIES  # noqa: F401

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: The columns of a ledger of commas, and of one of bars.
 LEDGER = ["state", "importance", "paper_title", "venue", "project_link_or_github_link", "paper_link", "sort", "pdf_path"]
 PIPE = ["state", "title", "venue", "project_url", "pdf_url", "category"]
 
@@ -135,7 +136,7 @@ def write_index(notes: DataFrame, path: str) -> None:
     index_rows(notes).write.json(path)
 
 
-def read_pages(spark: SparkSession, path: str) -> DataFrame:
+def read_pages(spark: SparkSession, path: str, suffix: str = ".html") -> DataFrame:
     """(url, html) of saved pages, one a file; the address is the file's path below ``path`` without its suffix."""
-    files = spark.read.format("text").option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.html").load(path)
-    return files.select(F.regexp_replace(relative(F.col("_metadata.file_path"), path), r"\.html$", "").alias("url"), F.col("value").alias("html"))
+    files = spark.read.format("text").option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", f"*{suffix}").load(path)
+    return files.select(F.regexp_replace(relative(F.col("_metadata.file_path"), path), suffix.replace(".", r"\.") + "$", "").alias("url"), F.col("value").alias("html"))
