@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpusops import views as v
-from corpusops.functions import markdown
-from corpusops.operators import audit, structure
+from corpusops.functions import markdown, textnorm
+from corpusops.operators import audit, linkage, structure
 from corpusops.queries.base import query
+from corpusops.queries.linking import _TIERS
 
 _FRONT = r"(?s)\A---\n(.*?\n)?---(?:\n|\z)"
 #: Lines of the front matter, in DuckDB.
@@ -133,11 +134,19 @@ def content_mismatch(spark, sf_dir):
     return v.notes(spark, sf_dir).join(docs, "note_id").select("note_id", reason.alias("reason"))
 
 
-@query("""WITH p AS (SELECT row_id, l.venue AS lv, concat(n.venue, ' ', n.year) AS nv, l.paper_title AS lt, n.title AS nt FROM ledger l JOIN notes n ON note_id = row_id)
-SELECT row_id AS note_id, 'paper_title' AS field, lt AS ledger_value, nt AS note_value FROM p WHERE lt IS DISTINCT FROM nt UNION ALL SELECT row_id, 'venue', lv, nv FROM p WHERE lv IS DISTINCT FROM nv""")
+_LINK_OF = r"\*\*Links\*\*: \[[^\]]*\]\(([^)]*)\)"
+
+
+@query(rf"""WITH {_TIERS}, p AS (SELECT row_id, paper_title AS a1, n.title AS b1, trim(regexp_replace(l.venue, '\d{{4}}$', '')) AS a2, n.venue AS b2, right(l.venue, 4) AS a3, n.year::VARCHAR AS b3, l.project_link AS a4, nullif(regexp_extract(n.text, '{_LINK_OF}', 1), '') AS b4
+FROM tiered JOIN ledger l USING (row_id) JOIN notes n USING (note_id)), f AS (SELECT row_id, unnest(['title', 'venue', 'year', 'link']) AS field, unnest([a1, a2, a3, a4]) AS ledger_value, unnest([b1, b2, b3, b4]) AS note_value FROM p)
+SELECT * FROM f WHERE ledger_value IS DISTINCT FROM note_value""")
 def field_diff(spark, sf_dir):
-    notes = v.notes(spark, sf_dir).withColumn("where", F.concat_ws(" ", "venue", "year"))
-    return audit.field_diff(v.ledger(spark, sf_dir).withColumn("note_id", F.col("row_id")), notes, "note_id", {"paper_title": "title", "venue": "where"})
+    """Title, venue, year and link of each row beside those of its note, found by tiers."""
+    notes, ledger = v.notes(spark, sf_dir), v.ledger(spark, sf_dir)
+    linked = linkage.link_tiered(ledger.select("row_id", F.col("paper_title").alias("title")), notes).where("note_id is not null")
+    theirs = linked.select("row_id", "note_id").join(notes.withColumn("link", F.nullif(F.regexp_extract("text", _LINK_OF, 1), F.lit(""))), "note_id")
+    ours = ledger.select("row_id", F.col("paper_title").alias("title"), textnorm.venue_of(F.col("venue")).alias("venue"), textnorm.year_of(F.col("venue")).alias("year"), F.col("project_link").alias("link"))
+    return audit.field_diff(ours, theirs, "row_id", {c: c for c in ("title", "venue", "year", "link")})
 
 
 @query("SELECT note_id, title, path FROM notes WHERE venue = 'ICLR' AND category = 'Cat_en' AND note_id % 11 <> 0 AND contains(lower(text), 'the')")

@@ -52,7 +52,7 @@ def _ledger(spark, sf_dir):
 def read_ledger_files(spark, sf_dir):
     """The ledger as CSV files that each begin with a header."""
     path = new_folder(spark, "ledger")
-    _ledger(spark, sf_dir).drop("row_id").write.option("header", True).option("escape", '"').option("emptyValue", "").csv(path)
+    _ledger(spark, sf_dir).drop("row_id").write.option("header", True).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).option("escape", '"').option("emptyValue", "").csv(path)
     return files.read_ledger_csv(spark, path).drop("row_id")
 
 
