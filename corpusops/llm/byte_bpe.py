@@ -221,11 +221,12 @@ def _in_parts(body):
     return run
 
 
-def encode(docs: DataFrame, path: str, vocab: DataFrame | None = None) -> DataFrame:
-    """(doc_id, ids) of every whole text; see ``decode`` for the way back.
+def encode(docs: DataFrame, path: str, vocab: DataFrame | None = None, also: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, ids, also...) of every whole text; see ``decode`` for the way back.
 
     Null and empty texts have no ids. Repeated rows each give a row; other columns of docs are ignored; an empty table
-    gives an empty table. path: a file of base64 byte strings with their ranks, on every machine.
+    gives an empty table. path: a file of base64 byte strings with their ranks, on every machine. also: ``id_bytes`` and ``decoded``
+    add what the functions of these names would, on the same way through Python.
     """
     docs = texts(docs)
     vocab = vocabulary(docs.sparkSession, path) if vocab is None else vocab
@@ -246,44 +247,62 @@ def encode(docs: DataFrame, path: str, vocab: DataFrame | None = None) -> DataFr
 
         return _in_parts(some)(batches)
 
-    def fill(batch: pa.RecordBatch) -> pa.RecordBatch:
-        out = []
-        for x, more, at in zip(batch["ids"], batch["fills"].to_pylist(), batch["at"].to_pylist(), strict=True):
-            ids = x.values.to_numpy().astype(np.int64) & mask
-            pieces = np.split(ids, np.flatnonzero(ids == mask))
-            out.append(np.concatenate([pieces[0], *[y for k, p in zip(at, pieces[1:], strict=True) for y in (more[k], p[1:])]]).astype(np.int32))
-        return pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(out, pa.list_(pa.int32()))], ["doc_id", "ids"])
+    made = {"id_bytes": lambda: _le_bytes, "decoded": lambda: _decoder(path)}
 
-    parts = docs.mapInArrow(run, f"doc_id bigint, ids array<{sql}>, others array<string>, at array<int>").withColumn("v", vocab.select(F.struct("*")).scalar())
-    fills = _bind(F.col("v"), lambda v: F.transform("others", lambda w: fold_word(v, w)))
-    return with_ids(parts.select("doc_id", "ids", "at", fills.alias("fills")).mapInArrow(_in_parts(fill), "doc_id bigint, ids array<int>"))
+    def filled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        more_columns = [made[name]() for name in also]
 
+        def fill(batch: pa.RecordBatch) -> pa.RecordBatch:
+            out = []
+            for x, more, at in zip(batch["ids"], batch["fills"].to_pylist(), batch["at"].to_pylist(), strict=True):
+                ids = x.values.to_numpy().astype(np.int64) & mask
+                pieces = np.split(ids, np.flatnonzero(ids == mask))
+                out.append(np.concatenate([pieces[0], *[y for k, p in zip(at, pieces[1:], strict=True) for y in (more[k], p[1:])]]).astype(np.int32))
+            more = [pa.array([f(x) for x in out], pa.binary()) for f in more_columns]
+            return pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(out, pa.list_(pa.int32())), *more], ["doc_id", "ids", *also])
 
-def _with_bytes(encoded: DataFrame, name: str, join) -> DataFrame:
-    """encoded with a column of bytes made from each row's ids; null ids give null."""
-    at = encoded.columns.index("ids")
+        return _in_parts(fill)(batches)
 
-    def add(batch: pa.RecordBatch) -> pa.RecordBatch:
-        made = [None if not x.is_valid else join(x.values.to_numpy()) for x in batch.column(at)]
-        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.binary())], [*batch.schema.names, name])
+    parts = docs.mapInArrow(run, f"doc_id bigint, ids array<{sql}>, others array<string>, at array<int>").withColumn("v", vocab.select(F.struct("*")).scalar())
+    fills = _bind(F.col("v"), lambda v: F.transform("others", lambda w: fold_word(v, w)))
+    columns = ", ".join(["doc_id bigint", "ids array<int>", *(f"{name} binary" for name in also)])
+    return with_ids(parts.select("doc_id", "ids", "at", fills.alias("fills")).mapInArrow(filled, columns))
 
-    return encoded.mapInArrow(_in_parts(add), StructType([*encoded.schema.fields, StructField(name, BinaryType())]))
 
+def _le_bytes(ids: np.ndarray) -> bytes:
+    return ids.astype("<u4").tobytes()
 
-def decode(encoded: DataFrame, path: str) -> DataFrame:
-    """encoded with decoded, the bytes of its ids, joined. Ids outside the vocabulary have no bytes; null ids give null."""
+
+def _decoder(path: str):
+    """The bytes of an array of ids, joined; ids outside the vocabulary have none."""
     ranks = read_ranks(path)
     pieces = [b""] * (max(ranks.values()) + 1)
     for t, n in ranks.items():
         pieces[n] = t
-    size = len(pieces)
+    return lambda ids: b"".join(map(pieces.__getitem__, ids[(ids >= 0) & (ids < len(pieces))].tolist()))
+
 
-    def join(ids: np.ndarray) -> bytes:
-        return b"".join(map(pieces.__getitem__, ids[(ids >= 0) & (ids < size)].tolist()))
+def _with_bytes(encoded: DataFrame, name: str, made) -> DataFrame:
+    """encoded with a column of bytes that made()(ids) gives; null ids give null."""
+    at = encoded.columns.index("ids")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        join = made()
+
+        def add(batch: pa.RecordBatch) -> pa.RecordBatch:
+            out = [None if not x.is_valid else join(x.values.to_numpy()) for x in batch.column(at)]
+            return pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], [*batch.schema.names, name])
+
+        return _in_parts(add)(batches)
 
-    return _with_bytes(encoded, "decoded", join)
+    return encoded.mapInArrow(run, StructType([*encoded.schema.fields, StructField(name, BinaryType())]))
+
+
+def decode(encoded: DataFrame, path: str) -> DataFrame:
+    """encoded with decoded, the bytes of its ids, joined. Ids outside the vocabulary have no bytes; null ids give null."""
+    return _with_bytes(encoded, "decoded", lambda: _decoder(path))
 
 
 def id_bytes(encoded: DataFrame) -> DataFrame:
     """encoded with id_bytes, its ids as little-endian unsigned 32-bit numbers; null ids give null."""
-    return _with_bytes(encoded, "id_bytes", lambda ids: ids.astype("<u4").tobytes())
+    return _with_bytes(encoded, "id_bytes", lambda: _le_bytes)

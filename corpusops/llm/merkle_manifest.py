@@ -208,3 +208,50 @@ def verify_rows(docs: DataFrame) -> DataFrame:
 
     rows = blocks.select("subroot", "root", F.explode(F.transform("paths", ends)).alias("x"))
     return rows.select("x.doc_id", "x.leaf", "subroot", "root", "x.proof_sha256", "x.folded_root", (F.col("x.folded_root") == F.col("root")).alias("verified"))
+
+
+def oracle() -> str:
+    """The same in DuckDB, level by level; the checksum by its table of 256 steps."""
+    return r"""
+with recursive crc_table as (
+  select list_transform(range(256), lambda i: list_reduce([i::bigint, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: case when c % 2 = 1 then xor(3988292384, c >> 1) else c >> 1 end)) t
+), fields as (
+  select doc_id, coalesce('s' || source, '') tree, concat(coalesce(strlen(doc_id::varchar) || ':' || doc_id, '-'), coalesce(strlen(source) || ':' || source, '-'),
+    coalesce(strlen(lang) || ':' || lang, '-'), coalesce(strlen(n_chars::varchar) || ':' || n_chars, '-')) head, text,
+    xor(list_reduce([4294967295::bigint] || list_transform(string_split(doc_id::varchar, ''), lambda c: ascii(c)::bigint), lambda c, b: xor(c >> 8, t[xor(c & 255, b) + 1])), 4294967295) % 2 = 0 as odd
+  from documents, crc_table
+), leaves as (
+  select doc_id, tree, sha256(head || coalesce(strlen(text) || ':' || text, '-')) leaf,
+    case when odd then sha256(head || coalesce(strlen(replace(text, chr(10), '')) || ':' || replace(text, chr(10), ''), '-')) end changed from fields
+), placed as (
+  select *, row_number() over (partition by tree order by doc_id nulls first, leaf) - 1 i, count(*) over (partition by tree) n from leaves
+), nodes as (
+  select tree, 0 as level, i, leaf h, n from placed
+  union all
+  select tree, level + 1, i // 3, sha256(string_agg(h, '' order by i)), (any_value(n) + 2) // 3 from nodes where n > 1 group by tree, level, i // 3
+), subroots as (
+  select tree, h subroot, level height from nodes where n = 1
+), tops as (
+  select tree, row_number() over (order by tree) - 1 i, count(*) over () n, subroot, height from subroots
+), top_nodes as (
+  select 0 as level, i, subroot h, n from tops
+  union all
+  select level + 1, i // 3, sha256(string_agg(h, '' order by i)), (any_value(n) + 2) // 3 from top_nodes where n > 1 group by level, i // 3
+), sides as (
+  select a.tree, a.level, a.i, coalesce(string_agg(b.h, '' order by b.i) filter (b.i < a.i), '') l, coalesce(string_agg(b.h, '' order by b.i) filter (b.i > a.i), '') r
+  from nodes a join nodes b on b.tree = a.tree and b.level = a.level and b.i // 3 = a.i // 3 where a.n > 1 group by a.tree, a.level, a.i
+), top_sides as (
+  select a.level, a.i, coalesce(string_agg(b.h, '' order by b.i) filter (b.i < a.i), '') l, coalesce(string_agg(b.h, '' order by b.i) filter (b.i > a.i), '') r
+  from top_nodes a join top_nodes b on b.level = a.level and b.i // 3 = a.i // 3 where a.n > 1 group by a.level, a.i
+), folds as (
+  select p.tree, p.i leaf_i, p.i place, t.i top_place, 0 as level, height, coalesce(changed, leaf) h, '' proof from placed p join tops t on t.tree = p.tree
+  union all
+  select f.tree, leaf_i, case when f.level < height then place // 3 else place end, case when f.level < height then top_place else top_place // 3 end, f.level + 1, height,
+    sha256(coalesce(s.l, u.l) || f.h || coalesce(s.r, u.r)), proof || coalesce(s.l, u.l) || coalesce(s.r, u.r)
+  from folds f left join sides s on f.level < height and s.tree = f.tree and s.level = f.level and s.i = f.place left join top_sides u on f.level >= height and u.level = f.level - height and u.i = f.top_place
+  where s.l is not null or u.l is not null
+), ends as (
+  select tree, leaf_i, arg_max(h, level) folded, arg_max(proof, level) proof from folds group by tree, leaf_i
+)
+select doc_id, leaf, subroot, (select h from top_nodes where n = 1) root, sha256(proof) proof_sha256, folded folded_root, folded = (select h from top_nodes where n = 1) verified
+from placed p join ends e on e.tree = p.tree and e.leaf_i = p.i join subroots r on r.tree = p.tree"""

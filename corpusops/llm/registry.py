@@ -39,8 +39,7 @@ def op6_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    done = byte_bpe.decode(byte_bpe.id_bytes(byte_bpe.encode(table(spark, sf_dir, "documents"), path)), path)
+    done = byte_bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), also=("id_bytes", "decoded"))
     return done.select(
         "doc_id", F.size("ids").cast("bigint").alias("n_tokens"),
         F.sha2("id_bytes", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
@@ -78,5 +77,5 @@ QUERIES = {f.__name__: f for f in (
 )}
 ORACLES = {
     "op1_license_scan": license_scan.oracle(), "op3_extendible_sharding": sharding.oracle(), "op11_collocations": collocations.oracle(),
-    "op12_source_mix": source_mix.oracle(),
+    "op12_source_mix": source_mix.oracle(), "op13_merkle_manifest": merkle_manifest.oracle(),
 }
