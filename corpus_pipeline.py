@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from corpusops.llm import harmonic_packing, line_dedup, mil_classifier, quality_rules, simhash_dedup
-from corpusops.llm.common import materialise, table
+from corpusops.llm.common import made, materialise, release, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -71,8 +71,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each stage's result is a table that the next one reads."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over documents; each stage's result is a table that the next one reads.
+
+    Once it is written, the tables that led to it are deleted; only the last stage's own stay, for the result reads them.
+    """
+    docs, before = table(spark, sf_dir, "documents"), made()
     for _, stage in STAGES[:-1]:
         docs = materialise(stage(spark, docs, sf_dir))
+        release(spark, before, keep=docs)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -81,10 +81,18 @@ def forget(*tables: DataFrame) -> None:
             _MADE[:] = [p for p in _MADE if not p.endswith(name.rsplit("/", 1)[1])]
 
 
-def release(spark: SparkSession) -> None:
-    """Delete all intermediate tables of this process. For when the results that read them are written."""
-    while _MADE:
-        _delete(spark, _MADE.pop())
+def made() -> int:
+    """How many intermediate tables of this process there are: what release() takes to leave these alone."""
+    return len(_MADE)
+
+
+def release(spark: SparkSession, since: int = 0, keep: DataFrame | None = None) -> None:
+    """Delete the intermediate tables made after the first ``since``, but keep's. For when all results that read them are written."""
+    kept = {f.rsplit("/", 2)[1] for f in keep.inputFiles()} if keep is not None else set()
+    for path in _MADE[since:]:
+        if path.rsplit("/", 1)[1] not in kept:
+            _delete(spark, path)
+            _MADE.remove(path)
 
 
 HOT_PARTS = 1000  # a key with more than one of so many rows is hot; there are fewer such keys than that

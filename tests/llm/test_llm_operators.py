@@ -302,7 +302,7 @@ def test_common_ngrams_are_not_shuffled(spark, monkeypatch):
     monkeypatch.setattr(bloom_lm, "BROADCAST_BITS", 0)
     monkeypatch.setattr(bloom_lm, "CHUNK_CHARS", 200)
     monkeypatch.setattr(bloom_lm, "COMMON", 8)
-    source = spark.createDataFrame([(i, f"of the w{i} of the v{i} x{i % 9}") for i in range(400)], "doc_id long, text string")
+    source = spark.createDataFrame([(i, f"of the w{i} of the v{i} x{i // 2}") for i in range(400)], "doc_id long, text string")
     counts = bloom_lm.count_ngrams(bloom_lm.texts(source))
     _, parts, _ = bloom_lm.build_filter(counts)
     common = bloom_lm.common_levels(counts, parts)
@@ -395,6 +395,8 @@ def test_bpe(docs, none, encoder, monkeypatch, known):
     assert sorted(((r["doc_id"] or 0, r["ids"]) for r in got), key=repr) == want
     for r in got:
         assert bytes(r["id_bytes"]) == np.array(r["ids"], "<u4").tobytes() and bytes(r["decoded"]) == encoder.decode_bytes(r["ids"])
+    once = byte_bpe.encode(docs, RANKS, also=("id_bytes", "decoded")).collect()
+    assert sorted(map(repr, once)) == sorted(map(repr, got))
     assert byte_bpe.encode(none, RANKS).count() == 0
 
 
