@@ -29,7 +29,7 @@ from corpusops.llm.common import forget, materialise, texts, with_ids
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 PAIR_BUCKETS = 65_536
-MAX_KNOWN_WORDS = 600_000  # words that all workers know: some 130 MB in a worker
+MAX_KNOWN_WORDS = 1_100_000  # words that all workers know: some 240 MB in a worker
 KNOWN_BYTES = 64  # of such a word
 FLUSH_WORDS = 60_000  # counted words that a task holds
 ROWS = 128  # texts handled at a time
