@@ -89,3 +89,13 @@ def test_best_links_equal_all_pairs(spark, ratio, threshold):
     for r in sorted(scored, key=lambda r: (-r.score, r.path)):
         best.setdefault(r.row_id, (r.note_id, r.score))
     assert {r.row_id: (r.note_id, r.score) for r in got.collect() if r.note_id is not None} == best
+
+
+def test_held_titles_with_a_common_beginning(spark):
+    """Titles that share forty characters, short and empty needles, and a needle whose every gram is common."""
+    rnd = random.Random(9)
+    start = "an empirical study of large scale train "
+    hay = [start + "".join(rnd.choice("abcdefgh ") for _ in range(rnd.randint(0, 12))) for _ in range(150)] + ["", "ab", "study of"]
+    needles = [start, start[:20], "study of large", "le train abc", "ab", "b", "", "zz"] + [h[rnd.randint(0, 40) :] for h in hay[:40]]
+    got = {(r.hay, r.needle) for r in linkage.holding(spark.createDataFrame([(x,) for x in hay], "h string"), spark.createDataFrame([(x,) for x in needles], "n string")).collect()}
+    assert got == {(h, n) for h in hay for n in needles if h and n and n in h}
