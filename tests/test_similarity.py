@@ -99,3 +99,10 @@ def test_held_titles_with_a_common_beginning(spark):
     needles = [start, start[:20], "study of large", "le train abc", "ab", "b", "", "zz"] + [h[rnd.randint(0, 40) :] for h in hay[:40]]
     got = {(r.hay, r.needle) for r in linkage.holding(spark.createDataFrame([(x,) for x in hay], "h string"), spark.createDataFrame([(x,) for x in needles], "n string")).collect()}
     assert got == {(h, n) for h in hay for n in needles if h and n and n in h}
+
+
+def test_exploded_rows_are_not_sent_to_the_driver(spark):
+    """Sides made of each title's grams were broadcast by the size of the rows that they came from."""
+    a = spark.createDataFrame([("one long title",), ("another title",)], "text string")
+    plan = linkage.holding(a, a)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastExchange" not in plan
