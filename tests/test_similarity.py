@@ -106,3 +106,27 @@ def test_exploded_rows_are_not_sent_to_the_driver(spark):
     a = spark.createDataFrame([("one long title",), ("another title",)], "text string")
     plan = linkage.holding(a, a)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "BroadcastExchange" not in plan
+
+
+def test_texts_that_look_alike_in_a_piece_alone_do_not_go_on(spark):
+    """Titles of the same common phrases met by them in pairs; now only those whose marks the edits allow reach the texts."""
+    rnd = random.Random(7)
+    words = ["representation", "transformer", "benchmarking", "segmentation", "optimisation", "generalised"]
+    titles = sorted({" ".join(rnd.choice(words) for _ in range(6)) + f" {rnd.randrange(10**9)}" for _ in range(40)})
+    got = {tuple(r) for r in similarity.near_texts(_frame(spark, titles), _frame(spark, titles), 0.92).collect()}
+    assert got == {(i, j) for i, x in enumerate(titles) for j, y in enumerate(titles) if _distance(x, y) <= int(max(len(x), len(y)) * 0.08 + 1e-9)}
+    marks = {r.text: (r.m0, r.m64) for r in _frame(spark, titles).select("text", *similarity._mark(F.col("text"))).collect()}
+    unlike = lambda x, y: sum(((p ^ q) & (2**64 - 1)).bit_count() for p, q in zip(marks[x], marks[y], strict=True))
+    assert all(unlike(x, y) <= 4 * _distance(x, y) for x in titles[:40] for y in titles[:40])
+    far = [unlike(x, y) > 4 * int(max(len(x), len(y)) * 0.08) for x in titles for y in titles if x != y]
+    assert sum(far) > 0.5 * len(far)
+
+
+def test_held_texts_of_all_lengths_are_found(spark):
+    rnd = random.Random(8)
+    hay = sorted({"".join(rnd.choice("ab ") for _ in range(rnd.randint(1, 40))).strip() for _ in range(60)} - {""})
+    needles = sorted({h[i : i + n] for h in hay for n in (1, 5, 6, 7, 12, 13, 14, 25) for i in (0, 3) if len(h) >= i + n} | {"c", "é" * 13, "ab" * 9})
+    got = [tuple(r) for r in linkage.held_texts(_frame(spark, hay), _frame(spark, needles)).select("hay", "needle").collect()]
+    assert sorted(got) == sorted((i, j) for i, h in enumerate(hay) for j, n in enumerate(needles) if n in h)
+    both = [tuple(r) for r in linkage._held_either_way(_frame(spark, hay), _frame(spark, needles)).collect()]
+    assert sorted(both) == sorted((i, j) for i, h in enumerate(hay) for j, n in enumerate(needles) if n in h or h in n)
