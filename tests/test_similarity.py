@@ -130,3 +130,32 @@ def test_held_texts_of_all_lengths_are_found(spark):
     assert sorted(got) == sorted((i, j) for i, h in enumerate(hay) for j, n in enumerate(needles) if n in h)
     both = [tuple(r) for r in linkage._held_either_way(_frame(spark, hay), _frame(spark, needles)).collect()]
     assert sorted(both) == sorted((i, j) for i, h in enumerate(hay) for j, n in enumerate(needles) if n in h or h in n)
+
+
+def test_edit_distances_are_those_of_the_pairs(spark):
+    """Scores are made of the distances that tell pairs near; before, the whole distance was computed again, twice a pair."""
+    a, b = _titles(11, 60) + ["", "Zoë zoë"], _titles(12, 40) + _titles(11, 20) + ["", "Zoé zoë"]
+    got = {(r.a, r.b): (r.ta, r.tb, r.edits) for r in similarity.edit_distances(_frame(spark, a), _frame(spark, b), 0.78).collect()}
+    near = [(i, j, _distance(x, y)) for i, x in enumerate(a) for j, y in enumerate(b) if x and y]
+    assert got == {(i, j): (a[i], b[j], d) for i, j, d in near if d <= int(max(len(a[i]), len(b[j])) * 0.22 + 1e-9)} and got
+
+
+def test_of_near_copies_the_nearest_meet(spark, monkeypatch):
+    """All copies of a title with other numbers met at the score of a held title; now a row whose copy is an edit away goes no further."""
+    copies = [(n, f"Item {n}: one long head that many of the notes have in common") for n in range(100, 180)] + [(7, "Item 107: one long head that many of the notes have in common, held")]
+    asked = [(n, t[:3] + t[4:]) for n, t in copies] + [(1000, "Other: one long head that many of the notes have in common"), (1001, "nothing like it")]
+    steps = []
+    scored = linkage._scored
+    monkeypatch.setattr(linkage, "_scored", lambda a, b, least, ratio: (steps.append((least, a.count())), scored(a, b, least, ratio))[1])
+    notes = spark.createDataFrame([(n, t, f"{n:04}.md") for n, t in copies], "note_id long, title string, path string")
+    got = {r.row_id: (r.note_id, r.score) for r in linkage.link_best(spark.createDataFrame(asked, "row_id long, title string"), notes, 0.78).collect()}
+    norm = lambda t: " ".join("".join(c if c.isalnum() else " " for c in t.lower()).split())
+
+    def best(title):
+        ours = norm(title)
+        each = [(0.92 if ours in norm(t) or norm(t) in ours else 1 - _distance(ours, norm(t)) / max(len(ours), len(norm(t))), f"{n:04}.md", n) for n, t in copies]
+        score, _, n = min(((-s, p, n) for s, p, n in each if s >= 0.78), default=(None, None, None))
+        return n, score and round(-score, 9)
+
+    assert got == {n: best(t) for n, t in asked}
+    assert max(open_ for least, open_ in steps if least <= 0.92) <= 2 < len(asked) == steps[0][1]
