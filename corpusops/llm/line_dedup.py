@@ -12,7 +12,10 @@ both ways, so similar lines always have a way in common.
 Each line of a key's list is first compared with the list's least line. What that leaves in different components is compared in
 pairs where the list is short. Lines of long lists, as boilerplate makes them, are banded again by MORE_WAYS other hashes of all
 their shingles, three times as many bands: a band that falls on what two lines have of their own makes a short list, which is
-compared in pairs; of a list that is long again, two lines are compared with all others.
+compared in pairs; of a list that is long again, two lines are compared with all others. Of a key's long list whose lines are
+then still in different components, all pairs of different components are compared, block by block of the list: each pair of blocks
+is a row, so tasks are bounded, and pairs reach the texts only where numbers of shingles and marks leave them similar. So every two
+lines of a list are compared or linked already; the work of a list of lines that all differ grows with its square.
 """
 
 from __future__ import annotations
@@ -28,6 +31,8 @@ SIMILARITY = 0.8
 BAND_BITS, ROWS = 3, 4  # 8 bands
 LONG_LIST = 32  # lines of a key that are compared in pairs
 FEW = 24  # different sampled shingles from which they alone sign a line
+BLOCK = 256  # lines of a long list, on average, that are compared with as many others in one row
+MARK_WORDS = 4  # numbers of 64 bits of a line's mark
 MORE_WAYS = 3  # hashes by which lines of long lists are banded again
 BROADCAST_ROWS = 1_000_000  # ids of 8 bytes, at most, that are sent to all executors
 
@@ -152,6 +157,47 @@ def crowded_pairs(found: DataFrame) -> DataFrame:
     return pairs.distinct()
 
 
+def marked(texts: DataFrame) -> DataFrame:
+    """(line_id, size, m0, ...) of texts (line_id, line): the number of different shingles, and of each of 64 MARK_WORDS bits whether an odd number of them fall on it.
+
+    Two lines' marks differ by as many bits at most as shingles that one of them alone has.
+    """
+    each = texts.select("line_id", F.array_distinct(all_shingles(F.col("line"))).alias("s"))
+    bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(h, F.lit(64)).cast("int"))
+    of_word = lambda k: F.filter("s", lambda h: F.pmod(F.shiftright(h, 6), F.lit(MARK_WORDS)) == k)
+    words = [F.aggregate(of_word(k), F.lit(0).cast("bigint"), lambda got, h: got.bitwiseXOR(bit(h))).alias(f"m{k}") for k in range(MARK_WORDS)]
+    return each.select("line_id", F.size("s").alias("size"), *words)
+
+
+def rest_pairs(lists: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b), a < b: of lists (key, line_id, n, component) all pairs of a list from different components, without those that numbers of shingles or marks tell apart."""
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    dealt = lists.join(marked(texts), "line_id").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("line_id"), F.col("blocks")).cast("int"))
+    x = F.struct("line_id", "component", "size", *[f"m{k}" for k in range(MARK_WORDS)])
+    members = materialise(dealt.groupBy("key", "blocks", "block").agg(F.collect_list(x).alias("members")))
+    ours = members.select("key", "block", F.col("members").alias("xs"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("other"))
+    theirs = members.select("key", F.col("block").alias("other"), F.col("members").alias("ys"))
+    each = ours.join(theirs.hint("merge"), ["key", "other"]).select((F.col("block") == F.col("other")).alias("same"), F.explode("xs").alias("x"), "ys")
+    each = each.select("same", "x", F.explode("ys").alias("y"))
+    both = F.col("x.size") + F.col("y.size")
+    unlike = sum((F.bit_count(F.col(f"x.m{k}").bitwiseXOR(F.col(f"y.m{k}"))) for k in range(MARK_WORDS)), F.lit(0))
+    fits = (F.least("x.size", "y.size") >= SIMILARITY * F.greatest("x.size", "y.size")) & (unlike * (1 + SIMILARITY) <= both * (1 - SIMILARITY) + 1e-6)
+    once = ~F.col("same") | (F.col("x.line_id") < F.col("y.line_id"))
+    found = each.where((F.col("x.component") != F.col("y.component")) & once & fits)
+    return found.select(F.least("x.line_id", "y.line_id").alias("a"), F.greatest("x.line_id", "y.line_id").alias("b")).distinct()
+
+
+def _apart(named: DataFrame) -> DataFrame:
+    """named (key, component, ...) of the keys whose lines are in different components."""
+    apart = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
+    return materialise(named.join(apart, "key"))
+
+
+def _linked(stars: DataFrame, links: DataFrame) -> DataFrame:
+    """stars (node, component) with the links (a, b) between their components."""
+    return materialise(components(stars.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links)))
+
+
 def similar_lines(docs: DataFrame) -> DataFrame:
     """(node, component) of the lines that are similar to another, components being those of all similar pairs found."""
     listed = key_lists(docs)
@@ -159,20 +205,23 @@ def similar_lines(docs: DataFrame) -> DataFrame:
     starred = listed.where("line_id <> least").select(F.col("least").alias("a"), F.col("line_id").alias("b")).distinct()
     stars = materialise(components(verified(texts, starred)))
 
-    named = _with_component(listed, stars)
-    apart = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
-    left = materialise(named.join(apart, "key"))
+    left = _apart(_with_component(listed, stars))
     forget(listed)
     members = F.collect_list(F.struct("line_id", "component")).alias("members")
     short = _pairs(left.where(F.col("n") <= LONG_LIST).where("line_id <> least").groupBy("key").agg(members)).distinct()
     more = verified(texts, short)
-    crowded = materialise(left.where(F.col("n") > LONG_LIST).select("line_id", "component").distinct())
-    if not crowded.isEmpty():
-        more = more.unionByName(verified(texts, crowded_pairs(crowded.join(texts, "line_id"))))
-    more = materialise(more)
-    if more.isEmpty():
+    long = left.where(F.col("n") > LONG_LIST)
+    crowded = materialise(long.select("line_id", "component").distinct())
+    if crowded.isEmpty():
+        more = materialise(more)
+        return stars if more.isEmpty() else _linked(stars, more)
+    more = materialise(more.unionByName(verified(texts, crowded_pairs(crowded.join(texts, "line_id")))))
+    stars = _linked(stars, more)
+    rest = _apart(_with_component(long.drop("component"), stars))
+    if rest.isEmpty():
         return stars
-    return materialise(components(stars.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)))
+    more = materialise(verified(texts, rest_pairs(rest.select("key", "line_id", "n", "component"), texts.join(rest.select("line_id").distinct(), "line_id", "left_semi"))))
+    return stars if more.isEmpty() else _linked(stars, more)
 
 
 def _place() -> list[Column]:

@@ -587,6 +587,29 @@ def test_crowded_lines(spark, own):
     assert len(near) >= 300 and sum(found[i] == found[j] for i, j in near) >= 0.97 * len(near)
 
 
+def test_lists_that_are_long_twice_lose_no_pair(spark, monkeypatch):
+    """All similar lines of a list end in one component, where all lists are taken for long, too; before, two lines of such a list met the others."""
+    monkeypatch.setattr(line_dedup, "LONG_LIST", 1)
+    monkeypatch.setattr(line_dedup, "BLOCK", 16)
+    r = np.random.default_rng(18)
+    word = lambda: "".join(chr(97 + x) for x in r.integers(0, 26, 7))
+    boilerplate, given = [word() for _ in range(40)], []
+    for _ in range(60):
+        mine = [word() for _ in range(8)]
+        given += [" ".join([*boilerplate[k:], *mine[: 8 - k], *[word() for _ in range(k)]]) for k in range(6)]
+    found, near = _joined(spark, given)
+    frame = spark.createDataFrame(list(enumerate(given)), "id long, line string")
+    keys = {x["id"]: set(x["k"]) for x in frame.select("id", line_dedup.line_keys(F.col("line")).alias("k")).collect()}
+    listed = [(i, j) for i, j in near if keys[i] & keys[j]]
+    assert len(listed) > 300 and all(found[i] == found[j] for i, j in listed)
+    # All pairs of a list that are similar are among those compared, and most of the others aren't.
+    texts = frame.select(F.col("id").alias("line_id"), "line")
+    lists = texts.select(F.lit("k").alias("key"), "line_id", F.lit(len(given)).alias("n"), F.col("line_id").alias("component"))
+    pairs = {(x["b"], x["a"]) for x in line_dedup.rest_pairs(lists, texts).collect()}
+    assert set(near) <= pairs and len(pairs) < 0.5 * len(given) * (len(given) - 1) / 2
+    assert {(x["b"], x["a"]) for x in line_dedup.verified(texts, spark.createDataFrame([(j, i) for i, j in pairs], "a long, b long")).collect()} == set(near)
+
+
 def test_recall_of_links(spark):
     """Lines of 8 to 90 words with up to a ninth of them replaced: nearly all similar pairs are joined, those near the threshold, too."""
     r = np.random.default_rng(9)
