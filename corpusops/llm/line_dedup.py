@@ -31,8 +31,8 @@ SIMILARITY = 0.8
 BAND_BITS, ROWS = 3, 4  # 8 bands
 LONG_LIST = 32  # lines of a key that are compared in pairs
 FEW = 24  # different sampled shingles from which they alone sign a line
-BLOCK = 256  # lines of a long list, on average, that are compared with as many others in one row
-MARK_WORDS = 4  # numbers of 64 bits of a line's mark
+BLOCK = 1024  # lines of a long list, on average, that are compared with as many others in one row
+MARK_WORDS = 16  # numbers of 64 bits of a line's mark: of lines of hundreds of shingles, fewer tell too few apart
 MORE_WAYS = 3  # hashes by which lines of long lists are banded again
 BROADCAST_ROWS = 1_000_000  # ids of 8 bytes, at most, that are sent to all executors
 
