@@ -10,17 +10,16 @@ it doesn't depend on the script or on white space. Lines that have few are signe
 both ways, so similar lines always have a way in common.
 
 Each line of a key's list is first compared with the list's least line. What that leaves in different components is compared in
-pairs where the list is short. Lines of long lists, as boilerplate makes them, are banded again by MORE_WAYS other hashes of all
-their shingles, three times as many bands: a band that falls on what two lines have of their own makes a short list, which is
-compared in pairs; of a list that is long again, two lines are compared with all others. Of a key's long list whose lines are
-then still in different components, all pairs of different components are compared, block by block of the list: each pair of blocks
-is a row, so tasks are bounded, and pairs reach the texts only where numbers of shingles and marks leave them similar. So every two
-lines of a list are compared or linked already; the work of a list of lines that all differ grows with its square.
+pairs where the list is short. The lines of long lists, as boilerplate makes them, meet by prefixes instead: of two similar lines,
+both have one of the few shingles that come first in any fixed order, and the rarest come first here, so lines that have only their
+boilerplate in common don't meet. The lines of such a shingle are compared with two of them first, and what is in different components
+then, in pairs. So every two similar lines of long lists are linked, whether a list has both or not; lines that have nearly all
+in common and aren't similar still meet in pairs.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusops.llm.common import forget, join_hot, materialise
@@ -31,9 +30,7 @@ SIMILARITY = 0.8
 BAND_BITS, ROWS = 3, 4  # 8 bands
 LONG_LIST = 32  # lines of a key that are compared in pairs
 FEW = 24  # different sampled shingles from which they alone sign a line
-BLOCK = 1024  # lines of a long list, on average, that are compared with as many others in one row
-MARK_WORDS = 16  # numbers of 64 bits of a line's mark: of lines of hundreds of shingles, fewer tell too few apart
-MORE_WAYS = 3  # hashes by which lines of long lists are banded again
+BLOCK = 1024  # lines with a shingle in their prefix, on average, that meet in one task
 BROADCAST_ROWS = 1_000_000  # ids of 8 bytes, at most, that are sent to all executors
 
 #: Bytes with which a sampled shingle starts, as a class of the regular expression.
@@ -141,50 +138,57 @@ def _pairs(lists: DataFrame) -> DataFrame:
     return each.select(F.col("x.line_id").alias("a"), F.explode(F.transform(F.filter("members", other), lambda y: y["line_id"])).alias("b"))
 
 
-def crowded_pairs(found: DataFrame) -> DataFrame:
-    """(a, b), a < b: candidates from different components among the lines found (line_id, line, component), by more bands."""
-    hashed = lambda s, way: F.transform(s, lambda h: F.xxhash64(h, F.lit(way)))
-    keys = _bind(F.array_distinct(all_shingles(F.col("line"))), lambda s: F.concat(*[band_keys(hashed(s, w), w) for w in range(2, 2 + MORE_WAYS)]))
-    keyed = materialise(found.select("line_id", "component", F.explode(keys).alias("key")))
-    x = F.struct("component", "line_id")
-    sizes = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min(x).alias("low"), F.max(x).alias("high")).where("low.component <> high.component")
-    listed = materialise(keyed.join(sizes, "key"))
-    members = F.collect_list(F.struct("line_id", "component")).alias("members")
-    pairs = _pairs(listed.where(F.col("n") <= LONG_LIST).groupBy("key").agg(members))
-    for centre in ("low", "high"):
-        far = listed.where((F.col("n") > LONG_LIST) & (F.col("component") != F.col(centre)["component"]))
-        pairs = pairs.unionByName(far.select(F.least("line_id", f"{centre}.line_id").alias("a"), F.greatest("line_id", f"{centre}.line_id").alias("b")))
-    return pairs.distinct()
-
+def prefixes(found: DataFrame) -> DataFrame:
+    """(shingle, line_id, component, size, place, near): the first shingles of the lines found (line_id, component, line), in an order of rarity.
 
-def marked(texts: DataFrame) -> DataFrame:
-    """(line_id, size, m0, ...) of texts (line_id, line): the number of different shingles, and of each of 64 MARK_WORDS bits whether an odd number of them fall on it.
-
-    Two lines' marks differ by as many bits at most as shingles that one of them alone has.
+    size: the line's number of different shingles; place: where the shingle stands among them, from 1. Two similar lines have one of
+    these shingles in common, and for the one of fewer shingles it is near. Shingles of one component's lines alone tell nothing and come first.
     """
-    each = texts.select("line_id", F.array_distinct(all_shingles(F.col("line"))).alias("s"))
-    bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(h, F.lit(64)).cast("int"))
-    of_word = lambda k: F.filter("s", lambda h: F.pmod(F.shiftright(h, 6), F.lit(MARK_WORDS)) == k)
-    words = [F.aggregate(of_word(k), F.lit(0).cast("bigint"), lambda got, h: got.bitwiseXOR(bit(h))).alias(f"m{k}") for k in range(MARK_WORDS)]
-    return each.select("line_id", F.size("s").alias("size"), *words)
+
+    # Lines of a skewed table are dealt out evenly before they become many rows.
+    sets = found.repartition("line_id").select("line_id", "component", F.array_distinct(all_shingles(F.col("line"))).alias("s"))
+    each = materialise(sets.select("line_id", "component", F.size("s").alias("size"), F.explode("s").alias("shingle")))
+    of_shingle = Window.partitionBy("shingle")
+    n = F.when(F.min("component").over(of_shingle) < F.max("component").over(of_shingle), F.count("*").over(of_shingle)).otherwise(0)
+    weighed = each.withColumn("n", n)
+    placed = weighed.withColumn("place", F.row_number().over(Window.partitionBy("line_id").orderBy("n", "shingle")))
+    beyond = lambda least: F.col("place") <= F.col("size") - F.ceil(least * F.col("size") - 1e-6) + 1
+    first = placed.where((F.col("n") > 0) & beyond(SIMILARITY))
+    return materialise(first.select("shingle", "line_id", "component", "size", "place", beyond(2 * SIMILARITY / (1 + SIMILARITY)).alias("near")))
+
+
+def _fits(x: str, y: str) -> Column:
+    """Whether lines x and y, of no more and no fewer shingles, can be similar where the first shingle they have in common is this one."""
+    rest = F.least(F.col(f"{x}.size") - F.col(f"{x}.place"), F.col(f"{y}.size") - F.col(f"{y}.place")) + 1
+    return (F.col(f"{x}.size") >= SIMILARITY * F.col(f"{y}.size") - 1e-6) & (rest * (1 + SIMILARITY) >= SIMILARITY * (F.col(f"{x}.size") + F.col(f"{y}.size")) - 1e-6)
+
+
+def centred_pairs(first: DataFrame) -> DataFrame:
+    """(a, b), a < b: of first, as prefixes() gives it, each shingle's lines with the lines of its least and its greatest component."""
+    x, of_shingle = F.struct("component", "line_id"), Window.partitionBy("shingle")
+    ends = first.select("line_id", "component", F.array(F.min(x).over(of_shingle), F.max(x).over(of_shingle)).alias("ends"))
+    pairs = [
+        ends.where(F.col("component") != end["component"]).select(F.least("line_id", end["line_id"]).alias("a"), F.greatest("line_id", end["line_id"]).alias("b"))
+        for end in (F.col("ends")[0], F.col("ends")[1])
+    ]
+    return pairs[0].unionByName(pairs[1]).distinct()
+
+
+def prefix_pairs(first: DataFrame) -> DataFrame:
+    """(a, b), a < b: the pairs of different components that meet by first, as prefixes() gives it."""
+    blocks = F.ceil(F.count("*").over(Window.partitionBy("shingle")) / BLOCK).cast("int")
+    dealt = first.withColumn("blocks", blocks)
+    fewer = dealt.where("near").withColumn("block", F.pmod(F.xxhash64("line_id"), F.col("blocks")).cast("int")).alias("x")
+    more = dealt.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).alias("y")
+    order = F.struct("x.size", "x.line_id") < F.struct("y.size", "y.line_id")
+    met = (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.block") == F.col("y.block")) & (F.col("x.component") != F.col("y.component"))
+    pairs = fewer.join(more.hint("merge"), met & order & _fits("x", "y"))
+    return pairs.select(F.least("x.line_id", "y.line_id").alias("a"), F.greatest("x.line_id", "y.line_id").alias("b")).distinct()
 
 
 def rest_pairs(lists: DataFrame, texts: DataFrame) -> DataFrame:
-    """(a, b), a < b: of lists (key, line_id, n, component) all pairs of a list from different components, without those that numbers of shingles or marks tell apart."""
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    dealt = lists.join(marked(texts), "line_id").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("line_id"), F.col("blocks")).cast("int"))
-    x = F.struct("line_id", "component", "size", *[f"m{k}" for k in range(MARK_WORDS)])
-    members = materialise(dealt.groupBy("key", "blocks", "block").agg(F.collect_list(x).alias("members")))
-    ours = members.select("key", "block", F.col("members").alias("xs"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("other"))
-    theirs = members.select("key", F.col("block").alias("other"), F.col("members").alias("ys"))
-    each = ours.join(theirs.hint("merge"), ["key", "other"]).select((F.col("block") == F.col("other")).alias("same"), F.explode("xs").alias("x"), "ys")
-    each = each.select("same", "x", F.explode("ys").alias("y"))
-    both = F.col("x.size") + F.col("y.size")
-    unlike = sum((F.bit_count(F.col(f"x.m{k}").bitwiseXOR(F.col(f"y.m{k}"))) for k in range(MARK_WORDS)), F.lit(0))
-    fits = (F.least("x.size", "y.size") >= SIMILARITY * F.greatest("x.size", "y.size")) & (unlike * (1 + SIMILARITY) <= both * (1 - SIMILARITY) + 1e-6)
-    once = ~F.col("same") | (F.col("x.line_id") < F.col("y.line_id"))
-    found = each.where((F.col("x.component") != F.col("y.component")) & once & fits)
-    return found.select(F.least("x.line_id", "y.line_id").alias("a"), F.greatest("x.line_id", "y.line_id").alias("b")).distinct()
+    """(a, b), a < b: of the lines of lists (line_id, component) all pairs from different components, without those that prefixes tell apart."""
+    return prefix_pairs(prefixes(lists.select("line_id", "component").distinct().join(texts, "line_id")))
 
 
 def _apart(named: DataFrame) -> DataFrame:
@@ -211,16 +215,14 @@ def similar_lines(docs: DataFrame) -> DataFrame:
     short = _pairs(left.where(F.col("n") <= LONG_LIST).where("line_id <> least").groupBy("key").agg(members)).distinct()
     more = verified(texts, short)
     long = left.where(F.col("n") > LONG_LIST)
-    crowded = materialise(long.select("line_id", "component").distinct())
-    if crowded.isEmpty():
-        more = materialise(more)
-        return stars if more.isEmpty() else _linked(stars, more)
-    more = materialise(more.unionByName(verified(texts, crowded_pairs(crowded.join(texts, "line_id")))))
-    stars = _linked(stars, more)
-    rest = _apart(_with_component(long.drop("component"), stars))
+    more = materialise(more)
+    stars = stars if more.isEmpty() else _linked(stars, more)
+    rest = _apart(_with_component(long.drop("component"), stars)).select("line_id", "component").distinct()
     if rest.isEmpty():
         return stars
-    more = materialise(verified(texts, rest_pairs(rest.select("key", "line_id", "n", "component"), texts.join(rest.select("line_id").distinct(), "line_id", "left_semi"))))
+    centred = centred_pairs(prefixes(rest.join(texts, "line_id")))
+    stars = _linked(stars, materialise(verified(texts, centred)))
+    more = materialise(verified(texts, rest_pairs(_with_component(rest.drop("component"), stars), texts)))
     return stars if more.isEmpty() else _linked(stars, more)
 
 

@@ -610,6 +610,19 @@ def test_lists_that_are_long_twice_lose_no_pair(spark, monkeypatch):
     assert {(x["b"], x["a"]) for x in line_dedup.verified(texts, spark.createDataFrame([(j, i) for i, j in pairs], "a long, b long")).collect()} == set(near)
 
 
+def test_lines_of_one_boilerplate_do_not_meet(spark):
+    """Lines that share a boilerplate and nothing else don't meet in pairs, however many there are; before, all did."""
+    r = np.random.default_rng(19)
+    word = lambda: "".join(chr(97 + x) for x in r.integers(0, 26, 7))
+    boilerplate = [word() for _ in range(40)]
+    texts = spark.createDataFrame([(i, " ".join([*boilerplate, *[word() for _ in range(10)]]), i) for i in range(400)], "line_id long, line string, component long")
+    first = line_dedup.prefixes(texts)
+    assert line_dedup.prefix_pairs(first).count() == 0 and line_dedup.centred_pairs(first).count() <= 4 * 400
+    # Beyond the lines there is nothing but what two of them have in common.
+    again = texts.unionByName(texts.limit(1).selectExpr("1000L AS line_id", "concat(line, ' end') AS line", "1000L AS component"))
+    assert [(r["a"], r["b"]) for r in line_dedup.prefix_pairs(line_dedup.prefixes(again)).collect()] == [(0, 1000)]
+
+
 def test_recall_of_links(spark):
     """Lines of 8 to 90 words with up to a ninth of them replaced: nearly all similar pairs are joined, those near the threshold, too."""
     r = np.random.default_rng(9)
