@@ -8,7 +8,7 @@ no figure of the corpus but these counts.
 
 The filter holds all words and pairs and grows with them, in segments of bounded size. Up to BROADCAST_BITS it is sent to all
 workers; beyond, its segments stay in the shared folder and the n-grams of the texts, once a chunk of texts, are shuffled to
-them and their levels back, so the scores are the same. The exact word counts of the base score come from a table of the
+them, packed, and their levels back as bytes, so the scores are the same. The exact word counts of the base score come from a table of the
 most frequent words, of bounded size, and from a join for all other words.
 """
 
@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusops.llm.common import NO_ID, materialise, texts, with_ids
+from corpusops.llm.common import NO_ID, forget, materialise, texts, with_ids
 
 FOLDS, HELD_OUT = 5, 1
 BASE = 1.5  # of the quantisation
@@ -309,33 +309,75 @@ def text_chunks(source: DataFrame) -> DataFrame:
     return materialise(each.mapInPandas(run, "chunk bigint, ids array<bigint>, texts array<string>, held array<boolean>"))
 
 
-def common_levels(counts: DataFrame, parts: Segments) -> FoundLevels:
-    """Levels of the n-grams used most, words and pairs, at most COMMON of them: those that nearly every chunk would ask for."""
-    keys = np.sort(_most_used(counts, COMMON)[0]["key"].to_numpy().view(np.uint64))
-    asked = pd.DataFrame({"chunk": np.zeros(len(keys), np.int64), "segment": _segment(keys, parts.segment_bits).astype("int32"), "key": keys.view(np.int64)})
-    found = _looked_up(counts.sparkSession.createDataFrame(asked, "chunk bigint, segment int, key bigint"), parts).toPandas().sort_values("key")
-    got, levels = found["key"].to_numpy(np.int64).view(np.uint64), found["level"].to_numpy(np.int64)
-    order = np.argsort(got)
-    return FoundLevels(got[order], levels[order])
+def _packed(keys: np.ndarray) -> bytes:
+    """Ascending keys by their differences, the lowest byte of all first: the highest are 0 and take no room once they are compressed."""
+    return np.diff(keys, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _unpacked(packed: bytes) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(packed, np.uint8).reshape(8, -1).T).view(np.uint64).ravel(), dtype=np.uint64)
+
+
+def _by_segment(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of ascending keys by segment, then key; the segments in this order."""
+    segment = _segment(keys, bits)
+    order = np.argsort(segment.astype(np.uint16 if bits <= 16 else np.uint32), kind="stable")
+    return order, segment[order]
+
+
+_ASKED = "chunk bigint, segment int, keys binary"
+
+
+def _questions(chunk: int, keys: np.ndarray, bits: int) -> pd.DataFrame:
+    """A row for each segment that ascending keys ask."""
+    order, segment = _by_segment(keys, bits)
+    first = np.flatnonzero(np.diff(segment, prepend=np.uint64(1 << 63)))
+    asked = [_packed(k) for k in np.split(keys[order], first[1:])] if len(first) else []
+    return pd.DataFrame({"chunk": np.full(len(first), chunk, np.int64), "segment": segment[first].astype("int32"), "keys": asked})
 
 
 def _looked_up(asked: DataFrame, parts: Segments) -> DataFrame:
-    """(chunk, key, level) of asked (chunk, segment, key)."""
+    """(chunk, segment, levels) of asked (chunk, segment, keys): a byte for each of the keys."""
     size = parts.size
 
     def look(asked: pd.DataFrame, bits: pd.DataFrame) -> pd.DataFrame:
-        found = np.zeros(len(asked), np.int64)
-        if len(asked) and len(bits):
-            found = LogFrequencyFilter(np.frombuffer(bits["bits"].iloc[0], np.uint8), size, 0).levels(asked["key"].to_numpy().view(np.uint64))
-        return pd.DataFrame({"chunk": asked["chunk"], "key": asked["key"], "level": found})
+        keys = [_unpacked(k) for k in asked["keys"]]
+        levels = np.zeros(sum(map(len, keys)), np.uint8)
+        if len(levels) and len(bits):
+            u, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+            levels = LogFrequencyFilter(np.frombuffer(bits["bits"].iloc[0], np.uint8), size, 0).levels(u).astype(np.uint8)[inverse]
+        ends = np.cumsum([len(k) for k in keys])
+        return pd.DataFrame({"chunk": asked["chunk"], "segment": asked["segment"], "levels": [x.tobytes() for x in np.split(levels, ends)[: len(keys)]]})
 
-    return asked.groupBy("segment").cogroup(parts.table.groupBy("segment")).applyInPandas(look, "chunk bigint, key bigint, level int")
+    return asked.groupBy("segment").cogroup(parts.table.groupBy("segment")).applyInPandas(look, "chunk bigint, segment int, levels binary")
 
 
-def find_levels(chunked: DataFrame, parts: Segments, common: FoundLevels) -> DataFrame:
-    """(chunk, key, level) of the distinct n-grams of each chunk but the common ones, looked up where their segments are.
+def _answered(keys: np.ndarray, found: pd.DataFrame, bits: int) -> FoundLevels:
+    """Ascending keys with the levels of one chunk's answers, which are in the order of the questions."""
+    levels = np.zeros(len(keys), np.int64)
+    levels[_by_segment(keys, bits)[0]] = np.frombuffer(b"".join(found.sort_values("segment")["levels"]), np.uint8)
+    return FoundLevels(keys, levels)
 
-    An n-gram that isn't common stands in few chunks beside all there are, so no segment's frame grows with the chunks.
+
+def common_levels(counts: DataFrame, parts: Segments) -> FoundLevels:
+    """Levels of the n-grams used most, words and pairs, at most COMMON of them: those that nearly every chunk would ask for."""
+    keys = np.sort(_most_used(counts, COMMON)[0]["key"].to_numpy().view(np.uint64))
+    asked = counts.sparkSession.createDataFrame(_questions(0, keys, parts.segment_bits), _ASKED)
+    return _answered(keys, _looked_up(asked, parts).toPandas(), parts.segment_bits)
+
+
+def _uncommon(tokens: list[np.ndarray], common: np.ndarray) -> np.ndarray:
+    """The distinct n-grams of a chunk but the common ones, ascending."""
+    words = np.unique(word_key(np.concatenate([*tokens, np.array([END], np.uint64)])))
+    keys = np.sort(np.concatenate([words, np.unique(np.concatenate([words[:0], *(pair_key(_before(t), t) for t in tokens)]))]), kind="stable")
+    return keys[~_find(common, common, keys)[0]]
+
+
+def _answers(chunked: DataFrame, parts: Segments, common: FoundLevels) -> DataFrame:
+    """(chunk, segment, levels) of the distinct n-grams of each chunk but the common ones, looked up where their segments are.
+
+    An n-gram that isn't common stands in few chunks beside all there are, so no segment's frame grows with the chunks. Questions go out
+    as packed keys, and answers come back as bytes in their order: the chunk knows its n-grams.
     """
     segment_bits, known = parts.segment_bits, chunked.sparkSession.sparkContext.broadcast(common.keys)
 
@@ -343,34 +385,37 @@ def find_levels(chunked: DataFrame, parts: Segments, common: FoundLevels) -> Dat
         hashes = _Hashes()
         for batch in batches:
             for chunk, ids, docs in zip(batch["chunk"], batch["ids"], batch["texts"], strict=True):
-                keys = [word_key(np.array([END], np.uint64))]
-                for _, tokens, _ in chunks(ids, docs, hashes):
-                    keys += [np.unique(word_key(tokens)), np.unique(pair_key(_before(tokens), tokens))]
-                k = np.setdiff1d(np.concatenate(keys), known.value)
-                yield pd.DataFrame({"chunk": np.full(len(k), chunk), "segment": _segment(k, segment_bits).astype("int32"), "key": k.view(np.int64)})
+                yield _questions(chunk, _uncommon([t for _, t, _ in chunks(ids, docs, hashes)], known.value), segment_bits)
 
-    return materialise(_looked_up(chunked.mapInPandas(ask, "chunk bigint, segment int, key bigint"), parts))
+    return materialise(_looked_up(chunked.select("chunk", "ids", "texts").mapInPandas(ask, _ASKED), parts))
 
 
-def _with_levels(chunked: DataFrame, found: DataFrame, common: FoundLevels, body, schema: str) -> DataFrame:
-    """Rows of body(filter, ids, texts, held) of each chunk."""
-    shared = chunked.sparkSession.sparkContext.broadcast((common.keys, common.found))
+def _with_levels(chunked: DataFrame, found: DataFrame, parts: Segments, common: FoundLevels, body, schema: str) -> DataFrame:
+    """Rows of body(chunk, levels of its uncommon n-grams, levels of the common ones, its texts as of ``chunks``) of each chunk."""
+    segment_bits, shared = parts.segment_bits, chunked.sparkSession.sparkContext.broadcast(common)
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        keys = np.concatenate([shared.value[0], right["key"].to_numpy(np.int64).view(np.uint64)])
-        levels = np.concatenate([shared.value[1], right["level"].to_numpy(np.int64)])
-        order, row = np.argsort(keys), left.iloc[0]
-        return pd.concat(body(FoundLevels(keys[order], levels[order]), row["ids"], row["texts"], row["held"]), ignore_index=True)
+        row = left.iloc[0]
+        read = list(chunks(row["ids"], row["texts"], _Hashes()))
+        own = _answered(_uncommon([t for _, t, _ in read], shared.value.keys), right, segment_bits)
+        return pd.concat(body(row["chunk"], own, shared.value, read), ignore_index=True)
 
     return chunked.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInPandas(run, schema)
 
 
+def find_levels(chunked: DataFrame, parts: Segments, common: FoundLevels) -> DataFrame:
+    """(chunk, key, level) of the distinct n-grams of each chunk but the common ones."""
+    each = lambda chunk, own, common, read: [pd.DataFrame({"chunk": np.full(len(own.keys), chunk), "key": own.keys.view(np.int64), "level": own.found})]
+    return _with_levels(chunked, _answers(chunked, parts, common), parts, common, each, "chunk bigint, key bigint, level int")
+
+
 _SCORED = "doc_id bigint, n_tokens bigint, n_known bigint, base double, score double, rest array<bigint>"
 
 
-def _score_rows(model: dict, bloom, ids, docs, hashes: _Hashes) -> Iterator[pd.DataFrame]:
+def _score_rows(model: dict, bloom, read) -> Iterator[pd.DataFrame]:
+    """read: as of ``chunks``."""
     room = model["room"]
-    for ids, tokens, starts in chunks(ids, docs, hashes):  # noqa: B020
+    for ids, tokens, starts in read:
         u, inverse = np.unique(tokens, return_inverse=True)
         wk = word_key(u)
         there, exact = _find(model["keys"], model["counts"], wk)
@@ -410,16 +455,20 @@ def score_texts(docs: DataFrame) -> DataFrame:
     room = total + 0.5 * (distinct + 1)
     model = {"keys": keys, "counts": values, "room": room}
     bloom, parts, _ = build_filter(counts)
+    common = common_levels(counts, parts) if bloom is None else None
+    rare = materialise(counts.where(F.col("key") % 2 == 0).where(F.col("n") < least))
+    forget(counts)
     if bloom is None:
         chunked = text_chunks(source)
-        common = common_levels(counts, parts)
-        found = find_levels(chunked, parts, common)
+        found = _answers(chunked, parts, common)
         shared = spark.sparkContext.broadcast(model)
 
-        def scores_of(bloom, ids, docs, held) -> list:
-            return list(_score_rows(shared.value, bloom, ids, docs, _Hashes()))
+        def scores_of(chunk, own, common, read) -> list:
+            order = np.argsort(keys := np.concatenate([common.keys, own.keys]), kind="stable")
+            levels = FoundLevels(keys[order], np.concatenate([common.found, own.found])[order])
+            return list(_score_rows(shared.value, levels, read))
 
-        scored = _with_levels(chunked, found, common, scores_of, _SCORED)
+        scored = _with_levels(chunked, found, parts, common, scores_of, _SCORED)
     else:
         # Sent as bytes, which workers read in place.
         shared, size, segment_bits = spark.sparkContext.broadcast(model | {"bits": bloom.bits.tobytes()}), bloom.size, bloom.segment_bits
@@ -428,12 +477,11 @@ def score_texts(docs: DataFrame) -> DataFrame:
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             hashes, kept = _Hashes(), KeptLevels(LogFrequencyFilter(np.frombuffer(shared.value["bits"], np.uint8), size, segment_bits))
             for batch in batches:
-                yield from _score_rows(shared.value, kept, batch["doc_id"], batch["text"], hashes)
+                yield from _score_rows(shared.value, kept, chunks(batch["doc_id"], batch["text"], hashes))
 
         scored = source.mapInPandas(run, _SCORED)
     scored = materialise(scored.withColumn("row", F.monotonically_increasing_id()))
     others = scored.select("row", F.explode("rest").alias("key"))
-    rare = counts.where(F.col("key") % 2 == 0).where(F.col("n") < least)
     found = others.join(rare, "key", "left").groupBy("row").agg(
         F.sum(F.log10((F.coalesce("n", F.lit(0)) + 0.5) / F.lit(float(room)))).alias("more"), F.count("n").alias("also")
     )

@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import math
+import os
 import re
 import zlib
 from collections import Counter
@@ -312,6 +313,31 @@ def test_common_ngrams_are_not_shuffled(spark, monkeypatch):
     assert asked < chunked.count() / 2
 
 
+def test_levels_are_asked_for_in_packed_questions(spark, sf_dir, monkeypatch):
+    """Each n-gram of a chunk went out, came back and was kept as a row of its own, and all counts stayed: 9 times the input on disk."""
+    keys = np.unique(np.random.default_rng(3).integers(1, 1 << 56, 50_000, dtype=np.uint64))
+    assert (bloom_lm._unpacked(bloom_lm._packed(keys)) == keys).all() and len(bloom_lm._unpacked(b"")) == 0
+    monkeypatch.setattr(bloom_lm, "CHUNK_CHARS", 50_000)
+    monkeypatch.setattr(bloom_lm, "COMMON", 2000)
+    source = bloom_lm.texts(small(spark, sf_dir))
+    counts = bloom_lm.count_ngrams(source)
+    _, parts, _ = bloom_lm.build_filter(counts)
+    common = bloom_lm.common_levels(counts, parts)
+    chunked = bloom_lm.text_chunks(source)
+    answers = bloom_lm._answers(chunked, parts, common)
+    assert answers.count() <= chunked.count() << parts.segment_bits
+    exact = {r["key"]: bloom_lm.level(np.array([r["n"]]))[0] for r in counts.collect()}
+    found = bloom_lm.find_levels(chunked, parts, common).collect()
+    assert len(found) == answers.agg(F.sum(F.octet_length("levels"))).first()[0]
+    assert all(r["level"] >= exact[r["key"]] for r in found if r["key"] in exact)
+    assert sum(r["level"] == exact.get(r["key"], 0) for r in found) > 0.97 * len(found)
+    kept = []
+    monkeypatch.setattr(bloom_lm, "BROADCAST_BITS", 0)
+    monkeypatch.setattr(bloom_lm, "forget", lambda *tables, f=bloom_lm.forget: (kept.extend(t.inputFiles()[0] for t in tables), f(*tables)))
+    assert bloom_lm.score_texts(small(spark, sf_dir)).count() > 0
+    assert len(kept) == 1 and not os.path.exists(kept[0].removeprefix("file://"))
+
+
 # Order MinHash
 
 
