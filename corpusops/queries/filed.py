@@ -12,33 +12,34 @@ from corpusops.sources import files
 _COLUMNS = "state, importance, paper_title, venue, project_link, paper_link, sort, pdf_path"
 
 
-def _one_file_a_row(rows, key, name):
-    """A folder with one text file for each key of rows (key, value)."""
+def _one_file_a_row(rows, name, read):
+    """What read, of a path and folders below it, makes of a folder with one text file for each of rows (key, value)."""
     path = new_folder(rows.sparkSession, name)
-    rows.repartition(key).write.partitionBy(key).text(path)
-    return path
+    key, value = rows.columns
+    folders = files.write_files(rows.select(F.concat(F.lit(f"{key}="), F.coalesce(F.col(key).cast("string"), F.lit(""))), value), path)
+    return files.read_in_rounds(rows.sparkSession, folders, path, lambda some: read(path, some))
 
 
 def _key(column, key):
-    return F.regexp_extract(column, rf"(?:^|/){key}=(\d+)/", 1).cast("bigint").alias(key)
+    return F.nullif(F.regexp_extract(column, rf"(?:^|/){key}=(-?\d*)\.", 1), F.lit("")).cast("bigint").alias(key)
 
 
 @query("SELECT note_id, sha256(concat(text, chr(10))) AS hash FROM notes")
 def read_note_files(spark, sf_dir):
-    path = _one_file_a_row(v.notes(spark, sf_dir).select("note_id", "text"), "note_id", "notes")
-    return files.read_notes(spark, path, glob="*.txt").select(_key("path", "note_id"), F.sha2("text", 256).alias("hash"))
+    read = lambda path, some: files.read_notes(spark, path, glob="*.txt", folders=some).select(_key("path", "note_id"), F.sha2("text", 256).alias("hash"))
+    return _one_file_a_row(v.notes(spark, sf_dir).select("note_id", "text"), "notes", read)
 
 
 @query("SELECT note_id, 'txt' AS ext, strlen(text) + 1 AS length FROM notes")
 def list_note_files(spark, sf_dir):
-    path = _one_file_a_row(v.notes(spark, sf_dir).select("note_id", "text"), "note_id", "listed")
-    return files.list_files(spark, path, glob="*.txt").select(_key("path", "note_id"), "ext", "length")
+    read = lambda path, some: files.list_files(spark, path, glob="*.txt", folders=some).select(_key("path", "note_id"), "ext", "length")
+    return _one_file_a_row(v.notes(spark, sf_dir).select("note_id", "text"), "listed", read)
 
 
 @query("SELECT page_id, sha256(concat(html, chr(10))) AS hash FROM pages", views=False)
 def read_page_files(spark, sf_dir):
-    path = _one_file_a_row(v.table(spark, sf_dir, "pages").select("page_id", "html"), "page_id", "pages")
-    return files.read_pages(spark, path, suffix=".txt").select(_key("url", "page_id"), F.sha2("html", 256).alias("hash"))
+    read = lambda path, some: files.read_pages(spark, path, suffix=".txt", folders=some).select(_key("url", "page_id"), F.sha2("html", 256).alias("hash"))
+    return _one_file_a_row(v.table(spark, sf_dir, "pages").select("page_id", "html"), "pages", read)
 
 
 _NAMED = ", ".join(f"{a} AS {b}" for a, b in zip(_COLUMNS.split(", "), files.LEDGER, strict=True))

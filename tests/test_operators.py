@@ -185,6 +185,25 @@ def test_notes_from_files(spark, tmp_path):
     assert {(r["path"], r["ext"]) for r in files.list_files(spark, root).collect()} == {("Cat/ICLR_2024/a.md", "md"), ("Cat/ICLR_2024/b.md", "md"), ("Cat/x.md", "md")}
 
 
+def test_many_files_in_rounds(spark, tmp_path, monkeypatch):
+    """A file for each row, repeated and missing keys included; before, a folder for each key, moved on the driver, and one list of all files there."""
+    monkeypatch.setattr(files, "FOLDER", 5)
+    monkeypatch.setattr(files, "ROUND", 12)
+    path, cost = f"file://{tmp_path}/notes", spark.conf.get("spark.sql.files.openCostInBytes")
+    rows = spark.createDataFrame([(f"k={i // 2}", None if i == 7 else f"é {i}") for i in range(40)], "k string, v string").repartition(3)
+    folders = files.write_files(rows, path)
+    assert sum(n for _, n in folders) == 40 and max(n for _, n in folders) == 5 and len({f for f, _ in folders}) == len(folders) < 40
+    rounds = []
+    read = lambda some: (rounds.append(some), files.read_notes(spark, path, "*.txt", folders=some))[1]
+    got = files.read_in_rounds(spark, folders, path, read).collect()
+    assert sorted((r["path"].split("/")[-1].split(".")[0], r["text"]) for r in got) == sorted((f"k={i // 2}", "\n" if i == 7 else f"é {i}\n") for i in range(40))
+    held = dict(folders)
+    assert len(rounds) > 2 and all(sum(held[f] for f in some) <= 12 for some in rounds)
+    assert spark.conf.get("spark.sql.files.openCostInBytes") == cost
+    empty = f"file://{tmp_path}/empty"
+    assert files.write_files(rows.limit(0), empty) == [] and files.read_in_rounds(spark, [], empty, lambda some: files.list_files(spark, empty, "*.txt", some)).count() == 0
+
+
 def test_ledger_files(spark, tmp_path):
     (tmp_path / "l.csv").write_text('state,importance,paper_title,venue,p,q,sort,pdf_path\nWait,,"A, ""B""",V,,,S,p.pdf\n,,,,,,S2,q.pdf\nchecked,x\nWait,a,b,c,d,e,f,g,h,i\n')
     got = [tuple(r)[1:] for r in files.read_ledger_csv(spark, str(tmp_path / "l.csv")).orderBy("row_id").collect()]
