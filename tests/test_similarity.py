@@ -122,6 +122,21 @@ def test_texts_that_look_alike_in_a_piece_alone_do_not_go_on(spark):
     assert sum(far) > 0.5 * len(far)
 
 
+def test_marks_count_repeated_pairs(spark):
+    """Texts made of few syllables share most pairs of characters but not how often: bits by odd and even numbers of a pair let nearly all of them meet."""
+    rnd = random.Random(13)
+    titles = sorted({f"item {i} " + "".join(rnd.choice(["the", "an", "en", "er", " th", "in ", "on"]) for _ in range(22)) for i in range(60)})
+    rows = similarity.marked(_frame(spark, titles)).collect()
+    marks = {r.text: tuple(r[2:]) for r in rows}
+    assert len(marks) == len(titles) and all(len(m) * 64 == similarity._BITS for m in marks.values())
+    unlike = lambda x, y: sum(((p ^ q) & (2**64 - 1)).bit_count() for p, q in zip(marks[x], marks[y], strict=True))
+    assert all(unlike(x, y) <= 4 * _distance(x, y) for x in titles[:25] for y in titles[:25])
+    far = [unlike(x, y) > 4 * int(max(len(x), len(y)) * 0.1) for x in titles for y in titles if x != y]
+    assert sum(far) > 0.8 * len(far)
+    some = similarity.edit_distances(similarity.marked(_frame(spark, titles)), _frame(spark, titles), 0.8)
+    assert {(r.a, r.b) for r in some.collect()} == {(r.a, r.b) for r in similarity.near_texts(_frame(spark, titles), _frame(spark, titles), 0.8).collect()}
+
+
 def test_held_texts_of_all_lengths_are_found(spark):
     rnd = random.Random(8)
     hay = sorted({"".join(rnd.choice("ab ") for _ in range(rnd.randint(1, 40))).strip() for _ in range(60)} - {""})
